@@ -29,8 +29,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     for key, base in (("up", _BASE), ("down", _INVERSE)):
         have = _POWERS[key]
         while len(have) <= n:
-            step = np.multiply(have, have[-1] * base)
-            have = np.concatenate([have, step])
+            have = np.concatenate([have, have * (have[-1:] * np.array([base]))])
         _POWERS[key] = have
     return _POWERS["up"], _POWERS["down"]
 
