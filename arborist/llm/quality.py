@@ -29,7 +29,9 @@ from .textbytes import SPACE, chunks, gram_hash, mix, prefix_hash, runs, span_ha
 
 FEATURES = 1 << 20
 SAMPLE_ROWS = 20_000
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 0.02, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
+#: Updates that training makes in all, in at least MIN_EPOCHS rounds over the sample and at most MAX_EPOCHS.
+UPDATES, MIN_EPOCHS, MAX_EPOCHS = 60_000, 3, 40
 THRESHOLD = 0.3
 
 LETTER = np.zeros(256, bool)
@@ -78,8 +80,9 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch["order"], batch["label"], *columns], ["order", "label", "numbers", "values"])
 
 
-def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after ``epochs`` rounds of FTRL-proximal over (label, distinct features, values)."""
+def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weights after rounds of FTRL-proximal over (label, distinct features, values)."""
+    epochs = min(MAX_EPOCHS, max(MIN_EPOCHS, UPDATES // max(1, len(rows))))
     z, n, w = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
     for _ in range(epochs):
         for label, x, value in rows:

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding, topk
+import corpus_pipeline
+
+from . import chat, decontaminate, langid, lmscore, mixing, neardup, quality, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op1_topk": topk.op1_topk,
+        "op3_lmscore": lmscore.op3_lmscore,
         "op4_chat": chat.op4_chat,
+        "op5_langid": langid.op5_langid,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_neardup": neardup.op7_neardup,
+        "op8_quality": quality.op8_quality,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
