@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, langid, lmscore, mixing, neardup, quality, sharding, topk
+from . import chat, decontaminate, langid, lmscore, mixing, neardup, quality, sharding, substring, topk
 
 
 def queries() -> dict:
     return {
         "op1_topk": topk.op1_topk,
+        "op2_substring": substring.op2_substring,
         "op3_lmscore": lmscore.op3_lmscore,
         "op4_chat": chat.op4_chat,
         "op5_langid": langid.op5_langid,
