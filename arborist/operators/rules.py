@@ -273,20 +273,33 @@ def shared_database_access(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return g.select("graph_id", F.lit("SHARED_DATABASE_ACCESS").alias("type"), F.lit("MEDIUM").alias("severity"), F.concat("by.src", F.array("tgt")).alias("node_ids"), F.col("by.edge_identifier").alias("edge_ids"), F.concat(F.lit("Table shared by services: "), "tgt_name", F.lit(" by "), F.array_join("by.service", ", ")).alias("message"))
 
 
-def service_call_chain(nodes: DataFrame, edges: DataFrame, min_hops: int = 2, max_hops: int = 8) -> DataFrame:
-    """The longest chain of services from each service that none calls (from each, if all are called)."""
+def _longest_chains(min_hops: int):
+    def chains(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """From each service that none calls, else from each, the longest path without a repeat; ties by name."""
+        out: dict[str, list[str]] = {}
+        for a, b in sorted(zip(pdf["a"], pdf["b"])):
+            out.setdefault(a, []).append(b)
+        free = sorted(set(out) - set(pdf["b"])) or sorted(set(pdf["a"]) | set(pdf["b"]))
+        found = []
+        for root in free:
+            best, todo = [root], [[root]]
+            while todo:
+                path = todo.pop()
+                if (-len(path), ">".join(path)) < (-len(best), ">".join(best)):
+                    best = path
+                todo += [[*path, b] for b in out.get(path[-1], ()) if b not in path]
+            if len(best) > min_hops:
+                found.append((key[0], best))
+        return pd.DataFrame(found, columns=["graph_id", "path"])
+
+    return chains
+
+
+def service_call_chain(nodes: DataFrame, edges: DataFrame, min_hops: int = 2) -> DataFrame:
+    """The longest chain of services from each service that none calls. A graph has tens of services."""
     e = with_ends(edges.where("type = 'SERVICE_CALL'"), nodes).where(~P.is_test_artifact(F.col("src_file_path"), F.col("src_name")))
     e = e.select("graph_id", P.service_of(F.col("src_file_path")).alias("a"), P.service_of(F.col("tgt_file_path")).alias("b")).where("a <> b").distinct()
-    called = e.select("graph_id", F.col("b").alias("a")).distinct()
-    free = e.select("graph_id", "a").distinct().join(called, ["graph_id", "a"], "left_anti")
-    roots = free.unionByName(e.join(free, "graph_id", "left_anti").select("graph_id", F.explode(F.array("a", "b")).alias("a")).distinct())
-    level, found = roots.select("graph_id", F.array("a").alias("path")), None
-    for hop in range(1, max_hops + 1):  # services of one graph are tens; the depth bounds the expansion
-        level = level.join(e, (level["graph_id"] == e["graph_id"]) & (F.element_at(level["path"], -1) == e["a"]) & ~F.array_contains(level["path"], e["b"])).select(level["graph_id"], F.concat("path", F.array("b")).alias("path"))
-        if hop >= min_hops:
-            found = level if found is None else found.unionByName(level)
-    longest = Window.partitionBy("graph_id", F.col("path")[0]).orderBy(F.desc(F.size("path")), F.array_join("path", ">"))
-    best = found.withColumn("rn", F.row_number().over(longest)).where("rn = 1")
+    best = e.groupBy("graph_id").applyInPandas(_longest_chains(min_hops), "graph_id long, path array<string>")
     return best.select("graph_id", F.lit("SERVICE_CALL_CHAIN").alias("type"), F.lit("MEDIUM").alias("severity"), F.col("path").alias("node_ids"), F.array().cast("array<string>").alias("edge_ids"), F.concat(F.lit("Service chain: "), F.array_join("path", " -> ")).alias("message"))
 
 

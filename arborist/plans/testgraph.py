@@ -83,4 +83,4 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle(body: str) -> str:
     """SQL over the derived nodes, edges and ends."""
-    return duck(f"WITH {BASE}{body if body.lstrip().startswith(',') else ' ' + body}")
+    return duck(f"WITH RECURSIVE {BASE}{body if body.lstrip().startswith(',') else ' ' + body}")
