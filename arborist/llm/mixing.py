@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
 
 
 def systematic_copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: str = "mix") -> DataFrame:
-    """``docs`` with one struct column ``mix``: size, source_size, target, copies.
+    """``docs`` with one struct column ``mix_result``: size, source_size, target, copies.
 
     All columns of ``docs`` are kept; the column names used inside start with ``mix_``.
     """
@@ -81,19 +81,19 @@ def systematic_copies(docs: DataFrame, text: str = "text", source: str = "source
     rank = F.col("mix_before") + F.col("mix_rank")
     copies = F.least(F.floor(offset + rate * rank) - F.floor(offset + rate * (rank - 1)), F.lit(math.ceil(cap)))
     mix = F.struct(F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), copies.cast("long").alias("copies"))
-    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("mix"))
+    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], mix.alias("mix_result"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it was drawn, with the columns of ``docs``."""
-    out = systematic_copies(docs, **options).where("mix.copies > 0")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = systematic_copies(docs, **options).where("mix_result.copies > 0")
+    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_result.copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = systematic_copies(docs)
-    return out.select("doc_id", F.col("mix.size").alias("size"), F.col("mix.source_size").alias("source_size"), F.col("mix.target").alias("target"), (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+    return out.select("doc_id", F.col("mix_result.size").alias("size"), F.col("mix_result.source_size").alias("source_size"), F.col("mix_result.target").alias("target"), (F.col("mix_result.size") * F.col("mix_result.copies")).alias("taken"))
 
 
 def _oracle(docs: str) -> str:

@@ -44,7 +44,7 @@ def _depths(cells: DataFrame, first: int, bits: int, limit: int) -> DataFrame:
 
 
 def extendible_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one struct column ``shard``: id, depth, page, n_bytes, shard_bytes, fits.
+    """``docs`` with one struct column ``shard_result``: id, depth, page, n_bytes, shard_bytes, fits.
 
     All columns of ``docs`` are kept; the column names used inside start with ``shard_``.
     """
@@ -81,12 +81,12 @@ def extendible_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, text: str
         F.concat(F.lit("s"), bits_text).alias("id"), F.col("shard_depth").alias("depth"), F.col("shard_page").cast("long").alias("page"),
         F.col("shard_n").alias("n_bytes"), F.col("shard_bytes").cast("long").alias("shard_bytes"), (F.col("shard_bytes") <= limit_bytes).alias("fits"),
     )
-    return out.select(*names, shard.alias("shard"))
+    return out.select(*names, shard.alias("shard_result"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return extendible_shards(docs).select("doc_id", F.col("shard.id").alias("shard"), F.col("shard.depth").alias("depth"), F.col("shard.page").alias("page"), F.col("shard.n_bytes").alias("n_bytes"), F.col("shard.shard_bytes").alias("shard_bytes"))
+    return extendible_shards(docs).select("doc_id", F.col("shard_result.id").alias("shard"), F.col("shard_result.depth").alias("depth"), F.col("shard_result.page").alias("page"), F.col("shard_result.n_bytes").alias("n_bytes"), F.col("shard_result.shard_bytes").alias("shard_bytes"))
 
 
 def _oracle(limit: int) -> str:

@@ -41,8 +41,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the shard that they go to."""
     out = extendible_shards(docs)
     own = {"shard": "id", "shard_depth": "depth", "shard_page": "page", "n_bytes": "n_bytes", "shard_bytes": "shard_bytes"}
-    taken = {c for c in docs.columns}
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"shard.{f}").alias(name) for name, f in own.items() if name not in taken])
+    taken = set(docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"shard_result.{f}").alias(name) for name, f in own.items() if name not in taken])
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
