@@ -36,7 +36,9 @@ MASKS = ("111010011011", "110111001101", "101101110011")
 SPAN = 12
 SHORTEST, MATCHED = 5, 10
 AROUND, REGION = 64, 512
-BITMAP_LOG = 22
+#: A seed's bits in the bitmap are the BITMAP_LOG bits of its hash above each of these.
+PLACES = (0, 32)
+BITMAP_LOG = 24
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +95,10 @@ def _regions(shared, masks: list[str]) -> Callable:
                 at, seed = [], []
                 for mask in masks:
                     h = seeds(flat, mask)
-                    bit = h & low
-                    p = np.flatnonzero((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+                    p = np.arange(len(h))
+                    for shift in PLACES:
+                        bit = (h[p] >> np.uint64(shift)) & low
+                        p = p[((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)]
                     p = p[p + len(mask) <= first[np.searchsorted(first, p, "right")]]
                     at.append(p)
                     seed.append(h[p])
@@ -150,10 +154,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     table_ = materialise(items.mapInArrow(_item_seeds, "item_id long, seed long, item_pos int, n int"))
-    low = F.col("seed").bitwiseAND((1 << BITMAP_LOG) - 1)
-    words = table_.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(seed & 63 AS INT))")).alias("bits"))
+    places = F.array(*[F.shiftright("seed", n).bitwiseAND((1 << BITMAP_LOG) - 1) for n in PLACES])
+    bits = table_.select(F.explode(places).alias("place"))
+    words = bits.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("bits"))
     bitmap = np.zeros(1 << (BITMAP_LOG - 6), np.uint64)
-    for word, bits in words.collect():  # 65,536 rows at most
+    for word, bits in words.collect():  # 262,144 rows at most
         bitmap[word] = bits & 0xFFFFFFFFFFFFFFFF
     short = [r[0] for r in table_.where(F.col("n") < SPAN).select("n").distinct().collect()]  # lengths below SPAN
     masks = [*MASKS, *("1" * n for n in sorted(short))]
