@@ -11,8 +11,8 @@ distinct ones are joined to one text with separators, and its suffix array is bu
 grouped by their Lyndon prefix, the groups are processed in descending order, each member passing its
 group on to its previous smaller suffix, and the order within groups is emitted in one scan, without
 renaming. Neighbours of the array that agree in 100 bytes are equal strings; all but the earliest of each
-run are repeats. An anchor with more than ``MAX_SPANS`` distinct stretches doesn't fit a task: the
-hashes (128 bits) of its strings are grouped by Spark instead.
+run are repeats. An anchor with more than ``MAX_SPANS`` distinct stretches is taken in parts of that many: what
+repeats within a part is found there, and the hashes (128 bits) of the rest are grouped by Spark.
 
 Cases: null text is empty; texts below 100 bytes lose nothing; of equal (doc_id, start) in repeated rows none
 is earlier, so repeated rows keep or lose the same bytes; a null doc_id comes before all others; an empty
@@ -227,23 +227,26 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     least: tuple[int, int] | None = None
     out: list[tuple] = []
 
-    def hashed(k: int) -> None:
+    def hashed(k: int, gone: set[tuple[int, int]]) -> None:
         (b, (doc, start)), row = spans[k], rows[k]
         buf = np.frombuffer(b, np.uint8)
         at = np.arange(len(b) - LENGTH + 1)
         prefix = prefix_hash(buf)
         for x, (h1, h2) in enumerate(zip(*(signed(span_hash(prefix, at, at + LENGTH, seed)).tolist() for seed in (11, 29)))):
-            out.append((doc, row, start + x, start + x, h1, h2))
+            if (k, x) not in gone:
+                out.append((doc, row, start + x, start + x, h1, h2))
 
     def close() -> None:
         nonlocal spans, rows
+        # equal strings lie at equal distances from the anchor, so a single stretch can't repeat itself
+        found = repeats(spans) if len(spans) > 1 else []
+        for k, x, y in _runs(found):
+            doc, start = spans[k][1]
+            out.append((doc, rows[k], start + x, start + y, None, None))
         if large:
+            gone = set(found)
             for k in range(len(spans)):
-                hashed(k)
-        elif spans:
-            for k, x, y in _runs(repeats(spans)):
-                doc, start = spans[k][1]
-                out.append((doc, rows[k], start + x, start + y, None, None))
+                hashed(k, gone)
         spans, rows = [], []
 
     frame = lambda: pd.DataFrame(out, columns=OUT).astype({"doc_id": "int64", "row": "int64", "first": "int64", "last": "int64", "h1": "Int64", "h2": "Int64"})
