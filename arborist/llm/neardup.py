@@ -131,7 +131,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     loose = materialise(loose.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), F.ceil(F.col("size") / PART).cast("int").alias("parts"), "size"))
     # a class is compared by the text of its representative; rows of one id may hold several texts
-    members = docs.join(loose, "doc_id").select("doc_id", "grp", "parts", "size", "text").mapInArrow(_sets, "doc_id long, grp long, parts int, size long, shingles binary")
+    # this table and that of kept ids grow with the documents, so both are merged in, never broadcast: one plan at every size
+    members = docs.join(loose.hint("merge"), "doc_id").select("doc_id", "grp", "parts", "size", "text").mapInArrow(_sets, "doc_id long, grp long, parts int, size long, shingles binary")
     members = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("comp", F.col("doc_id"))
     members = materialise(members)
     buckets = max(1, members.count() // PART)
@@ -165,7 +166,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component, whole rows; of rows that share a doc_id the smallest."""
     kept = materialise(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id"))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    whole = docs.join(kept, "doc_id", "left_semi").select(*names).unionByName(docs.where("doc_id IS NULL"))
+    whole = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*names).unionByName(docs.where("doc_id IS NULL"))
     again = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return whole
