@@ -103,16 +103,15 @@ def _compare(key, members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def _round(members: DataFrame, pivots: DataFrame, buckets: int) -> DataFrame:
-    """Compare all members (grp, doc_id, comp, parts, part, shingles) with all pivots of their group."""
-    own = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.floor((F.col("n_pivots") - 1) / CHUNK) + 1)
-    pivots = materialise(pivots.withColumn("chunk", own.cast("int")))
+def _round(members: DataFrame, buckets: int) -> DataFrame:
+    """Compare all members (grp, doc_id, comp, parts, part, shingles, pivot, n_pivots) with all pivots of their group."""
+    chunks_ = F.floor((F.col("n_pivots") - 1) / CHUNK).cast("int")
+    pivots = members.where("pivot").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(5)), chunks_ + 1).cast("int"))
     pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    counts = pivots.groupBy("grp").agg(F.first("n_pivots").alias("n"))
-    spread = members.join(counts, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK).cast("int"))))
+    spread = members.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks_)))
     keys = ["bucket", "part", "chunk"]
     columns = [*keys, "grp", "doc_id", "comp", "shingles"]
-    spread, pivots = (x.withColumn("bucket", bucket_of(F.col("grp"), buckets)).select(columns) for x in (spread, pivots))
+    spread, pivots = (x.withColumn("bucket", bucket_of(F.col("grp"), buckets)).select(*[F.col(c).alias(c) for c in columns]) for x in (spread, pivots))
     return spread.groupBy(keys).cogroup(pivots.groupBy(keys)).applyInPandas(_compare, "a long, b long")
 
 
@@ -127,30 +126,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # loose groups: classes that share a band
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("key", "b")
-    loose = components(keys.join(shared, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    # the shared keys grow with the documents: merged at every size
+    loose = components(keys.join(shared.hint("merge"), "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
     sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    loose = materialise(loose.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), F.ceil(F.col("size") / PART).cast("int").alias("parts"), "size"))
-    # a class is compared by the text of its representative; rows of one id may hold several texts
-    members = docs.join(loose, "doc_id").select("doc_id", "grp", "parts", "size", "text").mapInArrow(_sets, "doc_id long, grp long, parts int, size long, shingles binary")
-    members = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("comp", F.col("doc_id"))
-    members = materialise(members)
-    buckets = max(1, members.count() // PART)
+    loose = loose.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), F.ceil(F.col("size") / PART).cast("int").alias("parts"), "size")
+    # pivots are chosen on ids alone, so that sets are shuffled only to be compared
     first = F.xxhash64("doc_id", F.lit(3))
-    nth = members.groupBy("grp").agg(F.array_sort(F.collect_set(F.when(F.pmod(first, F.greatest(F.lit(1), F.floor(F.col("size") / (4 * PIVOTS)))) == 0, first))).alias("order"))
+    nth = loose.groupBy("grp").agg(F.array_sort(F.collect_set(F.when(F.pmod(first, F.greatest(F.lit(1), F.floor(F.col("size") / (4 * PIVOTS)))) == 0, first))).alias("order"))
     # about 4 * PIVOTS candidates a group by hash, of which the PIVOTS smallest are taken
     nth = nth.select("grp", F.slice("order", 1, PIVOTS).alias("order"))
-    pivots = members.join(nth, "grp").where(F.array_contains("order", first)).withColumn("n_pivots", F.size("order")).drop("order")
-    links = materialise(_round(members, pivots, buckets))
+    loose = materialise(loose.join(nth, "grp").withColumn("pivot", F.array_contains("order", first)).withColumn("n_pivots", F.size("order").cast("long")).drop("order"))
+    # a class is compared by the text of its representative; rows of one id may hold several texts
+    columns = ["doc_id", "grp", "parts", "size", "pivot", "n_pivots"]
+    members = docs.join(loose, "doc_id").select(*columns, "text").mapInArrow(_sets, "doc_id long, grp long, parts int, size long, pivot boolean, n_pivots long, shingles binary")
+    members = materialise(members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
+    buckets = max(1, loose.count() // PART)
+    links = materialise(_round(members.where("n_pivots > 0").withColumn("comp", F.col("doc_id")), buckets))
     # what the pivots left: all members outside a group's largest component
     so_far = components(links)
-    state = members.drop("comp").join(so_far.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    state = loose.select("doc_id", "grp", "size").join(so_far.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     state = materialise(state)
     count = state.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = count.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"))
     largest = largest.where("comps > 1").select("grp", F.col("top.comp").alias("largest"), (F.col("all") - F.col("top.n")).alias("n_pivots"))
     # in a group of up to PIVOTS members every pair has been compared
-    rest = state.where(F.col("size") > PIVOTS).join(largest, "grp").where("comp <> largest").drop("largest")
-    more = materialise(_round(state, rest, buckets))
+    rest = state.where(F.col("size") > PIVOTS).join(largest, "grp").select("doc_id", "comp", (F.col("comp") != F.col("largest")).alias("pivot"), "n_pivots")
+    more = materialise(_round(members.drop("pivot", "n_pivots").join(materialise(rest), "doc_id"), buckets))
     twice = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     same = own.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
     final = components(links.unionByName(more).unionByName(same))
