@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     loose = materialise(loose.join(nth, "grp").withColumn("pivot", F.array_contains("order", first)).withColumn("n_pivots", F.size("order").cast("long")).drop("order"))
     # a class is compared by the text of its representative; rows of one id may hold several texts
     columns = ["doc_id", "grp", "parts", "size", "pivot", "n_pivots"]
-    members = docs.join(loose, "doc_id").select(*columns, "text").mapInArrow(_sets, "doc_id long, grp long, parts int, size long, pivot boolean, n_pivots long, shingles binary")
+    # loose groups and kept ids grow with the documents: merged in, never broadcast, so the plan is the same at every size
+    members = docs.join(loose.hint("merge"), "doc_id").select(*columns, "text").mapInArrow(_sets, "doc_id long, grp long, parts int, size long, pivot boolean, n_pivots long, shingles binary")
     members = materialise(members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
     buckets = max(1, loose.count() // PART)
     links = materialise(_round(members.where("n_pivots > 0").withColumn("comp", F.col("doc_id")), buckets))
@@ -166,7 +167,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component, whole rows; of rows that share a doc_id the smallest."""
     kept = materialise(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id"))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    whole = docs.join(kept, "doc_id", "left_semi").select(*names).unionByName(docs.where("doc_id IS NULL"))
+    whole = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*names).unionByName(docs.where("doc_id IS NULL"))
     again = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return whole
