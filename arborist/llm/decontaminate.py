@@ -2,8 +2,11 @@
 
 Tokens are runs of letters and digits, A-Z lower-cased. A seed hashes the tokens at the positions of a
 fixed mask and ignores the others, so a hit survives substituted tokens at ignored positions. The
-benchmark's seeds are a table; a bitmap of their hashes, of fixed size, is broadcast and lets a pass over
-the documents emit only seeds that may be in the table. These are joined with it on the full hash.
+masks are all ways in which a segment that is taken can begin, up to its WEIGHT-th match, so no such
+segment is without a hit. They grow from one another by one match each, as a tree. The
+benchmark's seeds are a table; a bitmap of their hashes and of those of shorter beginnings, of fixed size, is
+broadcast and lets a pass over the documents follow only beginnings that may be in the table. The seeds at
+the end are joined with it on the full hash.
 Around each hit the document's tokens are laid over the item's on the hit's diagonal, and the best
 ungapped segment (a match counts 1, a substitution -2) is taken. A document is contaminated where that
 segment matches ``min(n, MATCHED)`` tokens of an item of n tokens.
@@ -11,7 +14,8 @@ segment matches ``min(n, MATCHED)`` tokens of an item of n tokens.
 Neighbouring hits of a document are one region, whose tokens, with ``AROUND`` more on either side, go along
 for the verification; texts are read once and not shuffled. Regions are cut at ``REGION`` tokens, with the margins overlapping.
 
-Items of fewer than SPAN tokens are searched whole, with an unspaced mask of their length.
+Items of fewer than MATCHED tokens must match whole, so only the unspaced mask is laid over their first tokens.
+An item of more than AROUND tokens is judged by the parts within AROUND of a hit.
 
 Cases: null text has no tokens; items with fewer than ``SHORTEST`` tokens are not searched, as such word runs
 occur by chance; repeated items and documents are found like others; an empty table gives no rows;
@@ -31,8 +35,8 @@ from .common import materialise, table
 from .quality import LETTER
 from .textbytes import LOWER, chunks, mix, prefix_hash, runs, signed, span_hash
 
-#: Spaced seeds: 1 is a token that counts, 0 one that is ignored.
-MASKS = ("111010011011", "110111001101", "101101110011")
+#: Matches of a seed's mask, and of the least beginning that the bitmap is asked for.
+WEIGHT, LEAST = 6, 3
 SPAN = 12
 SHORTEST, MATCHED = 5, 10
 AROUND, REGION = 64, 512
@@ -46,16 +50,53 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_hash(LOWER[buf]), starts, ends), first
 
 
-def seeds(flat: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of the masked tokens at every position of one flat array."""
-    m = len(flat) - len(mask) + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.full(m, int(mask, 2) * 64 + len(mask), np.uint64)
-    for k in (i for i, c in enumerate(mask) if c == "1"):
-        h = h * np.uint64(0xD1342543DE82EF95) + flat[k : k + m]
-        h ^= h >> np.uint64(31)
-    return mix(h)
+def longer(mask: str) -> list[str]:
+    """Masks with one match more, 1 a token that counts and 0 one that is ignored.
+
+    In a best segment every beginning has a score above 0 (see ``best_segment``), so few tokens can be ignored.
+    """
+    score = mask.count("1") - 2 * mask.count("0")
+    return [mask + "0" * k + "1" for k in range((score + 1) // 2)]
+
+
+def masks(weight: int) -> list[str]:
+    """All beginnings of best segments up to that many matches."""
+    return [m for x in masks(weight - 1) for m in longer(x)] if weight > 1 else ["1"]
+
+
+def _add(h: np.ndarray, token: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0xD1342543DE82EF95) + token
+    return h ^ h >> np.uint64(31)
+
+
+def _seed(h: np.ndarray, mask: str) -> np.ndarray:
+    return mix(h + np.uint64(int(mask, 2) * 64 + len(mask)))
+
+
+def _begin(flat: np.ndarray) -> np.ndarray:
+    """Hashes of LEAST consecutive tokens at every position of one flat array."""
+    m = max(0, len(flat) - LEAST + 1)
+    h = np.zeros(m, np.uint64)
+    for k in range(LEAST):
+        h = _add(h, flat[k : k + m])
+    return h
+
+
+def _item_masks(tokens: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Masks of LEAST to WEIGHT matches and their seeds at the positions where a segment of enough matches can begin."""
+    n = len(tokens)
+    todo = [(m, _begin(tokens)) for m in masks(LEAST)] if n >= SHORTEST else []
+    while todo:
+        mask, h = todo.pop()
+        weight = mask.count("1")
+        # the matches still needed follow, and items that must match whole have their first position only
+        m = n - len(mask) - max(0, min(n, MATCHED) - weight) + 1
+        if m <= 0:
+            continue
+        h = h[:m]
+        yield mask, _seed(h, mask)
+        if weight < min(n, WEIGHT):
+            todo += [(x, _add(h[: n - len(x) + 1], tokens[len(x) - 1 :][: len(h)])) for x in longer(mask) if len(x) <= n]
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,13 +106,11 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat, first = tokens(buf, offs)
             for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                 n = y - x
-                if n < SHORTEST:
-                    continue
-                for mask in MASKS if n >= SPAN else ("1" * n,):
-                    h = signed(seeds(flat[x:y], mask))
-                    out.append((np.repeat(a + i, len(h)), h, np.arange(len(h)), np.repeat(n, len(h))))
-        item, seed, pos, n = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
-        yield pa.RecordBatch.from_arrays([batch["item_id"].take(pa.array(item)), pa.array(seed), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], ["item_id", "seed", "item_pos", "n"])
+                for mask, h in _item_masks(flat[x:y]):
+                    final = mask.count("1") == min(n, WEIGHT)
+                    out.append((np.repeat(a + i, len(h)), signed(h), np.arange(len(h)), np.repeat(n, len(h)), np.repeat(final, len(h))))
+        item, seed, pos, n, final = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
+        yield pa.RecordBatch.from_arrays([batch["item_id"].take(pa.array(item)), pa.array(seed), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(final.astype(bool))], ["item_id", "seed", "item_pos", "n", "final"])
 
 
 def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,26 +122,47 @@ def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["item_id"], pa.array(found, pa.binary())], ["item_id", "item_tokens"])
 
 
-def _regions(shared, masks: list[str]) -> Callable:
+def _hits(flat: np.ndarray, first: np.ndarray, bitmap: np.ndarray, short: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and seeds that the bitmap lets through; masks of ``short`` lengths are final as well."""
+    low = np.uint64((1 << BITMAP_LOG) - 1)
+    at, seed = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    begun = _begin(flat)
+    todo = [(m, np.arange(len(begun)), begun, None) for m in masks(LEAST)]
+    while todo:
+        mask, p, h, end = todo.pop()
+        s = _seed(h, mask)
+        for shift in PLACES:
+            bit = (s >> np.uint64(shift)) & low
+            inside = ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+            p, h, s, end = p[inside], h[inside], s[inside], None if end is None else end[inside]
+        if end is None:
+            end = first[np.searchsorted(first, p, "right")]
+            inside = p + len(mask) <= end
+            p, h, s, end = p[inside], h[inside], s[inside], end[inside]
+        if not len(p):
+            continue
+        weight = mask.count("1")
+        if weight == WEIGHT or (weight == len(mask) and weight in short):
+            at.append(p)
+            seed.append(s)
+        if weight < WEIGHT:
+            for x in longer(mask):
+                inside = p + len(x) <= end
+                q = p[inside]
+                todo.append((x, q, _add(h[inside], flat[q + len(x) - 1]), end[inside]))
+    return np.concatenate(at), np.concatenate(seed)
+
+
+def _regions(shared, short: set[int]) -> Callable:
     """Documents to regions with hits that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, low = shared.value, np.uint64((1 << BITMAP_LOG) - 1)
+        bitmap = shared.value
         for batch in batches:
             rows, base, blob, hits, spots = [], [], [], [], []
             for a, _, buf, offs in chunks(batch["text"]):
                 flat, first = tokens(buf, offs)
-                at, seed = [], []
-                for mask in masks:
-                    h = seeds(flat, mask)
-                    p = np.arange(len(h))
-                    for shift in PLACES:
-                        bit = (h[p] >> np.uint64(shift)) & low
-                        p = p[((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)]
-                    p = p[p + len(mask) <= first[np.searchsorted(first, p, "right")]]
-                    at.append(p)
-                    seed.append(h[p])
-                at, seed = np.concatenate(at), np.concatenate(seed)
+                at, seed = _hits(flat, first, bitmap, short)
                 order = np.argsort(at, kind="stable")
                 at, seed = at[order], seed[order]
                 doc = np.searchsorted(first, at, "right") - 1
@@ -153,18 +213,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    table_ = materialise(items.mapInArrow(_item_seeds, "item_id long, seed long, item_pos int, n int"))
+    table_ = materialise(items.mapInArrow(_item_seeds, "item_id long, seed long, item_pos int, n int, final boolean"))
     places = F.array(*[F.shiftright("seed", n).bitwiseAND((1 << BITMAP_LOG) - 1) for n in PLACES])
     bits = table_.select(F.explode(places).alias("place"))
     words = bits.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(place & 63 AS INT)))").alias("bits"))
     bitmap = np.zeros(1 << (BITMAP_LOG - 6), np.uint64)
     for word, bits in words.collect():  # 262,144 rows at most
         bitmap[word] = bits & 0xFFFFFFFFFFFFFFFF
-    short = [r[0] for r in table_.where(F.col("n") < SPAN).select("n").distinct().collect()]  # lengths below SPAN
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
-    regions = materialise(docs.mapInArrow(_regions(spark.sparkContext.broadcast(bitmap), masks), "doc_id long, base long, tokens binary, seeds array<long>, spots array<int>").withColumn("region", F.xxhash64("doc_id", "base", "tokens")))
+    short = {r[0] for r in table_.where(F.col("n") < WEIGHT).select("n").distinct().collect()}  # lengths below WEIGHT
+    regions = materialise(docs.mapInArrow(_regions(spark.sparkContext.broadcast(bitmap), short), "doc_id long, base long, tokens binary, seeds array<long>, spots array<int>").withColumn("region", F.xxhash64("doc_id", "base", "tokens")))
     hits = regions.select("region", F.explode(F.arrays_zip("seeds", "spots")).alias("hit")).select("region", F.col("hit.seeds").alias("seed"), F.col("hit.spots").alias("spot"))
-    pairs = hits.join(table_, "seed").select("region", "item_id", "n", (F.col("spot") - F.col("item_pos")).alias("diagonal")).distinct()
+    pairs = hits.join(table_.where("final"), "seed").select("region", "item_id", "n", (F.col("spot") - F.col("item_pos")).alias("diagonal")).distinct()
     whole = items.mapInArrow(_item_tokens, "item_id long, item_tokens binary").dropDuplicates(["item_id"])
     laid = pairs.join(regions.select("region", "doc_id", "base", "tokens"), "region").join(whole, "item_id")
     found = laid.select("doc_id", "item_id", "n", "base", "tokens", "item_tokens", "diagonal").mapInArrow(_verify, "doc_id long, item_id long, n int, base long, matched int")

@@ -121,6 +121,36 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.contamination(d, bench.limit(0)).isEmpty()
 
 
+def test_decontamination_finds_what_its_rule_takes(spark):
+    long, short = prose(30, 60).split(), prose(12, 61).split()
+    changed = [w if i not in (3, 8) else "zzz" for i, w in enumerate(short)]  # 10 matches with a score of 6
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    d = docs(spark, [(i, f"{prose(40, 62)} x {' '.join(w)} y {prose(40, 63)}", "a") for i, w in enumerate((long[8:18], long[8:19], long[8:17], changed, short[1:11]))])
+    got = {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.contamination(d, bench).collect()}
+    assert got == {(0, 1, 10), (1, 1, 11), (3, 2, 10), (4, 2, 10)}
+
+
+def test_decontamination_seeds_meet_every_alignment():
+    for n in range(5, 21):
+        pattern = np.arange(1 << n)
+        score, matched, best, found = (np.zeros(1 << n, int) for _ in range(4))
+        for i in range(n):
+            equal = pattern >> i & 1 == 1
+            score, matched = score + np.where(equal, 1, -2), matched + equal
+            matched[score <= 0], score[score <= 0] = 0, 0
+            better = (score > best) | ((score == best) & (matched > found))
+            best, found = np.where(better, score, best), np.where(better, matched, found)
+        for x in random.sample(range(1 << n), 20):
+            assert decontaminate.best_segment(x >> np.arange(n) & 1 == 1) == found[x]
+        hit, words = np.zeros(1 << n, bool), np.arange(n, dtype=np.uint64)
+        for mask, seeds in decontaminate._item_masks(words):
+            if mask.count("1") == min(n, decontaminate.WEIGHT):
+                for at in range(len(seeds)):
+                    bits = int(mask[::-1], 2) << at
+                    hit |= pattern & bits == bits
+        assert hit[found >= min(n, decontaminate.MATCHED)].all()
+
+
 def test_mix_meets_targets(spark):
     rows = [(i, prose(random.randint(1, 80), i), ["a", "b", None][i % 5 % 3]) for i in range(600)]
     out = mixing.systematic_copies(docs(spark, rows)).select("doc_id", "source", "mix_result.*").collect()
