@@ -1,5 +1,6 @@
 """Edge cases and brute-force checks of the training-data operators."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -151,6 +152,33 @@ def test_decontamination_seeds_meet_every_alignment():
         assert hit[found >= min(n, decontaminate.MATCHED)].all()
 
 
+def test_lm_scores_come_from_exact_counts(spark):
+    r = random.Random(7)
+    # far more distinct n-grams than any table of fixed size tells apart
+    texts = ["".join(chr(r.randrange(33, 127)) for _ in range(40_000)) for _ in range(6)] + [prose(40, i) for i in range(30)] + ["", None, "ab"]
+    count, total = [defaultdict(int), defaultdict(int)], [0, 0]
+    for i, t in enumerate(texts):
+        wide = bytes(4) + (t or "").lower().encode() + bytes(4)
+        for model in (0, 1) if i % 2 else (1,):
+            total[model] += len(wide) - 4
+            for end in range(5, len(wide) + 1):
+                for n in range(1, 6):
+                    count[model][wide[end - n : end]] += 1
+    got = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), spark.range(1, 41, 2).withColumnRenamed("id", "doc_id")).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        wide = bytes(4) + (t or "").lower().encode()
+        for model, name in enumerate(("ce_target", "ce_background")):
+            loss = 0.0
+            for end in range(5, len(wide) + 1):
+                p = (count[model].get(wide[end - 1 : end], 0) + 1) / (total[model] + 256)
+                for n in range(2, 6):
+                    gram, context = count[model].get(wide[end - n : end], 0), count[model].get(wide[end - n : end - 1], 0)
+                    p = (gram + 5 * p) / (max(context, gram) + 5)
+                loss -= math.log2(p)
+            assert got[i][name] is None if not t else got[i][name] == pytest.approx(loss / (len(wide) - 4), rel=1e-9)
+
+
 def test_mix_meets_targets(spark):
     rows = [(i, prose(random.randint(1, 80), i), ["a", "b", None][i % 5 % 3]) for i in range(600)]
     out = mixing.systematic_copies(docs(spark, rows)).select("doc_id", "source", "mix_result.*").collect()
