@@ -54,7 +54,7 @@ def parse(rendered: str) -> tuple[str, str]:
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Events sorted by conversation, turn and sequence to rendered messages."""
-    conv, turn, role, text, open_, dropped, kept_drop, ord_ = object(), object(), "", [], False, -1, -1, 0
+    conv, turn, role, text, open_, dropped, kept_drop, ord_ = object(), object(), "", [], False, None, None, 0
     out: list[tuple] = []
 
     def close() -> None:
@@ -68,14 +68,14 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for c, t, s, kind, r, x in zip(*(batch[n].tolist() for n in ("conv_id", "turn", "seq", "kind", "role", "text"))):
             if not same(c, conv):
                 close()
-                conv, turn, ord_, dropped, kept_drop = c, object(), 0, -1, -1
+                conv, turn, ord_, dropped, kept_drop = c, object(), 0, None, None
             if not same(t, turn):
                 close()
-                turn, dropped = t, max(dropped, kept_drop)
-            if s < dropped:
+                turn, dropped = t, kept_drop
+            if dropped is not None and s < dropped:
                 continue
             if kind == "regenerate":
-                text, kept_drop, role = [], max(kept_drop, s), r or role
+                text, kept_drop, role = [], s if kept_drop is None else max(kept_drop, s), r or role
                 open_ = True
             elif kind == "delta":
                 text, role, open_ = (text if open_ else []) + [x], r or (role if open_ else ""), True

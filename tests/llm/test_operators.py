@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from arborist.llm import chat, decontaminate, langid, lmscore, mixing, neardup, quality, sharding, substring, topk
@@ -109,6 +110,13 @@ def test_chat_folds_events_and_reads_back(spark):
     assert chat.chat_digest(chat.format_chats(e.limit(0))).isEmpty()
 
 
+def test_chat_keeps_negative_sequence_numbers():
+    names = ["conv_id", "turn", "seq", "kind", "role", "text"]
+    rows = [(1, -3, -3, "message", "user", "a"), (1, -2, -2, "message", "assistant", "b"), (1, 0, 0, "message", "user", "c"), (2, -9, -5, "regenerate", "user", ""), (2, -9, -4, "delta", "user", "new"), (2, -8, -6, "message", "assistant", "late"), (2, -8, -3, "message", "assistant", "d")]
+    out = pd.concat(chat._fold(iter([pd.DataFrame(rows, columns=names)])))
+    assert [(c, chat.parse(x)[1]) for c, x in zip(out["conv_id"], out["rendered"])] == [(1, "a"), (1, "b"), (1, "c"), (2, "new"), (2, "d")]
+
+
 def test_decontamination_tolerates_substitutions(spark):
     item = prose(30, 50).split()
     changed = list(item)
