@@ -19,7 +19,8 @@ An item of more than AROUND tokens is judged by the parts within AROUND of a hit
 
 Cases: null text has no tokens; items with fewer than ``SHORTEST`` tokens are not searched, as such word runs
 occur by chance; repeated items and documents are found like others; an empty table gives no rows;
-null ids stay null and never match in the pipeline's join, so such documents are kept.
+joins go by hashes of id and text, so items and documents with null or repeated ids are found by their own
+texts. An item_id with several texts gives one row a document, that of the text with the most matches.
 """
 
 from __future__ import annotations
@@ -212,7 +213,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_tokens, matched: documents (doc_id, text) with the items (item_id, text) that they hold."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = named.select(F.xxhash64("item_id", "text").alias("item_id"), "text")  # a key of its own for each id and text
+    names = named.select(F.xxhash64("item_id", "text").alias("key"), "item_id").dropDuplicates(["key"])
     table_ = materialise(items.mapInArrow(_item_seeds, "item_id long, seed long, item_pos int, n int, final boolean"))
     places = F.array(*[F.shiftright("seed", n).bitwiseAND((1 << BITMAP_LOG) - 1) for n in PLACES])
     bits = table_.select(F.explode(places).alias("place"))
@@ -228,13 +231,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     laid = pairs.join(regions.select("region", "doc_id", "base", "tokens"), "region").join(whole, "item_id")
     found = laid.select("doc_id", "item_id", "n", "base", "tokens", "item_tokens", "diagonal").mapInArrow(_verify, "doc_id long, item_id long, n int, base long, matched int")
     found = found.where(F.col("matched") >= F.least(F.col("n"), F.lit(MATCHED)))
-    return found.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_tokens"), F.max("matched").alias("matched"))
+    found = found.withColumnRenamed("item_id", "key").join(names, "key").groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "n")).alias("best"))
+    return found.select("doc_id", "item_id", F.col("best.n").alias("n_tokens"), F.col("best.matched").alias("matched"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, whole rows."""
-    found = materialise(contamination(docs, benchmark).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    found = materialise(contamination(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct())
+    return docs.withColumn("_key", key).join(found, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,6 +187,15 @@ def test_lm_scores_come_from_exact_counts(spark):
             assert got[i][name] is None if not t else got[i][name] == pytest.approx(loss / (len(wide) - 4), rel=1e-9)
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    items = [prose(20, 70 + i) for i in range(3)]
+    bench = spark.createDataFrame([(None, items[0]), (1, items[1]), (1, items[2])], "item_id long, text string")
+    d = docs(spark, [(1, items[0], "a"), (2, items[1], "a"), (3, items[2], "a"), (None, items[1], "a"), (None, prose(20, 80), "a"), (2, prose(20, 81), "a")])
+    got = {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.contamination(d, bench).collect()}
+    assert got == {(1, None, 20), (2, 1, 20), (3, 1, 20), (None, 1, 20)}
+    assert {(r["doc_id"], r["text"]) for r in decontaminate.drop_contaminated(d, bench).collect()} == {(None, prose(20, 80)), (2, prose(20, 81))}
+
+
 def test_mix_meets_targets(spark):
     rows = [(i, prose(random.randint(1, 80), i), ["a", "b", None][i % 5 % 3]) for i in range(600)]
     out = mixing.systematic_copies(docs(spark, rows)).select("doc_id", "source", "mix_result.*").collect()
