@@ -7,41 +7,28 @@ walk, so a walk holds at most the nodes of its graph. Edges with a null end lead
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborist.storage import materialise
+
 #: Hops that a walk up or down takes, and that a footprint takes.
 MAX_HOPS, FOOTPRINT_HOPS = 12, 10
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir (a new local one only where that is unset) and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/walk-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """graph_id, root, node, depth, parent: all that each root reaches within ``hops``, at its least depth.
 
     ``starts`` are (graph_id, root). The parent is the smallest node one hop nearer; the root has none.
     """
     # written once, since every hop reads them
-    step = _written(edges.select("graph_id", F.col("src").alias("node"), F.col("tgt").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct())
-    seen = _written(starts.select("graph_id", "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).where("root IS NOT NULL").distinct())
+    step = materialise(edges.select("graph_id", F.col("src").alias("node"), F.col("tgt").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct())
+    seen = materialise(starts.select("graph_id", "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).where("root IS NOT NULL").distinct())
     frontier = seen
     for depth in range(1, hops + 1):
         found = frontier.join(step, ["graph_id", "node"]).groupBy("graph_id", "root", F.col("next").alias("node")).agg(F.min("node").alias("parent"))
         found = found.join(seen.select("graph_id", "root", "node"), ["graph_id", "root", "node"], "left_anti")
-        frontier = _written(found.select("graph_id", "root", "node", F.lit(depth).alias("depth"), "parent"))
+        frontier = materialise(found.select("graph_id", "root", "node", F.lit(depth).alias("depth"), "parent"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -51,12 +38,12 @@ def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
 def upstream_root(starts: DataFrame, calls: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """graph_id, start, root, depth: one caller up a hop, the first by ``ord`` then id, until none or one met before."""
     first = F.row_number().over(Window.partitionBy("graph_id", "tgt").orderBy("ord", "src"))
-    up = _written(calls.where("src IS NOT NULL AND tgt IS NOT NULL").withColumn("rn", first).where("rn = 1").select("graph_id", F.col("tgt").alias("root"), F.col("src").alias("next")))
-    walk = _written(starts.select("graph_id", F.col("id").alias("start"), F.col("id").alias("root"), F.array("id").alias("path")).where("start IS NOT NULL").distinct())
+    up = materialise(calls.where("src IS NOT NULL AND tgt IS NOT NULL").withColumn("rn", first).where("rn = 1").select("graph_id", F.col("tgt").alias("root"), F.col("src").alias("next")))
+    walk = materialise(starts.select("graph_id", F.col("id").alias("start"), F.col("id").alias("root"), F.array("id").alias("path")).where("start IS NOT NULL").distinct())
     ended = []
     for hop in range(hops):
         going = walk.join(up, ["graph_id", "root"], "left").withColumn("over", F.expr("next IS NULL OR array_contains(path, next)"))
-        going = _written(going)
+        going = materialise(going)
         ended.append(going.where("over").select("graph_id", "start", "root", F.lit(hop).alias("depth")))
         walk = going.where("NOT over").select("graph_id", "start", F.col("next").alias("root"), F.array_append("path", F.col("next")).alias("path"))
         if walk.isEmpty():
@@ -70,11 +57,11 @@ def upstream_root(starts: DataFrame, calls: DataFrame, hops: int = MAX_HOPS) ->
 def path_to(tree: DataFrame, goals: DataFrame) -> DataFrame:
     """graph_id, root, goal, depth, node: the steps back from each goal (graph_id, root, node) along the parents of a ``reach``."""
     at = goals.select("graph_id", "root", F.col("node").alias("goal"), "node").join(tree, ["graph_id", "root", "node"])
-    at = _written(at.select("graph_id", "root", "goal", "depth", "node", "parent"))
+    at = materialise(at.select("graph_id", "root", "goal", "depth", "node", "parent"))
     out = at
     while not (at := at.where("parent IS NOT NULL")).isEmpty():
         back = at.select("graph_id", "root", "goal", F.col("parent").alias("node")).join(tree, ["graph_id", "root", "node"])
-        at = _written(back.select("graph_id", "root", "goal", "depth", "node", "parent"))
+        at = materialise(back.select("graph_id", "root", "goal", "depth", "node", "parent"))
         out = out.unionByName(at)
     return out.drop("parent")
 
