@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborist.storage import materialise
+
+__all__ = ["WORD", "bucket_of", "components", "hash_bits", "materialise", "table"]
+
 #: Words of the contracts, for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,27 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new local one only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    The lineage ends at files that every executor sees, so nothing is lost with an executor, and
-    the reader knows the table's size when it chooses a join.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arborist-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucket_of(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
@@ -51,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star rounds, so the number of rounds follows the logarithm of
     the longest path. Both steps are one grouping for the smallest neighbour and one join with
-    it; no group is gathered in a task. Nulls and self-loops are ignored.
+    it. Groupings sum up before they shuffle; in the joins a node with very many neighbours is one key, which
+    Spark's adaptive skew join splits. Nulls and self-loops are ignored.
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     pairs = materialise(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())

@@ -11,12 +11,16 @@ distinct ones are joined to one text with separators, and its suffix array is bu
 grouped by their Lyndon prefix, the groups are processed in descending order, each member passing its
 group on to its previous smaller suffix, and the order within groups is emitted in one scan, without
 renaming. Neighbours of the array that agree in 100 bytes are equal strings; all but the earliest of each
-run are repeats. An anchor with more than ``MAX_SPANS`` distinct stretches is taken in parts of that many: what
-repeats within a part is found there, and the hashes (128 bits) of the rest are grouped by Spark.
+run are repeats.
 
-Cases: null text is empty; texts below 100 bytes lose nothing; of equal (doc_id, start) in repeated rows none
-is earlier, so repeated rows keep or lose the same bytes; a null doc_id comes before all others; an empty
-table gives no rows.
+A crowded anchor, one with more than ``CROWD`` occurrences, is split: its stretches are dealt out to ``PARTS`` tasks by a
+hash of their bytes, equal ones together, and within a task they are searched ``MAX_SPANS`` distinct ones at a
+time. What repeats across parts is found by the rest of their strings: those whose hash occurs again are read from the
+texts and grouped by their 100 bytes, so that no chance hit removes anything.
+
+Cases: null text is empty; texts below 100 bytes lose nothing; texts of any length are taken in overlapping parts
+of ``PART_BYTES``; of equal (doc_id, start) in repeated rows none is earlier, so repeated rows keep or lose the same
+bytes; a null doc_id comes before all others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,69 +29,96 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .textbytes import chunks, prefix_hash, signed, span_hash
+from .textbytes import chunks, column_bytes, prefix_hash, signed, span_hash, window_hash
 
 LENGTH, GRAM = 100, 20
-MAX_SPANS = 500
+MAX_SPANS, CROWD, PARTS = 500, 2000, 1024
+#: Bytes that start positions are taken from at once; they fit in the PLACE_BITS that the search for anchors packs.
+PART_BYTES, PLACE_BITS = 1 << 20, 24
 BITMAP_LOG = 26
 _NONE = -(1 << 63)
 
 
+def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(row of each text, bytes, offsets, place of the first byte): whole short texts, or a part of a long one.
+
+    The parts of a text overlap by LENGTH - 1 bytes, so each 100-byte string starts in one of them and ends in the same.
+    """
+    for a, b, buf, offs in chunks(column, PART_BYTES):
+        if len(buf) <= PART_BYTES:
+            yield np.arange(a, b), buf, offs, 0
+        else:
+            for s in range(0, len(buf), PART_BYTES):
+                part = buf[s : s + PART_BYTES + LENGTH - 1]
+                yield np.array([a]), part, np.array([0, len(part)]), s
+
+
 def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of 100-byte strings with one anchor: text, first start, last start, anchor's hash; and the prefix hash."""
     prefix, width, n = prefix_hash(buf), LENGTH - GRAM + 1, len(buf)
     empty = np.zeros(0, np.int64)
     if n < LENGTH:
         return empty, empty, empty, empty.astype(np.uint64), prefix
-    at = np.arange(n - GRAM + 1)
-    hashes = span_hash(prefix, at, at + GRAM)
-    least = (hashes >> np.uint64(28) << np.uint64(28)) | at.astype(np.uint64)
+    hashes = window_hash(prefix, GRAM)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least = (hashes & ~low) | np.arange(n - GRAM + 1, dtype=np.uint64)
     reach = 1
     while reach * 2 <= width:
-        least = np.minimum(least[: len(least) - reach], least[reach:])
+        least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     rest = width - reach
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    pos = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
+    pos = (least & low).astype(np.int64)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    start = np.arange(n - LENGTH + 1)
-    start = start[doc[start] == doc[start + LENGTH - 1]]
-    if not len(start):
-        return empty, empty, empty, empty.astype(np.uint64), prefix
-    new = np.ones(len(start), bool)
-    new[1:] = (pos[start[1:]] != pos[start[:-1]]) | (doc[start[1:]] != doc[start[:-1]])
+    whole = doc[: n - LENGTH + 1] == doc[LENGTH - 1 :]
+    new = whole.copy()
+    new[1:] &= (pos[1:] != pos[:-1]) | ~whole[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    return doc[start[first]], start[first], start[last], hashes[pos[start[first]]], prefix
+    if not len(first):
+        return empty, empty, empty, empty.astype(np.uint64), prefix
+    end = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True))
+    return doc[first], first, end, hashes[pos[first]], prefix
+
+
+def _inside(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = h & np.uint64((1 << BITMAP_LOG) - 1)
+    return ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
 def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, buf, offs in chunks(batch["text"]):
+        for _, buf, offs, _ in _parts(batch["text"]):
             found = anchors(buf, offs)[3]
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found))], ["anchor"])
 
 
+SPANS = "anchor long, part int, doc_id long, row long, start long, span binary"
+
+
 def _spans(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, low = shared.value, np.uint64((1 << BITMAP_LOG) - 1)
+        repeated, crowded = shared.value
         for batch in batches:
-            for a, _, buf, offs in chunks(batch["text"]):
-                doc, lo, hi, h, _ = anchors(buf, offs)
-                bit = h & low
-                keep = ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
-                doc, lo, hi, h = doc[keep], lo[keep], hi[keep], h[keep]
-                raw = buf.tobytes()
-                span = pa.array([raw[x:y] for x, y in zip(lo.tolist(), (hi + LENGTH).tolist())], pa.binary())
-                take = pa.array(doc + a)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch["doc_id"].take(take), batch["row"].take(take), pa.array(lo - offs[doc]), span], ["anchor", "doc_id", "row", "start", "span"])
+            for rows, buf, offs, at in _parts(batch["text"]):
+                doc, lo, hi, h, prefix = anchors(buf, offs)
+                keep = _inside(repeated, h)
+                doc, lo, end, h = doc[keep], lo[keep], hi[keep] + LENGTH, h[keep]
+                if not len(doc):
+                    continue
+                size = end - lo
+                ends = np.cumsum(size)
+                data = buf[np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)]
+                span = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
+                part = np.where(_inside(crowded, h), 1 + (span_hash(prefix, lo, end, 5) % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
+                take = pa.array(rows[doc])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(part), batch["doc_id"].take(take), batch["row"].take(take), pa.array(lo - offs[doc] + at), span], ["anchor", "part", "doc_id", "row", "start", "span"])
 
     return run
 
@@ -160,41 +191,40 @@ def suffix_array(text: list[int]) -> list[int]:
 
 
 def repeats(spans: list[tuple[bytes, tuple[int, int]]]) -> list[tuple[int, int]]:
-    """(span, offset) of each 100-byte string of distinct ``spans`` (bytes, (doc_id, start)) that also starts earlier."""
+    """(span, offset) of each 100-byte string of ``spans`` (bytes, (doc_id, start)) that also starts earlier."""
     # strings whose hash occurs once can't repeat, so only the stretches with others go into the array
     joined = np.frombuffer(b"".join(b for b, _ in spans), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(b) for b, _ in spans])])
-    at = np.concatenate([np.arange(x, y - LENGTH + 1) for x, y in zip(offs[:-1], offs[1:])])
-    _, where, count = np.unique(span_hash(prefix_hash(joined), at, at + LENGTH), return_inverse=True, return_counts=True)
-    at = at[count[where] > 1]
-    if not len(at):
+    owner = np.repeat(np.arange(len(spans)), np.diff(offs))
+    at = np.flatnonzero(owner[: len(owner) - LENGTH + 1] == owner[LENGTH - 1 :])
+    h = window_hash(prefix_hash(joined), LENGTH)[at]
+    order = np.argsort(h)
+    equal = h[order[1:]] == h[order[:-1]]
+    if not equal.any():
         return []
-    cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(np.searchsorted(offs, at, "right")) > 0)) + 1
+    again = np.zeros(len(at), bool)
+    again[order[1:][equal]] = again[order[:-1][equal]] = True
+    at = at[again]
+    cut = np.flatnonzero((np.diff(at) > 1) | (owner[at[1:]] != owner[at[:-1]])) + 1
     pieces = [(p[0], p[-1] + LENGTH) for p in np.split(at, cut)]
-    text: list[int] = []
-    source: list[int] = []
+    ends, parts, source = np.zeros(len(joined), bool), [], []
+    ends[at] = True
     for k, (x, y) in enumerate(pieces):
-        text += (joined[x:y].astype(np.int64) + len(pieces)).tolist()
-        source += range(x, y)
-        text.append(k)
-        source.append(-1)
+        parts += [joined[x:y].astype(np.int64) + len(pieces), [k]]
+        source += [np.arange(x, y), [-1]]
+    place = np.concatenate(source)
+    array = place[suffix_array(np.concatenate(parts).tolist())]
+    array = array[(array >= 0) & ends[array]].tolist()
     raw, out = joined.tobytes(), []
 
     def close(run: list[int]) -> None:
         if len(run) > 1:
-            owner = [int(np.searchsorted(offs, r, "right")) - 1 for r in run]
-            place = [(spans[o][1][0], spans[o][1][1] + r - int(offs[o])) for o, r in zip(owner, run)]
-            least = min(place)
-            out.extend((o, r - int(offs[o])) for o, r, p in zip(owner, run, place) if p != least)
-
-    ends = {}
-    for x, y in pieces:
-        ends.update(dict.fromkeys(range(x, y - LENGTH + 1), True))
+            where = [(spans[owner[r]][1][0], spans[owner[r]][1][1] + r - int(offs[owner[r]])) for r in run]
+            least = min(where)
+            out.extend((int(owner[r]), r - int(offs[owner[r]])) for r, p in zip(run, where) if p != least)
+
     run, last = [], None
-    for s in suffix_array(text):
-        x = source[s]
-        if x < 0 or x not in ends:
-            continue
+    for x in array:
         string = raw[x : x + LENGTH]
         if string != last:
             close(run)
@@ -218,101 +248,170 @@ def _runs(found: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
         yield first
 
 
-OUT = ["doc_id", "row", "first", "last", "h1", "h2"]
+OUT = ["doc_id", "row", "first", "last", "h"]
+
+
+class _Group:
+    """The distinct stretches of one anchor, or of one part of a crowded one, that were not searched yet."""
 
+    def __init__(self) -> None:
+        self.key, self.large = None, False
+        self.spans: list[tuple[bytes, tuple[int, int]]] = []
+        self.rows: list[int] = []
+        self.out: list[tuple[np.ndarray, ...]] = []
 
-def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stretches sorted by anchor, bytes, doc_id and start to repeated starts, or to hashed strings where an anchor has too many."""
-    anchor, spans, rows, large = None, [], [], False
-    least: tuple[int, int] | None = None
-    out: list[tuple] = []
+    def begin(self, key: tuple[int, int]) -> None:
+        self.search()
+        self.key, self.large = key, key[1] > 0
 
-    def hashed(k: int, gone: set[tuple[int, int]]) -> None:
-        (b, (doc, start)), row = spans[k], rows[k]
-        buf = np.frombuffer(b, np.uint8)
-        at = np.arange(len(b) - LENGTH + 1)
-        prefix = prefix_hash(buf)
-        for x, (h1, h2) in enumerate(zip(*(signed(span_hash(prefix, at, at + LENGTH, seed)).tolist() for seed in (11, 29)))):
-            if (k, x) not in gone:
-                out.append((doc, row, start + x, start + x, h1, h2))
+    def add(self, spans: list[bytes], docs: list[int], rows: list[int], starts: list[int]) -> None:
+        for b, doc, row, start in zip(spans, docs, rows, starts):
+            if len(self.spans) >= MAX_SPANS:
+                self.large = True
+                self.search()
+            self.spans.append((b, (doc, start)))
+            self.rows.append(row)
 
-    def close() -> None:
-        nonlocal spans, rows
+    def search(self) -> None:
+        """Repeats within the stretches and, if there are more than these, the other strings with their hashes."""
         # equal strings lie at equal distances from the anchor, so a single stretch can't repeat itself
-        found = repeats(spans) if len(spans) > 1 else []
-        for k, x, y in _runs(found):
-            doc, start = spans[k][1]
-            out.append((doc, rows[k], start + x, start + y, None, None))
-        if large:
-            gone = set(found)
-            for k in range(len(spans)):
-                hashed(k, gone)
-        spans, rows = [], []
-
-    frame = lambda: pd.DataFrame(out, columns=OUT).astype({"doc_id": "int64", "row": "int64", "first": "int64", "last": "int64", "h1": "Int64", "h2": "Int64"})
+        found = repeats(self.spans) if len(self.spans) > 1 else []
+        if found:
+            own = [(self.spans[k][1][0], self.rows[k], self.spans[k][1][1] + x, self.spans[k][1][1] + y) for k, x, y in _runs(found)]
+            self.out.append((*np.array(own, np.int64).T, np.zeros(len(own), np.int64), np.ones(len(own), bool)))
+        if self.large:
+            gone: dict[int, list[int]] = {}
+            for k, x in found:
+                gone.setdefault(k, []).append(x)
+            for k, (b, (doc, start)) in enumerate(self.spans):
+                h = window_hash(prefix_hash(np.frombuffer(b, np.uint8)), LENGTH)
+                at = np.setdiff1d(np.arange(len(h)), gone.get(k, []))
+                self.out.append((np.full(len(at), doc), np.full(len(at), self.rows[k]), start + at, start + at, signed(h[at]), np.zeros(len(at), bool)))
+        self.spans, self.rows = [], []
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.out:
+            doc, row, first, last, h, none = (np.concatenate(x) for x in zip(*self.out))
+            self.out = []
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (doc, row, first, last)), pa.array(h, mask=none)], OUT)
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches sorted by anchor, part, bytes, doc_id, start and row to repeated starts, and to hashed strings of crowded anchors."""
+    group, last, least = _Group(), None, (0, 0, 0)
     for batch in batches:
-        for a, b, doc, row, start in zip(*(batch[c].tolist() for c in ("anchor", "span", "doc_id", "row", "start"))):
-            if a != anchor:
-                close()
-                anchor, large, least = a, False, None
-            if spans and b == spans[-1][0]:
-                if (doc, start) != least:
-                    out.append((doc, row, start, start + len(b) - LENGTH, None, None))
-                else:
-                    spans.append((b, (doc, start)))
-                    rows.append(row)
-                continue
-            if len(spans) >= MAX_SPANS:
-                large = True
-                close()
-            spans.append((b, (doc, start)))
-            rows.append(row)
-            least = (doc, start)
-        if len(out) > 50_000:
-            yield frame()
-            out.clear()
-    close()
-    if out:
-        yield frame()
-
-
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = batch.num_rows
+        if not n:
+            continue
+        anchor, part, doc, row, start = (batch[c].to_numpy() for c in ("anchor", "part", "doc_id", "row", "start"))
+        span = batch["span"]
+        other = np.ones(n, bool)  # rows that begin a group
+        other[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
+        other[0] = (anchor[0], part[0]) != group.key
+        fresh = other.copy()  # rows whose bytes are not those of the row before
+        fresh[1:] |= pc.not_equal(span.slice(1), span.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        fresh[0] |= span[0].as_py() != last
+        head = np.append(-1, np.flatnonzero(fresh))[np.cumsum(fresh)]
+        # the earliest row of the same bytes, which may lie in a batch before
+        first_doc, first_start, first_row = (np.where(head < 0, old, x[head]) for x, old in zip((doc, start, row), least))
+        again = ~fresh & ((doc != first_doc) | (start != first_start))
+        if again.any():
+            size = pc.binary_length(span).to_numpy()[again]
+            group.out.append((doc[again], row[again], start[again], start[again] + size - LENGTH, np.zeros(len(size), np.int64), np.ones(len(size), bool)))
+        # other texts with the same doc_id and start are judged with the first
+        keep = np.flatnonzero(fresh | (~again & (row != first_row)))
+        of = np.cumsum(other)[keep]
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(keep)]]) if len(keep) else np.zeros(1, np.int64)
+        opens, closes = bounds[:-1], bounds[1:]
+        # a single stretch needs no search, but the last group may go on
+        need = (closes - opens > 1) | (part[keep[opens]] > 0) | (of[opens] == 0)
+        need[-1:] = True
+        for x, y in zip(opens[need].tolist(), closes[need].tolist()):
+            k = keep[x:y]
+            if of[x]:
+                group.begin((anchor[k[0]], part[k[0]]))
+            group.add(span.take(pa.array(k)).to_pylist(), doc[k].tolist(), row[k].tolist(), start[k].tolist())
+        last, least = span[n - 1].as_py(), (first_doc[-1], first_start[-1], first_row[-1])
+        yield from group.flush()
+    group.search()
+    yield from group.flush()
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 100 bytes at each of the starts ``at`` of a text."""
+    for batch in batches:
+        buf, offs = column_bytes(batch["text"])
+        n = pc.list_value_length(batch["at"]).to_numpy()
+        first = batch["at"].flatten().to_numpy()
+        own = np.repeat(np.arange(batch.num_rows), n)
+        for i in range(0, len(first), 20_000):
+            of, x = own[i : i + 20_000], first[i : i + 20_000]
+            data = buf[((offs[of] + x)[:, None] + np.arange(LENGTH)).ravel()]
+            string = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * LENGTH).astype(np.int32)), pa.py_buffer(data)])
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["row"].take(take), pa.array(x), string], ["doc_id", "row", "first", "string"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        buf, offs = column_bytes(batch["text"])
+        bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch["spans"]), 0).to_numpy()))
+        flat = batch["spans"].flatten()
+        first, last = flat.field(0).to_numpy(), flat.field(1).to_numpy()
         found = []
-        for doc, text, spans in zip(batch["doc_id"].tolist(), batch["text"], batch["spans"]):
-            raw = (text or "").encode()
-            gone = np.zeros(len(raw) + 1, np.int32)
-            if spans is not None:
-                for s in spans:
-                    gone[s["first"]] += 1
-                    gone[s["last"] + LENGTH] -= 1
-            gone = np.cumsum(gone[:-1]) > 0
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            n_spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(raw) else 0
-            found.append((None if doc == _NONE else doc, len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-        yield pd.DataFrame(found, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+        for i in range(batch.num_rows):
+            raw, a, b = buf[offs[i] : offs[i + 1]], bounds[i], bounds[i + 1]
+            kept, n_spans = raw.tobytes(), 0
+            if b > a:
+                step = np.zeros(len(raw) + 1, np.int32)
+                np.add.at(step, first[a:b], 1)
+                np.add.at(step, last[a:b] + LENGTH, -1)
+                gone = np.cumsum(step[:-1]) > 0
+                kept, n_spans = raw[~gone].tobytes(), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            found.append((len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept))
+        doc = batch["doc_id"].to_numpy()
+        columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+        yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == _NONE), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+
+def _bitmaps(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the anchors that occur again, and of those that occur more than CROWD times."""
+    counts = docs.select("text").mapInArrow(_anchor_hashes, "anchor long").groupBy("anchor").count().where("count > 1")
+    low, bit = F.col("anchor").bitwiseAND((1 << BITMAP_LOG) - 1), "shiftleft(1L, CAST(anchor & 63 AS INT))"
+    words = counts.groupBy(F.shiftright(low, 6).alias("word")).agg(F.expr(f"bit_or({bit})").alias("repeated"), F.expr(f"bit_or(IF(count > {CROWD}, {bit}, 0L))").alias("crowded")).toArrow()
+    out = []
+    for name in ("repeated", "crowded"):
+        bitmap = np.zeros(1 << (BITMAP_LOG - 6), np.uint64)  # as many words at most, whatever the input
+        bitmap[words["word"].to_numpy()] = words[name].to_numpy().view(np.uint64)
+        out.append(bitmap)
+    return out[0], out[1]
+
+
+def _across(strings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Repeats among hashed ``strings`` of crowded anchors: those whose hash occurs again, compared by their bytes."""
+    again = strings.groupBy("h").count().where("count > 1").select("h")
+    hits = strings.join(again, "h", "left_semi").groupBy("doc_id", "row").agg(F.collect_list("first").alias("at"))  # a row has fewer starts than bytes
+    read = docs.join(hits, ["doc_id", "row"]).select("doc_id", "row", "text", "at").mapInArrow(_strings, "doc_id long, row long, first long, string binary")
+    read = materialise(read)
+    least = read.groupBy("string").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    more = read.join(least, "string").where("struct(doc_id, first) <> least")
+    return more.select("doc_id", "row", "first", F.col("first").alias("last"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row of documents (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
-    counts = docs.select("text").mapInArrow(_anchor_hashes, "anchor long").groupBy("anchor").count().where("count > 1")
-    low = F.col("anchor").bitwiseAND((1 << BITMAP_LOG) - 1)
-    words = counts.groupBy(F.shiftright(low, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(anchor & 63 AS INT)))").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITMAP_LOG - 6), np.uint64)  # as many words at most, whatever the input
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    spans = docs.mapInArrow(_spans(spark.sparkContext.broadcast(bitmap)), "anchor long, doc_id long, row long, start long, span binary")
-    dealt = spans.repartition("anchor").sortWithinPartitions("anchor", "span", "doc_id", "start")
-    found = materialise(dealt.mapInPandas(_resolve, "doc_id long, row long, first long, last long, h1 long, h2 long"))
-    sure, strings = found.where("h1 IS NULL").select("doc_id", "row", "first", "last"), found.where("h1 IS NOT NULL")
-    least = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    more = strings.join(least, ["h1", "h2"]).where("struct(doc_id, first) <> least").select("doc_id", "row", "first", "last")
-    per_row = sure.unionByName(more).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # a row has fewer runs than bytes
+    spans = docs.mapInArrow(_spans(spark.sparkContext.broadcast(_bitmaps(docs))), SPANS)
+    dealt = spans.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "span", "doc_id", "start", "row")
+    found = materialise(dealt.mapInArrow(_resolve, "doc_id long, row long, first long, last long, h long"))
+    gone, strings = found.where("h IS NULL").select("doc_id", "row", "first", "last"), found.where("h IS NOT NULL")
+    if not strings.isEmpty():
+        gone = gone.unionByName(_across(strings, docs))
+    per_row = gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # a row has fewer runs than bytes
     laid = docs.join(per_row, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
-    return laid.mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return laid.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
-

@@ -98,6 +98,16 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
 
 
+def window_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of all spans of ``width`` bytes, by their starts."""
+    n = max(0, len(prefix) - width)
+    _, down = _powers(len(prefix))
+    raw = prefix[width : width + n] - prefix[:n]
+    raw *= down[:n]
+    raw += np.uint64(width * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+    return mix(raw)
+
+
 def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and each text's first word."""
     starts, ends, first = runs(~SPACE[buf], offs)

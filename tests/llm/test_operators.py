@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 
 from arborist.llm import chat, decontaminate, langid, lmscore, mixing, neardup, quality, sharding, substring, topk
 
@@ -39,21 +40,40 @@ def test_suffix_array_equals_sorting():
         assert substring.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
 
 
-def test_substring_against_brute_force(spark, monkeypatch):
-    rows = [(i, prose(random.randint(0, 60), i) + (" " + prose(40, 99) if i % 3 else "") + "é" * (i % 2), "a") for i in range(30)] + [(30, None, "a"), (31, "ab" * 200, "a")]
+@pytest.mark.parametrize("limit, crowd, part, clash", [(500, 2000, 1 << 20, False), (3, 1, 300, False), (3, 1, 1 << 20, True), (2, 4, 150, False)])
+def test_substring_against_brute_force(spark, monkeypatch, limit, crowd, part, clash):
+    """Small limits take the ways of crowded anchors and of long texts; a clash gives all 100-byte strings one hash."""
+    rows = [(i, prose(random.randint(0, 60), i) + (" " + prose(40, 99) if i % 3 else "") + "é" * (i % 2), "a") for i in range(30)]
+    rows += [(30, None, "a"), (31, "ab" * 200, "a"), (32, prose(20, 98) + " " + prose(40, 99), "a"), (32, prose(40, 99) + "!", "a"), (32, prose(40, 99) + "!", "a"), (40, "short", "a")]
     first, raws = {}, sorted((i, (t or "").encode()) for i, t, _ in rows)
     for i, b in raws:
         for s in range(len(b) - 99):
             first.setdefault(b[s : s + 100], (i, s))
-    for limit in (500, 3):  # the second takes the way of anchors with very many stretches
-        monkeypatch.setattr(substring, "MAX_SPANS", limit)
-        got = {r["doc_id"]: r for r in substring.remove_repeats(docs(spark, rows)).collect()}
-        for i, b in raws:
-            gone = bytearray(len(b))
-            for s in range(len(b) - 99):
-                if first[b[s : s + 100]] != (i, s):
-                    gone[s : s + 100] = b"\1" * 100
-            assert bytes(got[i]["kept"]) == bytes(c for c, g in zip(b, gone) if not g) and got[i]["n_removed"] == sum(gone)
+    for name, value in (("MAX_SPANS", limit), ("CROWD", crowd), ("PART_BYTES", part)):
+        monkeypatch.setattr(substring, name, value)
+    if clash:
+        real = substring.window_hash
+        monkeypatch.setattr(substring, "window_hash", lambda prefix, width: real(prefix, width) if width < 100 else np.zeros(max(0, len(prefix) - width), np.uint64))
+    got = defaultdict(list)
+    for r in _substring_rows(spark, rows):
+        got[r["doc_id"]].append(r)
+    for i, b in raws:
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if first[b[s : s + 100]] < (i, s):
+                gone[s : s + 100] = b"\1" * 100
+        want = bytes(c for c, g in zip(b, gone) if not g)
+        spans = sum(g and not (x and gone[x - 1]) for x, g in enumerate(gone))
+        assert (want, sum(gone), spans) in [(bytes(r["kept"]), r["n_removed"], r["n_spans"]) for r in got[i]]
+    assert sum(map(len, got.values())) == len(rows)
+
+
+def _substring_rows(spark, rows):
+    cloudpickle.register_pickle_by_value(substring)  # workers get the changed limits
+    try:
+        return substring.remove_repeats(docs(spark, rows)).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(substring)
 
 
 def test_near_duplicates_against_brute_force(spark):
