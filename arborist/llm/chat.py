@@ -2,9 +2,10 @@
 
 A log holds events of conversations: ``message`` (sets a turn's text), ``delta`` (appends to it), ``edit``
 (replaces it) and ``regenerate`` (clears the turn and drops what was logged before for later turns).
-The log is dealt out by conversation and sorted by turn and sequence inside each partition. One pass folds
-it, with one message and one number as its state, whatever the length of a conversation. Each final
-message is rendered as it completes, as one row; a conversation's formatted text is its rows in order.
+The log is dealt out by conversation and sorted by turn, then by sequence, inside each partition: sorting by sequence
+alone gives the same messages, but would keep a whole conversation in memory. One pass folds the log, with one message and
+one number as its state, whatever the length of a conversation. Each final message is rendered as it completes, as one
+row; a conversation's formatted text is its rows in order.
 
 Template: ``<|turn|>`` role ``<|text|>`` text ``<|end|>``. Roles and texts are escaped: a backslash is doubled,
 and one is put behind every ``<`` and ``[``, so that no control string of this or the common templates
@@ -12,8 +13,8 @@ and one is put behind every ``<`` and ``[``, so that no control string of this o
 
 Cases: null text is empty, null role is ``""``; null kind is ``message``; events of one (turn, seq) are
 ordered by kind, role and text; several ``message`` events of a turn are messages of their own, in order,
-so no row is lost; null conversation ids or turns are values of their own, first in order; an empty
-log gives no rows.
+so no row is lost; null conversation ids or turns are values of their own, first in order; texts of any length are
+one message; ids and turns stay whole 64-bit numbers; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -52,24 +53,31 @@ def parse(rendered: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_START = object()
+
+
+def _messages(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["conv_id", "ord", "turn", "rendered", "loss_start", "loss_end"])
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Events sorted by conversation, turn and sequence to rendered messages."""
-    conv, turn, role, text, open_, dropped, kept_drop, ord_ = object(), object(), "", [], False, None, None, 0
+    conv, turn, role, text, open_, dropped, kept_drop, ord_ = _START, _START, "", [], False, None, None, 0
     out: list[tuple] = []
 
     def close() -> None:
         nonlocal ord_, open_
         if open_:
-            out.append((None if conv != conv else conv, ord_, None if turn != turn else turn, *render(role, "".join(text))))
+            out.append((conv, ord_, turn, *render(role, "".join(text))))
             ord_, open_ = ord_ + 1, False
 
-    same = lambda a, b: a == b or (a != a and b != b)  # noqa: E731  NaN is how pandas shows null
     for batch in batches:
-        for c, t, s, kind, r, x in zip(*(batch[n].tolist() for n in ("conv_id", "turn", "seq", "kind", "role", "text"))):
-            if not same(c, conv):
+        for c, t, s, kind, r, x in zip(*(batch[n].to_pylist() for n in ("conv_id", "turn", "seq", "kind", "role", "text"))):
+            if c != conv:
                 close()
-                conv, turn, ord_, dropped, kept_drop = c, object(), 0, None, None
-            if not same(t, turn):
+                conv, turn, ord_, dropped, kept_drop = c, _START, 0, None, None
+            if t != turn:
                 close()
                 turn, dropped = t, kept_drop
             if dropped is not None and s < dropped:
@@ -85,11 +93,11 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 close()
                 text, role, open_ = [x], r, True
         if out:
-            yield pd.DataFrame(out, columns=["conv_id", "ord", "turn", "rendered", "loss_start", "loss_end"])
+            yield _messages(out)
             out = []
     close()
     if out:
-        yield pd.DataFrame(out, columns=["conv_id", "ord", "turn", "rendered", "loss_start", "loss_end"])
+        yield _messages(out)
 
 
 def format_chats(events: DataFrame) -> DataFrame:
@@ -102,49 +110,76 @@ def format_chats(events: DataFrame) -> DataFrame:
         F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     dealt = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
-    return dealt.mapInPandas(_fold, MESSAGE_SCHEMA)
+    return dealt.mapInArrow(_fold, MESSAGE_SCHEMA)
 
 
-def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+DIGEST = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rendered messages, whole conversations in order, to what each conversation's output reads back as."""
     out: list[tuple] = []
-    conv, turns, loss, n, n_loss, chars = object(), None, None, 0, 0, 0
+    conv, turns, loss, n, n_loss, chars = _START, None, None, 0, 0, 0
 
     def close() -> None:
         if n:
-            out.append((None if conv != conv else conv, n, turns.hexdigest(), n_loss, loss.hexdigest(), chars))
+            out.append((conv, n, turns.hexdigest(), n_loss, loss.hexdigest(), chars))
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), _KINDS)], DIGEST)
 
     for batch in batches:
-        for c, rendered, a, b in zip(*(batch[x].tolist() for x in ("conv_id", "rendered", "loss_start", "loss_end"))):
-            if not (c == conv or (c != c and conv != conv)):
+        for c, rendered, a, b in zip(*(batch[x].to_pylist() for x in ("conv_id", "rendered", "loss_start", "loss_end"))):
+            if c != conv:
                 close()
                 conv, turns, loss, n, n_loss, chars = c, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
             role, text = parse(rendered)
             turns.update(f"{role}\n{text}\n".encode())
-            masked = unescape(rendered[int(a) : int(b)])
+            masked = unescape(rendered[a:b])
             loss.update(masked.encode())
             n, n_loss, chars = n + 1, n_loss + len(masked), chars + len(rendered)
         if out:
-            yield pd.DataFrame(out, columns=DIGEST)
+            yield done()
             out = []
     close()
     if out:
-        yield pd.DataFrame(out, columns=DIGEST)
+        yield done()
 
 
-DIGEST = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+def chat_digest(messages: DataFrame) -> DataFrame:
+    return messages.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def chat_digest(messages: DataFrame) -> DataFrame:
-    return messages.mapInPandas(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+#: Characters of a streamed delta in the log that the query derives.
+DELTA_CHARS = 200
+
+
+def event_log(rows: DataFrame) -> DataFrame:
+    """The log that ends in these messages (conv_id, turn, role, text), as a chat service would have written it.
+
+    An assistant's answer is a message with a draft, which is regenerated and streamed in deltas; any other message is posted
+    with an error and edited. Messages follow each other by turn, then role and text.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / DELTA_CHARS).cast("int")), lambda i: F.substring(text, i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))
+    pieces = F.when(F.length(text) > 0, pieces).otherwise(F.array(F.lit("")))
+    event = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("text"))
+    draft = F.substring(text, 1, 20)
+    answer = F.concat(F.array(event("message", draft), event("regenerate", F.lit(""))), F.transform(pieces, lambda x: event("delta", x)))
+    posted = F.array(event("message", F.concat(draft, F.lit("?"))), event("edit", text))
+    log = rows.withColumn("nth", F.row_number().over(order)).withColumn("events", F.when(F.col("role") == "assistant", answer).otherwise(posted))
+    log = log.select("conv_id", "turn", "role", "nth", F.posexplode("events").alias("step", "event"))
+    return log.select("conv_id", (F.shiftleft(F.col("nth").cast("long"), 32) + F.col("step")).alias("seq"), F.col("event.kind").alias("kind"), "turn", "role", F.col("event.text").alias("text"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, as logs of messages, deltas, edits and regenerations that are folded, rendered and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string"))
-    events = rows.withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
-    return chat_digest(format_chats(events))
+    return chat_digest(format_chats(event_log(rows)))
 
 
 ORACLE = r"""

@@ -1,19 +1,19 @@
 """Operator 5: language identification with language-bitmask n-gram filters.
 
 Texts are lower-cased, signs and digits become spaces, and every 4-byte string with no two spaces in a row
-is an n-gram. Learning counts the n-grams of each language over all training texts and keeps for a language
-those that make up at least ``SHARE`` of its n-grams and are not far rarer in it than in
-another one. They are entered into one Bloom filter a language, and the filters are stored bit-sliced: row by
-row, one bit a language. A look-up ANDs the rows that an n-gram hashes to and gets the bitmask of all
-languages that hold it. A text's language is the one with the most hits (popcount of its bit over
-the text's n-grams), after the hits that its filter's false-positive rate explains are taken off.
+is an n-gram. Learning counts the n-grams of each language over all training texts; a language contains those that make
+up at least ``SHARE`` of its n-grams, so that a foreign word here and there teaches it nothing. They are entered into one Bloom
+filter a language, and the filters are stored bit-sliced: row by row, one bit a language. A look-up ANDs the rows that an
+n-gram hashes to and gets the bitmask of all languages that contain it. A text's language is the one with the most hits
+(popcount of its bit over the text's n-grams), after the hits that its filter's false-positive rate explains are taken off.
 
-The filters are a broadcast of ``ROWS`` bits a language; a language has at most 1 / ``SHARE`` n-grams.
+The filters are a broadcast of ``ROWS`` bits a language; a language has at most 1 / ``SHARE`` n-grams. Their words are put
+together by a grouping, so no language's n-grams go through one task.
 
 Cases: null text, and text without a letter, is ``und`` with score 0; a text with letters but no n-gram, and
 ties, get the language that more training n-grams have, then the smaller name; null languages are not learned;
 repeated rows are answered each; without any training row everything is ``und``; an empty table
-gives no rows; a null doc_id is never learned from and counts as held out.
+gives no rows; a null doc_id is never learned from and counts as held out; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -21,10 +21,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -32,7 +31,7 @@ from .textbytes import LOWER, chunks, mix
 
 ROWS_LOG, HASHES = 20, 3
 ROWS = 1 << ROWS_LOG
-SHARE, CONTRAST = 1e-5, 0.25
+SHARE = 1e-5
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -88,21 +87,22 @@ def _places(gram: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(ROWS_LOG * i)) & np.uint64(ROWS - 1)).astype(np.int64) for i in range(HASHES)]
 
 
-def _filter(pdf: pd.DataFrame) -> pd.DataFrame:
-    bits = np.zeros(ROWS, bool)
-    for place in _places(pdf["gram"].to_numpy()):
-        bits[place] = True
-    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "total": [pdf["total"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter rows of n-grams: language, word of 64 rows, bit in it."""
+    for batch in batches:
+        for place in _places(batch["gram"].to_numpy()):
+            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array((place >> 6).astype(np.int32)), pa.array((place & 63).astype(np.int32))], ["lang", "word", "bit"])
 
 
 class Filters:
     """Bit-sliced filters: ``slices[w][row]`` has one bit for each of the languages 64 * w to 64 * w + 63."""
 
-    def __init__(self, langs: list[str], found: list[tuple[str, bytes]]):
-        self.langs, self.fill = langs, np.zeros(len(langs))
-        self.slices = np.zeros((-(-len(langs) // 64), ROWS), np.uint64)
-        for i, (_, bits) in enumerate(found):
-            rows = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+    def __init__(self, found: list[tuple[str, np.ndarray]]):
+        """Of each language its name and its filter, a word of 64 rows each."""
+        self.langs, self.fill = [name for name, _ in found], np.zeros(len(found))
+        self.slices = np.zeros((-(-len(found) // 64), ROWS), np.uint64)
+        for i, (_, words) in enumerate(found):
+            rows = np.unpackbits(words.view(np.uint8), bitorder="little")
             self.fill[i] = rows.mean() ** HASHES
             self.slices[i // 64] |= rows.astype(np.uint64) << np.uint64(i % 64)
 
@@ -126,13 +126,19 @@ def learn(docs: DataFrame) -> Filters | None:
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     langs = sorted(r[0] for r in docs.select("lang").distinct().collect())  # names of languages: a few hundred at most
     counts = docs.mapInArrow(_count(langs), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_lang, by_gram = Window.partitionBy("lang"), Window.partitionBy("gram")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-    kept = kept.withColumn("most", F.max("share").over(by_gram)).where((F.col("share") >= SHARE) & (F.col("share") >= CONTRAST * F.col("most")))
-    found = kept.groupBy("lang").applyInPandas(_filter, "lang int, total long, bits binary").collect()
-    found = sorted(found, key=lambda r: (-r["total"], langs[r["lang"]]))
-    return Filters([langs[r["lang"]] for r in found], [(langs[r["lang"]], r["bits"]) for r in found]) if found else None
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # one row a language
+    if not totals:
+        return None
+    least = F.create_map(*[F.lit(x) for lang, total in totals.items() for x in (lang, SHARE * total)])
+    kept = counts.where(F.col("n") >= least[F.col("lang")]).select("lang", "gram")
+    words = kept.mapInArrow(_bits, "lang int, word int, bit int").groupBy("lang", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()  # ROWS / 64 a language
+    lang, word, bits = (words[c].to_numpy() for c in ("lang", "word", "bits"))
+    found = []
+    for i in sorted(totals, key=lambda i: (-totals[i], langs[i])):
+        own = np.zeros(ROWS // 64, np.uint64)
+        own[word[lang == i]] = bits[lang == i].view(np.uint64)
+        found.append((langs[i], own))
+    return Filters(found)
 
 
 def _answer(shared) -> Callable:

@@ -11,6 +11,8 @@ are cut into blocks of about ``BLOCK_BYTES``. A block's distinct n-grams with it
 one row a block; the rows are summed by n-gram and go back to their blocks, which are scored with them. Nothing that grows
 is broadcast or sent to the driver.
 
+A document is scored with counts that include its own. Texts of any length are one text of one block.
+
 Cases: null or empty text has 0 tokens, no cross-entropies and score 0; repeated rows are counted and scored
 each; without any target document the target model is uniform; an empty table gives no rows; null doc_ids
 are scored and are never of the target kind.

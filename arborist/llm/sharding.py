@@ -11,7 +11,8 @@ again. Cells that are still too large go on to deeper cells, and only their rows
 Cases: null text has 0 bytes; null doc_ids hash as one value, with their text; an empty table gives no
 rows. A single text above the limit can't fit: it ends in a shard of its own with ``fits`` false. Rows
 that are equal in doc_id and text share all bits: where together they exceed the limit, their bucket
-gets overflow pages, numbered in ``page``, each within the limit.
+gets overflow pages, numbered in ``page``, each within the limit. Texts of any length go whole; columns of any name are kept
+as they are.
 """
 
 from __future__ import annotations
@@ -43,13 +44,10 @@ def _depths(cells: DataFrame, first: int, bits: int, limit: int) -> DataFrame:
     return at.groupBy("cell").agg(F.min(F.when(F.col("bytes").isNotNull(), F.struct("depth", "prefix", "bytes"))).alias("leaf"))
 
 
-def extendible_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one struct column ``shard_result``: id, depth, page, n_bytes, shard_bytes, fits.
-
-    All columns of ``docs`` are kept; the column names used inside start with ``shard_``.
-    """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"shard_hash": shard_key(doc_id, text), "shard_n": F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")})
+def extendible_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """Two struct columns: ``row``, the columns of ``docs`` (those in ``keep``), and ``shard``: id, depth, page, n_bytes, shard_bytes, fits."""
+    # user columns travel in one struct, so no name of theirs can meet one of these
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), shard_key(doc_id, text).alias("shard_hash"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("shard_n"))
     slim = materialise(keyed.groupBy("shard_hash").agg(F.sum("shard_n").alias("bytes"), F.count(F.lit(1)).alias("rows")))
     total = slim.agg(F.sum("bytes")).first()[0] or 0
     bits = min(BITS, max(1, math.ceil(math.log2(max(1.0, total / limit_bytes))) + SLACK))
@@ -71,7 +69,7 @@ def extendible_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, text: str
     out = keyed.join(leaves, "shard_hash")
     many = (F.col("shard_over")) & (F.col("shard_rows") > 1)
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.greatest(F.lit(1), F.col("shard_n"))))
-    page = F.row_number().over(Window.partitionBy("shard_hash").orderBy(doc_id))
+    page = F.row_number().over(Window.partitionBy("shard_hash").orderBy("shard_n"))
     # equal rows only: the window never meets other rows
     paged = out.where(many).withColumn("shard_page", F.floor((page - 1) / per_page))
     paged = paged.withColumn("shard_bytes", F.least(per_page, F.col("shard_rows") - F.col("shard_page") * per_page) * F.col("shard_n"))
@@ -81,12 +79,12 @@ def extendible_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, text: str
         F.concat(F.lit("s"), bits_text).alias("id"), F.col("shard_depth").alias("depth"), F.col("shard_page").cast("long").alias("page"),
         F.col("shard_n").alias("n_bytes"), F.col("shard_bytes").cast("long").alias("shard_bytes"), (F.col("shard_bytes") <= limit_bytes).alias("fits"),
     )
-    return out.select(*names, shard.alias("shard_result"))
+    return out.select("row", shard.alias("shard"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return extendible_shards(docs).select("doc_id", F.col("shard_result.id").alias("shard"), F.col("shard_result.depth").alias("depth"), F.col("shard_result.page").alias("page"), F.col("shard_result.n_bytes").alias("n_bytes"), F.col("shard_result.shard_bytes").alias("shard_bytes"))
+    return extendible_shards(docs, keep=["doc_id"]).select("row.doc_id", F.col("shard.id").alias("shard"), "shard.depth", "shard.page", "shard.n_bytes", "shard.shard_bytes")
 
 
 def _oracle(limit: int) -> str:

@@ -6,13 +6,14 @@ each dimension and bit. For a query the slices are added up with bitmap arithmet
 slice downward: rows that have the bit, while there are fewer than k of them, are in for certain,
 and the rest stay tied; the rows tied at the boundary are resolved exactly, by the smaller id.
 
-Scores are exact, so each block's best k hold the overall best k, and a window over k rows a block and
-query ends the search. Rows are dealt to blocks and queries to groups by their id's hash; a task holds
-one block and one group. Queries against blocks are the stated query set, in blocks.
+Scores are read from the slices and exact, so each block's best k hold the overall best k, and a window over k rows a
+block and query ends the search. Rows are dealt to blocks by their id's hash, and a block's slices are built once and written
+as one row of the index. Each group of ``GROUP_QUERIES`` queries then meets each block: a task holds one block's slices and one
+group. Queries against blocks are the stated query set, in blocks; what is copied for it are slices, not vectors.
 
 Cases: vectors that are null, empty or hold null or non-finite components, and rows without id, take no
 part; vectors meet only vectors of the same length; a query never meets rows of its own id; repeated
-rows are candidates each; a repeated query id is asked once, with its smallest vector; scores must
+rows, and rows of one id, are candidates each, in any order among equals; a repeated query id is asked once, with its smallest vector; scores must
 fit in 62 bits, else the operator raises an error; an empty table gives no rows.
 """
 
@@ -25,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, table
+from .common import bucket_of, materialise, table
 
 SCALE = 256.0
-BLOCK_ROWS, GROUP_QUERIES = 1 << 16, 64
+BLOCK_ROWS, GROUP_QUERIES = 1 << 16, 256
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -105,28 +106,57 @@ def select_top(total: list[np.ndarray], valid: np.ndarray, k: int) -> np.ndarray
     return np.concatenate([flat(sure), flat(tied)[: k - n_sure]])
 
 
+def sums_at(total: list[np.ndarray], rows: np.ndarray) -> list[int]:
+    """The sums of some rows, put together from their bits."""
+    out = [0] * len(rows)
+    word, shift = rows // 64, (rows % 64).astype(np.uint64)
+    for i, x in enumerate(total):
+        for at in np.flatnonzero((x[word] >> shift) & np.uint64(1)).tolist():
+            out[at] += 1 << i
+    return out
+
+
+INDEX = "block int, dims int, low long, bits int, ids binary, slices binary"
+
+
+def _index(key, rows: pd.DataFrame) -> pd.DataFrame:
+    """A block's vectors of one length to one row: ids in order and the slices of the components less the smallest."""
+    rows = rows.sort_values("id", kind="stable")
+    values = np.stack(rows["v"].to_list()).astype(np.int64)
+    low = int(values.min())
+    bits = max(1, (int(values.max()) - low).bit_length())
+    slices = build_slices(values - low, bits)
+    return pd.DataFrame([(key[0], key[1], low, bits, rows["id"].to_numpy(np.int64).tobytes(), slices.tobytes())], columns=["block", "dims", "low", "bits", "ids", "slices"])
+
+
 def _search(k: int):
-    def block(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def block(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
-        if len(rows) and len(queries):
-            rows = rows.sort_values("id", kind="stable")
-            ids, values = rows["id"].to_numpy(np.int64), np.stack(rows["v"].to_list()).astype(np.int64)
-            low = int(values.min())
-            bits = max(1, (int(values.max()) - low).bit_length())
-            slices = build_slices(values - low, bits)
+        for dims, low, bits, ids, slices in zip(*(index[c] for c in ("dims", "low", "bits", "ids", "slices"))) if len(queries) else ():
+            ids = np.frombuffer(ids, np.int64)
+            slices = np.frombuffer(slices, np.uint64).reshape(dims, bits, -1)
             valid = np.packbits(np.arange(slices.shape[2] * 64) < len(ids), bitorder="little").view(np.uint64)
             for own, v in zip(queries["id"].tolist(), queries["v"].to_list()):
                 q = np.asarray(v, np.int64)
                 mine = valid.copy()
                 for r in range(*np.searchsorted(ids, [own, own + 1]).tolist()):
                     mine[r // 64] &= ALL ^ np.uint64(1 << (r % 64))
-                best = select_top(score_slices(slices, q), mine, k)
-                found += [(own, int(ids[r]), int(values[r] @ q)) for r in best.tolist()]
+                total = score_slices(slices, q)
+                best = select_top(total, mine, k)
+                # what the slices leave out: the smallest component, and the complement of the negative parts
+                rest = low * int(q.sum()) + ((1 << bits) - 1) * int(q[q < 0].sum())
+                found += [(own, int(ids[r]), x + rest) for r, x in zip(best.tolist(), sums_at(total, best))]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return block
 
 
+def build_index(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """One row a block and vector length, of quantised rows (id, v)."""
+    dealt = rows.withColumn("block", bucket_of(F.col("id"), n_blocks)).withColumn("dims", F.size("v"))
+    return materialise(dealt.groupBy("block", "dims").applyInPandas(_index, INDEX))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = SCALE) -> DataFrame:
     """Each query's k rows of the highest integer inner products: query_id, rank, vec_id, score."""
     rows = quantised(vectors, vec_id, embedding, scale)
@@ -135,12 +165,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
     if size[0] and math.log2(max(1, size[1])) * 2 + math.log2(size[2]) > 61:
         raise ValueError(f"components up to {size[1]} in {size[2]} dimensions don't fit in 62-bit scores")
     n_blocks = max(1, math.ceil(size[0] / BLOCK_ROWS))
+    index = build_index(rows, n_blocks)
     n_groups = max(1, math.ceil(asked.count() / GROUP_QUERIES))
-    rows = rows.withColumn("block", bucket_of(F.col("id"), n_blocks)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    rows, asked = (x.withColumn("dims", F.size("v")) for x in (rows, asked))
     keys = ["block", "group", "dims"]
-    found = rows.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    index = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_groups)).cast("int")).withColumn("dims", F.size("v"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    found = index.groupBy(keys).cogroup(asked.groupBy(keys)).applyInPandas(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

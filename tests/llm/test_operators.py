@@ -1,16 +1,21 @@
 """Edge cases and brute-force checks of the training-data operators."""
 
+import hashlib
 import math
 import random
 import re
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 
 from arborist.llm import chat, decontaminate, langid, lmscore, mixing, neardup, quality, sharding, substring, topk
+from arborist.llm.textbytes import gram_hash, mix, prefix_hash, span_hash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, mix string"
 random.seed(5)
@@ -130,11 +135,22 @@ def test_chat_folds_events_and_reads_back(spark):
     assert chat.chat_digest(chat.format_chats(e.limit(0))).isEmpty()
 
 
-def test_chat_keeps_negative_sequence_numbers():
-    names = ["conv_id", "turn", "seq", "kind", "role", "text"]
+def test_chat_keeps_negative_sequence_numbers_and_large_ids(spark):
+    big = 9_007_199_254_740_993
     rows = [(1, -3, -3, "message", "user", "a"), (1, -2, -2, "message", "assistant", "b"), (1, 0, 0, "message", "user", "c"), (2, -9, -5, "regenerate", "user", ""), (2, -9, -4, "delta", "user", "new"), (2, -8, -6, "message", "assistant", "late"), (2, -8, -3, "message", "assistant", "d")]
-    out = pd.concat(chat._fold(iter([pd.DataFrame(rows, columns=names)])))
-    assert [(c, chat.parse(x)[1]) for c, x in zip(out["conv_id"], out["rendered"])] == [(1, "a"), (1, "b"), (1, "c"), (2, "new"), (2, "d")]
+    rows += [(big, big, 0, "message", "user", "e"), (big - 1, None, 0, "message", "user", "f"), (None, big, 0, "message", "user", "g"), (None, big - 1, 0, "message", "user", "h")]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, seq long, kind string, role string, text string")).collect()
+    got = sorted((r["conv_id"] or -1, r["turn"] or -1, chat.parse(r["rendered"])[1]) for r in out)
+    assert got == [(-1, big - 1, "h"), (-1, big, "g"), (1, -3, "a"), (1, -2, "b"), (1, -1, "c"), (2, -9, "new"), (2, -8, "d"), (big - 1, -1, "f"), (big, big, "e")]
+
+
+def test_chat_log_of_edits_and_regenerations_ends_in_the_messages(spark):
+    long = "x<" * 40_000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "y" * 450), (1, 2, "user", None), (1, 3, "assistant", ""), (1, 3, "assistant", "again"), (1, 3, "assistant", "again"), (2, 0, "assistant", long), (2, None, None, "z"), (None, 0, "system", "s")]
+    log = chat.event_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r[0] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = [(r["conv_id"], r["turn"], *chat.parse(r["rendered"])) for r in chat.format_chats(log.orderBy("text")).orderBy("conv_id", "ord").collect()]
+    assert got == [(None, 0, "system", "s"), (1, 0, "user", "hi"), (1, 1, "assistant", "y" * 450), (1, 2, "user", ""), (1, 3, "assistant", ""), (1, 3, "assistant", "again"), (1, 3, "assistant", "again"), (2, None, "", "z"), (2, 0, "assistant", long)]
 
 
 def test_decontamination_tolerates_substitutions(spark):
@@ -180,6 +196,104 @@ def test_decontamination_seeds_meet_every_alignment():
         assert hit[found >= min(n, decontaminate.MATCHED)].all()
 
 
+def test_quality_against_brute_force(spark, monkeypatch):
+    """Tokens, hashed features and updates one by one; the sample's bounds; held-out accuracy."""
+    good, bad = (lambda i: prose(random.Random(i).randint(3, 40), i)), (lambda i: " ".join(["buy", "now", "!!!", "click"][(i + k) % 4] for k in range(i % 9 + 4)))
+    rows = [(i, good(i) if i % 2 else bad(i), "a") for i in range(120)] + [(7, "other text of one id", "a"), (200, None, "a"), (201, "", "a"), (202, "no no no !! no", "a"), (203, good(1) * 300, "a")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(3, 0), (None, 1), (5, None)], "doc_id long, quality int")
+
+    def features(text):
+        raw = (text or "").encode()
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", raw)
+        h = [int(span_hash(prefix_hash(np.frombuffer(t, np.uint8)), np.array([0]), np.array([len(t)]))[0]) for t in tokens]
+        seconds = [int(quality.REPEAT) if k and tokens[k] == tokens[k - 1] else x for k, x in enumerate(h)]
+        own = defaultdict(int)
+        own[0] += 1
+        for x in seconds:
+            own[int(mix(np.array([x], np.uint64))[0]) % (quality.FEATURES - 1) + 1] += 1
+        for pair in zip(seconds, seconds[1:]):
+            own[int(gram_hash(np.array(pair, np.uint64), 2)[0]) % (quality.FEATURES - 1) + 1] += 1
+        n = sum(own.values())
+        return {k: 1.0 if k == 0 else math.sqrt(c / n) for k, c in own.items()}
+
+    first = {}
+    for i, t, _ in rows:
+        first[i] = min(first.get(i, t or ""), t or "")
+    digest = lambda i: int(hashlib.md5(f"sample:{i}".encode()).hexdigest()[:12], 16)
+    monkeypatch.setattr(quality, "UPDATES", 600)
+    for most in (10**6, 40):
+        order = sorted(range(120), key=digest)[:most]
+        sample = [(i % 2, features(first[i])) for i in order]
+        z, n, w = defaultdict(float), defaultdict(float), defaultdict(float)
+        for _ in range(min(quality.MAX_EPOCHS, max(quality.MIN_EPOCHS, 600 // len(sample)))):
+            for y, x in sample:
+                g0 = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items()))) - y
+                for k, v in x.items():
+                    g = g0 * v
+                    z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * w[k]
+                    n[k] += g * g
+                    w[k] = (math.copysign(quality.L1, z[k]) - z[k]) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2) if abs(z[k]) > quality.L1 else 0.0
+        d = docs(spark, rows)
+        got = quality.score(d, _changed(quality, lambda: quality.fit(d, labels, sample_rows=most)))
+        want = sorted((i, 1 / (1 + math.exp(-sum(w[k] * v for k, v in features(t).items())))) for i, t, _ in rows)
+        found = sorted((r["doc_id"], r["score"]) for r in got.collect())
+        assert [i for i, _ in found] == [i for i, _ in want] and [x for _, x in found] == pytest.approx([x for _, x in want], abs=2e-3)
+    held = [(r["doc_id"], r["predicted"]) for r in quality.classify(docs(spark, rows[:120]), labels).where("held_out").collect()]
+    assert len(held) > 10 and all(p == i % 2 for i, p in held if i != 3)
+    assert not quality.fit(docs(spark, rows), labels.limit(0)).any()
+
+
+def _changed(module, call):
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        return call()
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
+
+
+def test_quality_sample_is_bounded_in_features(monkeypatch):
+    rows = [(k % 2, np.array([0, k + 1], np.int32).tobytes(), np.ones(2, np.float32).tobytes()) for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(3)], ["label", "numbers", "values"])
+    seen = []
+    monkeypatch.setattr(quality, "ftrl", lambda found: seen.append(len(found)) or np.zeros(3))
+    for most, n in ((10**6, 50), (20, 10), (1, 1)):
+        monkeypatch.setattr(quality, "SAMPLE_FEATURES", most)
+        assert len(list(quality._train(iter([batch])))) == 1 and seen[-1] == n
+    assert not list(quality._train(iter([])))
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every document laid over every item on every diagonal."""
+    r = random.Random(3)
+    items = [(k, " ".join(r.choice(WORDS) + str(r.randint(0, 9)) for _ in range(r.randint(5, 40)))) for k in range(12)] + [(12, None), (13, "a b c d")]
+    rows = []
+    for i in range(80):
+        w = items[r.randrange(12)][1].split()
+        a = r.randint(0, len(w) - 1)
+        w = [x if r.random() > 0.12 else "zzz" for x in w[a : a + r.randint(3, 40)]]
+        rows.append((i, f"{prose(r.randint(0, 60), 100 + i)} {' '.join(w)}, {prose(r.randint(0, 60), 200 + i)}", "a"))
+    rows += [(80, None, "a"), (81, "", "a"), (82, prose(20_000, 5) + " " + items[0][1] + " " + prose(20_000, 6), "a")]
+    tokens = lambda t: re.findall("[0-9a-z]+", (t or "").lower())
+    want = set()
+    for i, t, _ in rows:
+        x = tokens(t)
+        for k, item in items:
+            y = tokens(item)
+            need = min(len(y), decontaminate.MATCHED)
+            if len(y) < decontaminate.SHORTEST:
+                continue
+            at = defaultdict(list)
+            for q, v in enumerate(y):
+                at[v].append(q)
+            diagonals = {p - q for p, v in enumerate(x) for q in at.get(v, ())}
+            best = max((decontaminate.best_segment(np.array([x[p] == y[p - s] for p in range(max(0, s), min(len(x), s + len(y)))])) for s in diagonals), default=0)
+            if best >= need:
+                want.add((i, k, best))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(f["doc_id"], f["item_id"], f["matched"]) for f in decontaminate.contamination(docs(spark, rows), bench).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_lm_scores_come_from_exact_counts(spark):
     r = random.Random(7)
     # far more distinct n-grams than any table of fixed size tells apart
@@ -218,7 +332,7 @@ def test_decontamination_of_null_and_repeated_ids(spark):
 
 def test_mix_meets_targets(spark):
     rows = [(i, prose(random.randint(1, 80), i), ["a", "b", None][i % 5 % 3]) for i in range(600)]
-    out = mixing.systematic_copies(docs(spark, rows)).select("doc_id", "source", "mix_result.*").collect()
+    out = mixing.systematic_copies(docs(spark, rows)).select("row.doc_id", "row.source", "mix.*").collect()
     taken, target, size = defaultdict(int), {}, {}
     for r in out:
         taken[r["source"]] += r["size"] * r["copies"]
@@ -229,9 +343,25 @@ def test_mix_meets_targets(spark):
         assert target[s] <= 3 * size[s] + 1e-9 and abs(taken[s] - target[s]) < 0.05 * target[s]
 
 
+def test_mix_and_shards_keep_columns_of_any_name(spark):
+    names = {"size": 5, "key": "k", "salt": 7, "row": 1, "mix": "m", "copy": 3, "shard": "s", "n_bytes": 9, "shard_hash": 2, "class": 4}
+    d = docs(spark, [(i, prose(i, i), "ab"[i % 2]) for i in range(40)]).drop("mix").withColumns({k: F.lit(v) for k, v in names.items()})
+    out = mixing.mix_sources(d)
+    assert out.columns == d.columns and not out.isEmpty() and out.exceptAll(d.select(*[f"`{c}`" for c in out.columns])).subtract(d).isEmpty()
+    out = corpus_pipeline.shard(spark, d, "")
+    assert out.columns == [*d.columns, "shard_shard", "shard_depth", "shard_page", "shard_n_bytes", "shard_bytes"]
+    assert out.count() == 40 and out.select(*d.columns).exceptAll(d).isEmpty()
+
+
+def test_mix_draws_the_same_rows_again(spark):
+    rows = [(4 * (i // 3), prose(5, i), "a") for i in range(300)] + [(None, prose(5, i), "b") for i in range(60)]
+    one, two = (mixing.mix_sources(docs(spark, rows).orderBy(F.rand(k)).repartition(k)) for k in (3, 7))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_shards_fit_their_limit(spark):
     rows = [(i, prose(random.randint(0, 50), i), "a") for i in range(300)] + [(1000, "y" * 5000, "a")] + [(2000, "z" * 300, "a")] * 20
-    out = sharding.extendible_shards(docs(spark, rows), limit_bytes=2000).select("doc_id", "shard_result.*").collect()
+    out = sharding.extendible_shards(docs(spark, rows), limit_bytes=2000).select("row.doc_id", "shard.*").collect()
     total = defaultdict(int)
     for r in out:
         total[r["id"], r["page"]] += r["n_bytes"]
@@ -257,6 +387,40 @@ def test_odd_rows_go_through_all_text_operators(spark, odd):
     assert mixing.mix_sources(odd).columns == odd.columns
 
 
+def test_languages_against_brute_force(spark, monkeypatch):
+    """Exact counts of the n-grams of each language, and hits counted n-gram by n-gram."""
+    en, fr, de = "the thing that was with and for this ", "le les des une est dans pour avec été ", "der die das und nicht eine für über ist "
+    rows = [(i, " ".join(random.Random(i).choices((en, fr, de)[i % 3].split() + ["net"], k=12)) + " 3, X!" * (i % 2), ("en", "fr", "de")[i % 3]) for i in range(60)] + [(100, "12 34 !!", "en"), (101, None, "en"), (102, "", "fr"), (103, "the le der " * 3000, None)]
+    d = spark.createDataFrame([(i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+
+    def grams(text):
+        low = re.sub(rb"[^a-z\x80-\xff]", b" ", (text or "").lower().encode())
+        wide = b" " + low + b" "
+        return [wide[k : k + 4] for k in range(len(wide) - 3) if b"  " not in wide[k : k + 4]]
+
+    count = {lang: defaultdict(int) for lang in ("en", "fr", "de")}
+    for i, t, lang in rows[:43]:
+        for g in grams(t):
+            count[lang][g] += 1
+    total = {lang: sum(c.values()) for lang, c in count.items()}
+    share = 2e-3
+    monkeypatch.setattr(langid, "SHARE", share)
+    holds = {lang: {g for g, n in c.items() if n >= share * total[lang]} for lang, c in count.items()}
+    assert any(len(holds[lang]) < len(count[lang]) for lang in holds)
+    got = {r["doc_id"]: r for r in langid.identify(d, langid.learn(d.where("doc_id < 43"))).collect()}
+    for i, t, _ in rows:
+        g = grams(t)
+        hits = {lang: sum(x in own for x in g) for lang, own in holds.items()}
+        best = max(hits, key=lambda lang: (hits[lang], total[lang], [-ord(c) for c in lang]))
+        # filters as empty as these give next to no false positives, and what they give is taken off
+        assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) if not re.search("[a-z]", t or "") else got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(hits[best] / len(g), abs=0.02)
+    mask = langid.learn(d.where("doc_id < 43"))
+    flat, first = langid.grams(np.frombuffer(b"the net", np.uint8), np.array([0, 7]))
+    contained = [{lang for lang in holds if bytes(int(x).to_bytes(4, "little")) in holds[lang]} for x in flat]
+    seen = [{mask.langs[k] for k in range(3) if all(mask.slices[0][p[j]] >> np.uint64(k) & np.uint64(1) for p in langid._places(flat))} for j in range(len(flat))]
+    assert seen == contained
+
+
 def test_language_of_held_out_texts(spark):
     en, fr = "the thing that was with and for this ", "le les des une est dans pour avec "
     rows = [(i, " ".join(random.Random(i).sample((en if i % 2 else fr).split(), 6)) * 3, "a") for i in range(80)]
