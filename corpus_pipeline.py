@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborist.llm.common import materialise, table
+from arborist.llm.common import table
 from arborist.llm.decontaminate import drop_contaminated
 from arborist.llm.mixing import mix_sources
 from arborist.llm.neardup import drop_duplicates
 from arborist.llm.quality import keep_good
 from arborist.llm.sharding import extendible_shards
+from arborist.storage import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +39,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the shard that they go to."""
+    """Documents with the shard that they go to; a result column whose name the documents have already is called ``shard_<name>``."""
     out = extendible_shards(docs)
     own = {"shard": "id", "shard_depth": "depth", "shard_page": "page", "n_bytes": "n_bytes", "shard_bytes": "shard_bytes"}
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
     taken = set(docs.columns)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"shard_result.{f}").alias(name) for name, f in own.items() if name not in taken])
+    for name, field in own.items():
+        while name in taken:
+            name = f"shard_{name}"
+        taken.add(name)
+        columns.append(F.col(f"shard.{field}").alias(name))
+    return out.select(*columns)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
