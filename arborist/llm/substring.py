@@ -13,6 +13,9 @@ group on to its previous smaller suffix, and the order within groups is emitted
 renaming. Neighbours of the array that agree in 100 bytes are equal strings; all but the earliest of each
 run are repeats.
 
+Before that, each batch of documents lets go of all but the earliest of its equal stretches, so a stretch with very many copies
+is shuffled once a batch.
+
 A crowded anchor, one with more than ``CROWD`` occurrences, is split: its stretches are dealt out to ``PARTS`` tasks by a
 hash of their bytes, equal ones together, and within a task they are searched ``MAX_SPANS`` distinct ones at a
 time. What repeats across parts is found by the rest of their strings: those whose hash occurs again are read from the
@@ -99,30 +102,75 @@ def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found))], ["anchor"])
 
 
-SPANS = "anchor long, part int, doc_id long, row long, start long, span binary"
+def _later(h: np.ndarray, doc: np.ndarray, start: np.ndarray, data: pa.Array) -> np.ndarray:
+    """Of equal byte strings all that start later than the earliest; ``h`` are hashes of the strings."""
+    gone = np.zeros(len(h), bool)
+    order = np.lexsort((start, doc, h))
+    near = h[order[1:]] == h[order[:-1]]
+    some = order[np.append(False, near) | np.append(near, False)]
+    if len(some):
+        x, own, at = data.take(pa.array(some)), doc[some], start[some]
+        fresh = np.ones(len(some), bool)
+        fresh[1:] = pc.not_equal(x.slice(1), x.slice(0, len(some) - 1)).to_numpy(zero_copy_only=False)
+        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        gone[some] = (own != own[head]) | (at != at[head])
+    return gone
+
+
+#: ``span`` is null, and ``part`` -1, for a stretch that is known to be a repeat; its ``anchor`` only spreads the rows.
+SPANS = "anchor long, part int, doc_id long, row long, start long, size long, span binary"
+
+
+def _binary(buf: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.cumsum(size)
+    data = buf[np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)]
+    return pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
 
 
 def _spans(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, crowded = shared.value
         for batch in batches:
-            for rows, buf, offs, at in _parts(batch["text"]):
-                doc, lo, hi, h, prefix = anchors(buf, offs)
-                keep = _inside(repeated, h)
-                doc, lo, end, h = doc[keep], lo[keep], hi[keep] + LENGTH, h[keep]
-                if not len(doc):
+            docs, texts = batch["doc_id"].to_numpy(), batch["row"].to_numpy()
+            for group in _groups(_parts(batch["text"])):
+                found = []
+                for rows, buf, offs, at in group:
+                    doc, lo, hi, h, prefix = anchors(buf, offs)
+                    keep = _inside(repeated, h)
+                    doc, lo, end, h = doc[keep], lo[keep], hi[keep] + LENGTH, h[keep]
+                    if len(doc):
+                        found.append((h, span_hash(prefix, lo, end, 5), rows[doc], lo - offs[doc] + at, end - lo, _binary(buf, lo, end - lo)))
+                if not found:
                     continue
-                size = end - lo
-                ends = np.cumsum(size)
-                data = buf[np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)]
-                span = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
-                part = np.where(_inside(crowded, h), 1 + (span_hash(prefix, lo, end, 5) % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
-                take = pa.array(rows[doc])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(part), batch["doc_id"].take(take), batch["row"].take(take), pa.array(lo - offs[doc] + at), span], ["anchor", "part", "doc_id", "row", "start", "span"])
+                h, own, row, start, size = (np.concatenate(x) for x in list(zip(*found))[:5])
+                span, doc, text = pa.concat_arrays([x[5] for x in found]), docs[row], texts[row]
+                gone = _later(own, doc, start, span)
+                part = np.where(gone, -1, np.where(_inside(crowded, h), 1 + (own % np.uint64(PARTS)).astype(np.int32), 0)).astype(np.int32)
+                # other texts of one doc_id that begin alike are told apart by their row, as in the search
+                key = np.where(gone, text, signed(h))
+                span = pc.if_else(pa.array(gone), pa.scalar(None, pa.binary()), span)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(doc), pa.array(text), pa.array(start), pa.array(size), span], ["anchor", "part", "doc_id", "row", "start", "size", "span"])
 
     return run
 
 
+def _fixed_hash(data: np.ndarray) -> np.ndarray:
+    """Hashes of consecutive strings of LENGTH bytes."""
+    at = np.arange(0, len(data), LENGTH)
+    return span_hash(prefix_hash(data), at, at + LENGTH)
+
+
+def _groups(parts: Iterator[tuple], most: int = 16) -> Iterator[list[tuple]]:
+    group: list[tuple] = []
+    for part in parts:
+        group.append(part)
+        if len(group) == most:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
 def suffix_array(text: list[int]) -> list[int]:
     """Suffix array by grouping suffixes under their Lyndon prefixes.
 
@@ -296,60 +344,94 @@ class _Group:
             yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (doc, row, first, last)), pa.array(h, mask=none)], OUT)
 
 
+class _Sorted:
+    """Reads strings sorted by key, bytes, doc_id and start: the first of each run of equal ones, whatever batch it was in."""
+
+    def __init__(self) -> None:
+        self.key, self.last, self.least = None, None, (0, 0, 0)
+
+    def read(self, keys: list[np.ndarray], data: pa.Array, doc: np.ndarray, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that begin a key; rows that are repeats; rows that begin a run or are another text's at the same place."""
+        n = len(data)
+        other = np.ones(n, bool)
+        other[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        other[0] = tuple(k[0] for k in keys) != self.key
+        fresh = other.copy()
+        fresh[1:] |= pc.not_equal(data.slice(1), data.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        fresh[0] |= data[0].as_py() != self.last
+        head = np.append(-1, np.flatnonzero(fresh))[np.cumsum(fresh)]
+        first_doc, first_start, first_row = (np.where(head < 0, old, x[head]) for x, old in zip((doc, start, row), self.least))
+        again = ~fresh & ((doc != first_doc) | (start != first_start))
+        self.key, self.last, self.least = tuple(k[-1] for k in keys), data[n - 1].as_py(), (first_doc[-1], first_start[-1], first_row[-1])
+        return other, again, fresh | (~again & (row != first_row))
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches sorted by anchor, part, bytes, doc_id, start and row to repeated starts, and to hashed strings of crowded anchors."""
-    group, last, least = _Group(), None, (0, 0, 0)
+    group, reader = _Group(), _Sorted()
+
+    def sure(doc: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        if len(doc):
+            group.out.append((doc, row, start, start + size - LENGTH, np.zeros(len(doc), np.int64), np.ones(len(doc), bool)))
+
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        anchor, part, doc, row, start = (batch[c].to_numpy() for c in ("anchor", "part", "doc_id", "row", "start"))
-        span = batch["span"]
-        other = np.ones(n, bool)  # rows that begin a group
-        other[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
-        other[0] = (anchor[0], part[0]) != group.key
-        fresh = other.copy()  # rows whose bytes are not those of the row before
-        fresh[1:] |= pc.not_equal(span.slice(1), span.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        fresh[0] |= span[0].as_py() != last
-        head = np.append(-1, np.flatnonzero(fresh))[np.cumsum(fresh)]
-        # the earliest row of the same bytes, which may lie in a batch before
-        first_doc, first_start, first_row = (np.where(head < 0, old, x[head]) for x, old in zip((doc, start, row), least))
-        again = ~fresh & ((doc != first_doc) | (start != first_start))
-        if again.any():
-            size = pc.binary_length(span).to_numpy()[again]
-            group.out.append((doc[again], row[again], start[again], start[again] + size - LENGTH, np.zeros(len(size), np.int64), np.ones(len(size), bool)))
-        # other texts with the same doc_id and start are judged with the first
-        keep = np.flatnonzero(fresh | (~again & (row != first_row)))
-        of = np.cumsum(other)[keep]
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(keep)]]) if len(keep) else np.zeros(1, np.int64)
-        opens, closes = bounds[:-1], bounds[1:]
-        # a single stretch needs no search, but the last group may go on
-        need = (closes - opens > 1) | (part[keep[opens]] > 0) | (of[opens] == 0)
-        need[-1:] = True
-        for x, y in zip(opens[need].tolist(), closes[need].tolist()):
-            k = keep[x:y]
-            if of[x]:
-                group.begin((anchor[k[0]], part[k[0]]))
-            group.add(span.take(pa.array(k)).to_pylist(), doc[k].tolist(), row[k].tolist(), start[k].tolist())
-        last, least = span[n - 1].as_py(), (first_doc[-1], first_start[-1], first_row[-1])
+        known = pc.equal(batch["part"], -1)
+        sure(*(batch[c].filter(known).to_numpy() for c in ("doc_id", "row", "start", "size")))
+        batch = batch.filter(pc.invert(known))
+        if batch.num_rows:
+            anchor, part, doc, row, start, size = (batch[c].to_numpy() for c in ("anchor", "part", "doc_id", "row", "start", "size"))
+            span = batch["span"]
+            other, again, keep = reader.read([anchor, part], span, doc, start, row)
+            sure(doc[again], row[again], start[again], size[again])
+            keep = np.flatnonzero(keep)
+            of = np.cumsum(other)[keep]
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(keep)]]) if len(keep) else np.zeros(1, np.int64)
+            opens, closes = bounds[:-1], bounds[1:]
+            # a single stretch needs no search, but the last group may go on
+            need = (closes - opens > 1) | (part[keep[opens]] > 0) | (of[opens] == 0)
+            need[-1:] = True
+            for x, y in zip(opens[need].tolist(), closes[need].tolist()):
+                k = keep[x:y]
+                if of[x]:
+                    group.begin((anchor[k[0]], part[k[0]]))
+                group.add(span.take(pa.array(k)).to_pylist(), doc[k].tolist(), row[k].tolist(), start[k].tolist())
         yield from group.flush()
     group.search()
     yield from group.flush()
 
 
+STRINGS = "key long, doc_id long, row long, first long, string binary"
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 100 bytes at each of the starts ``at`` of a text."""
+    """The 100 bytes at each of the starts ``at`` of a text; null where the batch has them earlier."""
     for batch in batches:
         buf, offs = column_bytes(batch["text"])
+        docs, rows = batch["doc_id"].to_numpy(), batch["row"].to_numpy()
         n = pc.list_value_length(batch["at"]).to_numpy()
         first = batch["at"].flatten().to_numpy()
         own = np.repeat(np.arange(batch.num_rows), n)
-        for i in range(0, len(first), 20_000):
-            of, x = own[i : i + 20_000], first[i : i + 20_000]
-            data = buf[((offs[of] + x)[:, None] + np.arange(LENGTH)).ravel()]
-            string = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * LENGTH).astype(np.int32)), pa.py_buffer(data)])
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["row"].take(take), pa.array(x), string], ["doc_id", "row", "first", "string"])
+        for i in range(0, len(first), 10_000):
+            of, x = own[i : i + 10_000], first[i : i + 10_000]
+            string = _binary(buf, offs[of] + x, np.full(len(x), LENGTH))
+            h = _fixed_hash(np.frombuffer(string.buffers()[2], np.uint8))
+            gone = _later(h, docs[of], x, string)
+            string = pc.if_else(pa.array(gone), pa.scalar(None, pa.binary()), string)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(gone, rows[of], signed(h))), pa.array(docs[of]), pa.array(rows[of]), pa.array(x), string], ["key", "doc_id", "row", "first", "string"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings sorted by key, bytes, doc_id and start to those that start earlier as well."""
+    reader = _Sorted()
+    for batch in batches:
+        known = pc.is_null(batch["string"])
+        parts = [batch.filter(known)]
+        batch = batch.filter(pc.invert(known))
+        if batch.num_rows:
+            key, doc, row, first = (batch[c].to_numpy() for c in ("key", "doc_id", "row", "first"))
+            parts.append(batch.filter(pa.array(reader.read([key], batch["string"], doc, first, row)[1])))
+        for x in parts:
+            yield pa.RecordBatch.from_arrays([x["doc_id"], x["row"], x["first"], x["first"]], ["doc_id", "row", "first", "last"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,11 +473,8 @@ def _across(strings: DataFrame, docs: DataFrame) -> DataFrame:
     """Repeats among hashed ``strings`` of crowded anchors: those whose hash occurs again, compared by their bytes."""
     again = strings.groupBy("h").count().where("count > 1").select("h")
     hits = strings.join(again, "h", "left_semi").groupBy("doc_id", "row").agg(F.collect_list("first").alias("at"))  # a row has fewer starts than bytes
-    read = docs.join(hits, ["doc_id", "row"]).select("doc_id", "row", "text", "at").mapInArrow(_strings, "doc_id long, row long, first long, string binary")
-    read = materialise(read)
-    least = read.groupBy("string").agg(F.min(F.struct("doc_id", "first")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    more = read.join(least, "string").where("struct(doc_id, first) <> least")
-    return more.select("doc_id", "row", "first", F.col("first").alias("last"))
+    read = docs.join(hits, ["doc_id", "row"]).select("doc_id", "row", "text", "at").mapInArrow(_strings, STRINGS)
+    return read.repartition("key").sortWithinPartitions("key", "string", "doc_id", "first").mapInArrow(_repeated, "doc_id long, row long, first long, last long")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
