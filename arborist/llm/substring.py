@@ -1,10 +1,11 @@
 """Operator 2: exact substring dedup with suffix arrays built by linear grouping.
 
-Every 100-byte string of a text has one anchor: its 20-byte gram of the smallest hash, the leftmost of ties. So
-equal strings have equal anchors, and only stretches around anchors that occur at least twice can hold
-repeats. A first pass counts anchors; a bitmap of the repeated ones, of fixed size, lets a second pass emit
-only their stretches, which are dealt out by anchor. A larger corpus fills the bitmap, and then more
-stretches are shuffled, but the result stays the same.
+Every 100-byte string of a text has one anchor, a 20-byte gram in it. A first pass counts the grams of small hash, about one
+in ``SPARSE``. A string's anchor is its counted gram of the smallest hash that isn't crowded, i.e. occurs at most ``CROWD`` times;
+else its crowded gram of the smallest hash; else, where it has no counted gram, its gram of the smallest hash; the leftmost of
+ties. So equal strings have equal anchors, and stretches around anchors that occur once can't hold repeats. Bitmaps of the
+repeated and of the crowded grams, of fixed size, let a second pass emit only the other stretches, which are dealt out by
+anchor. A larger corpus fills the bitmaps, and then more stretches are shuffled, but the result stays the same.
 
 The stretches of one anchor come sorted. Equal ones need no search: all but the first are repeats. The
 distinct ones are joined to one text with separators, and its suffix array is built: suffixes are
@@ -16,10 +17,10 @@ run are repeats.
 Before that, each batch of documents lets go of all but the earliest of its equal stretches, so a stretch with very many copies
 is shuffled once a batch.
 
-A crowded anchor, one with more than ``CROWD`` occurrences, is split: its stretches are dealt out to ``PARTS`` tasks by a
-hash of their bytes, equal ones together, and within a task they are searched ``MAX_SPANS`` distinct ones at a
-time. What repeats across parts is found by the rest of their strings: those whose hash occurs again are read from the
-texts and grouped by their 100 bytes, so that no chance hit removes anything.
+A string with crowded grams alone lies inside a passage that very many texts share, so nearly all stretches of such an anchor
+are equal. They are dealt out to ``PARTS`` tasks by a hash of their bytes, equal ones together, and within a task they are
+searched ``MAX_SPANS`` distinct ones at a time. What repeats across parts is found by the rest of their strings, which are
+sorted by their 100 bytes and read in one pass.
 
 Cases: null text is empty; texts below 100 bytes lose nothing; texts of any length are taken in overlapping parts
 of ``PART_BYTES``; of equal (doc_id, start) in repeated rows none is earlier, so repeated rows keep or lose the same
@@ -41,7 +42,7 @@ from .common import materialise, table
 from .textbytes import chunks, column_bytes, prefix_hash, signed, span_hash, window_hash
 
 LENGTH, GRAM = 100, 20
-MAX_SPANS, CROWD, PARTS = 500, 2000, 1024
+MAX_SPANS, CROWD, PARTS, SPARSE = 500, 2000, 1024, 20
 #: Bytes that start positions are taken from at once; they fit in the PLACE_BITS that the search for anchors packs.
 PART_BYTES, PLACE_BITS = 1 << 20, 24
 BITMAP_LOG = 26
@@ -62,15 +63,26 @@ def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
                 yield np.array([a]), part, np.array([0, len(part)]), s
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of 100-byte strings with one anchor: text, first start, last start, anchor's hash; and the prefix hash."""
+_COUNTED, _CROWDED, _OTHER = 0, 1, 2
+
+
+def _candidates(hashes: np.ndarray) -> np.ndarray:
+    return hashes < np.uint64((1 << 64) // SPARSE)
+
+
+def anchors(buf: np.ndarray, offs: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of 100-byte strings with one anchor: text, first start, last start, anchor's hash and kind; and the prefix hash."""
     prefix, width, n = prefix_hash(buf), LENGTH - GRAM + 1, len(buf)
     empty = np.zeros(0, np.int64)
+    nothing = (empty, empty, empty, empty.astype(np.uint64), empty, prefix)
     if n < LENGTH:
-        return empty, empty, empty, empty.astype(np.uint64), prefix
+        return nothing
     hashes = window_hash(prefix, GRAM)
+    counted = np.flatnonzero(_candidates(hashes))
+    kind = np.full(len(hashes), _OTHER, np.uint64)
+    kind[counted] = np.where(_inside(crowded, hashes[counted]), _CROWDED, _COUNTED)
     low = np.uint64((1 << PLACE_BITS) - 1)
-    least = (hashes & ~low) | np.arange(n - GRAM + 1, dtype=np.uint64)
+    least = ((hashes >> np.uint64(2) | kind << np.uint64(62)) & ~low) | np.arange(n - GRAM + 1, dtype=np.uint64)
     reach = 1
     while reach * 2 <= width:
         least = np.minimum(least[:-reach], least[reach:])
@@ -84,9 +96,9 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new[1:] &= (pos[1:] != pos[:-1]) | ~whole[:-1]
     first = np.flatnonzero(new)
     if not len(first):
-        return empty, empty, empty, empty.astype(np.uint64), prefix
+        return nothing
     end = np.flatnonzero(whole & np.append(new[1:] | ~whole[1:], True))
-    return doc[first], first, end, hashes[pos[first]], prefix
+    return doc[first], first, end, hashes[pos[first]], kind[pos[first]].astype(np.int64), prefix
 
 
 def _inside(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -94,10 +106,15 @@ def _inside(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gram_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counted grams of all texts."""
     for batch in batches:
         for _, buf, offs, _ in _parts(batch["text"]):
-            found = anchors(buf, offs)[3]
+            if len(buf) < LENGTH:
+                continue
+            doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+            found = window_hash(prefix_hash(buf), GRAM)
+            found = found[_candidates(found) & (doc[: len(found)] == doc[GRAM - 1 :])]
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found))], ["anchor"])
 
@@ -135,17 +152,17 @@ def _spans(shared) -> Callable:
             for group in _groups(_parts(batch["text"])):
                 found = []
                 for rows, buf, offs, at in group:
-                    doc, lo, hi, h, prefix = anchors(buf, offs)
-                    keep = _inside(repeated, h)
-                    doc, lo, end, h = doc[keep], lo[keep], hi[keep] + LENGTH, h[keep]
+                    doc, lo, hi, h, kind, prefix = anchors(buf, offs, crowded)
+                    keep = (kind != _COUNTED) | _inside(repeated, h)
+                    doc, lo, end, h, kind = doc[keep], lo[keep], hi[keep] + LENGTH, h[keep], kind[keep]
                     if len(doc):
-                        found.append((h, span_hash(prefix, lo, end, 5), rows[doc], lo - offs[doc] + at, end - lo, _binary(buf, lo, end - lo)))
+                        found.append((h, span_hash(prefix, lo, end, 5), rows[doc], lo - offs[doc] + at, end - lo, kind, _binary(buf, lo, end - lo)))
                 if not found:
                     continue
-                h, own, row, start, size = (np.concatenate(x) for x in list(zip(*found))[:5])
-                span, doc, text = pa.concat_arrays([x[5] for x in found]), docs[row], texts[row]
+                h, own, row, start, size, kind = (np.concatenate(x) for x in list(zip(*found))[:6])
+                span, doc, text = pa.concat_arrays([x[6] for x in found]), docs[row], texts[row]
                 gone = _later(own, doc, start, span)
-                part = np.where(gone, -1, np.where(_inside(crowded, h), 1 + (own % np.uint64(PARTS)).astype(np.int32), 0)).astype(np.int32)
+                part = np.where(gone, -1, np.where(kind == _CROWDED, 1 + (own % np.uint64(PARTS)).astype(np.int32), 0)).astype(np.int32)
                 # other texts of one doc_id that begin alike are told apart by their row, as in the search
                 key = np.where(gone, text, signed(h))
                 span = pc.if_else(pa.array(gone), pa.scalar(None, pa.binary()), span)
@@ -154,12 +171,6 @@ def _spans(shared) -> Callable:
     return run
 
 
-def _fixed_hash(data: np.ndarray) -> np.ndarray:
-    """Hashes of consecutive strings of LENGTH bytes."""
-    at = np.arange(0, len(data), LENGTH)
-    return span_hash(prefix_hash(data), at, at + LENGTH)
-
-
 def _groups(parts: Iterator[tuple], most: int = 16) -> Iterator[list[tuple]]:
     group: list[tuple] = []
     for part in parts:
@@ -296,7 +307,8 @@ def _runs(found: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
         yield first
 
 
-OUT = ["doc_id", "row", "first", "last", "h"]
+#: A repeat has no ``string``; a string that may start earlier elsewhere has its hash as ``key``.
+FOUND = "doc_id long, row long, first long, last long, key long, string binary"
 
 
 class _Group:
@@ -307,6 +319,7 @@ class _Group:
         self.spans: list[tuple[bytes, tuple[int, int]]] = []
         self.rows: list[int] = []
         self.out: list[tuple[np.ndarray, ...]] = []
+        self.strings: list[tuple] = []
 
     def begin(self, key: tuple[int, int]) -> None:
         self.search()
@@ -321,27 +334,39 @@ class _Group:
             self.rows.append(row)
 
     def search(self) -> None:
-        """Repeats within the stretches and, if there are more than these, the other strings with their hashes."""
+        """Repeats within the stretches and, if there are more than these, the other strings."""
         # equal strings lie at equal distances from the anchor, so a single stretch can't repeat itself
         found = repeats(self.spans) if len(self.spans) > 1 else []
         if found:
             own = [(self.spans[k][1][0], self.rows[k], self.spans[k][1][1] + x, self.spans[k][1][1] + y) for k, x, y in _runs(found)]
-            self.out.append((*np.array(own, np.int64).T, np.zeros(len(own), np.int64), np.ones(len(own), bool)))
+            self.out.append(tuple(np.array(own, np.int64).T))
         if self.large:
             gone: dict[int, list[int]] = {}
             for k, x in found:
                 gone.setdefault(k, []).append(x)
             for k, (b, (doc, start)) in enumerate(self.spans):
-                h = window_hash(prefix_hash(np.frombuffer(b, np.uint8)), LENGTH)
+                buf = np.frombuffer(b, np.uint8)
+                h = window_hash(prefix_hash(buf), LENGTH)
                 at = np.setdiff1d(np.arange(len(h)), gone.get(k, []))
-                self.out.append((np.full(len(at), doc), np.full(len(at), self.rows[k]), start + at, start + at, signed(h[at]), np.zeros(len(at), bool)))
+                if len(at):
+                    self.strings.append((np.full(len(at), doc), np.full(len(at), self.rows[k]), start + at, h[at], _binary(buf, at, np.full(len(at), LENGTH))))
         self.spans, self.rows = [], []
 
     def flush(self) -> Iterator[pa.RecordBatch]:
+        columns = ["doc_id", "row", "first", "last", "key", "string"]
+        if self.strings:
+            doc, row, first, h = (np.concatenate(x) for x in list(zip(*self.strings))[:4])
+            string = pa.concat_arrays([x[4] for x in self.strings])
+            gone = _later(h, doc, first, string)
+            self.out.append((doc[gone], row[gone], first[gone], first[gone]))
+            kept = pa.array(~gone)
+            numbers = [pa.array(x[~gone]) for x in (doc, row, first, first, signed(h))]
+            yield pa.RecordBatch.from_arrays([*numbers, string.filter(kept)], columns)
         if self.out:
-            doc, row, first, last, h, none = (np.concatenate(x) for x in zip(*self.out))
-            self.out = []
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (doc, row, first, last)), pa.array(h, mask=none)], OUT)
+            found = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*self.out)]
+            n = len(found[0])
+            yield pa.RecordBatch.from_arrays([*found, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], columns)
+        self.out, self.strings = [], []
 
 
 class _Sorted:
@@ -367,12 +392,12 @@ class _Sorted:
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by anchor, part, bytes, doc_id, start and row to repeated starts, and to hashed strings of crowded anchors."""
+    """Stretches sorted by anchor, part, bytes, doc_id, start and row to repeated starts, and to strings of crowded anchors."""
     group, reader = _Group(), _Sorted()
 
     def sure(doc: np.ndarray, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         if len(doc):
-            group.out.append((doc, row, start, start + size - LENGTH, np.zeros(len(doc), np.int64), np.ones(len(doc), bool)))
+            group.out.append((doc, row, start, start + size - LENGTH))
 
     for batch in batches:
         known = pc.equal(batch["part"], -1)
@@ -400,38 +425,13 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from group.flush()
 
 
-STRINGS = "key long, doc_id long, row long, first long, string binary"
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The 100 bytes at each of the starts ``at`` of a text; null where the batch has them earlier."""
-    for batch in batches:
-        buf, offs = column_bytes(batch["text"])
-        docs, rows = batch["doc_id"].to_numpy(), batch["row"].to_numpy()
-        n = pc.list_value_length(batch["at"]).to_numpy()
-        first = batch["at"].flatten().to_numpy()
-        own = np.repeat(np.arange(batch.num_rows), n)
-        for i in range(0, len(first), 10_000):
-            of, x = own[i : i + 10_000], first[i : i + 10_000]
-            string = _binary(buf, offs[of] + x, np.full(len(x), LENGTH))
-            h = _fixed_hash(np.frombuffer(string.buffers()[2], np.uint8))
-            gone = _later(h, docs[of], x, string)
-            string = pc.if_else(pa.array(gone), pa.scalar(None, pa.binary()), string)
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(gone, rows[of], signed(h))), pa.array(docs[of]), pa.array(rows[of]), pa.array(x), string], ["key", "doc_id", "row", "first", "string"])
-
-
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings sorted by key, bytes, doc_id and start to those that start earlier as well."""
     reader = _Sorted()
     for batch in batches:
-        known = pc.is_null(batch["string"])
-        parts = [batch.filter(known)]
-        batch = batch.filter(pc.invert(known))
         if batch.num_rows:
             key, doc, row, first = (batch[c].to_numpy() for c in ("key", "doc_id", "row", "first"))
-            parts.append(batch.filter(pa.array(reader.read([key], batch["string"], doc, first, row)[1])))
-        for x in parts:
-            yield pa.RecordBatch.from_arrays([x["doc_id"], x["row"], x["first"], x["first"]], ["doc_id", "row", "first", "last"])
+            yield batch.filter(pa.array(reader.read([key], batch["string"], doc, first, row)[1])).select(["doc_id", "row", "first", "last"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,8 +457,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmaps(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the anchors that occur again, and of those that occur more than CROWD times."""
-    counts = docs.select("text").mapInArrow(_anchor_hashes, "anchor long").groupBy("anchor").count().where("count > 1")
+    """Bits of the counted grams that occur again, and of those that occur more than CROWD times."""
+    counts = docs.select("text").mapInArrow(_gram_hashes, "anchor long").groupBy("anchor").count().where("count > 1")
     low, bit = F.col("anchor").bitwiseAND((1 << BITMAP_LOG) - 1), "shiftleft(1L, CAST(anchor & 63 AS INT))"
     words = counts.groupBy(F.shiftright(low, 6).alias("word")).agg(F.expr(f"bit_or({bit})").alias("repeated"), F.expr(f"bit_or(IF(count > {CROWD}, {bit}, 0L))").alias("crowded")).toArrow()
     out = []
@@ -469,24 +469,16 @@ def _bitmaps(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _across(strings: DataFrame, docs: DataFrame) -> DataFrame:
-    """Repeats among hashed ``strings`` of crowded anchors: those whose hash occurs again, compared by their bytes."""
-    again = strings.groupBy("h").count().where("count > 1").select("h")
-    hits = strings.join(again, "h", "left_semi").groupBy("doc_id", "row").agg(F.collect_list("first").alias("at"))  # a row has fewer starts than bytes
-    read = docs.join(hits, ["doc_id", "row"]).select("doc_id", "row", "text", "at").mapInArrow(_strings, STRINGS)
-    return read.repartition("key").sortWithinPartitions("key", "string", "doc_id", "first").mapInArrow(_repeated, "doc_id long, row long, first long, last long")
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row of documents (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), "text").withColumn("row", F.xxhash64("text"))
     spans = docs.mapInArrow(_spans(spark.sparkContext.broadcast(_bitmaps(docs))), SPANS)
     dealt = spans.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "span", "doc_id", "start", "row")
-    found = materialise(dealt.mapInArrow(_resolve, "doc_id long, row long, first long, last long, h long"))
-    gone, strings = found.where("h IS NULL").select("doc_id", "row", "first", "last"), found.where("h IS NOT NULL")
-    if not strings.isEmpty():
-        gone = gone.unionByName(_across(strings, docs))
+    found = materialise(dealt.mapInArrow(_resolve, FOUND))
+    runs = "doc_id long, row long, first long, last long"
+    strings = found.where("string IS NOT NULL").repartition("key").sortWithinPartitions("key", "string", "doc_id", "first", "row")
+    gone = found.where("string IS NULL").select("doc_id", "row", "first", "last").unionByName(strings.mapInArrow(_repeated, runs))
     per_row = gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # a row has fewer runs than bytes
     laid = docs.join(per_row, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
     return laid.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

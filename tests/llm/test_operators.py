@@ -45,7 +45,7 @@ def test_suffix_array_equals_sorting():
         assert substring.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
 
 
-@pytest.mark.parametrize("limit, crowd, part, clash", [(500, 2000, 1 << 20, False), (3, 1, 300, False), (3, 1, 1 << 20, True), (2, 4, 150, False)])
+@pytest.mark.parametrize("limit, crowd, part, clash", [(500, 2000, 1 << 20, False), (3, 1, 300, False), (3, 1, 1 << 20, True), (2, 4, 150, False), (500, 12, 1 << 20, False)])
 def test_substring_against_brute_force(spark, monkeypatch, limit, crowd, part, clash):
     """Small limits take the ways of crowded anchors and of long texts; a clash gives all 100-byte strings one hash."""
     rows = [(i, prose(random.randint(0, 60), i) + (" " + prose(40, 99) if i % 3 else "") + "é" * (i % 2), "a") for i in range(30)]
