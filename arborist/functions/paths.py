@@ -31,7 +31,6 @@ LAYERED_DIRS = {
     1: ["service", "services", "usecase", "usecases", "business", "biz"],
     3: ["model", "models", "entity", "entities", "domain"],
 }
-LAYER_NAMES = ["Controller", "Service", "Repository", "Model"]
 REPOSITORY_BASE = ["save", "saveAll", "saveAndFlush", "findById", "findAll", "findAllById", "deleteById", "delete", "deleteAll", "deleteAllById", "existsById", "count", "flush"]
 FRAMEWORK_CALLS = [
     "of", "newId", "create", "from", "build", "findById", "findAll", "findAllById", "save", "saveAll", "deleteById", "deleteAll", "existsById", "count",
@@ -50,7 +49,6 @@ TEST_FILE = r"((Test|Tests)\.(java|kt|swift)|\.(test|spec)\.(ts|tsx|js|jsx)|_tes
 TEST_DIR = r"/(test|tests|__tests__)/"
 ROOT_FILE = r"(LifeCycle|Lifecycle|Bootstrap|Configuration)(\.[^./]*)?$"
 ERROR_FILE = r"(^|/)(error|errors|exception|exceptions)(\.[^./]*)?$"
-FRAMEWORK_NAME = r"^((get|set|is|on|handle)[A-Z]|((find|count|existsBy|delete).*$)|(save|update|toggle|mark|upgrade|downgrade)|[A-Z])"
 
 
 def any_of(dirs: list[str]) -> str:

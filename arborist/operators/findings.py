@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborist.functions import paths as P
@@ -15,20 +15,53 @@ def fingerprint(warnings: DataFrame) -> DataFrame:
 
 
 def locate(warnings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds the file of the first node."""
+    """Adds file, line, col and end_col of the first node."""
     first = warnings.withColumn("id", F.get("node_ids", 0))
-    return first.join(nodes.select("graph_id", "id", F.col("file_path").alias("file")), ["graph_id", "id"], "left").drop("id")
+    return first.join(nodes.select("graph_id", "id", F.col("file_path").alias("file"), "line", "col", "end_col"), ["graph_id", "id"], "left").drop("id")
 
 
-def ignore(warnings: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Drops warnings that a rule (type, source, target) matches; blank or ``*`` matches all."""
+def ignore(warnings: DataFrame, nodes: DataFrame, rules: DataFrame, projects: DataFrame) -> DataFrame:
+    """Drops warnings that a rule (project_id, type, source, target) of their project matches; blank or ``*`` matches all.
+
+    ``projects`` (graph_id, project_id) says which rules meet a graph's warnings, so rules and warnings are joined by project.
+    """
     rx = lambda c: F.when(F.coalesce(c, F.lit("")).isin("", "*"), F.lit(".*")).otherwise(P.glob_to_regex(c))
-    r = rules.select(F.col("type").alias("r_type"), rx(F.col("source")).alias("r_from"), rx(F.col("target")).alias("r_to"))
+    r = rules.select("project_id", F.col("type").alias("r_type"), rx(F.col("source")).alias("r_from"), rx(F.col("target")).alias("r_to"))
     path = lambda i, name: nodes.select("graph_id", F.col("id").alias(f"n{i}"), F.col("file_path").alias(name))
-    w = warnings.withColumns({"n0": F.get("node_ids", 0), "n1": F.coalesce(F.get("node_ids", 1), F.get("node_ids", 0))})
+    w = warnings.withColumns({"n0": F.get("node_ids", 0), "n1": F.coalesce(F.get("node_ids", 1), F.get("node_ids", 0))}).join(projects.select("graph_id", "project_id"), "graph_id", "left")
     w = w.join(path(0, "p_from"), ["graph_id", "n0"], "left").join(path(1, "p_to"), ["graph_id", "n1"], "left")
-    hit = F.expr("(coalesce(r_type, '') IN ('', '*') OR r_type = type) AND coalesce(p_from, '') RLIKE r_from AND coalesce(p_to, '') RLIKE r_to")
-    return w.join(F.broadcast(r), hit, "left_anti").select(*warnings.columns)
+    hit = (w["project_id"] == r["project_id"]) & F.expr("(coalesce(r_type, '') IN ('', '*') OR r_type = type) AND coalesce(p_from, '') RLIKE r_from AND coalesce(p_to, '') RLIKE r_to")
+    return w.join(r, hit, "left_anti").select(*warnings.columns)
+
+
+def infer_glob(path: str) -> F.Column:
+    """The widest glob of a path's layer: up to the first layer directory and all below it, else its folder."""
+    layers = "|".join(dict.fromkeys([*P.DOMAIN_DIRS, *P.APPLICATION_DIRS, *P.INFRA_DIRS, *P.INTERFACE_DIRS]))
+    layer = F.regexp_extract(path, f"^((?:.*?/)?(?:{layers}))/", 1)
+    folder = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    return F.when(layer != "", F.concat(layer, F.lit("/**"))).when(folder != "", F.concat(folder, F.lit("/**"))).otherwise(F.col(path))
+
+
+def in_order(located: DataFrame) -> DataFrame:
+    """graph_id, type, file, message, pos: each graph's warnings by type, file and message."""
+    return located.withColumn("pos", F.row_number().over(Window.partitionBy("graph_id").orderBy("type", "file", "message")))
+
+
+def of_node(warnings: DataFrame) -> DataFrame:
+    """graph_id, node, fingerprint, type: the warnings of every node that they name."""
+    return warnings.select("graph_id", F.explode("node_ids").alias("node"), "fingerprint", "type").distinct()
+
+
+def gate_log(gate: DataFrame, at: str) -> DataFrame:
+    """A row of the gate's log for each graph: state, high_count, warning_count, created_at."""
+    return gate.select("graph_id", "state", "high_count", "warning_count", F.lit(at).cast("timestamp").alias("created_at"))
+
+
+def snippet(content: F.Column, line: F.Column, around: int = 2) -> F.Column:
+    """The lines around line ``line`` (from 1) of a text; null outside it."""
+    lines = F.split(content, "\n")
+    first = F.greatest(F.lit(1), line - around)
+    return F.when((line >= 1) & (line <= F.size(lines)), F.array_join(F.slice(lines, first, line + around - first + 1), "\n"))
 
 
 def suppression_split(warnings: DataFrame, suppressed: DataFrame) -> DataFrame:
@@ -42,7 +75,7 @@ def diff_scope(warnings: DataFrame, changed: DataFrame | None) -> DataFrame:
 
 
 def gate_state(warnings: DataFrame, gating_types: list[str] | None = None) -> DataFrame:
-    """graph_id, state, high_count, warning_count, low_dropped: failure where a HIGH warning of a gating type is left."""
+    """graph_id, state, high_count, warning_count, low_dropped: failure where a HIGH warning of a gating type is left; LOW ones are only counted."""
     gating = F.col("severity") == "HIGH"
     if gating_types is not None:
         gating &= F.col("type").isin(gating_types)
@@ -69,8 +102,6 @@ def before_after(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def panel(warnings: DataFrame) -> DataFrame:
     """graph_id, type, severity, n, pos: groups by type, the gravest first."""
-    from pyspark.sql import Window
-
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     g = warnings.groupBy("graph_id", "type", "severity").agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("pos", F.row_number().over(Window.partitionBy("graph_id").orderBy(rank, "type")))

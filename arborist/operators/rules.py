@@ -1,8 +1,8 @@
 """The structural rules over code graphs: each maps (nodes, edges) of many graphs to warnings.
 
-A warning is (graph_id, type, severity, node_ids, edge_ids, message). ``nodes`` and ``edges`` are as in
-``arborist.schemas``; an edge's id is its ``edge_identifier``. Preconditions on a whole graph are computed as
-one row a graph and joined. The classification of paths happens once a node, before any join.
+A warning is (graph_id, type, severity, node_ids, edge_ids, message); an edge's id is its ``edge_identifier``. Messages name the
+paths, so that two warnings of a graph differ. Preconditions on a whole graph are computed as one row a graph and joined. Paths
+are classified once a node (``classified``), before any join, and contexts once a path.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborist.functions import paths as P
+from arborist.storage import materialise
 
 DB_ACCESS = ["DB_READ", "DB_WRITE", "DB_CREATE", "DB_UPDATE", "DB_DELETE"]
 FRONTEND = ["typescript", "javascript", "tsx", "jsx"]
@@ -29,13 +30,32 @@ def warning(df: DataFrame, kind: str, severity: str, node_ids: list[str], edge_i
     return df.select("graph_id", F.lit(kind).alias("type"), F.lit(severity).alias("severity"), ids(node_ids).alias("node_ids"), ids(edge_ids).alias("edge_ids"), message.alias("message"))
 
 
+def classified(nodes: DataFrame) -> DataFrame:
+    """Nodes with what their paths and names say, one column a predicate; those that a rule doesn't read are never computed."""
+    path, name = F.col("file_path"), F.coalesce("name", F.lit(""))
+    return nodes.withColumns(
+        {
+            "test": P.is_test_artifact(path, name), "domain": P.in_layer(path, P.DOMAIN_DIRS), "infra": P.in_layer(path, P.INFRA_DIRS), "interface_dir": P.in_layer(path, P.INTERFACE_DIRS),
+            "upper": P.in_layer(path, P.UPPER_DIRS), "persistence": P.in_layer(path, P.PERSISTENCE_DIRS), "in_shared": path.contains("/shared/"), "root_file": P.is_composition_root(path), "error_file": P.is_error_module(path),
+            "feature": P.feature_of(path), "front_rank": P.frontend_rank(path), "service": P.service_of(path), "framework": P.is_framework_call(name) | name.isin(P.FRAMEWORK_CALLS + P.COLLECTION_CALLS),
+        }
+    )
+
+
+def _named(side: str) -> Column:
+    return F.concat(f"{side}_file_path", F.lit("#"), f"{side}_name")
+
+
 def _pair(df: DataFrame, kind: str, severity: str, text: str) -> DataFrame:
-    return warning(df, kind, severity, ["src", "tgt"], ["edge_identifier"], F.concat(F.lit(text + ": "), "src_name", F.lit(" -> "), "tgt_name"))
+    return warning(df, kind, severity, ["src", "tgt"], ["edge_identifier"], F.concat(F.lit(text + ": "), _named("src"), F.lit(" -> "), _named("tgt")))
 
 
-def _imports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    e = with_ends(edges.where("type = 'IMPORT'"), nodes)
-    return e.where(~P.is_test_artifact(F.col("src_file_path"), F.col("src_name")))
+def _single(df: DataFrame, kind: str, severity: str, text: str | Column) -> DataFrame:
+    return warning(df, kind, severity, ["id"], [], F.concat(F.lit(text) if isinstance(text, str) else text, F.col("file_path"), F.lit("#"), F.col("name")))
+
+
+def _imports(nodes: DataFrame, edges: DataFrame, *flags: str) -> DataFrame:
+    return with_ends(edges.where("type = 'IMPORT'"), classified(nodes), "test", *flags).where("NOT src_test")
 
 
 def _dfs(kind: str):
@@ -68,16 +88,30 @@ def _dfs(kind: str):
                     at[step] = len(path)
                     path.append(step)
                     todo.append(iter(sorted(out.get(step, ()), key=rank.get)))
-        rows = [(key[0], c, [edge[a, b] for a, b in zip(c, c[1:] + c[:1])]) for c in found]
-        return pd.DataFrame(rows, columns=["graph_id", "node_ids", "edge_ids"])
+        rows = [(key[0], c, [edge[a, b] for a, b in zip(c, c[1:] + c[:1])], [rank[a][0] for a in c]) for c in found]
+        return pd.DataFrame(rows, columns=["graph_id", "node_ids", "edge_ids", "paths"])
 
     return cycles
 
 
+#: Rounds in which files that import nothing more are left out, before cycles are searched.
+PEEL_ROUNDS = 4
+
+
+def _peeled(e: DataFrame) -> DataFrame:
+    """Edges without those into nodes that lead nowhere. A depth-first search turns back there, so its cycles stay the same."""
+    e = materialise(e)
+    for _ in range(PEEL_ROUNDS):
+        left = e.join(e.select("graph_id", F.col("src").alias("tgt")).distinct(), ["graph_id", "tgt"], "left_semi").select(*e.columns)
+        e = materialise(left)
+    return e
+
+
 def _cycles(e: DataFrame, kind: str, text: str) -> DataFrame:
-    """Cycles of the edges ``e`` (with ends). A graph is one analysis of bounded size and fits a task."""
-    found = e.select("graph_id", "src", "tgt", "src_file_path", "tgt_file_path", "edge_identifier").groupBy("graph_id").applyInPandas(_dfs(kind), "graph_id long, node_ids array<string>, edge_ids array<string>")
-    return found.select("graph_id", F.lit(kind).alias("type"), F.lit("HIGH").alias("severity"), "node_ids", "edge_ids", F.concat(F.lit(text + ": "), F.array_join("node_ids", " -> ")).alias("message"))
+    """Cycles of the edges ``e`` (with ends). A graph is one analysis of at most 500 files; what is left of one goes to one task."""
+    e = _peeled(e.select("graph_id", "src", "tgt", "src_file_path", "tgt_file_path", "edge_identifier"))
+    found = e.groupBy("graph_id").applyInPandas(_dfs(kind), "graph_id long, node_ids array<string>, edge_ids array<string>, paths array<string>")
+    return found.select("graph_id", F.lit(kind).alias("type"), F.lit("HIGH").alias("severity"), "node_ids", "edge_ids", F.concat(F.lit(text + ": "), F.array_join("paths", " -> ")).alias("message"))
 
 
 def cyclic_import(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -93,8 +127,7 @@ def circular_bean_dependency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def broken_interface_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     done = edges.where("type = 'FUNCTION_CALL' AND is_interface_impl").select("graph_id", F.col("src").alias("id"))
     n = nodes.where((F.col("type") == "FUNCTION") & F.col("is_interface") & ~F.col("is_framework_interface") & ~F.col("name").isin(P.REPOSITORY_BASE))
-    n = n.join(done, ["graph_id", "id"], "left_anti")
-    return warning(n, "BROKEN_INTERFACE_CHAIN", "MEDIUM", ["id"], [], F.concat(F.lit("No implementation is linked to "), "name"))
+    return _single(n.join(done, ["graph_id", "id"], "left_anti"), "BROKEN_INTERFACE_CHAIN", "MEDIUM", "No implementation is linked to ")
 
 
 def async_self_call(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -110,7 +143,7 @@ def missing_transactional_delete(nodes: DataFrame, edges: DataFrame) -> DataFram
     name, path = F.col("name"), F.col("file_path")
     f = f.where(F.lower("language").isin("java", "kotlin") & name.rlike("^(delete|remove)By[A-Z]") & ~name.isin("deleteById", "removeById") & ~F.col("is_transactional"))
     f = f.where(~P.is_test_artifact(path, name) & P.in_layer(path, P.INFRA_DIRS) & P.in_layer(path, P.PERSISTENCE_DIRS)).join(covered, ["graph_id", "id"], "left_anti")
-    return warning(f, "MISSING_TRANSACTIONAL_DELETE", "HIGH", ["id"], [], F.concat(F.lit("Derived delete outside a transaction: "), "name"))
+    return _single(f, "MISSING_TRANSACTIONAL_DELETE", "HIGH", "Derived delete outside a transaction: ")
 
 
 def missing_converter_migration(tables: DataFrame) -> DataFrame:
@@ -134,7 +167,7 @@ def dead_code_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     port = seg.contains("/domain/") & (path.rlike(r"(Repository|Port)\.java$") | seg.contains("/port/"))
     out |= (port | (F.col("defs") >= 2)) & is_called
     out |= F.col("is_async") | F.col("is_framework_annotated") | F.col("referenced_as_value")
-    return f.where(~out).select("graph_id", "id", "name")
+    return f.where(~out).select("graph_id", "id", "name", "file_path")
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame, min_functions: int = 30, min_hits: int = 10, ratio: float = 0.04) -> DataFrame:
@@ -143,7 +176,7 @@ def dead_code(nodes: DataFrame, edges: DataFrame, min_functions: int = 30, min_h
     total = nodes.where("type = 'FUNCTION'").groupBy("graph_id").agg(F.count(F.lit(1)).alias("total"))
     gate = hits.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).join(total, "graph_id")
     gate = gate.withColumn("gated", (F.col("total") >= min_functions) & (F.col("n") >= min_hits) & (F.col("n") / F.col("total") >= ratio))
-    detail = warning(hits.join(gate.where("NOT gated").select("graph_id"), "graph_id", "left_semi"), "DEAD_CODE", "LOW", ["id"], [], F.concat(F.lit("Never called: "), "name"))
+    detail = _single(hits.join(gate.where("NOT gated").select("graph_id"), "graph_id", "left_semi"), "DEAD_CODE", "LOW", "Never called: ")
     pct = F.floor(F.col("n") / F.col("total") * 100 + 0.5).cast("int")
     summary = warning(gate.where("gated"), "DEAD_CODE", "LOW", [], [], F.concat(F.lit("Functions without calls: "), pct.cast("string"), F.lit("% ("), F.col("n").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(")")))
     return detail.unionByName(summary)
@@ -153,18 +186,16 @@ def high_fan_out(nodes: DataFrame, edges: DataFrame, threshold: int = 7) -> Data
     calls = edges.where("type = 'FUNCTION_CALL' AND NOT same_file").groupBy("graph_id", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
     name, path = F.col("name"), F.col("file_path")
     f = nodes.where("type = 'FUNCTION' AND NOT is_test AND name <> 'main' AND coalesce(merged_def_count, 1) < 2").where(~P.is_test_artifact(path, name) & ~P.is_orchestrator(path, name))
-    return warning(f.join(calls, ["graph_id", "id"]), "HIGH_FAN_OUT", "LOW", ["id"], [], F.concat(F.lit("Calls "), F.col("n").cast("string"), F.lit(" functions: "), "name"))
+    return _single(f.join(calls, ["graph_id", "id"]), "HIGH_FAN_OUT", "LOW", F.concat(F.lit("Calls "), F.col("n").cast("string"), F.lit(" functions: ")))
 
 
 def domain_imports_infra(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    src, tgt = F.col("src_file_path"), F.col("tgt_file_path")
-    e = _imports(nodes, edges).where(P.in_layer(src, P.DOMAIN_DIRS) & P.in_layer(tgt, P.INFRA_DIRS) & ~tgt.contains("/shared/"))
+    e = _imports(nodes, edges, "domain", "infra", "in_shared").where("src_domain AND tgt_infra AND NOT tgt_in_shared")
     return _pair(e, "DOMAIN_IMPORTS_INFRA", "HIGH", "Domain imports infrastructure")
 
 
 def interfaces_imports_infra(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    src, tgt = F.col("src_file_path"), F.col("tgt_file_path")
-    e = _imports(nodes, edges).where(P.in_layer(src, P.INTERFACE_DIRS) & P.in_layer(tgt, P.INFRA_DIRS) & ~tgt.contains("/shared/") & ~P.is_composition_root(src))
+    e = _imports(nodes, edges, "interface_dir", "infra", "in_shared", "root_file").where("src_interface_dir AND tgt_infra AND NOT tgt_in_shared AND NOT src_root_file")
     return _pair(e, "INTERFACES_IMPORTS_INFRA", "MEDIUM", "Interface layer imports infrastructure")
 
 
@@ -176,9 +207,8 @@ def ddd_gate(nodes: DataFrame) -> DataFrame:
 
 
 def db_layer_bypass(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    src, tgt = F.col("src_file_path"), F.col("tgt_file_path")
-    e = _imports(nodes, edges).join(ddd_gate(nodes).where("is_ddd"), "graph_id", "left_semi").where("NOT is_interface_impl")
-    e = e.where(P.in_layer(src, P.UPPER_DIRS) & ~P.is_composition_root(src) & P.in_layer(tgt, P.INFRA_DIRS) & P.in_layer(tgt, P.PERSISTENCE_DIRS) & ~P.is_error_module(tgt))
+    e = _imports(nodes, edges.where("NOT is_interface_impl"), "upper", "infra", "persistence", "root_file", "error_file").join(ddd_gate(nodes).where("is_ddd"), "graph_id", "left_semi")
+    e = e.where("src_upper AND NOT src_root_file AND tgt_infra AND tgt_persistence AND NOT tgt_error_file")
     return _pair(e, "DB_LAYER_BYPASS", "HIGH", "Upper layer imports persistence")
 
 
@@ -191,29 +221,40 @@ def context_first(nodes: DataFrame) -> DataFrame:
     return seg.groupBy("graph_id").agg(F.array_sort(F.collect_set("seg")).alias("contexts")).where(F.size("contexts") >= 2)
 
 
+def contexts(nodes: DataFrame) -> DataFrame:
+    """graph_id, file_path, app_context, dom_context, fn_context: once a path, written, so that no regular expression is laid into later joins."""
+    paths = nodes.select("graph_id", "file_path").distinct().join(context_first(nodes), "graph_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+    path = F.col("file_path")
+    both = materialise(paths.select("graph_id", "file_path", P.application_context(path, F.col("contexts")).alias("app_context"), P.domain_context(path, F.col("contexts")).alias("dom_context")))
+    return both.withColumn("fn_context", F.coalesce("dom_context", "app_context"))
+
+
 def with_contexts(nodes: DataFrame) -> DataFrame:
     """Nodes with app_context, dom_context and fn_context."""
-    n = nodes.join(context_first(nodes), "graph_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
-    path = F.col("file_path")
-    return n.withColumns({"app_context": P.application_context(path, F.col("contexts")), "dom_context": P.domain_context(path, F.col("contexts")), "fn_context": P.function_context(path, F.col("contexts"))}).drop("contexts")
+    return nodes.join(contexts(nodes), ["graph_id", "file_path"])
+
+
+def _in_ddd(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges of the graphs with the layers of domain-driven design."""
+    gate = materialise(ddd_gate(nodes).where("is_ddd").select("graph_id"))
+    return nodes.join(gate, "graph_id", "left_semi"), edges.join(gate, "graph_id", "left_semi")
 
 
 def cross_context_import(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    n = with_contexts(nodes)
-    gate = n.where(~P.is_test_artifact(F.col("file_path"), F.coalesce("name", F.lit("")))).select("graph_id", F.explode(F.array("app_context", "dom_context")).alias("c")).where("c IS NOT NULL").groupBy("graph_id").agg(F.countDistinct("c").alias("n")).where("n >= 2")
-    e = with_ends(edges.where("type = 'IMPORT'"), n, "app_context", "dom_context").join(gate, "graph_id", "left_semi").join(ddd_gate(nodes).where("is_ddd"), "graph_id", "left_semi")
-    e = e.where(~P.is_test_artifact(F.col("src_file_path"), F.col("src_name")) & (F.col("src_app_context") != F.col("tgt_dom_context")))
-    return _pair(e, "CROSS_CONTEXT_IMPORT", "HIGH", "Import across contexts")
+    nodes, edges = _in_ddd(nodes, edges)
+    n = classified(with_contexts(nodes))
+    gate = n.where("NOT test").select("graph_id", F.explode(F.array("app_context", "dom_context")).alias("c")).where("c IS NOT NULL").groupBy("graph_id").agg(F.countDistinct("c").alias("n")).where("n >= 2")
+    e = with_ends(edges.where("type = 'IMPORT'"), n, "test", "app_context", "dom_context").join(gate, "graph_id", "left_semi")
+    return _pair(e.where("NOT src_test AND src_app_context <> tgt_dom_context"), "CROSS_CONTEXT_IMPORT", "HIGH", "Import across contexts")
 
 
 def cross_domain_call(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    n = with_contexts(nodes)
-    test = P.is_test_artifact(F.col("file_path"), F.coalesce("name", F.lit("")))
-    shared = n.where((F.col("type") == "FUNCTION") & ~test & F.col("fn_context").isNotNull()).groupBy("graph_id", F.col("name").alias("tgt_name")).agg(F.countDistinct("fn_context").alias("n")).where("n >= 2")
-    e = with_ends(edges.where("type = 'FUNCTION_CALL'"), n, "fn_context").join(ddd_gate(nodes).where("is_ddd"), "graph_id", "left_semi")
-    src, tgt, name = F.col("src_file_path"), F.col("tgt_file_path"), F.col("tgt_name")
-    e = e.where((F.col("src_fn_context") != F.col("tgt_fn_context")) & ~src.contains("/infrastructure/") & ~tgt.rlike("/(infrastructure|shared|port|adapter)/"))
-    e = e.where(~P.is_test_artifact(src, F.col("src_name")) & ~P.is_test_artifact(tgt, name) & ~name.isin(P.FRAMEWORK_CALLS + P.COLLECTION_CALLS) & ~P.is_framework_call(name))
+    nodes, edges = _in_ddd(nodes, edges)
+    n = classified(with_contexts(nodes)).withColumn("aside", F.col("file_path").rlike("/(infrastructure|shared|port|adapter)/"))
+    shared = n.where("type = 'FUNCTION' AND NOT test AND fn_context IS NOT NULL").groupBy("graph_id", F.col("name").alias("tgt_name")).agg(F.countDistinct("fn_context").alias("n")).where("n >= 2")
+    n = materialise(n.where("NOT test AND fn_context IS NOT NULL").select("graph_id", "id", "name", "file_path", "language", "fn_context", "aside", "framework"))
+    e = with_ends(edges.where("type = 'FUNCTION_CALL'"), n, "fn_context", "aside", "framework")
+    e = e.where("src_fn_context <> tgt_fn_context AND NOT tgt_aside AND NOT tgt_framework").where(~F.col("src_file_path").contains("/infrastructure/"))
     return _pair(e.join(shared, ["graph_id", "tgt_name"], "left_anti"), "CROSS_DOMAIN_CALL", "MEDIUM", "Call across domains")
 
 
@@ -225,24 +266,22 @@ def feature_gate(nodes: DataFrame) -> DataFrame:
 
 
 def cross_feature_import(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    a, b = P.feature_of(F.col("src_file_path")), P.feature_of(F.col("tgt_file_path"))
-    return _pair(_imports(nodes, edges).join(feature_gate(nodes), "graph_id", "left_semi").where(a != b), "CROSS_FEATURE_IMPORT", "HIGH", "Feature imports feature")
+    e = _imports(nodes, edges, "feature").join(feature_gate(nodes), "graph_id", "left_semi").where("src_feature <> tgt_feature")
+    return _pair(e, "CROSS_FEATURE_IMPORT", "HIGH", "Feature imports feature")
 
 
 def feature_layer_violation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    e = _imports(nodes, edges).join(feature_gate(nodes), "graph_id", "left_semi").where(P.frontend_rank(F.col("src_file_path")) > P.frontend_rank(F.col("tgt_file_path")))
+    e = _imports(nodes, edges, "front_rank").join(feature_gate(nodes), "graph_id", "left_semi").where("src_front_rank > tgt_front_rank")
     return _pair(e, "FEATURE_LAYER_VIOLATION", "HIGH", "Import against the layer order")
 
 
 def _layered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     path = F.col("file_path")
-    n = nodes.where("type = 'FILE'").where(~P.is_test_path(path) & ~P.is_test_artifact(path, F.coalesce("name", F.lit("")))).withColumn("rank", P.layer_rank(path)).where("rank IS NOT NULL")
+    n = classified(nodes.where("type = 'FILE'")).where(~P.is_test_path(path) & ~F.col("test")).withColumn("rank", P.layer_rank(path)).where("rank IS NOT NULL")
     layers = n.groupBy("graph_id").agg(F.countDistinct("rank").alias("layers"), F.max((F.col("rank") == 1).cast("int")).alias("has_service")).where("layers >= 2")
     skip = feature_gate(nodes).unionByName(ddd_gate(nodes).where("is_ddd").select("graph_id"))
-    e = with_ends(edges.where("type = 'IMPORT'"), n, "rank").join(layers, "graph_id").join(skip, "graph_id", "left_anti")
-    src, tgt = F.col("src_file_path"), F.col("tgt_file_path")
-    infra = P.in_layer(tgt, P.INFRA_DIRS) & ~tgt.contains("/shared/")
-    return e.where(~(infra & (P.in_layer(src, P.DOMAIN_DIRS) | (P.in_layer(src, P.INTERFACE_DIRS) & ~P.is_composition_root(src)))))
+    e = with_ends(edges.where("type = 'IMPORT'"), n, "rank", "infra", "in_shared", "domain", "interface_dir", "root_file").join(layers, "graph_id").join(skip, "graph_id", "left_anti")
+    return e.where("NOT (tgt_infra AND NOT tgt_in_shared AND (src_domain OR (src_interface_dir AND NOT src_root_file)))")
 
 
 def layered_reverse_dependency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -253,54 +292,63 @@ def layered_bypass(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _pair(_layered(nodes, edges).where("src_rank = 0 AND tgt_rank = 2 AND has_service = 1"), "LAYERED_BYPASS", "MEDIUM", "Controller imports repository")
 
 
-def intent_drift(nodes: DataFrame, edges: DataFrame, modules: DataFrame, rules: DataFrame) -> DataFrame:
-    """modules: module, ord, glob; rules: source, target, edge_type (null or unknown: IMPORT). The first declared module wins."""
-    globs = modules.withColumn("rx", P.glob_to_regex(F.col("glob")))
-    files = nodes.select("file_path").distinct().join(F.broadcast(globs), F.expr("file_path RLIKE rx")).groupBy("file_path").agg(F.min_by("module", "ord").alias("module"))
-    n = nodes.join(files, "file_path")
-    known = rules.select("source", "target", F.when(F.col("edge_type") == "FUNCTION_CALL", F.col("edge_type")).otherwise("IMPORT").alias("type")).distinct()
-    e = with_ends(edges.where("type IN ('IMPORT', 'FUNCTION_CALL')"), n, "module").withColumnsRenamed({"src_module": "source", "tgt_module": "target"}).join(F.broadcast(known), ["source", "target", "type"])
-    first = Window.partitionBy("graph_id", "type", "source", "target", "src_file_path", "tgt_file_path").orderBy("ord", "edge_identifier")
+def modules_of(nodes: DataFrame, modules: DataFrame, projects: DataFrame) -> DataFrame:
+    """graph_id, file_path, module: the first declared module of the graph's project whose glob matches.
+
+    modules: project_id, module, ord, glob; projects: graph_id, project_id. Globs are matched within a project, once a path.
+    """
+    files = nodes.select("graph_id", "file_path").distinct().join(projects.select("graph_id", "project_id"), "graph_id")
+    globs = modules.select("project_id", "module", F.col("ord").alias("nth"), P.glob_to_regex(F.col("glob")).alias("rx"))
+    return files.join(globs, "project_id").where("file_path RLIKE rx").groupBy("graph_id", "file_path").agg(F.min_by("module", "nth").alias("module"))
+
+
+def intent_drift(nodes: DataFrame, edges: DataFrame, modules: DataFrame, rules: DataFrame, projects: DataFrame) -> DataFrame:
+    """rules: project_id, source, target, edge_type (null or unknown: IMPORT). Each project's modules and rules hold for its own graphs."""
+    n = nodes.join(materialise(modules_of(nodes, modules, projects)), ["graph_id", "file_path"])
+    known = rules.select("project_id", F.col("source").alias("src_module"), F.col("target").alias("tgt_module"), F.when(F.col("edge_type") == "FUNCTION_CALL", F.col("edge_type")).otherwise("IMPORT").alias("type")).distinct()
+    e = with_ends(edges.where("type IN ('IMPORT', 'FUNCTION_CALL')"), n, "module").join(projects.select("graph_id", "project_id"), "graph_id").join(known, ["project_id", "src_module", "tgt_module", "type"])
+    first = Window.partitionBy("graph_id", "type", "src_module", "tgt_module", "src_file_path", "tgt_file_path").orderBy("ord", "edge_identifier")
     return _pair(e.withColumn("rn", F.row_number().over(first)).where("rn = 1"), "INTENT_DRIFT", "HIGH", "Forbidden dependency")
 
 
 def shared_database_access(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    e = with_ends(edges.where(F.col("type").isin(DB_ACCESS)), nodes, "type").where("tgt_type = 'DB_TABLE'").where(~P.is_test_artifact(F.col("src_file_path"), F.col("src_name")))
-    e = e.withColumn("service", P.service_of(F.col("src_file_path"))).where("service IS NOT NULL")
-    first = Window.partitionBy("graph_id", "tgt", "service").orderBy("ord", "edge_identifier")
-    one = e.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    g = one.groupBy("graph_id", "tgt", "tgt_name").agg(F.array_sort(F.collect_list(F.struct("ord", "edge_identifier", "src", "service"))).alias("by")).where(F.size("by") >= 2)
+    """Tables that two or more services read or write, with the first access of each service."""
+    n = classified(nodes)
+    users = n.where("NOT test AND service IS NOT NULL").select("graph_id", F.col("id").alias("src"), "service")
+    tables = n.where("type = 'DB_TABLE'").select("graph_id", F.col("id").alias("tgt"), F.col("name").alias("tgt_name"))
+    e = edges.where(F.col("type").isin(DB_ACCESS)).join(tables, ["graph_id", "tgt"]).join(users, ["graph_id", "src"])
+    one = e.groupBy("graph_id", "tgt", "tgt_name", "service").agg(F.min(F.struct("ord", "edge_identifier", "src")).alias("first"))
+    g = one.groupBy("graph_id", "tgt", "tgt_name").agg(F.array_sort(F.collect_list(F.struct("first.ord", "first.edge_identifier", "first.src", "service"))).alias("by")).where(F.size("by") >= 2)
     return g.select("graph_id", F.lit("SHARED_DATABASE_ACCESS").alias("type"), F.lit("MEDIUM").alias("severity"), F.concat("by.src", F.array("tgt")).alias("node_ids"), F.col("by.edge_identifier").alias("edge_ids"), F.concat(F.lit("Table shared by services: "), "tgt_name", F.lit(" by "), F.array_join("by.service", ", ")).alias("message"))
 
 
-def _longest_chains(min_hops: int):
-    def chains(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """From each service that none calls, else from each, the longest path without a repeat; ties by name."""
-        out: dict[str, list[str]] = {}
-        for a, b in sorted(zip(pdf["a"], pdf["b"])):
-            out.setdefault(a, []).append(b)
-        free = sorted(set(out) - set(pdf["b"])) or sorted(set(pdf["a"]) | set(pdf["b"]))
-        found = []
-        for root in free:
-            best, todo = [root], [[root]]
-            while todo:
-                path = todo.pop()
-                if (-len(path), ">".join(path)) < (-len(best), ">".join(best)):
-                    best = path
-                todo += [[*path, b] for b in out.get(path[-1], ()) if b not in path]
-            if len(best) > min_hops:
-                found.append((key[0], best))
-        return pd.DataFrame(found, columns=["graph_id", "path"])
+#: Hops of the longest service chain that is looked for: all simple paths up to it are followed.
+MAX_CHAIN = 8
 
-    return chains
 
+def service_call_chain(nodes: DataFrame, edges: DataFrame, min_hops: int = 2, max_hops: int = MAX_CHAIN) -> DataFrame:
+    """The longest chain of services from each service that none calls, else from each; ties by the services' names.
 
-def service_call_chain(nodes: DataFrame, edges: DataFrame, min_hops: int = 2) -> DataFrame:
-    """The longest chain of services from each service that none calls. A graph has tens of services."""
-    e = with_ends(edges.where("type = 'SERVICE_CALL'"), nodes).where(~P.is_test_artifact(F.col("src_file_path"), F.col("src_name")))
-    e = e.select("graph_id", P.service_of(F.col("src_file_path")).alias("a"), P.service_of(F.col("tgt_file_path")).alias("b")).where("a <> b").distinct()
-    best = e.groupBy("graph_id").applyInPandas(_longest_chains(min_hops), "graph_id long, path array<string>")
-    return best.select("graph_id", F.lit("SERVICE_CALL_CHAIN").alias("type"), F.lit("MEDIUM").alias("severity"), F.col("path").alias("node_ids"), F.array().cast("array<string>").alias("edge_ids"), F.concat(F.lit("Service chain: "), F.array_join("path", " -> ")).alias("message"))
+    A hop is one join. Nodes are the callers' files of each hop's first call and the last callee's file, edges these calls.
+    """
+    e = with_ends(edges.where("type = 'SERVICE_CALL'"), classified(nodes), "test", "service").where("NOT src_test AND src_service <> tgt_service")
+    hop = F.min(F.struct("ord", "edge_identifier", "src", "tgt")).alias("call")
+    e = materialise(e.groupBy("graph_id", F.col("src_service").alias("a"), F.col("tgt_service").alias("b")).agg(hop))
+    free = e.select("graph_id", "a").distinct().join(e.select("graph_id", F.col("b").alias("a")).distinct(), ["graph_id", "a"], "left_anti")
+    every = e.select("graph_id", "a").union(e.select("graph_id", "b")).distinct().join(free.select("graph_id").distinct(), "graph_id", "left_anti")
+    calls = F.array().cast("array<struct<ord:bigint,edge_identifier:string,src:string,tgt:string>>")
+    at = materialise(free.unionByName(every).select("graph_id", F.array("a").alias("path"), calls.alias("calls")))
+    best = at.limit(0)
+    for _ in range(max_hops):
+        on = at.withColumn("a", F.element_at("path", -1)).join(e, ["graph_id", "a"]).where("NOT array_contains(path, b)")
+        at = materialise(on.select("graph_id", F.array_append("path", F.col("b")).alias("path"), F.array_append("calls", F.col("call")).alias("calls")))
+        if at.isEmpty():
+            break
+        best = best.unionByName(at)
+    order = Window.partitionBy("graph_id", F.col("path")[0]).orderBy(F.desc(F.size("path")), F.array_join("path", ">"))
+    best = best.where(F.size("path") > min_hops).withColumn("rn", F.row_number().over(order)).where("rn = 1")
+    ids = F.concat(F.col("calls.src"), F.array(F.element_at("calls", -1)["tgt"]))
+    return best.select("graph_id", F.lit("SERVICE_CALL_CHAIN").alias("type"), F.lit("MEDIUM").alias("severity"), ids.alias("node_ids"), F.col("calls.edge_identifier").alias("edge_ids"), F.concat(F.lit("Service chain: "), F.array_join("path", " -> ")).alias("message"))
 
 
 GRAPH_RULES = {
@@ -312,10 +360,31 @@ GRAPH_RULES = {
 }
 
 
-def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All graph rules at once."""
+#: Rules of one architecture only; all others always run.
+DDD_RULES = ["r11_db_layer_bypass", "r12_cross_context_import", "r13_cross_domain_call"]
+LAYERED_RULES = ["r16_layered_reverse_dependency", "r17_layered_bypass"]
+
+
+def themes(nodes: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """graph_id, policy, theme, is_ddd, has_features: the architecture whose rules hold for each graph.
+
+    policies: graph_id, policy (AUTO, DDD or LAYERED; missing or unknown: AUTO, by the layers that the graph has).
+    """
+    g = ddd_gate(nodes).join(feature_gate(nodes).withColumn("has_features", F.lit(True)), "graph_id", "left").withColumn("has_features", F.coalesce("has_features", F.lit(False)))
+    g = g.join(policies, "graph_id", "left") if policies is not None else g.withColumn("policy", F.lit(None).cast("string"))
+    g = g.withColumn("policy", F.when(F.col("policy").isin("DDD", "LAYERED"), F.col("policy")).otherwise("AUTO"))
+    theme = F.when(F.col("policy") != "AUTO", F.col("policy")).otherwise(F.when(F.col("is_ddd"), "DDD").otherwise("LAYERED"))
+    return g.select("graph_id", "policy", theme.alias("theme"), "is_ddd", "has_features")
+
+
+def detect(nodes: DataFrame, edges: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """All graph rules at once; those of one architecture run on the graphs of that theme."""
+    theme = materialise(themes(nodes, policies).select("graph_id", "theme"))
     out = None
-    for rule in GRAPH_RULES.values():
+    for name, rule in GRAPH_RULES.items():
         found = rule(nodes, edges)
+        for kind, names in (("DDD", DDD_RULES), ("LAYERED", LAYERED_RULES)):
+            if name in names:
+                found = found.join(theme.where(F.col("theme") == kind), "graph_id", "left_semi")
         out = found if out is None else out.unionByName(found)
     return out

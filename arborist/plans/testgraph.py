@@ -7,35 +7,39 @@ doesn't. ``nodes`` are files (part), functions (orders), tables (supplier) and e
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arborist.storage import shared_dir
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 BASE = """
 size_of AS (SELECT COUNT(*) AS np, CAST(FLOOR((MAX(p_partkey) + 50) / 50.0) AS BIGINT) AS ng FROM {part}),
 file0 AS (SELECT p_partkey AS k, CAST(FLOOR(p_partkey / 50.0) AS BIGINT) AS graph_id, p_size,
-  CASE p_partkey % 8 WHEN 0 THEN 'domain' WHEN 1 THEN 'application' WHEN 2 THEN 'infrastructure/persistence' WHEN 3 THEN 'interfaces' WHEN 4 THEN 'service' WHEN 5 THEN 'controller' WHEN 6 THEN 'repository' ELSE 'model' END AS layer,
+  CASE CAST(FLOOR(p_partkey / 5.0) AS BIGINT) % 8 WHEN 0 THEN 'domain' WHEN 1 THEN 'application' WHEN 2 THEN 'infrastructure/persistence' WHEN 3 THEN 'interfaces' WHEN 4 THEN 'service' WHEN 5 THEN 'controller' WHEN 6 THEN 'repository' ELSE 'model' END AS layer,
   CASE p_partkey % 5 WHEN 0 THEN 'order' WHEN 1 THEN 'user' WHEN 2 THEN 'billing' WHEN 3 THEN 'item' ELSE 'cart' END AS ctx,
   CASE p_size % 7 WHEN 0 THEN 'Controller' WHEN 1 THEN 'Service' WHEN 2 THEN 'Repository' WHEN 3 THEN 'Mapper' WHEN 4 THEN 'Model' WHEN 5 THEN 'Helper' ELSE 'Configuration' END AS suffix,
   CASE WHEN p_size % 11 = 0 THEN 'src/test/' ELSE 'src/main/' END AS root FROM {part}),
-file1 AS (SELECT *, CASE graph_id % 4 WHEN 0 THEN root || layer || '/' || ctx || '/F' || k || suffix
+file1 AS (SELECT *, CASE graph_id % 5 WHEN 0 THEN root || layer || '/' || ctx || '/F' || k || suffix
     WHEN 1 THEN root || ctx || '/' || layer || '/F' || k || suffix
     WHEN 2 THEN 'services/' || ctx || '/' || layer || '/F' || k || suffix
+    WHEN 4 THEN root || CASE k % 4 WHEN 0 THEN 'controller/' WHEN 1 THEN 'service/' WHEN 2 THEN 'repository/' ELSE 'model/' END || ctx || '/F' || k
     ELSE CASE k % 4 WHEN 0 THEN 'src/app/F' || k WHEN 1 THEN 'src/features/' || ctx || '/F' || k WHEN 2 THEN 'src/entities/F' || k ELSE 'src/shared/F' || k END END AS stem,
-  CASE WHEN graph_id % 4 = 3 THEN 'TypeScript' WHEN k % 4 = 0 THEN 'Kotlin' WHEN k % 7 = 0 THEN 'Python' ELSE 'Java' END AS language FROM file0),
+  CASE WHEN graph_id % 5 = 3 THEN 'TypeScript' WHEN k % 4 = 0 THEN 'Kotlin' WHEN k % 7 = 0 THEN 'Python' ELSE 'Java' END AS language FROM file0),
 files AS (SELECT k, graph_id, stem || CASE language WHEN 'Java' THEN '.java' WHEN 'Kotlin' THEN '.kt' WHEN 'Python' THEN '.py' ELSE CASE WHEN p_size % 2 = 0 THEN '.tsx' ELSE '.ts' END END AS file_path, language, 'F' || k || suffix AS name, ctx, layer FROM file1),
 func AS (SELECT o_orderkey AS k, f.k AS fk, f.graph_id, f.file_path, f.language,
   CASE o_orderkey % 16 WHEN 0 THEN 'process' WHEN 1 THEN 'validate' WHEN 2 THEN 'notifyUser' WHEN 3 THEN 'deleteByUserId' WHEN 4 THEN 'removeByOrderId' WHEN 5 THEN 'save' WHEN 6 THEN 'getTotal' WHEN 7 THEN 'computeTax'
     WHEN 8 THEN 'dispatch' WHEN 9 THEN 'mergeRows' WHEN 10 THEN 'main' WHEN 11 THEN 'handleEvent' WHEN 12 THEN 'renderInner' WHEN 13 THEN 'applyRule' WHEN 14 THEN 'sync' ELSE 'findById' END
-    || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey % 40 AS STRING) END AS name
+    || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey % 397 AS STRING) END AS name
   FROM {orders} JOIN size_of ON TRUE JOIN files f ON f.k = o_orderkey % np),
 nodes AS (
-  SELECT graph_id, 'F' || k AS id, 'FILE' AS type, name, file_path, language, k AS ord, CAST(NULL AS STRING) AS comment, FALSE AS is_async, FALSE AS is_transactional, FALSE AS is_interface, FALSE AS is_framework_interface, FALSE AS is_framework_annotated, FALSE AS referenced_as_value, FALSE AS is_test, 1 AS merged_def_count, k % 3 = 0 AS is_bean FROM files
-  UNION ALL SELECT graph_id, 'M' || k, 'FUNCTION', name, file_path, language, k, CASE WHEN k % 5 = 0 THEN 'does ' || name END, k % 7 = 0, k % 11 = 0, k % 13 = 0, k % 26 = 0, k % 17 = 0, k % 19 = 0, k % 23 = 0, CASE WHEN k % 29 = 0 THEN 2 ELSE 1 END, FALSE FROM func
-  UNION ALL SELECT s_suppkey % ng, 'T' || s_suppkey, 'DB_TABLE', 'table_' || s_suppkey, 'db/table_' || s_suppkey, 'SQL', s_suppkey, CAST(NULL AS STRING), FALSE, FALSE, FALSE, FALSE, FALSE, FALSE, FALSE, 1, FALSE FROM {supplier} JOIN size_of ON TRUE
-  UNION ALL SELECT f.graph_id, 'E' || c_custkey, 'API_ENDPOINT', 'GET:/api/' || f.ctx || '/' || c_custkey % 9, f.file_path, f.language, c_custkey, CAST(NULL AS STRING), FALSE, FALSE, FALSE, FALSE, FALSE, FALSE, FALSE, 1, FALSE FROM {customer} JOIN size_of ON TRUE JOIN files f ON f.k = c_custkey % np),
+  SELECT graph_id, 'F' || k AS id, 'FILE' AS type, name, file_path, language, k AS ord, CAST(NULL AS STRING) AS comment, FALSE AS is_async, FALSE AS is_transactional, FALSE AS is_interface, FALSE AS is_framework_interface, FALSE AS is_framework_annotated, FALSE AS referenced_as_value, FALSE AS is_test, 1 AS merged_def_count, k % 3 = 0 AS is_bean, CAST(NULL AS BIGINT) AS line, CAST(NULL AS BIGINT) AS col, CAST(NULL AS BIGINT) AS end_col FROM files
+  UNION ALL SELECT graph_id, 'M' || k, 'FUNCTION', name, file_path, language, k, CASE WHEN k % 5 = 0 THEN 'does ' || name END, k % 7 = 0, k % 11 = 0, k % 13 = 0, k % 26 = 0, k % 17 = 0, k % 19 = 0, k % 23 = 0, CASE WHEN k % 29 = 0 THEN 2 ELSE 1 END, FALSE, k % 200 + 1, k % 40, k % 40 + LENGTH(name) FROM func
+  UNION ALL SELECT s_suppkey % ng, 'T' || s_suppkey, 'DB_TABLE', 'table_' || s_suppkey, 'db/table_' || s_suppkey, 'SQL', s_suppkey, CAST(NULL AS STRING), FALSE, FALSE, FALSE, FALSE, FALSE, FALSE, FALSE, 1, FALSE, NULL, NULL, NULL FROM {supplier} JOIN size_of ON TRUE
+  UNION ALL SELECT f.graph_id, 'E' || c_custkey, 'API_ENDPOINT', 'GET:/api/' || f.ctx || '/' || c_custkey % 9, f.file_path, f.language, c_custkey, CAST(NULL AS STRING), FALSE, FALSE, FALSE, FALSE, FALSE, FALSE, FALSE, 1, FALSE, NULL, NULL, NULL FROM {customer} JOIN size_of ON TRUE JOIN files f ON f.k = c_custkey % np),
 line AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, l_quantity AS q, l_returnflag AS rf, l_orderkey % np AS fk, CAST(FLOOR((l_orderkey % np) / 50.0) AS BIGINT) AS graph_id, np, ng FROM {lineitem} JOIN size_of ON TRUE),
 edge0 AS (
   SELECT graph_id, 'IMPORT' AS type, 'F' || fk AS src, 'F' || (graph_id * 50 + p % 50) AS tgt, o, FALSE AS same_file, FALSE AS is_interface_impl, FALSE AS is_lazy FROM line WHERE n = 1 AND q <= 10
@@ -43,7 +47,7 @@ edge0 AS (
   UNION ALL SELECT graph_id, CASE rf WHEN 'R' THEN 'DB_READ' WHEN 'A' THEN 'DB_WRITE' ELSE 'DB_DELETE' END, 'F' || fk, 'T' || (graph_id + ng * (s % 3)), o, FALSE, FALSE, FALSE FROM line WHERE n = 1 AND q > 40
   UNION ALL SELECT graph_id, 'FIELD_DEPENDENCY', 'F' || fk, 'F' || (graph_id * 50 + p % 50), o, FALSE, FALSE, q > 38 FROM line WHERE n = 1 AND q > 30 AND q <= 40
   UNION ALL SELECT graph_id, 'API_CALL', 'F' || fk, 'F' || (graph_id * 50 + p % 50), o, FALSE, FALSE, FALSE FROM line WHERE n = 1 AND q > 20 AND q <= 24
-  UNION ALL SELECT graph_id, 'SERVICE_CALL', 'F' || fk, 'F' || (graph_id * 50 + p % 50), o, FALSE, FALSE, FALSE FROM line WHERE n = 1 AND q > 24 AND q <= 26 AND graph_id % 4 = 2),
+  UNION ALL SELECT graph_id, 'SERVICE_CALL', 'F' || fk, 'F' || (graph_id * 50 + p % 50), o, FALSE, FALSE, FALSE FROM line WHERE n = 1 AND q > 24 AND q <= 26 AND graph_id % 5 = 2),
 edges AS (SELECT e.graph_id, e.type || ':' || e.src || '>' || e.tgt AS edge_identifier, e.type, e.src, e.tgt, MIN(e.o) AS ord, MAX(CASE WHEN e.same_file THEN 1 ELSE 0 END) = 1 AS same_file, MAX(CASE WHEN e.is_interface_impl THEN 1 ELSE 0 END) = 1 AS is_interface_impl, MIN(CASE WHEN e.is_lazy THEN 1 ELSE 0 END) = 1 AS is_lazy
   FROM edge0 e JOIN nodes a ON a.id = e.src AND a.graph_id = e.graph_id JOIN nodes b ON b.id = e.tgt AND b.graph_id = e.graph_id WHERE e.src <> e.tgt GROUP BY e.graph_id, e.type, e.src, e.tgt),
 ends AS (SELECT e.*, a.name AS src_name, a.file_path AS src_path, a.language AS src_language, a.type AS src_type, b.name AS tgt_name, b.file_path AS tgt_path, b.language AS tgt_language, b.type AS tgt_type
@@ -62,15 +66,22 @@ def duck(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 
-_KEPT: dict[tuple, DataFrame] = {}
+def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table, written to the shared folder when an application first asks for it; all later queries read the same."""
+    path = f"{shared_dir(spark)}/{name}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table, persisted once a session: all rules begin with it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
-        _KEPT[key] = spark_sql(spark, sf_dir, f"WITH {BASE} SELECT * FROM {name}").persist()
-    return _KEPT[key]
+    return once(spark, sf_dir, name, lambda: spark_sql(spark, sf_dir, f"WITH {BASE} SELECT * FROM {name}"))
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_id, project_id: three projects that hold the graphs in turn."""
+    return nodes(spark, sf_dir).select("graph_id").distinct().selectExpr("graph_id", "graph_id % 3 AS project_id")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Small positive and negative cases of the structural rules."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from arborist.operators import findings, rules
@@ -45,7 +47,9 @@ def test_service_chain_needs_two_hops(spark):
     n, e = graph(spark, paths, [("SERVICE_CALL", "F0", "F1")])
     assert rules.service_call_chain(n, e).isEmpty()
     n, e = graph(spark, paths, [("SERVICE_CALL", "F0", "F1"), ("SERVICE_CALL", "F1", "F2")])
-    assert [w["node_ids"] for w in rules.service_call_chain(n, e).collect()] == [["a", "b", "c"]]
+    (w,) = rules.service_call_chain(n, e).collect()
+    assert (w["node_ids"], w["edge_ids"], w["message"]) == (["F0", "F1", "F2"], ["SERVICE_CALL:F0>F1", "SERVICE_CALL:F1>F2"], "Service chain: a -> b -> c")
+    assert rules.service_call_chain(n, e, max_hops=1).isEmpty()
 
 
 def test_delete_is_covered_by_transactional_caller(spark):
@@ -64,11 +68,43 @@ def test_dead_code_summary_replaces_details(spark):
     assert rules.dead_code(n, e).count() == 19
 
 
-def test_intent_drift_reports_a_pair_once(spark):
-    modules = spark.createDataFrame([("a", 1, "src/a/**"), ("b", 2, "src/b/**")], "module string, ord int, glob string")
-    declared = spark.createDataFrame([("a", "b", None)], "source string, target string, edge_type string")
+def test_intent_drift_reports_a_pair_once_and_in_its_project(spark):
+    modules = spark.createDataFrame([(7, "a", 1, "src/a/**"), (7, "b", 2, "src/b/**")], "project_id long, module string, ord int, glob string")
+    declared = spark.createDataFrame([(7, "a", "b", None)], "project_id long, source string, target string, edge_type string")
     n, e = graph(spark, files("src/a/A.java", "src/b/B.java"), [("IMPORT", "F0", "F1"), ("IMPORT", "F0", "F1"), ("IMPORT", "F1", "F0")])
-    assert rules.intent_drift(n, e, modules, declared).count() == 1
+    for project, found in ((7, 1), (8, 0)):
+        assert rules.intent_drift(n, e, modules, declared, spark.createDataFrame([(1, project)], "graph_id long, project_id long")).count() == found
+
+
+def test_cycles_against_a_recursive_search(spark):
+    r = random.Random(4)
+    for _ in range(4):
+        k = r.randint(5, 14)
+        pairs = sorted({(r.randrange(k), r.randrange(k)) for _ in range(2 * k)})
+        n, e = graph(spark, files(*(f"src/{i:02}.java" for i in range(k))), [("IMPORT", f"F{a}", f"F{b}") for a, b in pairs])
+        want, seen, path = [], set(), []
+
+        def visit(a):
+            seen.add(a)
+            path.append(a)
+            for b in [y for x, y in pairs if x == a]:
+                if b in path:
+                    want.append([f"F{x}" for x in path[path.index(b) :]])
+                elif b not in seen:
+                    visit(b)
+            path.pop()
+
+        for a in range(k):
+            if a not in seen and any(a in p for p in pairs):
+                visit(a)
+        assert sorted(w["node_ids"] for w in rules.cyclic_import(n, e).collect()) == sorted(want)
+
+
+def test_themes_route_rules(spark):
+    n, e = graph(spark, files("src/domain/A.java", "src/application/order/B.java", "src/infrastructure/persistence/C.java", "src/interfaces/D.java"), [("IMPORT", "F3", "F2")])
+    policy = lambda p: spark.createDataFrame([(1, p)], "graph_id long, policy string")
+    types = lambda p: {w["type"] for w in rules.detect(n, e, policy(p)).collect()}
+    assert "DB_LAYER_BYPASS" in types("AUTO") and "DB_LAYER_BYPASS" not in types("LAYERED") and "INTERFACES_IMPORTS_INFRA" in types("LAYERED")
 
 
 def test_fingerprints_and_gate_are_stable(spark):
