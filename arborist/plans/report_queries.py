@@ -33,12 +33,6 @@ GRAPH = {
     "g14_frontend_entry": "SELECT f.graph_id, f.id, a.src FROM nodes f JOIN (SELECT graph_id, tgt_path, MIN(src) AS src FROM ends WHERE type = 'API_CALL' GROUP BY graph_id, tgt_path) a ON a.graph_id = f.graph_id AND a.tgt_path = f.file_path WHERE f.type = 'FUNCTION'",
     "g17_shared_labels": "SELECT graph_id, tgt AS label, COUNT(DISTINCT src_path) AS n FROM ends WHERE type = 'FUNCTION_CALL' GROUP BY graph_id, tgt HAVING COUNT(DISTINCT src_path) >= 3",
     "g20_structure_gate": "SELECT graph_id, COUNT(DISTINCT CASE WHEN file_path LIKE 'src/features/%' THEN SUBSTRING(file_path, 14, 4) END) AS features FROM nodes GROUP BY graph_id",
-    "n5_endpoint_nodes": "SELECT DISTINCT graph_id, file_path, name FROM nodes WHERE type = 'API_ENDPOINT'",
-    "n1_file_nodes": "SELECT id, name, file_path, language FROM nodes WHERE type = 'FILE'",
-    "n2_function_nodes": "SELECT id, name, is_async, is_transactional, is_interface, merged_def_count FROM nodes WHERE type = 'FUNCTION'",
-    "e4_same_file_calls": "SELECT edge_identifier FROM ends WHERE type = 'FUNCTION_CALL' AND src_path = tgt_path",
-    "e15_instantiation": "SELECT f.graph_id, f.id AS src, MIN(t.id) AS tgt FROM nodes f JOIN nodes t ON t.graph_id = f.graph_id AND t.type = 'FILE' AND t.id <> f.id AND t.name = 'F' || (f.ord + 1) || CASE WHEN t.name LIKE '%Service' THEN 'Service' ELSE 'Model' END WHERE f.type = 'FILE' GROUP BY f.graph_id, f.id",
-    "e16_endpoint_handlers": "SELECT e.id AS endpoint, MIN(f.ord) AS handler FROM nodes e JOIN nodes f ON f.graph_id = e.graph_id AND f.file_path = e.file_path AND f.type = 'FUNCTION' WHERE e.type = 'API_ENDPOINT' GROUP BY e.id",
     "e19_edge_dedup": "SELECT edge_identifier, ord FROM (SELECT edge_identifier, ord, ROW_NUMBER() OVER (PARTITION BY graph_id, edge_identifier ORDER BY ord) AS rn FROM edges) x WHERE rn = 1",
     "s15_graph_scan": "SELECT edge_identifier FROM edges WHERE graph_id = 1",
     "s14_graph_delete": "SELECT n.id FROM nodes n LEFT JOIN (SELECT DISTINCT graph_id FROM nodes WHERE graph_id % 4 = 0) d ON d.graph_id = n.graph_id WHERE d.graph_id IS NULL",
