@@ -171,7 +171,7 @@ def _spans(shared) -> Callable:
     return run
 
 
-def _groups(parts: Iterator[tuple], most: int = 16) -> Iterator[list[tuple]]:
+def _groups(parts: Iterator[tuple], most: int = 6) -> Iterator[list[tuple]]:
     group: list[tuple] = []
     for part in parts:
         group.append(part)
