@@ -17,7 +17,7 @@ GRAPH = {
     "g7_complexity_hubs": "SELECT graph_id, id, fan_in, fan_out, rn FROM (SELECT i.graph_id, i.id, fan_in, fan_out, ROW_NUMBER() OVER (PARTITION BY i.graph_id ORDER BY CASE WHEN fan_in < fan_out THEN fan_in ELSE fan_out END DESC, i.id) AS rn FROM (SELECT graph_id, tgt AS id, COUNT(*) AS fan_in FROM edges WHERE type = 'FUNCTION_CALL' GROUP BY graph_id, tgt) i JOIN (SELECT graph_id, src AS id, COUNT(*) AS fan_out FROM edges WHERE type = 'FUNCTION_CALL' GROUP BY graph_id, src) o ON o.graph_id = i.graph_id AND o.id = i.id WHERE fan_in >= 3 AND fan_out >= 3) x WHERE rn <= 15",
     "g8_node_search": "SELECT id, name FROM nodes WHERE LOWER(name) LIKE '%user%' OR LOWER(COALESCE(comment, '')) LIKE '%user%' ORDER BY id LIMIT 10",
     "g9_edge_visibility": "SELECT edge_identifier, CASE WHEN type IN ('IMPORT', 'FUNCTION_CALL') THEN src_path NOT LIKE '%/test/%' AND tgt_path NOT LIKE '%/test/%' WHEN type LIKE 'DB%' THEN TRUE ELSE FALSE END AS visible FROM ends",
-    "g10_node_budget": "SELECT n.id, n.type <> 'FUNCTION' OR h.id IS NOT NULL AS visible FROM nodes n LEFT JOIN (SELECT graph_id, src AS id FROM edges WHERE type = 'FUNCTION_CALL' GROUP BY graph_id, src HAVING COUNT(*) >= 5) h ON h.graph_id = n.graph_id AND h.id = n.id",
+    "g10_node_budget": "SELECT n.id, n.type <> 'FUNCTION' OR h.id IS NOT NULL AS visible FROM nodes n LEFT JOIN (SELECT i.graph_id, i.id FROM (SELECT graph_id, tgt AS id, COUNT(*) AS fan_in FROM edges WHERE type = 'FUNCTION_CALL' GROUP BY graph_id, tgt) i JOIN (SELECT graph_id, src AS id, COUNT(*) AS fan_out FROM edges WHERE type = 'FUNCTION_CALL' GROUP BY graph_id, src) o ON o.graph_id = i.graph_id AND o.id = i.id WHERE fan_in >= 3 AND fan_out >= 3) h ON h.graph_id = n.graph_id AND h.id = n.id",
     "g25_context_subgraph": "SELECT e.edge_identifier FROM edges e JOIN (SELECT graph_id, id FROM (SELECT graph_id, id, type, ROW_NUMBER() OVER (PARTITION BY graph_id, CASE WHEN type IN ('FILE', 'FUNCTION') THEN 1 ELSE 0 END ORDER BY type, ord) AS rn FROM nodes) x WHERE rn <= 50 OR type IN ('DB_TABLE', 'API_ENDPOINT')) a ON a.graph_id = e.graph_id AND a.id = e.src JOIN (SELECT graph_id, id FROM (SELECT graph_id, id, type, ROW_NUMBER() OVER (PARTITION BY graph_id, CASE WHEN type IN ('FILE', 'FUNCTION') THEN 1 ELSE 0 END ORDER BY type, ord) AS rn FROM nodes) x WHERE rn <= 50 OR type IN ('DB_TABLE', 'API_ENDPOINT')) b ON b.graph_id = e.graph_id AND b.id = e.tgt",
     "g26_hidden_filter": "SELECT edge_identifier FROM ends WHERE src_path NOT LIKE '%/controller/%' AND tgt_path NOT LIKE '%/controller/%' AND src_name NOT LIKE '%Helper' AND tgt_name NOT LIKE '%Helper'",
     "g27_edge_sample": "SELECT type, edge_identifier, rn FROM (SELECT type, edge_identifier, ROW_NUMBER() OVER (PARTITION BY type ORDER BY MD5('42|' || edge_identifier), edge_identifier) AS rn FROM edges) x WHERE rn <= 30",
@@ -31,12 +31,10 @@ GRAPH = {
     "g24_undocumented_hot": "SELECT graph_id, id, n, rn FROM (SELECT f.graph_id, f.id, c.n, ROW_NUMBER() OVER (PARTITION BY f.graph_id ORDER BY c.n DESC, f.id) AS rn FROM nodes f JOIN (SELECT graph_id, src, COUNT(*) AS n FROM edges WHERE type = 'FUNCTION_CALL' GROUP BY graph_id, src HAVING COUNT(*) > 3) c ON c.graph_id = f.graph_id AND c.src = f.id WHERE f.type = 'FUNCTION' AND f.comment IS NULL) x WHERE rn <= 15",
     "g15_path_enrichment": "SELECT e.edge_identifier, e.src_name || ' @ ' || e.src_path AS step, CASE WHEN e.src_path LIKE '%/domain/%' THEN 'domain' WHEN e.src_path LIKE '%/application/%' THEN 'application' WHEN e.src_path LIKE '%/infrastructure/%' THEN 'infrastructure' WHEN e.src_path LIKE '%/interfaces/%' THEN 'interfaces' ELSE 'other' END AS layer FROM ends e WHERE e.type = 'FUNCTION_CALL'",
     "g14_frontend_entry": "SELECT f.graph_id, f.id, a.src FROM nodes f JOIN (SELECT graph_id, tgt_path, MIN(src) AS src FROM ends WHERE type = 'API_CALL' GROUP BY graph_id, tgt_path) a ON a.graph_id = f.graph_id AND a.tgt_path = f.file_path WHERE f.type = 'FUNCTION'",
-    "g17_shared_labels": "SELECT graph_id, tgt AS label, COUNT(DISTINCT src_path) AS n FROM ends WHERE type = 'FUNCTION_CALL' GROUP BY graph_id, tgt HAVING COUNT(DISTINCT src_path) >= 3",
-    "g20_structure_gate": "SELECT graph_id, COUNT(DISTINCT CASE WHEN file_path LIKE 'src/features/%' THEN SUBSTRING(file_path, 14, 4) END) AS features FROM nodes GROUP BY graph_id",
-    "e19_edge_dedup": "SELECT edge_identifier, ord FROM (SELECT edge_identifier, ord, ROW_NUMBER() OVER (PARTITION BY graph_id, edge_identifier ORDER BY ord) AS rn FROM edges) x WHERE rn = 1",
+    "e19_edge_dedup": "SELECT graph_id, type, src, tgt, o FROM (SELECT graph_id, type, src, tgt, o, ROW_NUMBER() OVER (PARTITION BY graph_id, type, src, tgt ORDER BY o) AS rn FROM edge0) x WHERE rn = 1",
     "s15_graph_scan": "SELECT edge_identifier FROM edges WHERE graph_id = 1",
     "s14_graph_delete": "SELECT n.id FROM nodes n LEFT JOIN (SELECT DISTINCT graph_id FROM nodes WHERE graph_id % 4 = 0) d ON d.graph_id = n.graph_id WHERE d.graph_id IS NULL",
-    "s6_tiered_selection": "SELECT graph_id, id, rn FROM (SELECT graph_id, id, ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY CASE WHEN ord % 10 = 0 THEN 0 WHEN file_path LIKE '%/test/%' THEN 2 ELSE 1 END, file_path) AS rn FROM nodes WHERE type = 'FILE') x WHERE rn <= 20",
+    "s6_tiered_selection": "SELECT graph_id, id, rn FROM (SELECT graph_id, id, ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY CASE WHEN ord % 10 = 0 THEN 0 WHEN file_path LIKE '%/test/%' THEN 2 ELSE 1 END, file_path) AS rn FROM nodes WHERE type = 'FILE') x WHERE rn <= 500",
     "s7_round_robin": "SELECT graph_id, id, ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY rn, ctx) AS pos FROM (SELECT n.graph_id, n.id, f.ctx, ROW_NUMBER() OVER (PARTITION BY n.graph_id, f.ctx ORDER BY n.file_path) AS rn FROM nodes n JOIN files f ON f.k = n.ord WHERE n.type = 'FILE') x",
     "s5_prefix_scope": "SELECT id FROM nodes WHERE type = 'FILE' AND (file_path = 'src/main' OR file_path LIKE 'src/main/%')",
     "s9_incremental_parse": "SELECT n.id, CASE WHEN c.id IS NULL THEN 'miss' ELSE 'hit' END AS state FROM nodes n LEFT JOIN (SELECT id, MD5(file_path) AS h FROM nodes WHERE ord % 3 <> 0) c ON c.id = n.id AND c.h = MD5(n.file_path) WHERE n.type = 'FILE'",
@@ -51,7 +49,7 @@ TABLES = {
     "a4_gate_metrics": "SELECT COUNT(DISTINCT CASE WHEN ts >= TIMESTAMP '2024-01-01' THEN user_id END) AS d30, COUNT(DISTINCT CASE WHEN ts >= TIMESTAMP '2024-01-24' THEN user_id END) AS d7, SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS blocked FROM {events}",
     "a5_fp_free_rate": "SELECT quality, CASE WHEN COUNT(*) = 0 THEN 100 ELSE CAST(FLOOR((COUNT(*) - SUM(toxic)) * 100.0 / COUNT(*) + 0.5) AS INT) END AS rate FROM {labels} GROUP BY 1",
     "a6_failure_anomaly": "SELECT user_id, COUNT(*) AS n, SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failed FROM {events} GROUP BY 1 HAVING COUNT(*) >= 5 AND SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 5 >= COUNT(*)",
-    "a7_day_over_day": "SELECT day, n, prev FROM (SELECT day, n, LAG(n) OVER (ORDER BY day) AS prev FROM (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} WHERE event_type = 'purchase' GROUP BY 1) x) y WHERE prev >= 10 AND ABS(n - prev) * 100 >= 15 * prev",
+    "a7_day_over_day": "SELECT event_type, quarter, day, n, prev FROM (SELECT event_type, quarter, day, n, LAG(n) OVER (PARTITION BY event_type, quarter ORDER BY day) AS prev FROM (SELECT event_type, FLOOR(HOUR(ts) / 6.0) AS quarter, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} GROUP BY 1, 2, 3) x) y WHERE prev >= 10 AND ABS(n - prev) * 100 >= 50 * prev",
     "a8_threshold_anomalies": "SELECT event_type, n FROM (SELECT event_type, COUNT(*) AS n FROM {events} GROUP BY 1) x WHERE n >= 20",
     "a9_latest_two": "SELECT day, n, rn FROM (SELECT day, n, ROW_NUMBER() OVER (ORDER BY day DESC) AS rn FROM (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} GROUP BY 1) x) y WHERE rn <= 2",
     "a10_snapshot_upsert": "SELECT COALESCE(b.day, a.day) AS day, COALESCE(b.n, a.n) AS n FROM (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} WHERE event_type = 'view' GROUP BY 1) a FULL OUTER JOIN (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1) b ON a.day = b.day",
@@ -71,14 +69,14 @@ TABLES = {
     "j6_visible_posts": "SELECT o_orderkey FROM {orders} WHERE o_orderstatus <> 'P' OR o_custkey = 7",
     "j7_feed_assembly": "SELECT o_orderkey, COALESCE(n, 0) AS comments, COALESCE(c_name, 'unknown') AS author, o_custkey = 5 AS own, COALESCE(q, 0) > 40 AS has_graph FROM {orders} LEFT JOIN (SELECT l_orderkey, COUNT(*) AS n, MAX(l_quantity) AS q FROM {lineitem} GROUP BY 1) x ON l_orderkey = o_orderkey LEFT JOIN {customer} ON c_custkey = o_custkey",
     "j8_bookmarks": "SELECT b.l_partkey, p_name, rn FROM (SELECT l_partkey, ROW_NUMBER() OVER (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey) AS rn FROM {lineitem}) b JOIN {part} ON p_partkey = b.l_partkey WHERE rn <= 50",
-    "j9_thread": "SELECT conv_id, turn, role FROM {conversations} WHERE conv_id BETWEEN 3 AND 9 AND role IN ('user', 'assistant')",
+    "j9_thread": "SELECT LEAST(a, b) AS one, GREATEST(a, b) AS two, o AS message, a AS sender, ROW_NUMBER() OVER (PARTITION BY LEAST(a, b), GREATEST(a, b) ORDER BY t DESC, o) AS pos FROM (SELECT o_orderkey AS o, o_custkey % 40 AS a, o_orderkey % 40 AS b, o_orderdate AS t FROM {orders}) m WHERE a <> b",
     "j10_inbox_latest": "SELECT conv_id, role, turn FROM (SELECT conv_id, role, turn, ROW_NUMBER() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS rn FROM {conversations}) x WHERE rn = 1",
     "j11_unread": "SELECT conv_id, SUM(CASE WHEN role = 'user' AND turn > 2 THEN 1 ELSE 0 END) AS unread FROM {conversations} GROUP BY 1",
     "j12_top_notifications": "SELECT user_id, event_id FROM (SELECT user_id, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM {events}) x WHERE rn <= 30",
     "j13_rotation": "SELECT c_custkey FROM {customer} LEFT JOIN (SELECT o_custkey, MAX(o_orderdate) AS d FROM {orders} GROUP BY 1) x ON o_custkey = c_custkey ORDER BY d ASC NULLS FIRST, c_custkey LIMIT 25",
     "j14_recent_featured": "SELECT c_custkey, d FROM {customer} JOIN (SELECT o_custkey, MAX(o_orderdate) AS d FROM {orders} GROUP BY 1) x ON o_custkey = c_custkey ORDER BY d DESC, c_custkey LIMIT 25",
     "j15_needs_reanalysis": "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN (SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM {orders} WHERE o_orderstatus = 'F') x ON o_custkey = c_custkey AND rn = 1 WHERE o_orderkey IS NULL OR o_orderkey % 2 = 0",
-    "j16_url_match": "SELECT a.page_id, b.page_id AS other FROM {pages} a JOIN {pages} b ON LOWER(a.url) = LOWER(b.url) AND a.page_id < b.page_id",
+    "j16_url_match": "SELECT page_id, MIN(page_id) OVER (PARTITION BY REGEXP_REPLACE(LOWER(CASE WHEN page_id % 2 = 0 THEN u ELSE u || '.git' END), '[.]git$', '')) AS same_as FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN UPPER(REGEXP_REPLACE(url, '[?].*$', '')) ELSE REGEXP_REPLACE(url, '[0-9]*[?].*$', '') END AS u FROM {pages}) p",
     "j17_team_access": "SELECT DISTINCT o_orderkey FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey WHERE n_regionkey = 2",
     "j18_allocated_latest": "SELECT c_nationkey, c_custkey, o_orderkey FROM {customer} JOIN (SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM {orders}) x ON o_custkey = c_custkey WHERE rn = 1",
     "j19_stale_analyses": "SELECT event_id, CASE WHEN event_type = 'view' AND ts < TIMESTAMP '2024-01-15' THEN 'FAILED' ELSE event_type END AS status FROM {events}",
@@ -100,7 +98,7 @@ TABLES = {
     "s11_cache_ttl": "SELECT event_id FROM {events} WHERE ts >= TIMESTAMP '2024-01-15'",
     "w10_gate_by_pr": "SELECT o_custkey, SUM(CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 1 ELSE 0 END) AS high_count, CASE WHEN SUM(CASE WHEN l_returnflag = 'R' AND l_quantity > 45 THEN 1 ELSE 0 END) > 0 THEN 'failure' ELSE 'success' END AS state FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY 1",
     "w16_fp_reports": "SELECT l_suppkey, l_partkey, MIN(l_orderkey) AS first_report FROM {lineitem} GROUP BY 1, 2",
-    "w17_rule_audit": "SELECT k, 'REMOVE' AS op FROM (SELECT l_suppkey AS k FROM {lineitem} WHERE l_linenumber = 1 EXCEPT SELECT l_suppkey FROM {lineitem} WHERE l_linenumber = 7 AND l_quantity > 25) a UNION ALL SELECT k, 'ADD' FROM (SELECT l_suppkey AS k FROM {lineitem} WHERE l_linenumber = 7 AND l_quantity > 25 EXCEPT SELECT l_suppkey FROM {lineitem} WHERE l_linenumber = 1) b",
+    "w17_rule_audit": "SELECT k, 'REMOVE' AS op FROM (SELECT l_partkey AS k FROM {lineitem} WHERE l_linenumber = 1 EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_linenumber = 7 AND l_quantity > 25) a UNION ALL SELECT k, 'ADD' FROM (SELECT l_partkey AS k FROM {lineitem} WHERE l_linenumber = 7 AND l_quantity > 25 EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_linenumber = 1) b",
 }
 # Names that differ between the engines.
 _DIALECT = {"SHA256(html)": "SHA2(html, 256)", "CAST(EXTRACT(EPOCH FROM ts) AS BIGINT)": "UNIX_SECONDS(CAST(ts AS TIMESTAMP))"}
@@ -123,7 +121,7 @@ def _over_graph(text: str):
         extra = ""
         if "ends" in text:
             extra = "WITH ends AS (SELECT e.*, a.name AS src_name, a.file_path AS src_path, b.name AS tgt_name, b.file_path AS tgt_path FROM {edges} e JOIN {nodes} a ON a.id = e.src AND a.graph_id = e.graph_id JOIN {nodes} b ON b.id = e.tgt AND b.graph_id = e.graph_id) "
-        if " files " in text:
+        if " files " in text or " edge0)" in text:
             return G.spark_sql(spark, sf_dir, f"WITH {G.BASE} {text}")
         body = extra + _named(text)
         return spark.sql(body, **{k: v for k, v in views.items() if "{" + k + "}" in body})

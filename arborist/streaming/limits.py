@@ -1,7 +1,10 @@
-"""Windowed counts of requests, on streams and batches alike."""
+"""Counts and limits of requests, messages and connections, on streams; windowed counts and notifications on batches as well."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,3 +12,75 @@ from pyspark.sql import functions as F
 def trips(rejected: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """start, category, n: rejected requests by window of time; later than ``late`` they are left out on streams."""
     return rejected.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "category").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "category", "n")
+
+
+def rate_limit(requests: DataFrame, limit: int, window_s: float, forget_s: float = 600.0, late: str = "10 minutes") -> DataFrame:
+    """key, event_id, allowed of requests (key, event_id, ts), as a stream.
+
+    A key has ``limit`` tokens, all given back at once each ``window_s`` after its first request; a key that is idle for longer than
+    ``forget_s`` starts anew. The state is four numbers a key and goes when the watermark is ``forget_s`` past its last request.
+    """
+
+    def decide(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        anchor, window, used, last = state.get if state.exists else (None, 0, 0, None)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        allowed = []
+        for t in rows["ts"].map(pd.Timestamp.timestamp):
+            if anchor is None or t - last > forget_s:
+                anchor, window, used = t, 0, 0
+            now = int((t - anchor) // window_s)
+            if now != window:
+                window, used = now, 0
+            allowed.append(used < limit)
+            used, last = used + allowed[-1], t
+        state.update((anchor, window, used, last))
+        state.setTimeoutTimestamp(max(int((last + forget_s) * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "allowed": allowed})
+
+    fields = requests.select("key", "event_id").schema
+    output = f"key {fields['key'].dataType.simpleString()}, event_id {fields['event_id'].dataType.simpleString()}, allowed boolean"
+    return requests.withWatermark("ts", late).groupBy("key").applyInPandasWithState(decide, output, "anchor double, window long, used long, last double", "append", "EventTimeTimeout")
+
+
+def send_guard(messages: DataFrame, limit: int = 40) -> DataFrame:
+    """key, event_id, allowed: at most ``limit`` messages a second of one session."""
+    return rate_limit(messages, limit, 1.0)
+
+
+def connections(events: DataFrame, limit: int = 30, late: str = "10 minutes") -> DataFrame:
+    """key, event_id, open_n, allowed of connection events (key, event_id, ts, action), as a stream: the open connections of a key, never
+    below 0; a connect beyond ``limit`` is rejected and not counted."""
+
+    def count(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (n,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for event, action in zip(rows["event_id"], rows["action"]):
+            allowed = action != "connect" or n < limit
+            n = max(0, n - 1) if action == "disconnect" else n + 1 if action == "connect" and allowed else n
+            out.append((key[0], event, n, allowed))
+        state.update((n,))
+        yield pd.DataFrame(out, columns=["key", "event_id", "open_n", "allowed"])
+
+    fields = events.select("key", "event_id").schema
+    output = f"key {fields['key'].dataType.simpleString()}, event_id {fields['event_id'].dataType.simpleString()}, open_n long, allowed boolean"
+    return events.withWatermark("ts", late).groupBy("key").applyInPandasWithState(count, output, "n long", "append", "NoTimeout")
+
+
+def fan_out(events: DataFrame, admins: DataFrame) -> DataFrame:
+    """event_id, recipient, kind of notifications, on streams and batches alike.
+
+    events: event_id, kind, actor, owner. Comments and likes of one's own are not told; a ``digest`` goes to every one of ``admins``
+    (recipient), a table of a few people; all else to the owner.
+    """
+    told = events.where("kind <> 'digest' AND NOT (kind IN ('comment', 'like') AND actor <=> owner)").select("event_id", F.col("owner").alias("recipient"), "kind")
+    digests = events.where("kind = 'digest'").withColumn("all", F.lit(1)).join(admins.select("recipient").withColumn("all", F.lit(1)), "all").select("event_id", "recipient", "kind")
+    return told.unionByName(digests)
+
+
+def daily_active(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """day, users of events (ts, user_id): distinct users by day, estimated on streams as exact counts need every id."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.approx_count_distinct("user_id", 0.01).alias("users")).select(F.col("w.start").alias("day"), "users")

@@ -1,7 +1,13 @@
 """Walks, streams and sources on small cases."""
 
+import datetime
+
+from pyspark.sql import functions as F
+
+from arborist.operators import modules as M
 from arborist.operators import traversal as T
 from arborist.sources import files as S
+from arborist.sources import store
 from arborist.streaming import limits as L
 
 EDGES = "graph_id long, src string, tgt string, ord long"
@@ -49,3 +55,65 @@ def test_trips_are_counted_by_window(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("trips").option("checkpointLocation", str(tmp_path / "c")).outputMode("complete").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert sorted((r.start.second, r.n) for r in spark.table("trips").collect()) == want
+
+
+def _stream(spark, rows, schema, tmp_path, step):
+    """What a stream gives that reads the rows in files of three, one a batch."""
+    folder = tmp_path / "in"
+    for i in range(0, len(rows), 3):
+        spark.createDataFrame(rows[i : i + 3], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    q = step(source).writeStream.format("memory").queryName("out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and not q.exception()
+    return {r["event_id"]: r for r in spark.table("out").collect()}
+
+
+def test_rate_limits_as_a_stream(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [("a", i, at(s)) for i, s in enumerate((0, 10, 20, 61, 70, 80, 2000))] + [("b", 10 + i, at(i)) for i in range(3)]
+    got = _stream(spark, rows, "key string, event_id long, ts timestamp", tmp_path, lambda s: L.rate_limit(s, 2, 60.0))
+    assert [got[i]["allowed"] for i in (0, 1, 2, 3, 4, 5, 6, 10, 11, 12)] == [True, True, False, True, True, False, True, True, True, False]
+
+
+def test_connections_as_a_stream(spark, tmp_path):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    acts = ["disconnect", "connect", "connect", "connect", "disconnect", "connect"]
+    got = _stream(spark, [("a", i, at(i), x) for i, x in enumerate(acts)], "key string, event_id long, ts timestamp, action string", tmp_path, lambda s: L.connections(s, 2))
+    assert [(got[i]["open_n"], got[i]["allowed"]) for i in range(6)] == [(0, True), (1, True), (2, True), (2, False), (1, True), (2, True)]
+
+
+def test_notifications_fan_out(spark):
+    e = spark.createDataFrame([(1, "like", 5, 5), (2, "like", 5, 6), (3, "digest", None, None), (4, "follow", 5, 5)], "event_id long, kind string, actor long, owner long")
+    told = L.fan_out(e, spark.createDataFrame([(8,), (9,)], "recipient long"))
+    assert sorted((r.event_id, r.recipient) for r in told.collect()) == [(2, 6), (3, 8), (3, 9), (4, 5)]
+
+
+def test_graphs_are_stored_replaced_and_read_by_partition(spark, tmp_path):
+    n = spark.createDataFrame([(1, "a"), (2, "b")], "graph_id long, id string")
+    folder = f"file://{tmp_path}/g"
+    store.write_graph(n, n, folder)
+    store.write_graph(n.where("graph_id = 2").withColumn("id", F.lit("c")), n.where("graph_id = 2"), folder)
+    assert sorted(tuple(r) for r in store.read_graph(spark, folder)[0].select("graph_id", "id").collect()) == [(1, "a"), (2, "c")]
+    assert [r.id for r in store.read_graph(spark, folder, 1)[0].collect()] == ["a"]
+    cache = spark.createDataFrame([(1, "f", "h", 1, "old")], "project_id long, file_path string, content_hash string, analyzer_version int, json string")
+    fresh = spark.createDataFrame([(1, "f", "h", 1, "new"), (1, "f", "k", 1, "new")], cache.schema)
+    assert sorted(r.json for r in store.merge_cache(cache, fresh).collect()) == ["new", "old"]
+
+
+def test_changed_files_of_a_folder_are_followed(spark, tmp_path):
+    seen = []
+    (tmp_path / "src").mkdir()
+    for name in ("a.py", "b.min.js", "c.java"):
+        (tmp_path / "src" / name).write_text("x")
+        store.watch(spark, f"file://{tmp_path}/src", str(tmp_path / "c"), lambda df, i: seen.extend(r.file_path for r in df.collect())).awaitTermination(60)
+    assert seen == ["a.py", "c.java"]
+
+
+def test_modules_of_endpoints(spark):
+    names = {f"e{i}": f"GET:/api/{'orders' if i < 3 else 'users'}/{i}" for i in range(6)}
+    nodes = spark.createDataFrame([(1, k, "API_ENDPOINT", v, None) for k, v in names.items()], "graph_id long, id string, type string, name string, file_path string")
+    held = {"e0": "all o1 o2", "e1": "all o1 o2 x", "e2": "all x", "e3": "all u1 u2", "e4": "all u1 u2", "e5": "all"}
+    labels = spark.createDataFrame([(1, e, x) for e, own in held.items() for x in own.split()], "graph_id long, endpoint string, label string")
+    c = M.clusters(labels)
+    assert {r.endpoint: r.cluster for r in c.collect()} == {"e0": "e0", "e1": "e0", "e2": "e2", "e3": "e3", "e4": "e3", "e5": "e5"}
+    assert M.candidate_modules(c, labels, nodes).where("cluster = 'e3'").collect()[0]["name"] == "users"
