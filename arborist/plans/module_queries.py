@@ -71,9 +71,11 @@ _at = _LB.rindex("SELECT DISTINCT w.graph_id")
 _FOOT = _LB[:_at].rstrip() + ", lb AS (" + _LB[_at:] + ")"
 _PLAIN = f"NOT {R._test('file_path', 'name')}"
 _CTXMAP = f", {R.CONTEXTS}, pl AS (SELECT graph_id, file_path, COALESCE(fn_context, '(none)') AS context FROM nc WHERE type = 'FILE' AND {_PLAIN}), cx AS (SELECT graph_id, context, ROW_NUMBER() OVER (PARTITION BY graph_id, context ORDER BY file_path) AS pos, file_path FROM pl WHERE graph_id IN (SELECT graph_id FROM pl WHERE context <> '(none)'))"
-# contexts of test files don't count here: the map leaves them out before it looks for contexts
 _LAYERS = "('" + "', '".join(M.LAYERS) + "')"
 _S = "string_split(file_path, '/')"
+_PREFIX = """, f AS (SELECT graph_id, string_split(file_path, '/') AS s FROM nodes WHERE type = 'FILE'), c AS (SELECT graph_id, UNNEST(range(1, 6)) AS d FROM (SELECT DISTINCT graph_id FROM f)),
+ok AS (SELECT c.graph_id, d, MIN(array_to_string(s[1:d], '/')) AS p FROM c JOIN f USING (graph_id) GROUP BY 1, 2 HAVING COUNT(DISTINCT array_to_string(s[1:d], '/')) = 1 AND MIN(len(s)) > d),
+px AS (SELECT g.graph_id, COALESCE(arg_max(p, d) || '/', '') AS prefix FROM (SELECT DISTINCT graph_id FROM f) g LEFT JOIN ok USING (graph_id) GROUP BY 1)"""
 SQL = {
     "g17_shared_labels": _FOOT + _SHARED + " SELECT * FROM common",
     "g18_overlap_clusters": _FOOT + _SHARED + _CLUSTER + " SELECT * FROM cc",
@@ -84,10 +86,10 @@ ow AS (SELECT DISTINCT c.graph_id, cluster, label FROM rare JOIN c ON c.graph_id
 fi AS (SELECT graph_id, cluster, COUNT(*) AS files, string_agg(label, chr(10) ORDER BY label) FILTER (WHERE rn <= 15) AS sample FROM rk GROUP BY 1, 2)
 SELECT fi.graph_id, fi.cluster, name, endpoints, files, sample FROM fi JOIN (SELECT graph_id, cluster, COUNT(*) AS endpoints FROM c GROUP BY 1, 2) s ON s.graph_id = fi.graph_id AND s.cluster = fi.cluster LEFT JOIN nm ON nm.graph_id = fi.graph_id AND nm.cluster = fi.cluster""",
     "g20_structure_gate": G.oracle(f", {R.CONTEXTS}, k AS (SELECT graph_id, COUNT(DISTINCT fn_context) AS contexts, COUNT(DISTINCT {R._feature('file_path')}) AS features FROM nc GROUP BY 1) SELECT *, contexts >= 2 OR features >= 2 AS structured FROM k"),
-    "p12_layer_group": G.oracle(f""", f AS (SELECT graph_id, id, file_path, {_S} AS s FROM nodes WHERE type = 'FILE'), mm AS (SELECT graph_id, MIN(file_path) AS a, MAX(file_path) AS b FROM f GROUP BY 1),
-k AS (SELECT f.*, list_filter(s, lambda x: x IN {_LAYERS}) AS l, list_filter(s[:-2], lambda x: x NOT IN ('src', 'lib', 'crates', 'packages', 'pkg')) AS d FROM f)
-SELECT graph_id, id, COALESCE(l[1], 'root') AS layer, CASE WHEN len(l) > 0 THEN concat_ws('/', l[1], s[list_position(s, l[1]) + 1]) ELSE CASE WHEN graph_id IN (SELECT graph_id FROM pre WHERE prefix LIKE 'services/%') THEN COALESCE(list_filter(d, lambda x: x <> 'services')[1], 'root') ELSE COALESCE(d[1], 'root') END END AS grp FROM k""".replace("k AS (SELECT f.*", "pre AS (SELECT graph_id, CASE WHEN bool_and(starts_with(file_path, 'services/')) THEN 'services/' ELSE '' END AS prefix FROM f GROUP BY 1),\nk AS (SELECT f.*")),
-    "p13_common_prefix": G.oracle(", f AS (SELECT graph_id, string_split(file_path, '/') AS s FROM nodes WHERE type = 'FILE'), c AS (SELECT graph_id, UNNEST(range(1, 6)) AS d FROM (SELECT DISTINCT graph_id FROM f)), ok AS (SELECT c.graph_id, d, MIN(array_to_string(s[1:d], '/')) AS p FROM c JOIN f USING (graph_id) GROUP BY 1, 2 HAVING COUNT(DISTINCT array_to_string(s[1:d], '/')) = 1 AND MIN(len(s)) > d) SELECT g.graph_id, COALESCE(arg_max(p, d) || '/', '') AS prefix FROM (SELECT DISTINCT graph_id FROM f) g LEFT JOIN ok USING (graph_id) GROUP BY 1"),
+    "p12_layer_group": G.oracle(_PREFIX + f""", k AS (SELECT nodes.graph_id, id, list_filter({_S}, lambda x: x IN {_LAYERS}) AS w, string_split(substr(file_path, length(prefix) + 1), '/') AS s FROM nodes JOIN px ON px.graph_id = nodes.graph_id WHERE type = 'FILE'),
+k2 AS (SELECT *, list_filter(s, lambda x: x IN {_LAYERS}) AS l, list_filter(s[:-2], lambda x: x NOT IN ('src', 'lib', 'crates', 'packages', 'pkg')) AS d FROM k)
+SELECT graph_id, id, COALESCE(w[1], 'root') AS layer, CASE WHEN len(l) > 0 THEN concat_ws('/', l[1], s[list_position(s, l[1]) + 1]) ELSE COALESCE(d[1], 'root') END AS grp FROM k2"""),
+    "p13_common_prefix": G.oracle(_PREFIX + " SELECT * FROM px"),
     "p15_owner_match": "SELECT page_id, page_id % 3 = 0 AND regexp_extract(url, '//([^./]+)\\.', 1) <> '' AS owned FROM pages",
     "g21_folder_map": G.oracle(f""", o AS (SELECT * FROM nodes WHERE type IN ('FILE', 'FUNCTION') AND {_PLAIN}), fp AS (SELECT graph_id, {_S} AS s FROM o WHERE type = 'FILE'),
 dd AS (SELECT DISTINCT graph_id, s[1:d] AS p FROM (SELECT *, UNNEST(range(1, len(s))) AS d FROM fp))
