@@ -16,6 +16,20 @@ from . import rules, traversal
 # Directories that name a group, and that are passed over.
 LAYERS = ["domain", "application", "infrastructure", "interfaces", "pages", "components", "hooks", "utils"]
 WRAPPERS = ["src", "lib", "crates", "packages", "pkg"]
+# Directories whose next part names a domain, and parts that name none.
+DOMAIN_LAYERS = ["domain", "application", "infrastructure", "interfaces", "pages", "components", "hooks", "features", "modules", "views", "screens"]
+NO_DOMAIN = [
+    "impl", "dto", "entity", "vo", "config", "mapper", "exception", "exceptions", "constant", "constants", "enums", "persistence", "repository", "repositories",
+    "com", "org", "net", "io", "co", "kr", "util", "utils", "helper", "helpers", "lib", "libs", "generated",
+    "api", "rest", "web", "websocket", "ws", "controller", "controllers", "endpoint", "endpoints", "graphql", "v1", "v2", "handler", "handlers",
+]
+# Ends of file names that say what kind of part a file is.
+KINDS = [
+    "RestController", "Controller", "ServiceImpl", "Service", "RepositoryImpl", "Repository", "Configuration", "Config", "Entity", "Request", "Response",
+    "Mapper", "Handler", "Facade", "Factory", "Provider", "Adapter", "Port", "Exception", "Listener", "Event", "Validator", "Filter", "Resolver",
+    "Converter", "Manager", "Runner", "Scheduler", "Client", "Gateway", "Command", "Query", "Dto", "Vo", "Impl",
+    "Page", "View", "Screen", "Modal", "Panel", "Section", "Card", "Banner", "Overlay", "Tour", "Layout", "Context", "Hook", "Form", "Header", "Footer",
+]
 #: Labels that two endpoints share to be one module; files listed of a module and of what modules share; contexts and files of a specification.
 LEAST_SHARED, MODULE_SAMPLE, SHARED_SAMPLE, CONTEXTS, CONTEXT_FILES = 2, 15, 20, 10, 2
 
@@ -47,6 +61,50 @@ def group_key(path: Column, prefix: Column) -> Column:
     return F.when(at.isNotNull(), layer).otherwise(F.coalesce(F.get(folders, start), F.lit("root")))
 
 
+def folder_domain(path: Column, prefix: Column) -> Column:
+    """Behind the common prefix and the first layer: the first directory, in lower case, that may name a domain; else null."""
+    rel = F.when(path.startswith(prefix), F.substr(path, F.length(prefix) + 1)).otherwise(path)
+    parts = F.filter(F.split(F.translate(rel, "\\", "/"), "/"), lambda s: s != "")
+    at = F.array_min(F.filter(F.transform(parts, lambda s, i: F.when(s.isin(DOMAIN_LAYERS), i)), lambda i: i.isNotNull()))
+    folders = F.filter(parts, lambda s, i: (i > at) & (i < F.size(parts) - 1) & ~F.lower(s).isin(NO_DOMAIN) & (F.length(s) > 1))
+    return F.lower(F.get(folders, F.lit(0)))
+
+
+def _name_words(path: Column) -> Column:
+    """The words of a file's name, in lower case, without its extension and the kind at its end."""
+    name = F.regexp_replace(F.element_at(F.split(F.translate(path, "\\", "/"), "/"), -1), r"\.[^.]+$", "")
+    stem = F.regexp_replace(name, f"(?s)^(.+?)({'|'.join(KINDS)})$", "$1")
+    return F.filter(F.split(F.lower(F.regexp_replace(stem, "([a-z0-9])([A-Z])", "$1 $2")), r"[\s_-]+"), lambda s: s != "")
+
+
+def _forms(word: Column) -> Column:
+    """The names of a domain that a word may stand for, the likeliest first, null where a form doesn't apply: itself, its singular, its noun in -ion or -ment."""
+    long = F.length(word) >= 3
+    return F.array(
+        word, F.when(word.endswith("s"), F.regexp_replace(word, "s$", "")), F.when(word.endswith("es"), F.regexp_replace(word, "es$", "")),
+        F.when(long, F.concat(F.regexp_replace(word, "e$", ""), F.lit("ion"))), F.when(long, F.concat(word, F.lit("ment"))),
+    )
+
+
+def domains(nodes: DataFrame) -> DataFrame:
+    """graph_id, file_path, domain of each path among the nodes.
+
+    The domain is that of the path's folders, else the one of the graph's that the file's name speaks of: the longest run of
+    words from its beginning that is one, else the first word that is; else ``common``. Paths that are null have no row.
+    """
+    paths = nodes.where("file_path IS NOT NULL").select("graph_id", "file_path").distinct()
+    placed = paths.join(common_prefix(nodes), "graph_id", "left").select("graph_id", "file_path", folder_domain(F.col("file_path"), F.coalesce("prefix", F.lit(""))).alias("folder"))
+    placed = materialise(placed)
+    known = placed.where("folder IS NOT NULL").select("graph_id", F.col("folder").alias("domain")).distinct()
+    words = placed.where("folder IS NULL").select("graph_id", "file_path", _name_words(F.col("file_path")).alias("words"))
+    runs = F.transform("words", lambda w, i: F.struct((-i).alias("rank"), F.array_join(F.slice("words", 1, i + 1), "").alias("word")))
+    single = F.transform("words", lambda w, i: F.struct((i + 1).alias("rank"), w.alias("word")))
+    spoken = words.select("graph_id", "file_path", F.explode(F.concat(F.transform(runs, lambda r: F.struct(F.lit(0).alias("whole"), r["rank"].alias("rank"), r["word"].alias("word"))), F.transform(single, lambda r: F.struct(F.lit(1).alias("whole"), r["rank"].alias("rank"), r["word"].alias("word"))))).alias("s"))
+    forms = spoken.select("graph_id", "file_path", "s.whole", "s.rank", F.posexplode(_forms(F.col("s.word"))).alias("form", "domain")).where("domain IS NOT NULL")
+    named = forms.join(known, ["graph_id", "domain"]).groupBy("graph_id", "file_path").agg(F.min(F.struct("whole", "rank", "form", "domain")).getField("domain").alias("named"))
+    return placed.join(named, ["graph_id", "file_path"], "left").select("graph_id", "file_path", F.coalesce("folder", "named", F.lit("common")).alias("domain"))
+
+
 def owner_matches(url: Column, user: Column) -> Column:
     """Whether the owner in a repository's address is that user, in any case; false where either is missing."""
     owner = F.regexp_extract(url, r"github\.com[/:]([^/]+)/", 1)

@@ -66,6 +66,17 @@ def path_to(tree: DataFrame, goals: DataFrame) -> DataFrame:
     return out.drop("parent")
 
 
+def default_path(tree: DataFrame) -> DataFrame:
+    """graph_id, root, depth, node: of each root of a ``reach`` the way that takes the smallest child at every step, down to a leaf."""
+    child = materialise(tree.where("parent IS NOT NULL").groupBy("graph_id", "root", F.col("parent").alias("node")).agg(F.min("node").alias("next")))
+    at = materialise(tree.where("depth = 0").select("graph_id", "root", "depth", "node"))
+    out = at
+    while not at.isEmpty():
+        at = materialise(at.join(child, ["graph_id", "root", "node"]).select("graph_id", "root", (F.col("depth") + 1).alias("depth"), F.col("next").alias("node")))
+        out = out.unionByName(at)
+    return out
+
+
 def footprint_labels(endpoints: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = FOOTPRINT_HOPS) -> DataFrame:
     """graph_id, endpoint, label: files, and ``DB:`` tables, that each endpoint (graph_id, root) reaches."""
     label = F.when(F.col("type") == "DB_TABLE", F.concat(F.lit("DB:"), "name")).otherwise(F.col("file_path"))

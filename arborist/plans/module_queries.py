@@ -53,9 +53,16 @@ def _codec(spark, sf_dir):
     return store.decode(store.encode(f, "graph_id", "file_path"), "field_name string, column_name string, java_type string, has_converter boolean", "graph_id", "file_path")
 
 
+def _domains(spark, sf_dir):
+    """Every third file is renamed after something that may be a domain of its graph."""
+    return M.domains(G.nodes(spark, sf_dir).withColumn("file_path", F.expr(f"CASE WHEN type = 'FILE' THEN {_RENAMED} ELSE file_path END"))).where("NOT startswith(file_path, 'db/')")
+
+
+_RENAMED = "REGEXP_REPLACE(file_path, '/F[0-9]*[02][A-Za-z]*([.][a-z]+)$', CASE ord % 5 WHEN 0 THEN '/OrdersController' WHEN 1 THEN '/CreateItemModal' WHEN 2 THEN '/user_cart' WHEN 3 THEN '/billing-run' ELSE '/Carts' END || '.x')"
+
 QUERIES = {
     "g17_shared_labels": _shared, "g18_overlap_clusters": _clusters, "g19_candidate_modules": _candidates, "g20_structure_gate": lambda s, d: M.structure_gate(G.nodes(s, d)), "p12_layer_group": _groups,
-    "p13_common_prefix": lambda s, d: M.common_prefix(G.nodes(s, d)), "p15_owner_match": _owners, "g21_folder_map": lambda s, d: M.folder_map(G.nodes(s, d)), "g22_context_map": lambda s, d: M.context_map(G.nodes(s, d)),
+    "p13_common_prefix": lambda s, d: M.common_prefix(G.nodes(s, d)), "p14_domain": _domains, "p15_owner_match": _owners, "g21_folder_map": lambda s, d: M.folder_map(G.nodes(s, d)), "g22_context_map": lambda s, d: M.context_map(G.nodes(s, d)),
     "g23_context_specs": lambda s, d: M.context_specs(G.nodes(s, d), G.edges(s, d)), "g38_layer_tab": lambda s, d: M.in_tab(G.nodes(s, d), "application").select("id"), "s3_s4_eligible": _eligible, "s12_fact_codec": _codec,
     "s16_markdown": lambda s, d: store.markdown(R._warnings(s, d)[0]).select("graph_id", F.sha2("report", 256).alias("digest")),
 }
@@ -76,7 +83,19 @@ _S = "string_split(file_path, '/')"
 _PREFIX = """, f AS (SELECT graph_id, string_split(file_path, '/') AS s FROM nodes WHERE type = 'FILE'), c AS (SELECT graph_id, UNNEST(range(1, 6)) AS d FROM (SELECT DISTINCT graph_id FROM f)),
 ok AS (SELECT c.graph_id, d, MIN(array_to_string(s[1:d], '/')) AS p FROM c JOIN f USING (graph_id) GROUP BY 1, 2 HAVING COUNT(DISTINCT array_to_string(s[1:d], '/')) = 1 AND MIN(len(s)) > d),
 px AS (SELECT g.graph_id, COALESCE(arg_max(p, d) || '/', '') AS prefix FROM (SELECT DISTINCT graph_id FROM f) g LEFT JOIN ok USING (graph_id) GROUP BY 1)"""
+_DOMAIN = _PREFIX + f""", pp AS (SELECT DISTINCT n.graph_id, file_path, string_split(substr(file_path, length(prefix) + 1), '/') AS s FROM (SELECT graph_id, CASE WHEN type = 'FILE' THEN {_RENAMED} ELSE file_path END AS file_path FROM nodes WHERE NOT starts_with(file_path, 'db/')) n JOIN px ON px.graph_id = n.graph_id),
+parts AS (SELECT graph_id, file_path, len(s) AS n, UNNEST(s) AS part, generate_subscripts(s, 1) AS j FROM pp), lay AS (SELECT graph_id, file_path, MIN(j) AS nd FROM parts WHERE part IN {tuple(M.DOMAIN_LAYERS)} GROUP BY 1, 2),
+fold AS (SELECT p.graph_id, p.file_path, arg_min(lower(part), j) AS folder FROM parts p JOIN lay l ON l.graph_id = p.graph_id AND l.file_path = p.file_path WHERE j > nd AND j < n AND length(part) > 1 AND lower(part) NOT IN {tuple(M.NO_DOMAIN)} GROUP BY 1, 2),
+known AS (SELECT DISTINCT graph_id, folder FROM fold),
+wd AS (SELECT graph_id, file_path, string_split_regex(lower(regexp_replace(regexp_replace(regexp_replace(s[-1], '[.][^.]+$', ''), '^(.+?)({"|".join(M.KINDS)})$', '\\1'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[\\s_-]+') AS w FROM pp ANTI JOIN fold USING (graph_id, file_path)),
+nd AS (SELECT *, UNNEST(range(1, len(w) + 1)) AS i FROM wd), said AS (SELECT graph_id, file_path, 0 AS whole, -i AS rank, array_to_string(w[1:i], '') AS t FROM nd UNION ALL SELECT graph_id, file_path, 1, i, w[i] FROM nd),
+forms AS (SELECT *, 0 AS form, t AS folder FROM said UNION ALL SELECT *, 1, t[:-2] FROM said WHERE t LIKE '%s' UNION ALL SELECT *, 2, t[:-3] FROM said WHERE t LIKE '%es'
+  UNION ALL SELECT *, 3, CASE WHEN t LIKE '%e' THEN t[:-2] ELSE t END || 'ion' FROM said WHERE length(t) >= 3 UNION ALL SELECT *, 4, t || 'ment' FROM said WHERE length(t) >= 3),
+hit AS (SELECT graph_id, file_path, folder FROM (SELECT f.graph_id, f.file_path, f.folder, ROW_NUMBER() OVER (PARTITION BY f.graph_id, f.file_path ORDER BY whole, rank, form) AS rn FROM forms f JOIN known k ON k.graph_id = f.graph_id AND k.folder = f.folder) x WHERE rn = 1)
+SELECT p.graph_id, p.file_path, COALESCE(a.folder, h.folder, 'common') AS domain FROM pp p LEFT JOIN fold a ON a.graph_id = p.graph_id AND a.file_path = p.file_path LEFT JOIN hit h ON h.graph_id = p.graph_id AND h.file_path = p.file_path"""
+
 SQL = {
+    "p14_domain": G.oracle(_DOMAIN),
     "g17_shared_labels": _FOOT + _SHARED + " SELECT * FROM common",
     "g18_overlap_clusters": _FOOT + _SHARED + _CLUSTER + " SELECT * FROM cc",
     "g19_candidate_modules": _FOOT + _SHARED + _CLUSTER + """, many AS (SELECT graph_id FROM cc GROUP BY 1 HAVING COUNT(DISTINCT cluster) >= 2), c AS (SELECT * FROM cc WHERE graph_id IN (SELECT graph_id FROM many)),

@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from arborist.operators import modules as M
+from arborist.operators import traces
 from arborist.operators import traversal as T
 from arborist.sources import files as S
 from arborist.sources import store
@@ -30,6 +31,53 @@ def test_upstream_root_takes_the_first_caller_and_stops_at_a_cycle(spark):
     assert {(r.start, r.root) for r in T.upstream_root(starts, e, 1).collect()} == {("a", "c"), ("x", "y"), ("d", "d")}
 
 
+def test_default_path_takes_the_smallest_child(spark):
+    e = spark.createDataFrame([(1, "a", "c", 0), (1, "a", "b", 1), (1, "b", "d", 2), (1, "c", "e", 3), (1, "e", "f", 3)], EDGES)
+    tree = T.reach(spark.createDataFrame([(1, "a"), (1, "z")], "graph_id long, root string"), e, 12)
+    assert [(r.root, r.node) for r in T.default_path(tree).orderBy("root", "depth").collect()] == [("a", "a"), ("a", "b"), ("a", "d"), ("z", "z")]
+    assert T.default_path(tree.limit(0)).isEmpty()
+
+
+NODES = "graph_id long, id string, type string, file_path string, ord long"
+TRACED = "graph_id long, edge_identifier string, type string, src string, tgt string, ord long"
+
+
+def traced(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r.edge_identifier, r.pos)):
+        out.setdefault(r.edge_identifier, []).append((r.pos, r.node, r.others))
+    return out
+
+
+def test_traces(spark):
+    nodes = spark.createDataFrame([(1, "ui", "FILE", "ui.ts", 0), (1, "ctl", "FILE", "ctl.java", 1), (1, "repo", "FILE", "repo.java", 2), (1, "t", "DB_TABLE", None, 3)] + [(1, i, "FUNCTION", p, k) for k, (i, p) in enumerate({"c1": "ctl.java", "c2": "ctl.java", "s": "s.java", "r": "repo.java"}.items())], NODES)
+    calls = [(1, "c>s", "FUNCTION_CALL", "c1", "s", 5), (1, "d>s", "FUNCTION_CALL", "c2", "s", 6), (1, "s>r", "FUNCTION_CALL", "s", "r", 7), (2, "x>y", "FUNCTION_CALL", "x", "y", 0), (2, "y>x", "FUNCTION_CALL", "y", "x", 1), (2, "n", "FUNCTION_CALL", None, "x", 0)]
+    e = spark.createDataFrame(calls + [(1, "api", "API_CALL", "ui", "ctl", 8), (1, "db", "DB_READ", "repo", "t", 9)], TRACED)
+    found = traced(traces.trace_calls(nodes, e))
+    assert found["s>r"] == [(-2, "ui", 0), (-1, "c1", 1), (0, "s", 0), (1, "r", 0), (2, "t", 0)]
+    assert found["c>s"] == [(-1, "ui", 0), (0, "c1", 0), (1, "s", 0), (2, "r", 0), (3, "t", 0)]
+    assert found["x>y"] == [(0, "x", 0), (1, "y", 0)] and "n" not in found
+    assert traced(traces.trace_tables(nodes, e)) == {"db": [(-4, "ui", 0), (-3, "c1", 1), (-2, "s", 0), (-1, "r", 0), (0, "repo", 0), (1, "t", 0)]}
+    assert traced(traces.trace_requests(nodes, e)) == {"api": [(0, "ui", 0), (1, "ctl", 0), (2, "c1", 0), (3, "s", 0), (4, "r", 0), (5, "t", 0)]}
+    assert traces.trace_tables(nodes, e.limit(0)).isEmpty() and traces.trace_calls(nodes.limit(0), e).count() > 0
+
+
+def test_trace_along_one_type(spark):
+    e = spark.createDataFrame([(1, "i1", "IMPORT", "a", "b", 3), (1, "i2", "IMPORT", "b", "c", 2), (1, "i3", "IMPORT", "b", "d", 1), (1, "i4", "IMPORT", "d", "a", 4), (1, "f1", "FIELD_DEPENDENCY", "c", "a", 0), (1, "o", "FUNCTION_CALL", "c", "a", 0)], TRACED)
+    found = traced(traces.trace_same_type(e, ["IMPORT", "FIELD_DEPENDENCY"]))
+    assert found["i1"] == [(-2, "b", 0), (-1, "d", 0), (0, "a", 0), (1, "b", 0), (2, "d", 1), (3, "a", 0)]
+    assert found["f1"] == [(0, "c", 0), (1, "a", 0)] and "o" not in found
+    assert found["i2"][-1] == (1, "c", 0)
+
+
+def test_domains_come_from_folders_then_from_names(spark):
+    paths = {"x/domain/order/A.java": "order", "x/domain/Donation/B.java": "donation", "x/pages/payment/C.tsx": "payment", "x/domain/userAccount/D.java": "useraccount", "x/domain/user/E.java": "user",
+             "x/web/OrdersController.java": "order", "x/web/DonatePage.tsx": "donation", "x/web/pay.ts": "payment", "x/web/UserAccountService.java": "useraccount", "x/web/CreateUserModal.tsx": "user", "x/web/Thing.java": "common", "x/domain/impl/F.java": "common"}
+    nodes = spark.createDataFrame([(1, p, "FILE", p, 0) for p in paths] + [(1, "n", "FILE", None, 0), (2, "o", "FILE", "x/web/OrdersController.java", 0)], NODES)
+    found = {(r.graph_id, r.file_path): r.domain for r in M.domains(nodes).collect()}
+    assert found == {(1, p): d for p, d in paths.items()} | {(2, "x/web/OrdersController.java"): "common"}
+
+
 def test_footprints_and_what_they_share(spark):
     nodes = spark.createDataFrame([(1, f"e{i}", "API_ENDPOINT", "GET", f"c{i}.java") for i in range(4)] + [(1, "t", "DB_TABLE", "users", None)], "graph_id long, id string, type string, name string, file_path string")
     e = spark.createDataFrame([(1, f"e{i}", "t", i) for i in range(3)], EDGES)
