@@ -1,12 +1,17 @@
 """Queries over graphs (versions, traversals, summaries) and over operational tables (metrics, feeds, joins).
 
-Each is one SQL text in the part of the language that Spark and the checking engine share. ``nodes``, ``edges``
-and ``ends`` are the derived code graphs; events, orders, customers and conversations stand for users,
+Those in ``_FUNCTIONS`` go through the operators and are checked against the SQL of their name. Each other one is one SQL
+text in the part of the language that Spark and the checking engine share. ``nodes``, ``edges`` and ``ends`` are the derived code graphs; events, orders, customers and conversations stand for users,
 posts, likes and messages.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from arborist.operators import feeds
+from arborist.operators import summaries as S
+
 from . import testgraph as G
 
 # Over nodes, edges and ends.
@@ -21,7 +26,7 @@ GRAPH = {
     "g25_context_subgraph": "SELECT e.edge_identifier FROM edges e JOIN (SELECT graph_id, id FROM (SELECT graph_id, id, type, ROW_NUMBER() OVER (PARTITION BY graph_id, CASE WHEN type IN ('FILE', 'FUNCTION') THEN 1 ELSE 0 END ORDER BY type, ord) AS rn FROM nodes) x WHERE rn <= 50 OR type IN ('DB_TABLE', 'API_ENDPOINT')) a ON a.graph_id = e.graph_id AND a.id = e.src JOIN (SELECT graph_id, id FROM (SELECT graph_id, id, type, ROW_NUMBER() OVER (PARTITION BY graph_id, CASE WHEN type IN ('FILE', 'FUNCTION') THEN 1 ELSE 0 END ORDER BY type, ord) AS rn FROM nodes) x WHERE rn <= 50 OR type IN ('DB_TABLE', 'API_ENDPOINT')) b ON b.graph_id = e.graph_id AND b.id = e.tgt",
     "g26_hidden_filter": "SELECT edge_identifier FROM ends WHERE src_path NOT LIKE '%/controller/%' AND tgt_path NOT LIKE '%/controller/%' AND src_name NOT LIKE '%Helper' AND tgt_name NOT LIKE '%Helper'",
     "g27_edge_sample": "SELECT type, edge_identifier, rn FROM (SELECT type, edge_identifier, ROW_NUMBER() OVER (PARTITION BY type ORDER BY MD5('42|' || edge_identifier), edge_identifier) AS rn FROM edges) x WHERE rn <= 30",
-    "g28_audit_precision": "SELECT type, n, phantom, phantom / n AS rate, (phantom / n + 1.9208 / n - 1.96 * SQRT((phantom / n * (1 - phantom / n) + 0.9604 / n) / n)) / (1 + 3.8416 / n) AS low, (phantom / n + 1.9208 / n + 1.96 * SQRT((phantom / n * (1 - phantom / n) + 0.9604 / n) / n)) / (1 + 3.8416 / n) AS high FROM (SELECT type, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(CASE WHEN ord % 13 = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS phantom FROM edges GROUP BY type) x",
+    "g28_audit_precision": "SELECT type, n, phantom, phantom / n AS rate, ROUND(GREATEST(0, (phantom / n + 1.9208 / n - 1.96 * SQRT((phantom / n * (1 - phantom / n) + 0.9604 / n) / n)) / (1 + 3.8416 / n)), 12) AS low, ROUND(LEAST(1, (phantom / n + 1.9208 / n + 1.96 * SQRT((phantom / n * (1 - phantom / n) + 0.9604 / n) / n)) / (1 + 3.8416 / n)), 12) AS high FROM (SELECT type, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(CASE WHEN ord % 13 = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS phantom FROM edges GROUP BY type) x",
     "g33_entry_points": "SELECT graph_id, id, pos FROM (SELECT n.graph_id, n.id, ROW_NUMBER() OVER (PARTITION BY n.graph_id ORDER BY CASE n.type WHEN 'API_ENDPOINT' THEN 0 ELSE 1 END, n.ord) AS pos FROM nodes n LEFT JOIN (SELECT DISTINCT graph_id, tgt FROM ends WHERE type = 'FUNCTION_CALL' AND src_path <> tgt_path) c ON c.graph_id = n.graph_id AND c.tgt = n.id WHERE n.type = 'API_ENDPOINT' OR (n.type = 'FUNCTION' AND c.tgt IS NULL)) x WHERE pos <= 15",
     "g34_file_calls": "SELECT graph_id, src_path, tgt_path, COUNT(*) AS n, MIN(src_name) AS first_caller FROM ends WHERE type = 'FUNCTION_CALL' AND src_path <> tgt_path GROUP BY graph_id, src_path, tgt_path",
     "g35_callers_callees": "SELECT src AS id, 'callee' AS side, tgt AS other, tgt_path AS file FROM ends WHERE type = 'FUNCTION_CALL' AND src_path <> tgt_path UNION ALL SELECT tgt, 'caller', src, src_path FROM ends WHERE type = 'FUNCTION_CALL' AND src_path <> tgt_path",
@@ -135,8 +140,83 @@ def _named(text: str) -> str:
     return re.sub(r"\b(FROM|JOIN) (nodes|edges)\b", r"\1 {\2}", text)
 
 
+def _graph(f):
+    return lambda spark, sf_dir: f(G.nodes(spark, sf_dir), G.edges(spark, sf_dir))
+
+
+def _table(f, *names):
+    return lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names))
+
+
+def _latest():
+    return [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
+
+
+def _old(rows):
+    return rows.where("ord % 10 <> 0")
+
+
+def _new(rows):
+    return rows.where("ord % 10 <> 1")
+
+
+def _edge_diff(n, e):
+    ends = S.with_ends(n, e)
+    return S.edge_diff(_old(ends), _new(ends))
+
+
+def _expired(orders, lines):
+    versions = orders.withColumn("pinned", F.col("o_orderstatus") == "P")
+    return feeds.expired(versions, lines.where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", ["o_custkey"], _latest()).select("o_orderkey")
+
+
+def _changes(events):
+    days = events.groupBy("event_type", F.floor(F.hour("ts") / 6).alias("quarter"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return feeds.daily_changes(days, ["event_type", "quarter"])
+
+
+def _snapshots(events):
+    days = lambda rows: rows.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return feeds.upsert(days(events.where("event_type = 'view'")), days(events.where("ts >= TIMESTAMP '2024-01-20'")), ["day"])
+
+
+def _messages(orders):
+    return feeds.threads(orders.selectExpr("o_orderkey AS message", "o_custkey % 40 AS sender", "o_orderkey % 40 AS receiver", "o_orderdate AS at"))
+
+
+_FUNCTIONS = {
+    "g1_node_diff": _graph(lambda n, e: S.node_diff(_old(n), _new(n), ["id", "type", "name", "file_path"]).select("id", "status")),
+    "g2_edge_diff": _graph(_edge_diff),
+    "g3_diff_summary": _graph(lambda n, e: S.diff_summary(S.node_diff(_old(n), _new(n), ["id"]))),
+    "g4_latest_graph": _table(lambda o: feeds.newest(o, ["o_custkey"], _latest()).select("o_custkey", "o_orderkey", "rn"), "orders"),
+    "g5_retention": _table(_expired, "orders", "lineitem"),
+    "g7_complexity_hubs": _graph(lambda n, e: S.top_hubs(e)),
+    "g8_node_search": _graph(lambda n, e: S.search(n, "user").select("id", "name")),
+    "g10_node_budget": _graph(lambda n, e: S.node_budget(n, e).select("id", "visible")),
+    "g24_undocumented_hot": _graph(lambda n, e: S.undocumented_hot(n, e)),
+    "g25_context_subgraph": _graph(lambda n, e: S.summary_edges(n, e).select("edge_identifier")),
+    "g27_edge_sample": _graph(lambda n, e: S.edge_sample(e)),
+    "g28_audit_precision": _graph(lambda n, e: S.audit_precision(e.select("type", (F.col("ord") % 13 == 0).alias("phantom"))).withColumns({c: F.round(c, 12) for c in ("low", "high")})),
+    "g33_entry_points": _graph(lambda n, e: S.entry_points(n, S.with_ends(n, e))),
+    "g34_file_calls": _graph(lambda n, e: S.file_calls(S.with_ends(n, e))),
+    "g35_callers_callees": _graph(lambda n, e: S.callers_callees(S.with_ends(n, e))),
+    "g36_table_access": _graph(lambda n, e: S.table_access(e)),
+    "g39_typed_edges": _graph(lambda n, e: S.typed_edges(n.where("ord % 9 <> 0"), e)),
+    "g40_node_counts": _graph(lambda n, e: S.node_counts(n)),
+    "a6_failure_anomaly": _table(lambda e: feeds.failure_anomalies(e, "user_id", F.col("event_type") == "error"), "events"),
+    "a7_day_over_day": _table(_changes, "events"),
+    "a10_snapshot_upsert": _table(_snapshots, "events"),
+    "j1_feed_by_likes": _table(lambda o, l: feeds.feed_by_count(o, l.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", [F.col("o_orderdate").desc(), F.col("o_orderkey")], 100).select("o_orderkey", "rn"), "orders", "lineitem"),
+    "j9_thread": _table(_messages, "orders"),
+    "j10_inbox_latest": _table(lambda c: feeds.newest(c, ["conv_id", "role"], [F.col("turn").desc()]).select("conv_id", "role", "turn"), "conversations"),
+    "j12_top_notifications": _table(lambda e: feeds.newest(e, ["user_id"], [F.col("ts").desc(), F.col("event_id")], 30).select("user_id", "event_id"), "events"),
+    "j18_allocated_latest": _table(lambda o, c: feeds.newest(o, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey")]).join(c, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "c_custkey", "o_orderkey"), "orders", "customer"),
+    "j25_child_lists": _table(lambda l: feeds.newest(l, ["l_orderkey"], [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], 3, "pos").select("l_orderkey", "l_partkey", "pos"), "lineitem"),
+}
+
+
 def queries() -> dict:
-    return {k: _over_graph(v) for k, v in GRAPH.items()} | {k: _over_tables(v) for k, v in TABLES.items()}
+    return {k: _over_graph(v) for k, v in GRAPH.items()} | {k: _over_tables(v) for k, v in TABLES.items()} | _FUNCTIONS
 
 
 def oracle_sql() -> dict[str, str]:
