@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, langid, lmscore, mixing, neardup, quality, sharding, substring, topk
+from . import chat, decontaminate, divergence, jaccard, langid, lmscore, mixing, neardup, quality, sharding, substring, topk, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_mixing": mixing.op9_mixing,
         "op10_sharding": sharding.op10_sharding,
+        "op11_jaccard": jaccard.op11_jaccard,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_divergence": divergence.op13_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat": chat.ORACLE,
         "op9_mixing": mixing.ORACLE,
         "op10_sharding": sharding.ORACLE,
+        "op13_divergence": divergence.ORACLE,
     }
