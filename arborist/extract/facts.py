@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scopes
+
 KEY = ["graph_id", "file_path"]
 
 # Names and patterns that decide the results.
@@ -34,25 +36,14 @@ DJANGO_WRITES = ["create", "bulk_create", "get_or_create", "update_or_create", "
 TYPEORM_WRITES = ["save", "insert", "update", "delete", "remove", "softDelete", "softRemove", "upsert", "increment", "decrement"]
 SCRIPT = ["TypeScript", "JavaScript"]
 JVM = ["Java", "Kotlin"]
-#: Definitions; the first group that matches is the name.
-_JAVA_DEF = r"(?:(?:public|private|protected|static|final|synchronized|abstract|default|native)\s+)+(?:[\w<>\[\]?,]+\s+)*(\w+)\s*\([^)]*\)\s*(?:throws[^{]+)?\{"
-_SCRIPT_DEF = (
-    r"(?m)(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>|(?:async\s+)?function\s*\*?\s*(\w+)"
-    r"|^[ \t]*(?:(?:public|private|protected|static|readonly|abstract|override|async)\s+)*(\w+)\s*\([^)]*\)\s*(?::\s*[^{;=]+)?\s*\{)"
-)
+#: The definition behind an endpoint's annotation or decorator.
+# possessive groups, which Java's engine walks without a stack frame a word
+_JAVA_DEF = r"(?:(?:public|private|protected|static|final|synchronized|abstract|default|native)\s+)++(?:[\w<>\[\]?,]+\s++(?!\())*+(\w+)\s*\([^)]*\)\s*(?:throws[^{]+)?\{"
 DEFINITIONS = {
     "Java": _JAVA_DEF, "C#": _JAVA_DEF,
-    "Kotlin": r"(?m)^\s*(?:(?:public|private|protected|internal|override|open|abstract|suspend|inline|operator|external)\s+)*fun\s+(\w+)\s*[(<]",
-    "TypeScript": _SCRIPT_DEF, "JavaScript": _SCRIPT_DEF,
+    "Kotlin": r"(?m)^[ \t]*(?:(?:public|private|protected|internal|override|open|abstract|suspend|inline|operator|external)\s+)*+fun\s+(\w+)\s*[(<]",
     "Python": r"(?m)^\s*(?:async\s+)?def\s+(\w+)\s*\(",
-    "Go": r"(?m)^func\s+(?:\(\s*\*?\w+(?:\s+\*?\w+)?\s*\)\s+)?(\w+)\s*\(",
-    "Rust": r"(?m)^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*\(",
-    "Ruby": r"(?m)^\s*def\s+(\w+[?!]?)",
-    "PHP": r"(?m)^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+(\w+)\s*\(",
-    "Swift": r"(?m)^\s*(?:(?:public|private|internal|open|fileprivate|static|override|class)\s+)*func\s+(\w+)\s*[(<]",
 }
-GROUPS = {"TypeScript": 4, "JavaScript": 4}
-INTERFACE_METHOD = r"(?m)^\s*(?:[\w<>\[\]?,]+\s+)+(\w+)\s*\([^)]*\)\s*(?:throws[^;{]+)?;"
 IMPORTS = {
     "Java": r"(?m)^import\s+([\w.]+);", "Kotlin": r"(?m)^import\s+([\w.]+)", "TypeScript": r"from\s+['\"]([^'\"]+)['\"]", "JavaScript": r"from\s+['\"]([^'\"]+)['\"]",
     "Python": r"(?m)^(?:from\s+([\w.]+)\s+import|import\s+([\w.,\s]+))", "Rust": r"(?m)^\s*use\s+([\w:]+)", "C#": r"(?m)^using\s+([\w.]+);",
@@ -67,6 +58,17 @@ ROUTES = {
     "Ruby": r"(?im)^\s*(get|post|put|delete|patch)\s+['\"]([^'\"\n]+)['\"]", "PHP": r"(?i)(?:Route::|\$router->)(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"\n]+)['\"]",
     "Swift": r"(?i)(?:router|app)\.(get|post|put|delete|patch)\s*\(\s*\"([^\"\n]+)\"",
 }
+#: Calls of HTTP clients, up to the host that they name.
+HTTP_HOST = r"http://([a-zA-Z0-9_-]+)"
+JVM_CLIENT = r"\.(?:uri|getForObject|getForEntity|postForObject|postForEntity|put|delete|exchange)\s*\(\s*"
+HOST_FIELD = r"\bString\s+(\w+)\s*=\s*[\"']http://([a-zA-Z0-9_-]+)"
+VALUE_FIELD = r"@Value\s*\(\s*\"\$\{([a-zA-Z0-9_.-]+)\}\"\s*\)(?=([\s\S]{0,80}))"
+PYTHON_CLIENT = r"\brequests\.(?:get|post|put|delete|patch|head|options)\s*\(\s*"
+PYTHON_ENV = r"f[\"']http://\{os\.(?:environ\[['\"]|environ\.get\(['\"]|getenv\(['\"])([A-Za-z0-9_]+)"
+SCRIPT_CLIENT = r"\baxios\.(?:get|post|put|delete|patch)\s*\(\s*"
+SCRIPT_ENV = r"[`\"']?\$?\{?\s*process\.env\.([A-Za-z0-9_]+)"
+GO_CLIENT = r"\bhttp\.(?:Get|Post|Head)\s*\(\s*\""
+GO_REQUEST = r"\bhttp\.NewRequest\s*\(\s*\"[A-Z]+\"\s*,\s*\""
 SPRING_CLASS = r"@RequestMapping\s*\(\s*(?:value\s*=\s*)?[\"']([^\"']+)[\"']"
 SPRING_METHOD = r"(?i)@(?:Get|Post|Put|Delete|Patch)Mapping(?:\s*\(\s*(?:value\s*=\s*)?[\"']([^\"']*)[\"']\s*\))?"
 
@@ -96,7 +98,9 @@ def _long(df: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
 
 
 def masked(files: DataFrame) -> DataFrame:
-    """Adds ``code``: the text without comments, strings kept. Quotes and comment signs are those of the language."""
+    """Adds ``code``, if it isn't there: the text without comments, strings kept. Quotes and comment signs are those of the language."""
+    if "code" in files.columns:
+        return files
     double, single, back, triple = r'"(?:\\.|[^"\\\n])*+"', r"'(?:\\.|[^'\\\n])*+'", r"`(?:\\.|[^`\\])*+`", r'"""(?s:.*?)"""'
     slashes = r"|//[^\n]*+|/\*(?s:.*?)\*/"
     forms = {
@@ -136,32 +140,23 @@ def function_comments(files: DataFrame) -> DataFrame:
     return names.where(~F.col("name").isin(KEYWORDS)).groupBy(*KEY, "name").agg(F.min_by("comment", "line").alias("comment"))
 
 
-def _definitions(code: DataFrame) -> DataFrame:
-    """pos, name, head, body: every match of a definition and the text up to the next; those named like a keyword included."""
-    names = _by_language(DEFINITIONS, lambda p, lang: _first_group("code", p, GROUPS.get(lang, 1)))
-    heads = _by_language(DEFINITIONS, lambda p, _: _all("code", p, 0))
-    bodies = _by_language(DEFINITIONS, lambda p, _: F.split(F.col("code"), p, -1))
-    both = code.select(*KEY, "language", F.posexplode(F.arrays_zip(names.alias("name"), heads.alias("head"), F.slice(bodies, 2, 1 << 30).alias("body"))).alias("pos", "d"))
-    return both.select(*KEY, "language", "pos", "d.name", "d.head", "d.body").where("head IS NOT NULL")
+def definitions(files: DataFrame) -> DataFrame:
+    """pos, name, abstract, in_interface, is_test, body of each definition; bodies end at their bracket and leave out what is defined in them."""
+    return files if "body" in files.columns else scopes.definitions(masked(files), KEYWORDS)
 
 
 def functions(files: DataFrame) -> DataFrame:
-    """name, defs, ord: each file's functions with the number of definitions; in JVM interfaces methods without body as well."""
-    code = masked(files)
-    real = _definitions(code).where((F.col("name") != "") & ~F.col("name").isin(KEYWORDS)).select(*KEY, F.col("pos").alias("ord"), "name")
-    abstract = _long(code.where(F.col("language").isin(JVM) & F.col("code").rlike(r"\binterface\s+\w+")), _all("code", INTERFACE_METHOD), "name")
-    abstract = abstract.where(~F.col("name").isin(KEYWORDS)).groupBy(*KEY, "name").agg(F.min("ord").alias("ord")).join(real.select(*KEY, "name").distinct(), [*KEY, "name"], "left_anti")
-    both = real.unionByName(abstract.withColumn("ord", F.col("ord") + (1 << 20)))
-    return both.groupBy(*KEY, "name").agg(F.count(F.lit(1)).alias("defs"), F.min("ord").alias("ord"))
+    """name, defs, ord, is_test, in_interface: each file's functions with the number of definitions; methods without body where none has one."""
+    d = definitions(files).withColumn("ord", F.col("pos") + F.when(F.col("abstract"), 1 << 20).otherwise(0))
+    one = d.groupBy(*KEY, "name").agg(
+        F.count(F.when(~F.col("abstract"), 1)).alias("real"), F.min("ord").alias("ord"), F.max("is_test").alias("is_test"), F.max("in_interface").alias("in_interface")
+    )
+    return one.select(*KEY, "name", F.greatest("real", F.lit(1)).alias("defs"), "ord", "is_test", "in_interface")
 
 
 def calls(files: DataFrame) -> DataFrame:
     """caller, target_class (null for bare calls), callee: distinct calls in each function's body."""
-    by = Window.partitionBy(*KEY).orderBy("pos")
-    real = (F.col("name") != "") & ~F.col("name").isin(KEYWORDS)
-    # what looks like the definition of a keyword belongs to the function before it
-    d = _definitions(masked(files)).withColumn("caller", F.last(F.when(real, F.col("name")), ignorenulls=True).over(by)).where("caller IS NOT NULL")
-    d = d.withColumn("text", F.when(real, F.col("body")).otherwise(F.concat("head", "body")))
+    d = definitions(files).select(*KEY, "language", F.col("name").alias("caller"), F.col("body").alias("text"))
     pascal = F.col("language").isin(PASCAL)
     bare = F.when(pascal, _all("text", r"(?<!new\s)\b([A-Za-z_][a-zA-Z0-9_]*)\s*\(")).otherwise(_all("text", r"\b([a-z][a-zA-Z0-9_]*)\s*\("))
     name = F.when(pascal, F.lit("[A-Za-z_]")).otherwise("[a-z]")
@@ -182,10 +177,10 @@ def imports(files: DataFrame) -> DataFrame:
     return found.unionByName(quoted).unionByName(single).withColumn("import", F.regexp_replace("import", r"^\s+|\s+$", "")).where("import <> ''")
 
 
-def value_references(files: DataFrame) -> DataFrame:
-    """name: functions of the file that are named without being called, and not behind a dot."""
+def value_references(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """name: functions of the file (``known``, if they have been read) that are named without being called, and not behind a dot."""
     tokens = masked(files).select(*KEY, F.explode(F.array_distinct(_all("code", r"(?<![.\w])(\w+)\b(?!\s*\()"))).alias("name"))
-    return tokens.join(functions(files).select(*KEY, "name"), [*KEY, "name"], "left_semi").distinct()
+    return tokens.join((functions(files) if known is None else known).select(*KEY, "name"), [*KEY, "name"], "left_semi").distinct()
 
 
 def instantiated(files: DataFrame) -> DataFrame:
@@ -224,6 +219,13 @@ def lazy_types(files: DataFrame) -> DataFrame:
     return masked(files).where(F.col("language").isin(JVM)).select(*KEY, F.explode(F.array_distinct(_all("code", r"@Lazy\s+(?:final\s+)?([A-Z]\w*)\s+\w"))).alias("type"))
 
 
+def record_components(files: DataFrame) -> DataFrame:
+    """name: components of Java's records, each of which is an accessor without definition."""
+    heads = masked(files).where("language = 'Java'").select(*KEY, F.explode(_all("code", r"\brecord\s+\w+\s*(?:<[^>(]*>)?\s*\(([^)]*)\)")).alias("list"))
+    parts = heads.select(*KEY, F.explode(F.split(F.regexp_replace("list", r"<[^<>]*>", ""), ",")).alias("part"))
+    return parts.select(*KEY, F.regexp_extract("part", r"(\w+)\s*$", 1).alias("name")).where("name <> ''").distinct()
+
+
 def implemented_interfaces(files: DataFrame) -> DataFrame:
     """interface: what the first class implements; in JVM languages else what the first interface extends, but for Spring's repositories."""
     code = masked(files).where(F.col("language").isin(JVM + SCRIPT))
@@ -291,7 +293,7 @@ def db_tables(files: DataFrame) -> DataFrame:
     go = files.where("language = 'Go'")
     named = r"func\s*\(\s*(?:\w+\s+)?\*?(\w+)\s*\)\s*TableName\s*\(\s*\)\s*string\s*\{\s*return\s+\"([^\"]+)\""
     pairs = go.select(*KEY, F.explode(F.arrays_zip(_all("content", named).alias("c"), _all("content", named, 2).alias("t"))).alias("x"))
-    beego = go.select(*KEY, F.explode(_all("content", r"orm\.RegisterModel\s*\(((?:\s*new\s*\(\s*\w+\s*\)\s*,?)+)\s*\)")).alias("content"))
+    beego = go.select(*KEY, F.explode(_all("content", r"orm\.RegisterModel\s*\(((?:\s*new\s*\(\s*\w+\s*\)\s*,?)++)\s*\)")).alias("content"))
     ranked = row(pairs, F.col("x.t"), F.col("x.c")).withColumn("rank", F.lit(0)).unionByName(row(names(go, r"type\s+(\w+)\s+struct\s*\{[^}]*?\bgorm\.Model\b"), plural, F.col("n")).withColumn("rank", F.lit(1)))
     ranked = ranked.unionByName(row(names(beego, r"new\s*\(\s*(\w+)\s*\)"), snake("n"), F.col("n")).withColumn("rank", F.lit(2)))
     out = out.unionByName(ranked.groupBy(*KEY, "class_name").agg(F.min_by("table_name", "rank").alias("table_name")).select(*KEY, "table_name", "class_name"))
@@ -318,24 +320,12 @@ def compose_hosts(files: DataFrame) -> DataFrame:
     return text.select(*KEY, F.posexplode(both).alias("pos", "x")).groupBy(*KEY, F.col("x.k").alias("key")).agg(F.max_by("x.h", "pos").alias("host"))
 
 
-def property_hosts(files: DataFrame, depth: int = 6) -> DataFrame:
-    """key, host: settings whose value is an http URL, by dotted key; nested YAML keys by indentation, up to ``depth`` levels."""
+def property_hosts(files: DataFrame) -> DataFrame:
+    """key, host: settings whose value is an http URL, by dotted key; nested YAML keys by indentation."""
     spring = files.where("language = 'SpringYaml'")
     form = r"(?m)^([A-Za-z0-9_.-]+)\s*=\s*http://([a-zA-Z0-9_-]+)"
-    flat = spring.where(F.col("file_path").endswith(".properties")).select(*KEY, F.explode(F.arrays_zip(_all("content", form).alias("k"), _all("content", form, 2).alias("h"))).alias("x")).select(*KEY, F.col("x.k").alias("key"), F.col("x.h").alias("host"))
-    t = lines(spring.where(~F.col("file_path").endswith(".properties"))).withColumn("text", F.regexp_replace("text", "#.*$", "")).where(F.trim("text").contains(":"))
-    t = t.select(*KEY, "line", F.length(F.regexp_extract("text", "^( *)", 1)).alias("indent"), F.trim(F.substring_index(F.trim("text"), ":", 1)).alias("key"), F.trim(F.regexp_replace(F.trim("text"), "^[^:]*:", "")).alias("value")).where("key <> ''")
-    before = Window.partitionBy(*KEY).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    # the parent is the last earlier section that is indented less; each round looks for the next one up
-    t = t.withColumn("sections", F.collect_list(F.when(F.col("value") == "", F.struct("line", "indent", "key"))).over(before))
-    path, indent, left = F.col("key"), F.col("indent"), F.col("sections")
-    t = t.withColumns({"path": path, "level": indent, "above": left}).where("value RLIKE '^[\"'']?http://'")
-    for _ in range(depth):
-        up = F.element_at(F.filter("above", lambda s: s["indent"] < F.col("level")), -1)
-        t = t.withColumn("up", F.when(F.exists("above", lambda s: s["indent"] < F.col("level")), up))
-        t = t.withColumns({"path": F.when(F.col("up").isNotNull(), F.concat("up.key", F.lit("."), "path")).otherwise(F.col("path")), "above": F.when(F.col("up").isNotNull(), F.filter("above", lambda s: s["line"] < F.col("up.line"))).otherwise(F.array().cast(t.schema["above"].dataType)), "level": F.coalesce("up.indent", "level")}).drop("up")
-    nested = t.select(*KEY, F.col("path").alias("key"), F.regexp_extract("value", r"http://([^/:\"']+)", 1).alias("host")).where("host <> ''")
-    return flat.unionByName(nested)
+    flat = spring.where(F.col("file_path").endswith(".properties")).select(*KEY, F.explode(F.arrays_zip(_all("content", form).alias("k"), _all("content", form, 2).alias("h"))).alias("x"))
+    return flat.select(*KEY, F.col("x.k").alias("key"), F.col("x.h").alias("host")).unionByName(scopes.settings(spring.where(~F.col("file_path").endswith(".properties"))))
 
 
 def endpoints(files: DataFrame) -> DataFrame:
@@ -407,7 +397,7 @@ def jsx_components(files: DataFrame) -> DataFrame:
 
 
 def async_methods(files: DataFrame) -> DataFrame:
-    java = r"(?m)^[ \t]*@Async\b[\s\S]{0,200}?(?:public|protected|private)\s+(?:\w+\s+)*(\w+)\s*\("
+    java = r"(?m)^[ \t]*@Async\b[\s\S]{0,200}?(?:public|protected|private)\s+(?:\w+\s++(?!\())*+(\w+)\s*\("
     script = r"(?:async\s+function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*async\s*(?:\(|\w))"
     forms = {"Java": java, "Python": r"(?m)^\s*async\s+def\s+(\w+)\s*\(", "TypeScript": script, "JavaScript": script}
     found = masked(files).select(*KEY, F.explode(_by_language(forms, lambda p, lang: _first_group("code", p, 2 if lang in SCRIPT else 1))).alias("name"))
@@ -418,7 +408,7 @@ def annotated_methods(files: DataFrame) -> DataFrame:
     """annotation, name: the method behind each line that begins with an annotation or decorator, within 8 more lines."""
     by = Window.partitionBy(*KEY).orderBy("line")
     t = lines(masked(files).where(F.col("language").isin(JVM + SCRIPT + ["Python"])), "code").withColumn("annotation", F.regexp_extract(F.trim("text"), r"^@(\w+)", 1))
-    bare = F.trim(F.regexp_replace("text", r"^\s*(?:@[\w.]+(?:\([^)]*\))?\s*)+", ""))
+    bare = F.trim(F.regexp_replace("text", r"^\s*(?:@[\w.]+(?:\([^)]*\))?\s*)++", ""))
     t = t.withColumn("signature", F.first(F.when((bare != "") & ~bare.rlike(r"^(//|\*|/\*)"), bare), ignorenulls=True).over(by.rowsBetween(0, 8)))
     name = F.when(F.col("language") == "Python", F.regexp_extract("signature", r"def\s+(\w+)\s*\(", 1)).otherwise(F.regexp_extract("signature", r"([A-Za-z_]\w*)\s*\(", 1))
     t = t.where(F.trim("text").startswith("@")).select(*KEY, "language", "annotation", name.alias("name"))
@@ -435,9 +425,31 @@ def framework_methods(files: DataFrame) -> DataFrame:
     return found.where(~F.col("language").isin(JVM) | F.col("annotation").isin(FRAMEWORK_ANNOTATIONS)).select(*KEY, "name").distinct()
 
 
-def interface_methods(files: DataFrame) -> DataFrame:
-    """name: functions of JVM files whose first type is an interface, but for Spring's repositories."""
-    code = masked(files).where(F.col("language").isin(JVM))
-    first = F.regexp_extract("code", r"\b(class|interface|enum|record)\s+\w+", 1)
-    own = code.where((first == "interface") & ~F.col("code").rlike(r"extends\s+(?:Jpa|Crud|PagingAndSorting)?Repository\s*<")).select(*KEY)
-    return functions(files).join(own, KEY, "left_semi").select(*KEY, "name")
+def interface_methods(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """name: functions (``known``, if they have been read) of JVM files that are defined in the body of the first interface itself, but for Spring's repositories."""
+    own = masked(files).where(F.col("language").isin(JVM) & ~F.col("code").rlike(r"extends\s+(?:Jpa|Crud|PagingAndSorting)?Repository\s*<")).select(*KEY)
+    return (functions(files) if known is None else known).where("in_interface").join(own, KEY, "left_semi").select(*KEY, "name")
+
+
+def service_calls(files: DataFrame) -> DataFrame:
+    """kind, value: what the HTTP clients of a file call: a ``host``, or a host that an environment variable (``env``) or a setting (``property``) names.
+
+    A JVM field that is put together with a path stands for the host or the setting in its declaration, the last one of its name.
+    """
+    code = masked(files)
+    row = lambda df, pattern, kind: df.select(*KEY, F.lit(kind).alias("kind"), F.explode(_all("code", pattern)).alias("value"))
+    jvm, python, script, go = code.where(F.col("language").isin(JVM)), code.where("language = 'Python'"), code.where(F.col("language").isin(SCRIPT)), code.where("language = 'Go'")
+    out = row(jvm, JVM_CLIENT + r"[\"']" + HTTP_HOST, "host")
+    for df, pattern, kind in (
+        (python, PYTHON_CLIENT + r"f?[\"']" + HTTP_HOST, "host"), (python, PYTHON_CLIENT + PYTHON_ENV, "env"), (script, SCRIPT_CLIENT + r"[`\"']" + HTTP_HOST, "host"),
+        (script, SCRIPT_CLIENT + SCRIPT_ENV, "env"), (go, GO_CLIENT + HTTP_HOST, "host"), (go, GO_REQUEST + HTTP_HOST, "host"),
+    ):
+        out = out.unionByName(row(df, pattern, kind))
+    pair = lambda p: F.arrays_zip(_all("code", p).alias("a"), _all("code", p, 2).alias("b"))
+    hosts = jvm.select(*KEY, F.posexplode(pair(HOST_FIELD)).alias("at", "x")).select(*KEY, F.col("x.a").alias("field"), F.lit("host").alias("kind"), F.col("x.b").alias("value"), "at")
+    settings = jvm.select(*KEY, F.posexplode(pair(VALUE_FIELD)).alias("at", "x")).select(*KEY, F.regexp_extract("x.b", r"String\s+(\w+)", 1).alias("field"), F.lit("property").alias("kind"), F.col("x.a").alias("value"), "at")
+    # a literal host comes before a setting
+    fields = hosts.withColumn("first", F.lit(1)).unionByName(settings.where("field <> ''").withColumn("first", F.lit(0)))
+    fields = fields.groupBy(*KEY, "field").agg(F.max_by(F.struct("kind", "value"), F.struct("first", "at")).alias("v")).select(*KEY, "field", "v.kind", "v.value")
+    used = jvm.select(*KEY, F.explode(F.array_distinct(_all("code", JVM_CLIENT + r"(\w+)\s*\+"))).alias("field"))
+    return out.unionByName(used.join(fields, [*KEY, "field"]).select(*KEY, "kind", "value")).distinct()

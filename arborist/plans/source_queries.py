@@ -41,6 +41,11 @@ def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
     access = F.when(F.col("type") == "DB_READ", text("SELECT * FROM ", "$tgt_name", " WHERE id = 1")).when(F.col("type") == "DB_WRITE", text("UPDATE ", "$tgt_name", " SET a = 1")).otherwise(text("DELETE FROM ", "$tgt_name", " WHERE id = 1"))
     q = text("q", F.col("ord").cast("string"))
     sql = _lines(ends.where("type LIKE 'DB%'"), ["graph_id", "src_path"], _by(text("    static String ", q, ' = "', access, '";'), text("    val ", q, ' = "', access, '"'), text(q, ' = "', access, '"'), text("const ", q, ' = "', access, '";')), ["ord", "tgt"], "queries")
+    # calls of other services: by literal, by a field that holds the host, by a client of the language
+    host, s = F.regexp_extract("tgt_path", "^services/([^/]+)/", 1), text("s", F.col("ord").cast("string"))
+    field = text("    String h", F.col("ord").cast("string"), ' = "http://', host, '/";\n    val ', s, " = client.uri(h", F.col("ord").cast("string"), ' + "x")')
+    clients = _by(text("    Object ", s, ' = client.uri("http://', host, '/x");'), field, text(s, ' = requests.get(f"http://', host, '/x")'), text("const ", s, " = axios.get(`http://", host, "/x`);"))
+    remote = _lines(ends.where("type = 'SERVICE_CALL'"), ["graph_id", "src_path"], clients, ["ord", "tgt"], "remote")
     target = F.regexp_replace(F.element_at(F.split("tgt_path", "/"), -1), r"\.[^.]*$", "")
     call = F.when(F.col("same_file") & (F.col("language") == "Java"), text("$tgt_name", "(1)")).otherwise(text(target, ".", "$tgt_name", "(2)"))
     calls = _lines(ends.where("type = 'FUNCTION_CALL'"), ["graph_id", "src"], text("        ", call, F.when(F.col("language").isin("Java", "TypeScript"), ";").otherwise("")), ["ord", "tgt"], "calls")
@@ -59,6 +64,7 @@ def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _lines(point, ["graph_id", "file_path"], serve, ["ord"], "points")
     part = lambda c: F.coalesce(c, F.lit(""))
     f = files.join(imports.withColumnRenamed("src_path", "file_path"), ["graph_id", "file_path"], "left").join(sql.withColumnRenamed("src_path", "file_path"), ["graph_id", "file_path"], "left")
+    f = f.join(remote.withColumnRenamed("src_path", "file_path"), ["graph_id", "file_path"], "left").withColumn("queries", F.concat_ws("\n", "queries", "remote"))
     f = f.join(functions, ["graph_id", "file_path"], "left").join(points, ["graph_id", "file_path"], "left")
     hidden = "/* public void ghost(int a) { haunt(1); }\n import no.such; */\n"
     entity = F.when(F.col("ord") % 6 == 0, text('@Entity\n@Table(name = "tbl_', F.col("ord").cast("string"), '")\n')).otherwise("")
@@ -123,7 +129,8 @@ QUERIES = {
     "x25_async_methods": _over(X.async_methods, "name"), "x26_transactional_methods": _over(X.transactional_methods, "name"),
     "n1_file_nodes": _nodes("FILE", "language", "comment"), "n2_function_nodes": _nodes("FUNCTION", "name", "comment", "is_async", "is_transactional", "merged_def_count"), "n3_n4_table_nodes": _nodes("DB_TABLE", "name"), "n5_endpoint_nodes": _nodes("API_ENDPOINT", "name"),
     "e1_e2_import_edges": _edges(B.import_edges, "src_path", "tgt_path"), "e4_e9_call_edges": _edges(B.call_edges, "src_path", "src_name", "tgt_path", "tgt_name", "same_file"),
-    "e13_raw_sql_edges": _edges(B.sql_edges, "type", "src_path", "tgt_name"), "e16_endpoint_handlers": _edges(B.handler_edges, "src_path", "src_name", "tgt_name"),
+    "e13_raw_sql_edges": _edges(B.sql_edges, "type", "src_path", "tgt_name"), "x17_service_calls": _over(X.service_calls, "kind", "value"),
+    "e18_service_call_edges": _edges(B.service_edges, "src_path", "tgt_path"), "e16_endpoint_handlers": _edges(B.handler_edges, "src_path", "src_name", "tgt_name"),
 }
 
 _EXT = "regexp_replace(regexp_extract({p}, '[^/]*$'), '\\.[^.]*$', '')"
@@ -139,13 +146,16 @@ _MAPPING = "CASE WHEN language IN ('Java', 'Kotlin') THEN url ELSE 'GET:' || url
 _NOTE = "SELECT graph_id, file_path, name, arg_min(comment, ord) AS comment FROM fd WHERE comment IS NOT NULL GROUP BY 1, 2, 3"
 _ASYNC = "language IN ('Java', 'Python', 'TypeScript') AND is_async"
 _TX = "language IN ('Java', 'Kotlin') AND is_transactional"
+_HOST = "regexp_extract(tgt_path, '^services/([^/]+)/', 1)"
+# the first directory, or the second behind a wrapper
+_SERVICE = "regexp_extract(file_path, '^(?:(?:services|apps|packages|modules)/)?([^/]+)/', 1)"
 _BODY = {
     "x1_comment_masking": f" SELECT f.graph_id, f.file_path, 0 AS in_comments, COUNT(d.table_name) AS in_strings FROM fl f LEFT JOIN (SELECT graph_id, src_path AS file_path, tgt_name AS table_name FROM ends WHERE type LIKE 'DB%') d USING (graph_id, file_path) GROUP BY 1, 2",
     "x2_file_comments": " SELECT graph_id, file_path, 'about ' || stem AS comment FROM fl",
     "x3_function_comments": f" {_NOTE}",
     "x4_x6_functions": " SELECT graph_id, file_path, name, COUNT(*) AS defs FROM fd GROUP BY 1, 2, 3",
     "x7_imports": f" SELECT graph_id, src_path AS file_path, CASE WHEN src_language = 'TypeScript' THEN {_BARE} ELSE replace({_BARE}, '/', '.') END AS import FROM ends WHERE type = 'IMPORT'",
-    "x8_calls": " SELECT DISTINCT graph_id, src_path AS file_path, src_name AS caller, cls AS target_class, tgt_name AS callee FROM cl WHERE NOT (cls IS NULL AND src_name = tgt_name) UNION SELECT graph_id, src_path, src_name, NULL, tgt_name FROM cl WHERE src_name <> tgt_name UNION SELECT graph_id, file_path, serve, NULL, 'get' FROM (SELECT *, MAX(ord) OVER (PARTITION BY graph_id, file_path) AS last FROM pt) p WHERE language IN ('Python', 'TypeScript') AND (ord < last)",
+    "x8_calls": " SELECT DISTINCT graph_id, src_path AS file_path, src_name AS caller, cls AS target_class, tgt_name AS callee FROM cl WHERE NOT (cls IS NULL AND src_name = tgt_name) UNION SELECT graph_id, src_path, src_name, NULL, tgt_name FROM cl WHERE src_name <> tgt_name",
     "x11_db_tables": " SELECT graph_id, file_path, 'tbl_' || ord AS table_name, stem AS class_name FROM fl WHERE language IN ('Java', 'Kotlin') AND ord % 6 = 0",
     "x12_entity_columns": " SELECT graph_id, file_path, c.* FROM fl, (VALUES ('idKey', 'id_key', 'Long', FALSE), ('code', 'code_name', 'String', TRUE)) c(field_name, column_name, java_type, has_converter) WHERE language IN ('Java', 'Kotlin') AND ord % 6 = 0",
     "x20_x21_endpoints": f" SELECT graph_id, file_path, {_MAPPING} AS mapping, arg_max(serve, ord) AS handler FROM pt GROUP BY 1, 2, 3",
@@ -168,6 +178,11 @@ al AS (SELECT graph_id, src_path, src_name, tgt_path, tgt_name, src_path = tgt_p
   UNION SELECT graph_id, src_path, src_name, CASE WHEN ni = 1 THEN ti ELSE t END, tgt_name, FALSE FROM pk WHERE ni = 1 OR (n = 1 AND (tgt_name <> 'main' OR regexp_replace(src_path, '[^/]*$', '') = regexp_replace(t, '[^/]*$', ''))))
 SELECT * FROM al""",
     "e13_raw_sql_edges": f" SELECT DISTINCT graph_id, CASE WHEN is_write THEN 'DB_WRITE' ELSE 'DB_READ' END AS type, file_path AS src_path, table_name AS tgt_name FROM ({_DB})",
+    "x17_service_calls": f" SELECT DISTINCT graph_id, src_path AS file_path, 'host' AS kind, {_HOST} AS value FROM ends WHERE type = 'SERVICE_CALL'",
+    "e18_service_call_edges": f""", sv AS (SELECT graph_id, service, MIN(file_path) AS rep FROM (SELECT graph_id, file_path, {_SERVICE} AS service FROM fl) WHERE service <> '' GROUP BY 1, 2),
+sc AS (SELECT DISTINCT graph_id, src_path, {_HOST} AS host, {_SERVICE.replace('file_path', 'src_path')} AS own FROM ends WHERE type = 'SERVICE_CALL'),
+sm AS (SELECT c.*, s.service, s.rep, ROW_NUMBER() OVER (PARTITION BY c.graph_id, c.src_path, c.host ORDER BY s.rep) AS rn FROM sc c JOIN sv s ON s.graph_id = c.graph_id AND contains(lower(s.service), lower(c.host)))
+SELECT DISTINCT graph_id, src_path, rep AS tgt_path FROM sm WHERE rn = 1 AND rep <> src_path AND lower(own) <> lower(service)""",
     "e16_endpoint_handlers": f" SELECT graph_id, file_path AS src_path, {_MAPPING} AS src_name, arg_max(serve, ord) AS tgt_name FROM pt GROUP BY 1, 2, 3",
 }
 
