@@ -206,8 +206,10 @@ def ddd_gate(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("graph_id").agg((sum(has[1:], has[0]) >= 2).alias("is_ddd"))
 
 
-def db_layer_bypass(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    e = _imports(nodes, edges.where("NOT is_interface_impl"), "upper", "infra", "persistence", "root_file", "error_file").join(ddd_gate(nodes).where("is_ddd"), "graph_id", "left_semi")
+def db_layer_bypass(nodes: DataFrame, edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """In ``graphs`` (graph_id), else in those with the layers of domain-driven design."""
+    nodes, edges = _in_ddd(nodes, edges, graphs)
+    e = _imports(nodes, edges.where("NOT is_interface_impl"), "upper", "infra", "persistence", "root_file", "error_file")
     e = e.where("src_upper AND NOT src_root_file AND tgt_infra AND tgt_persistence AND NOT tgt_error_file")
     return _pair(e, "DB_LAYER_BYPASS", "HIGH", "Upper layer imports persistence")
 
@@ -234,22 +236,24 @@ def with_contexts(nodes: DataFrame) -> DataFrame:
     return nodes.join(contexts(nodes), ["graph_id", "file_path"])
 
 
-def _in_ddd(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes and edges of the graphs with the layers of domain-driven design."""
-    gate = materialise(ddd_gate(nodes).where("is_ddd").select("graph_id"))
+def _in_ddd(nodes: DataFrame, edges: DataFrame, graphs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges of ``graphs``, else of the graphs with the layers of domain-driven design."""
+    gate = materialise(ddd_gate(nodes).where("is_ddd").select("graph_id")) if graphs is None else graphs.select("graph_id")
     return nodes.join(gate, "graph_id", "left_semi"), edges.join(gate, "graph_id", "left_semi")
 
 
-def cross_context_import(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    nodes, edges = _in_ddd(nodes, edges)
+def cross_context_import(nodes: DataFrame, edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """In ``graphs`` (graph_id), else in those with the layers of domain-driven design."""
+    nodes, edges = _in_ddd(nodes, edges, graphs)
     n = classified(with_contexts(nodes))
     gate = n.where("NOT test").select("graph_id", F.explode(F.array("app_context", "dom_context")).alias("c")).where("c IS NOT NULL").groupBy("graph_id").agg(F.countDistinct("c").alias("n")).where("n >= 2")
     e = with_ends(edges.where("type = 'IMPORT'"), n, "test", "app_context", "dom_context").join(gate, "graph_id", "left_semi")
     return _pair(e.where("NOT src_test AND src_app_context <> tgt_dom_context"), "CROSS_CONTEXT_IMPORT", "HIGH", "Import across contexts")
 
 
-def cross_domain_call(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    nodes, edges = _in_ddd(nodes, edges)
+def cross_domain_call(nodes: DataFrame, edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """In ``graphs`` (graph_id), else in those with the layers of domain-driven design."""
+    nodes, edges = _in_ddd(nodes, edges, graphs)
     n = classified(with_contexts(nodes)).withColumn("aside", F.col("file_path").rlike("/(infrastructure|shared|port|adapter)/"))
     shared = n.where("type = 'FUNCTION' AND NOT test AND fn_context IS NOT NULL").groupBy("graph_id", F.col("name").alias("tgt_name")).agg(F.countDistinct("fn_context").alias("n")).where("n >= 2")
     n = materialise(n.where("NOT test AND fn_context IS NOT NULL").select("graph_id", "id", "name", "file_path", "language", "fn_context", "aside", "framework"))
@@ -275,21 +279,27 @@ def feature_layer_violation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _pair(e, "FEATURE_LAYER_VIOLATION", "HIGH", "Import against the layer order")
 
 
-def _layered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _layer_files(nodes: DataFrame) -> DataFrame:
+    """Classified files outside tests whose layer is known, with its ``rank``."""
     path = F.col("file_path")
-    n = classified(nodes.where("type = 'FILE'")).where(~P.is_test_path(path) & ~F.col("test")).withColumn("rank", P.layer_rank(path)).where("rank IS NOT NULL")
+    return classified(nodes.where("type = 'FILE'")).where(~P.is_test_path(path) & ~F.col("test")).withColumn("rank", P.layer_rank(path)).where("rank IS NOT NULL")
+
+
+def _layered(nodes: DataFrame, edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """Imports between layers where a graph has two or more and no features: in ``graphs``, else in those without the layers of domain-driven design."""
+    n = _layer_files(nodes)
     layers = n.groupBy("graph_id").agg(F.countDistinct("rank").alias("layers"), F.max((F.col("rank") == 1).cast("int")).alias("has_service")).where("layers >= 2")
-    skip = feature_gate(nodes).unionByName(ddd_gate(nodes).where("is_ddd").select("graph_id"))
-    e = with_ends(edges.where("type = 'IMPORT'"), n, "rank", "infra", "in_shared", "domain", "interface_dir", "root_file").join(layers, "graph_id").join(skip, "graph_id", "left_anti")
+    e = with_ends(edges.where("type = 'IMPORT'"), n, "rank", "infra", "in_shared", "domain", "interface_dir", "root_file").join(layers, "graph_id").join(feature_gate(nodes), "graph_id", "left_anti")
+    e = e.join(ddd_gate(nodes).where("is_ddd"), "graph_id", "left_anti") if graphs is None else e.join(graphs.select("graph_id"), "graph_id", "left_semi")
     return e.where("NOT (tgt_infra AND NOT tgt_in_shared AND (src_domain OR (src_interface_dir AND NOT src_root_file)))")
 
 
-def layered_reverse_dependency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _pair(_layered(nodes, edges).where("src_rank > tgt_rank"), "LAYERED_REVERSE_DEPENDENCY", "HIGH", "Lower layer imports upper")
+def layered_reverse_dependency(nodes: DataFrame, edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    return _pair(_layered(nodes, edges, graphs).where("src_rank > tgt_rank"), "LAYERED_REVERSE_DEPENDENCY", "HIGH", "Lower layer imports upper")
 
 
-def layered_bypass(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _pair(_layered(nodes, edges).where("src_rank = 0 AND tgt_rank = 2 AND has_service = 1"), "LAYERED_BYPASS", "MEDIUM", "Controller imports repository")
+def layered_bypass(nodes: DataFrame, edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    return _pair(_layered(nodes, edges, graphs).where("src_rank = 0 AND tgt_rank = 2 AND has_service = 1"), "LAYERED_BYPASS", "MEDIUM", "Controller imports repository")
 
 
 def modules_of(nodes: DataFrame, modules: DataFrame, projects: DataFrame) -> DataFrame:
@@ -363,28 +373,55 @@ GRAPH_RULES = {
 #: Rules of one architecture only; all others always run.
 DDD_RULES = ["r11_db_layer_bypass", "r12_cross_context_import", "r13_cross_domain_call"]
 LAYERED_RULES = ["r16_layered_reverse_dependency", "r17_layered_bypass"]
+#: Types of warnings by architecture.
+RULE_TYPES = {"DDD": ["DB_LAYER_BYPASS", "CROSS_CONTEXT_IMPORT", "CROSS_DOMAIN_CALL"], "LAYERED": ["LAYERED_REVERSE_DEPENDENCY", "LAYERED_BYPASS"], "GENERIC": []}
+FEATURE_RULE_TYPES = ["CROSS_FEATURE_IMPORT", "FEATURE_LAYER_VIOLATION"]
+SERVICE_RULE_TYPES = ["SHARED_DATABASE_ACCESS", "SERVICE_CALL_CHAIN"]
+
 
+def service_gate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id of graphs with a call between services, or with two or more services that access tables."""
+    owners = nodes.select("graph_id", F.col("id").alias("src"), P.service_of(F.col("file_path")).alias("service")).where("service IS NOT NULL")
+    tables = nodes.where("type = 'DB_TABLE'").select("graph_id", F.col("id").alias("tgt"))
+    access = edges.where(F.col("type").isin(DB_ACCESS)).join(tables, ["graph_id", "tgt"], "left_semi").join(owners, ["graph_id", "src"])
+    many = access.groupBy("graph_id").agg(F.countDistinct("service").alias("n")).where("n >= 2").select("graph_id")
+    return many.unionByName(edges.where("type = 'SERVICE_CALL'").select("graph_id")).distinct()
 
-def themes(nodes: DataFrame, policies: DataFrame | None = None) -> DataFrame:
-    """graph_id, policy, theme, is_ddd, has_features: the architecture whose rules hold for each graph.
 
-    policies: graph_id, policy (AUTO, DDD or LAYERED; missing or unknown: AUTO, by the layers that the graph has).
+def themes(nodes: DataFrame, edges: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """graph_id, policy, theme, is_ddd, has_features, has_services, self_declared, rule_types: the architecture whose rules hold for each graph.
+
+    policies: graph_id, policy (AUTO, DDD or LAYERED; missing or unknown: AUTO, by what the graph has: the layers of domain-driven design, else
+    two or more layers without features, else GENERIC). ``rule_types`` are the theme's, those of features and of services where they are active.
     """
-    g = ddd_gate(nodes).join(feature_gate(nodes).withColumn("has_features", F.lit(True)), "graph_id", "left").withColumn("has_features", F.coalesce("has_features", F.lit(False)))
+    active = lambda df, name: df.select("graph_id").distinct().withColumn(name, F.lit(True))
+    layers = _layer_files(nodes).groupBy("graph_id").agg(F.countDistinct("rank").alias("n")).where("n >= 2")
+    g = ddd_gate(nodes).join(active(feature_gate(nodes), "has_features"), "graph_id", "left").join(active(layers, "has_layers"), "graph_id", "left").join(active(service_gate(nodes, edges), "has_services"), "graph_id", "left")
+    g = g.na.fill(False, ["has_features", "has_layers", "has_services"])
     g = g.join(policies, "graph_id", "left") if policies is not None else g.withColumn("policy", F.lit(None).cast("string"))
     g = g.withColumn("policy", F.when(F.col("policy").isin("DDD", "LAYERED"), F.col("policy")).otherwise("AUTO"))
-    theme = F.when(F.col("policy") != "AUTO", F.col("policy")).otherwise(F.when(F.col("is_ddd"), "DDD").otherwise("LAYERED"))
-    return g.select("graph_id", "policy", theme.alias("theme"), "is_ddd", "has_features")
+    theme = F.when(F.col("policy") != "AUTO", F.col("policy")).when(F.col("is_ddd"), "DDD").when(F.col("has_layers") & ~F.col("has_features"), "LAYERED").otherwise("GENERIC")
+    types = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    none = types([])
+    own = F.coalesce(*[F.when(F.col("theme") == t, types(names)) for t, names in RULE_TYPES.items()])
+    extra = F.concat(F.when(F.col("has_features"), types(FEATURE_RULE_TYPES)).otherwise(none), F.when(F.col("has_services"), types(SERVICE_RULE_TYPES)).otherwise(none))
+    g = g.withColumn("theme", theme).withColumn("rule_types", F.concat(own, extra)).withColumn("self_declared", F.col("policy") != "AUTO")
+    return g.select("graph_id", "policy", "theme", "is_ddd", "has_features", "has_services", "self_declared", "rule_types")
+
 
+def detect(nodes: DataFrame, edges: DataFrame, policies: DataFrame | None = None, tables: DataFrame | None = None, intent: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """All rules at once; those of one architecture run on the graphs of that theme, whether it was found or declared.
 
-def detect(nodes: DataFrame, edges: DataFrame, policies: DataFrame | None = None) -> DataFrame:
-    """All graph rules at once; those of one architecture run on the graphs of that theme."""
-    theme = materialise(themes(nodes, policies).select("graph_id", "theme"))
+    ``tables`` (see ``missing_converter_migration``) and ``intent`` (modules, rules and projects, see ``intent_drift``) add the rules that read them.
+    """
+    theme = materialise(themes(nodes, edges, policies).select("graph_id", "theme"))
+    ddd, other = theme.where("theme = 'DDD'").select("graph_id"), theme.where("theme <> 'DDD'").select("graph_id")
     out = None
     for name, rule in GRAPH_RULES.items():
-        found = rule(nodes, edges)
-        for kind, names in (("DDD", DDD_RULES), ("LAYERED", LAYERED_RULES)):
-            if name in names:
-                found = found.join(theme.where(F.col("theme") == kind), "graph_id", "left_semi")
+        found = rule(nodes, edges, ddd) if name in DDD_RULES else rule(nodes, edges, other) if name in LAYERED_RULES else rule(nodes, edges)
         out = found if out is None else out.unionByName(found)
+    if tables is not None:
+        out = out.unionByName(missing_converter_migration(tables))
+    if intent is not None:
+        out = out.unionByName(intent_drift(nodes, edges, *intent))
     return out

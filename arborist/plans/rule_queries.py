@@ -128,7 +128,7 @@ def p_module_of(spark, sf_dir):
 def p_themes(spark, sf_dir):
     n = G.nodes(spark, sf_dir)
     policies = n.select("graph_id").distinct().where("graph_id % 4 <> 0").selectExpr("graph_id", "CASE graph_id % 4 WHEN 1 THEN 'DDD' WHEN 2 THEN 'LAYERED' ELSE 'other' END AS policy")
-    return rules.themes(n, policies)
+    return rules.themes(n, G.edges(spark, sf_dir), policies).withColumn("rule_types", F.array_join("rule_types", ","))
 
 
 def w_glob(spark, sf_dir):
@@ -318,7 +318,14 @@ ORACLES = {
     "w9_severity_counters": _ALL + ", s AS (SELECT *, EXISTS (SELECT 1 FROM nodes n WHERE n.type = 'FILE' AND n.ord % 2 = 0 AND n.graph_id = wf.graph_id AND n.file_path = wf.file) AS inside FROM wf) SELECT graph_id, COUNT(*) FILTER (WHERE inside AND severity <> 'LOW') AS kept, COUNT(*) FILTER (WHERE inside AND severity = 'LOW') AS low_dropped, COUNT(*) FILTER (WHERE NOT inside) AS out_of_scope FROM s GROUP BY 1",
     "w11_gate_log": _ALL + " SELECT graph_id, CASE WHEN bool_or(severity = 'HIGH') THEN 'failure' ELSE 'success' END AS state, COUNT(*) FILTER (WHERE severity = 'HIGH') AS high_count, COUNT(*) FILTER (WHERE severity <> 'LOW') AS warning_count, '2024-01-31' AS day FROM w GROUP BY 1",
     "g37_node_warnings": _ALL + " SELECT DISTINCT graph_id, UNNEST(string_split(node_ids, ',')) AS node, fingerprint, type FROM w",
-    "p2_p3_themes": f", {DDD}, {FEATURES}, g AS (SELECT DISTINCT graph_id FROM nodes), t AS (SELECT graph_id, CASE graph_id % 4 WHEN 1 THEN 'DDD' WHEN 2 THEN 'LAYERED' ELSE 'AUTO' END AS policy, graph_id IN (SELECT graph_id FROM ddd) AS is_ddd, graph_id IN (SELECT graph_id FROM ft) AS has_features FROM g) SELECT graph_id, policy, CASE WHEN policy <> 'AUTO' THEN policy WHEN is_ddd THEN 'DDD' ELSE 'LAYERED' END AS theme, is_ddd, has_features FROM t",
+    "p2_p3_themes": f"""{LAYERED}, sd AS (SELECT e.graph_id FROM ends e WHERE e.type IN {_list(rules.DB_ACCESS)} AND e.tgt_type = 'DB_TABLE' GROUP BY 1 HAVING COUNT(DISTINCT {_service('src_path')}) >= 2
+  UNION SELECT graph_id FROM edges WHERE type = 'SERVICE_CALL'),
+tg AS (SELECT DISTINCT graph_id FROM nodes), tp AS (SELECT graph_id, CASE graph_id % 4 WHEN 1 THEN 'DDD' WHEN 2 THEN 'LAYERED' ELSE 'AUTO' END AS policy, graph_id IN (SELECT graph_id FROM ddd) AS is_ddd,
+  graph_id IN (SELECT graph_id FROM ft) AS has_features, graph_id IN (SELECT graph_id FROM lg) AS has_layers, graph_id IN (SELECT graph_id FROM sd) AS has_services FROM tg),
+tt AS (SELECT *, CASE WHEN policy <> 'AUTO' THEN policy WHEN is_ddd THEN 'DDD' WHEN has_layers AND NOT has_features THEN 'LAYERED' ELSE 'GENERIC' END AS theme FROM tp)
+SELECT graph_id, policy, theme, is_ddd, has_features, has_services, policy <> 'AUTO' AS self_declared, array_to_string(list_concat(
+  CASE theme WHEN 'DDD' THEN ['DB_LAYER_BYPASS', 'CROSS_CONTEXT_IMPORT', 'CROSS_DOMAIN_CALL'] WHEN 'LAYERED' THEN ['LAYERED_REVERSE_DEPENDENCY', 'LAYERED_BYPASS'] ELSE [] END,
+  CASE WHEN has_features THEN ['CROSS_FEATURE_IMPORT', 'FEATURE_LAYER_VIOLATION'] ELSE [] END, CASE WHEN has_services THEN ['SHARED_DATABASE_ACCESS', 'SERVICE_CALL_CHAIN'] ELSE [] END), ',') AS rule_types FROM tt""",
     "p1_ddd_gate": f", {DDD} SELECT DISTINCT graph_id, graph_id IN (SELECT graph_id FROM ddd) AS is_ddd FROM nodes",
     "p5_context": f", {CONTEXTS} SELECT id, app_context, dom_context, fn_context FROM nc WHERE type = 'FILE'",
     "p8_path_classes": f" SELECT id, {_test('file_path', 'name')} AS test_artifact, regexp_matches(file_path, '/src/test/|/__tests__/|\\.test\\.|\\.spec\\.') AS test_path, {_root('file_path')} AS composition_root, file_path LIKE '%Controller.java' OR (contains(file_path, '/application/') AND regexp_matches(file_path, '(ApplicationService|Facade)\\.java$')) OR name LIKE '%Inner' AS orchestrator, {_framework('name')} AS framework_call, {_feature('file_path')} AS feature, {_rank('file_path')} AS frontend_rank, {_layer('file_path')} AS layer_rank, {_service('file_path')} AS service FROM nodes WHERE type IN ('FILE', 'FUNCTION')",

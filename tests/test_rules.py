@@ -107,6 +107,33 @@ def test_themes_route_rules(spark):
     assert "DB_LAYER_BYPASS" in types("AUTO") and "DB_LAYER_BYPASS" not in types("LAYERED") and "INTERFACES_IMPORTS_INFRA" in types("LAYERED")
 
 
+def test_forced_policies_and_generic_graphs(spark):
+    """A declared policy runs its rules on a graph of another shape; a graph of no architecture is GENERIC."""
+    policy = lambda p: spark.createDataFrame([(1, p)], "graph_id long, policy string")
+    kinds = lambda n, e, p: {w["type"] for w in rules.detect(n, e, policy(p)).collect()}
+    theme = lambda n, e, p="AUTO": rules.themes(n, e, policy(p)).first()
+    ddd = files("src/domain/A.java", "src/application/order/B.java", "src/infrastructure/persistence/C.java", "src/repository/UserRepository.java", "src/controller/UserController.java")
+    n, e = graph(spark, ddd, [("IMPORT", "F3", "F4")])
+    assert theme(n, e)["theme"] == "DDD" and "LAYERED_REVERSE_DEPENDENCY" not in kinds(n, e, "AUTO") and "LAYERED_REVERSE_DEPENDENCY" in kinds(n, e, "LAYERED")
+    n, e = graph(spark, files("src/api/A.java", "src/infra/persistence/B.java"), [("IMPORT", "F0", "F1")])
+    assert "DB_LAYER_BYPASS" in kinds(n, e, "DDD") and "DB_LAYER_BYPASS" not in kinds(n, e, "AUTO")
+    n, e = graph(spark, files("src/x/A.java", "src/y/B.java"), [("IMPORT", "F0", "F1")])
+    t = theme(n, e)
+    assert (t["theme"], t["rule_types"], t["has_services"], t["self_declared"]) == ("GENERIC", [], False, False)
+    assert theme(n, e, "LAYERED")["theme"] == "LAYERED" and theme(n, e, "LAYERED")["self_declared"]
+    n, e = graph(spark, files("a/A.java", "b/B.java"), [("SERVICE_CALL", "F0", "F1")])
+    assert theme(n, e)["rule_types"] == rules.SERVICE_RULE_TYPES
+
+
+def test_detect_runs_the_rules_with_inputs_of_their_own(spark):
+    n, e = graph(spark, files("src/a/A.java", "src/b/B.java"), [("IMPORT", "F0", "F1")])
+    tables = spark.createDataFrame([(1, "T", "t", False, [("code", True)])], "graph_id long, id string, name string, converter_migration_done boolean, columns array<struct<column_name: string, has_converter: boolean>>")
+    modules = spark.createDataFrame([(7, "a", 0, "src/a/**"), (7, "b", 1, "src/b/**")], "project_id long, module string, ord int, glob string")
+    forbidden = spark.createDataFrame([(7, "a", "b", None)], "project_id long, source string, target string, edge_type string")
+    projects = spark.createDataFrame([(1, 7)], "graph_id long, project_id long")
+    assert {w["type"] for w in rules.detect(n, e, None, tables, (modules, forbidden, projects)).collect()} == {"MISSING_CONVERTER_MIGRATION", "INTENT_DRIFT"}
+
+
 def test_fingerprints_and_gate_are_stable(spark):
     w = spark.createDataFrame([(1, "X", "HIGH", ["a"], "m"), (1, "Y", "LOW", ["b"], None)], "graph_id long, type string, severity string, node_ids array<string>, message string")
     assert findings.fingerprint(w).collect() == findings.fingerprint(w).collect()
