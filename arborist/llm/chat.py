@@ -76,10 +76,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, t, s, kind, r, x in zip(*(batch[n].to_pylist() for n in ("conv_id", "turn", "seq", "kind", "role", "text"))):
             if c != conv:
                 close()
-                conv, turn, ord_, dropped, kept_drop = c, _START, 0, None, None
+                conv, turn, ord_, dropped, kept_drop, role = c, _START, 0, None, None, ""
             if t != turn:
                 close()
-                turn, dropped = t, kept_drop
+                turn, dropped, role = t, kept_drop, ""  # a role holds for its turn
             if dropped is not None and s < dropped:
                 continue
             if kind == "regenerate":

@@ -237,9 +237,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, whole rows."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    found = materialise(contamination(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct())
-    return docs.withColumn("_key", key).join(found, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key")
+    found = materialise(contamination(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("key")).distinct())
+    # rows travel in a struct, so that no column of theirs is named as the key
+    rows = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(found, "key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,7 +171,10 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     again = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return whole
-    least = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])).alias("dup_row")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    # maps have no order: they are compared as text
+    order = F.struct(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes if c != "doc_id"])
+    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("dup_row")
     one = whole.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(least)
     one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col("dup_row").getField(c).alias(c) for c in docs.columns])
     return whole.join(again, "doc_id", "left_anti").select(*names).unionByName(one)
