@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from arborist.operators import feeds
 from arborist.operators import summaries as S
+from arborist.sources import store
+from arborist.streaming import limits
 
 from . import testgraph as G
 
@@ -184,7 +186,37 @@ def _messages(orders):
     return feeds.threads(orders.selectExpr("o_orderkey AS message", "o_custkey % 40 AS sender", "o_orderkey % 40 AS receiver", "o_orderdate AS at"))
 
 
+def _limited(events):
+    requests = events.select(F.concat_ws(":", "user_id", "event_type").alias("key"), "event_id", "ts")
+    return limits.rate_limit_batch(requests, 2, 3600, 86400).select("event_id", "allowed")
+
+
+#: Requests that events stand for.
+_REQUESTS = {"click": ("POST", "/api/analyses"), "view": ("POST", "/api/cron/daily-digest"), "purchase": ("POST", "/api/admin/digest/run"), "error": ("POST", "/api/cron/refresh-featured"), "signup": ("GET", "/api/projects/7/graph")}
+
+
+def _routed(events):
+    part = lambda i: F.coalesce(*[F.when(F.col("event_type") == k, v[i]) for k, v in _REQUESTS.items()], F.lit("/"))
+    requests = events.select("event_id", "ts", part(0).alias("method"), part(1).alias("path"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("spoof, "), (F.col("user_id") % 4).cast("string"))).alias("forwarded"), (F.col("user_id") % 4).cast("string").alias("remote"))
+    return limits.rate_limit_batch(limits.routed(requests)).select("event_id", "key", "allowed")
+
+
+def _connected(events):
+    action = F.when(F.col("event_type").isin("signup", "click", "view"), "connect").when(F.col("event_type") == "error", "disconnect").otherwise("ping")
+    return limits.connections_batch(events.select((F.col("user_id") % 3).alias("key"), "event_id", "ts", action.alias("action")), 30, "1 day").select("event_id", "open_n", "allowed")
+
+
+def _cache(n, _):
+    files = n.where("type = 'FILE'").select(F.col("graph_id").alias("project_id"), "file_path", F.md5("file_path").alias("content_hash"), "id", "ord")
+    return store.cache_state(files, files.where("ord % 3 <> 0").withColumn("analyzer_version", F.lit(10)), 10).select("id", "state")
+
+
 _FUNCTIONS = {
+    "k1_rate_limit": _table(_limited, "events"),
+    "k1_request_rules": _table(_routed, "events"),
+    "k4_connections": _table(_connected, "events"),
+    "k6_daily_active": _table(lambda e: limits.daily_active(e), "events"),
+    "s9_incremental_parse": _graph(_cache),
     "g1_node_diff": _graph(lambda n, e: S.node_diff(_old(n), _new(n), ["id", "type", "name", "file_path"]).select("id", "status")),
     "g2_edge_diff": _graph(_edge_diff),
     "g3_diff_summary": _graph(lambda n, e: S.diff_summary(S.node_diff(_old(n), _new(n), ["id"]))),
@@ -215,9 +247,23 @@ _FUNCTIONS = {
 }
 
 
+# SQL of queries that are functions alone.
+_SQL = {
+    "k1_request_rules": """WITH r AS (SELECT event_id, CAST(EXTRACT(EPOCH FROM ts) AS BIGINT) AS t, user_id % 4 AS a, CASE event_type WHEN 'click' THEN 'analysis' WHEN 'view' THEN 'cron-digest' WHEN 'purchase' THEN 'admin-digest-run' WHEN 'error' THEN 'cron-refresh' WHEN 'signup' THEN 'graph-read' END AS c FROM {events}),
+q AS (SELECT *, a || ':' || c AS key, CASE c WHEN 'analysis' THEN 1 WHEN 'cron-refresh' THEN 2 WHEN 'graph-read' THEN 30 ELSE 5 END AS most, CASE c WHEN 'analysis' THEN 180 WHEN 'graph-read' THEN 60 ELSE 3600 END AS width FROM r WHERE c IS NOT NULL),
+g AS (SELECT *, CASE WHEN t - LAG(t) OVER (PARTITION BY key ORDER BY t, event_id) <= 600 THEN 0 ELSE 1 END AS fresh FROM q), b AS (SELECT *, SUM(fresh) OVER (PARTITION BY key ORDER BY t, event_id) AS run FROM g),
+w AS (SELECT *, (t - MIN(t) OVER (PARTITION BY key, run)) // width AS win FROM b) SELECT event_id, key, ROW_NUMBER() OVER (PARTITION BY key, run, win ORDER BY t, event_id) <= most AS allowed FROM w""",
+    # one event after the other
+    "k4_connections": """WITH RECURSIVE e AS (SELECT user_id % 3 AS k, event_id, ROW_NUMBER() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS i, CASE WHEN event_type IN ('signup', 'click', 'view') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS a FROM {events}),
+s AS (SELECT k, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, TRUE AS ok FROM e GROUP BY k
+  UNION ALL SELECT e.k, e.i, e.event_id, CASE WHEN a = 1 AND n < 30 THEN n + 1 WHEN a = -1 THEN GREATEST(0, n - 1) ELSE n END, a <> 1 OR n < 30 FROM s JOIN e ON e.k = s.k AND e.i = s.i + 1)
+SELECT event_id, n AS open_n, ok AS allowed FROM s WHERE i > 0""",
+}
+
+
 def queries() -> dict:
     return {k: _over_graph(v) for k, v in GRAPH.items()} | {k: _over_tables(v) for k, v in TABLES.items()} | _FUNCTIONS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: G.oracle(v) for k, v in GRAPH.items()} | {k: G.duck(v) for k, v in TABLES.items()}
+    return {k: G.oracle(v) for k, v in GRAPH.items()} | {k: G.duck(v) for k, v in (TABLES | _SQL).items()}
