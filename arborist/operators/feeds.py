@@ -38,8 +38,9 @@ def failure_anomalies(runs: DataFrame, by: str, failed: Column, least: int = LEA
 
 
 def daily_changes(days: DataFrame, by: list[str], base: int = LEAST_BASE, percent: int = CHANGE_PERCENT) -> DataFrame:
-    """Days (by, day, n) with the day before them, prev, where that is large enough and the change is too."""
-    seen = days.withColumn("prev", F.lag("n").over(Window.partitionBy(*by).orderBy("day")))
+    """Days (by, day, n) with the day before them, prev, where that is there and large enough and the change is too; day: a date or a number."""
+    at = F.unix_date("day") if days.schema["day"].dataType.typeName() == "date" else F.col("day").cast("long")
+    seen = days.withColumn("prev", F.max("n").over(Window.partitionBy(*by).orderBy(at).rangeBetween(-1, -1)))
     return seen.where((F.col("prev") >= base) & (F.abs(F.col("n") - F.col("prev")) * 100 >= percent * F.col("prev")))
 
 

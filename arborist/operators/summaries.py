@@ -133,8 +133,8 @@ def callers_callees(ends: DataFrame) -> DataFrame:
 
 
 def table_access(edges: DataFrame) -> DataFrame:
-    """graph_id, tgt, src, r, w, d: whether a source reads, writes and deletes from a table."""
-    kinds = [F.max((F.col("type") == t).cast("int")).alias(c) for c, t in (("r", "DB_READ"), ("w", "DB_WRITE"), ("d", "DB_DELETE"))]
+    """graph_id, tgt, src, r, w, c, u, d: whether a source reads, writes, creates, updates and deletes rows of a table."""
+    kinds = [F.max((F.col("type") == t).cast("int")).alias(c) for c, t in (("r", "DB_READ"), ("w", "DB_WRITE"), ("c", "DB_CREATE"), ("u", "DB_UPDATE"), ("d", "DB_DELETE"))]
     return edges.where("type LIKE 'DB%'").groupBy("graph_id", "tgt", "src").agg(*kinds)
 
 

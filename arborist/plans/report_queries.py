@@ -32,7 +32,7 @@ GRAPH = {
     "g33_entry_points": "SELECT graph_id, id, pos FROM (SELECT n.graph_id, n.id, ROW_NUMBER() OVER (PARTITION BY n.graph_id ORDER BY CASE n.type WHEN 'API_ENDPOINT' THEN 0 ELSE 1 END, n.ord) AS pos FROM nodes n LEFT JOIN (SELECT DISTINCT graph_id, tgt FROM ends WHERE type = 'FUNCTION_CALL' AND src_path <> tgt_path) c ON c.graph_id = n.graph_id AND c.tgt = n.id WHERE n.type = 'API_ENDPOINT' OR (n.type = 'FUNCTION' AND c.tgt IS NULL)) x WHERE pos <= 15",
     "g34_file_calls": "SELECT graph_id, src_path, tgt_path, COUNT(*) AS n, MIN(src_name) AS first_caller FROM ends WHERE type = 'FUNCTION_CALL' AND src_path <> tgt_path GROUP BY graph_id, src_path, tgt_path",
     "g35_callers_callees": "SELECT src AS id, 'callee' AS side, tgt AS other, tgt_path AS file FROM ends WHERE type = 'FUNCTION_CALL' AND src_path <> tgt_path UNION ALL SELECT tgt, 'caller', src, src_path FROM ends WHERE type = 'FUNCTION_CALL' AND src_path <> tgt_path",
-    "g36_table_access": "SELECT graph_id, tgt, src, MAX(CASE WHEN type = 'DB_READ' THEN 1 ELSE 0 END) AS r, MAX(CASE WHEN type = 'DB_WRITE' THEN 1 ELSE 0 END) AS w, MAX(CASE WHEN type = 'DB_DELETE' THEN 1 ELSE 0 END) AS d FROM edges WHERE type LIKE 'DB%' GROUP BY graph_id, tgt, src",
+    "g36_table_access": "SELECT graph_id, tgt, src, MAX(CASE WHEN type = 'DB_READ' THEN 1 ELSE 0 END) AS r, MAX(CASE WHEN type = 'DB_WRITE' THEN 1 ELSE 0 END) AS w, MAX(CASE WHEN type = 'DB_CREATE' THEN 1 ELSE 0 END) AS c, MAX(CASE WHEN type = 'DB_UPDATE' THEN 1 ELSE 0 END) AS u, MAX(CASE WHEN type = 'DB_DELETE' THEN 1 ELSE 0 END) AS d FROM edges WHERE type LIKE 'DB%' GROUP BY graph_id, tgt, src",
     "g39_typed_edges": "SELECT e.edge_identifier, CASE WHEN s.id IS NULL OR t.id IS NULL THEN 'dangling' WHEN e.type = 'IMPORT' AND s.type = 'FILE' AND t.type = 'FILE' THEN 'ok' WHEN e.type = 'FUNCTION_CALL' AND s.type = 'FUNCTION' AND t.type = 'FUNCTION' THEN 'ok' WHEN e.type LIKE 'DB%' AND t.type = 'DB_TABLE' THEN 'ok' WHEN e.type IN ('API_CALL', 'SERVICE_CALL', 'FIELD_DEPENDENCY') AND s.type = 'FILE' THEN 'ok' ELSE 'mismatch' END AS state FROM edges e LEFT JOIN (SELECT * FROM nodes WHERE ord % 9 <> 0) s ON s.graph_id = e.graph_id AND s.id = e.src LEFT JOIN (SELECT * FROM nodes WHERE ord % 9 <> 0) t ON t.graph_id = e.graph_id AND t.id = e.tgt WHERE e.src <> e.tgt",
     "g40_node_counts": "SELECT graph_id, SUM(CASE WHEN type = 'FILE' THEN 1 ELSE 0 END) AS files, SUM(CASE WHEN type = 'FUNCTION' THEN 1 ELSE 0 END) AS functions, SUM(CASE WHEN type = 'DB_TABLE' THEN 1 ELSE 0 END) AS db_tables, SUM(CASE WHEN type = 'API_ENDPOINT' THEN 1 ELSE 0 END) AS endpoints FROM nodes GROUP BY graph_id",
     "g24_undocumented_hot": "SELECT graph_id, id, n, rn FROM (SELECT f.graph_id, f.id, c.n, ROW_NUMBER() OVER (PARTITION BY f.graph_id ORDER BY c.n DESC, f.id) AS rn FROM nodes f JOIN (SELECT graph_id, src, COUNT(*) AS n FROM edges WHERE type = 'FUNCTION_CALL' GROUP BY graph_id, src HAVING COUNT(*) > 3) c ON c.graph_id = f.graph_id AND c.src = f.id WHERE f.type = 'FUNCTION' AND f.comment IS NULL) x WHERE rn <= 15",
@@ -56,7 +56,7 @@ TABLES = {
     "a4_gate_metrics": "SELECT COUNT(DISTINCT CASE WHEN ts >= TIMESTAMP '2024-01-01' THEN user_id END) AS d30, COUNT(DISTINCT CASE WHEN ts >= TIMESTAMP '2024-01-24' THEN user_id END) AS d7, SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS blocked FROM {events}",
     "a5_fp_free_rate": "SELECT quality, CASE WHEN COUNT(*) = 0 THEN 100 ELSE CAST(FLOOR((COUNT(*) - SUM(toxic)) * 100.0 / COUNT(*) + 0.5) AS INT) END AS rate FROM {labels} GROUP BY 1",
     "a6_failure_anomaly": "SELECT user_id, COUNT(*) AS n, SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failed FROM {events} GROUP BY 1 HAVING COUNT(*) >= 5 AND SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) * 5 >= COUNT(*)",
-    "a7_day_over_day": "SELECT event_type, quarter, day, n, prev FROM (SELECT event_type, quarter, day, n, LAG(n) OVER (PARTITION BY event_type, quarter ORDER BY day) AS prev FROM (SELECT event_type, FLOOR(HOUR(ts) / 6.0) AS quarter, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} GROUP BY 1, 2, 3) x) y WHERE prev >= 10 AND ABS(n - prev) * 100 >= 50 * prev",
+    "a7_day_over_day": "SELECT event_type, quarter, day, n, prev FROM (SELECT event_type, quarter, day, n, CASE WHEN LAG(day) OVER (PARTITION BY event_type, quarter ORDER BY day) = day - 1 THEN LAG(n) OVER (PARTITION BY event_type, quarter ORDER BY day) END AS prev FROM (SELECT event_type, FLOOR(HOUR(ts) / 6.0) AS quarter, CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} GROUP BY 1, 2, 3) x) y WHERE prev >= 10 AND ABS(n - prev) * 100 >= 50 * prev",
     "a8_threshold_anomalies": "SELECT event_type, n FROM (SELECT event_type, COUNT(*) AS n FROM {events} GROUP BY 1) x WHERE n >= 20",
     "a9_latest_two": "SELECT day, n, rn FROM (SELECT day, n, ROW_NUMBER() OVER (ORDER BY day DESC) AS rn FROM (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} GROUP BY 1) x) y WHERE rn <= 2",
     "a10_snapshot_upsert": "SELECT COALESCE(b.day, a.day) AS day, COALESCE(b.n, a.n) AS n FROM (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} WHERE event_type = 'view' GROUP BY 1) a FULL OUTER JOIN (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM {events} WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY 1) b ON a.day = b.day",

@@ -56,6 +56,8 @@ def test_samples_tables_and_precision(spark):
     assert S.edge_sample(e).count() == 30 and rows(S.edge_sample(e), "edge_identifier") == rows(S.edge_sample(e.repartition(7)), "edge_identifier")
     both = edges(spark, (1, "a", "t0"), type="DB_WRITE").unionByName(e)
     assert rows(S.table_access(both).where("tgt < 't10'"), "tgt", "r", "w", "d") == [("t0", 1, 1, 0), ("t1", 1, 0, 0)]
+    made = edges(spark, (1, "a", "t"), type="DB_CREATE").unionByName(edges(spark, (1, "a", "t"), type="DB_UPDATE"))
+    assert rows(S.table_access(made), "r", "w", "c", "u", "d") == [(0, 0, 1, 1, 0)]
     (_, n, rate, low, high), = rows(S.audit_precision(e.select("type", F.lit(False).alias("phantom"))), "type", "n", "rate", "low", "high")
     assert (n, rate) == (40, 0) and 0 <= low < 1e-12 and abs(high - 3.8416 / 43.8416) < 1e-9
     n = spark.createDataFrame([(1, f"f{i:02}", "FUNCTION", "f", "p", i, None) for i in range(60)] + [(1, "t", "DB_TABLE", "t", None, 0, None)], NODES)
@@ -75,7 +77,7 @@ def test_newest_expired_and_upsert(spark):
 def test_anomalies_feed_and_threads(spark):
     runs = spark.createDataFrame([("a", i == 0) for i in range(5)] + [("b", i == 0) for i in range(6)] + [("c", True)] * 4, "who string, bad boolean")
     assert rows(feeds.failure_anomalies(runs, "who", F.col("bad")), "who", "n", "failed") == [("a", 5, 1)]
-    days = spark.createDataFrame([("k", 1, 10), ("k", 2, 15), ("k", 3, 16), ("l", 1, 9), ("l", 2, 90)], "k string, day long, n long")
+    days = spark.createDataFrame([("k", 1, 10), ("k", 2, 15), ("k", 3, 16), ("k", 5, 99), ("l", 1, 9), ("l", 2, 90)], "k string, day long, n long")
     assert rows(feeds.daily_changes(days, ["k"]), "k", "day", "prev") == [("k", 2, 10)]
     posts, marks = spark.createDataFrame([(1,), (2,), (3,)], "id long"), spark.createDataFrame([(2,), (2,), (3,), (None,)], "id long")
     assert rows(feeds.feed_by_count(posts, marks, "id", [F.col("id")], 2), "rn", "id", "n") == [(1, 2, 2), (2, 3, 1)]
