@@ -332,33 +332,91 @@ def shared_database_access(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return g.select("graph_id", F.lit("SHARED_DATABASE_ACCESS").alias("type"), F.lit("MEDIUM").alias("severity"), F.concat("by.src", F.array("tgt")).alias("node_ids"), F.col("by.edge_identifier").alias("edge_ids"), F.concat(F.lit("Table shared by services: "), "tgt_name", F.lit(" by "), F.array_join("by.service", ", ")).alias("message"))
 
 
-#: Hops of the longest service chain that is looked for: all simple paths up to it are followed.
-MAX_CHAIN = 8
-
-
-def service_call_chain(nodes: DataFrame, edges: DataFrame, min_hops: int = 2, max_hops: int = MAX_CHAIN) -> DataFrame:
+def _components_in_order(out: dict[str, list[str]]) -> list[list[str]]:
+    """Strongly connected components of a graph, each after those that it leads to."""
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack, on, found = [], set(), []
+    for start in sorted(out):
+        todo = [(start, iter(out[start]))] if start not in number else []
+        while todo:
+            node, rest = todo[-1]
+            if node not in number:
+                number[node] = low[node] = len(number)
+                stack.append(node)
+                on.add(node)
+            step = next((v for v in rest if v not in number or v in on), None)
+            if step is None:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == number[node]:
+                    at = stack.index(node)
+                    found.append(stack[at:])
+                    on.difference_update(stack[at:])
+                    del stack[at:]
+            elif step not in number:
+                todo.append((step, iter(out[step])))
+            else:
+                low[node] = min(low[node], number[step])
+    return found
+
+
+def longest_paths(out: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The longest simple path from each node, of equal ones the first by its names joined with ``>``.
+
+    Nodes are taken component by component, after those that they lead to. A path never comes back to a component that it has left, so what it has
+    passed matters inside a component alone: states are a node and the part of its own component that has been passed.
+    """
+    best: dict[str, tuple[int, bytes, list[str]]] = {}
+    for component in _components_in_order(out):
+        inside, known = set(component), {}
+
+        def ahead(node: str, passed: frozenset) -> tuple[int, bytes, list[str]]:
+            if (node, passed) not in known:
+                steps = [ahead(v, passed | {v}) if v in inside else best[v] for v in out[node] if v not in passed]
+                longest = min(steps, key=lambda s: (-s[0], s[1]), default=(0, b"", []))
+                name = node.encode()
+                known[node, passed] = (longest[0] + 1, name + b">" + longest[1] if longest[0] else name, [node, *longest[2]])
+            return known[node, passed]
+
+        best.update({node: ahead(node, frozenset([node])) for node in component})
+    return {node: path for node, (_, _, path) in best.items()}
+
+
+def _chains(min_hops: int):
+    def chains(key, calls: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list[str]] = {}
+        first = {}
+        for a, b, edge, src, tgt in zip(*(calls[c] for c in ("a", "b", "edge_identifier", "src", "tgt"))):
+            out.setdefault(a, []).append(b)
+            out.setdefault(b, [])
+            first[a, b] = (edge, src, tgt)
+        called = {b for a in out for b in out[a]}
+        paths = longest_paths(out)
+        rows = []
+        for start in sorted(out.keys() - called or out):
+            path = paths[start]
+            if len(path) > min_hops:
+                hops = [first[x] for x in zip(path, path[1:])]
+                rows.append((key[0], [h[1] for h in hops] + [hops[-1][2]], [h[0] for h in hops], path))
+        return pd.DataFrame(rows, columns=["graph_id", "node_ids", "edge_ids", "path"])
+
+    return chains
+
+
+def service_call_chain(nodes: DataFrame, edges: DataFrame, min_hops: int = 2) -> DataFrame:
     """The longest chain of services from each service that none calls, else from each; ties by the services' names.
 
-    A hop is one join. Nodes are the callers' files of each hop's first call and the last callee's file, edges these calls.
+    Nodes are the callers' files of each hop's first call and the last callee's file, edges these calls. A graph's services, one row for each
+    two that call, are one task; no list of all paths is made.
     """
     e = with_ends(edges.where("type = 'SERVICE_CALL'"), classified(nodes), "test", "service").where("NOT src_test AND src_service <> tgt_service")
     hop = F.min(F.struct("ord", "edge_identifier", "src", "tgt")).alias("call")
-    e = materialise(e.groupBy("graph_id", F.col("src_service").alias("a"), F.col("tgt_service").alias("b")).agg(hop))
-    free = e.select("graph_id", "a").distinct().join(e.select("graph_id", F.col("b").alias("a")).distinct(), ["graph_id", "a"], "left_anti")
-    every = e.select("graph_id", "a").union(e.select("graph_id", "b")).distinct().join(free.select("graph_id").distinct(), "graph_id", "left_anti")
-    calls = F.array().cast("array<struct<ord:bigint,edge_identifier:string,src:string,tgt:string>>")
-    at = materialise(free.unionByName(every).select("graph_id", F.array("a").alias("path"), calls.alias("calls")))
-    best = at.limit(0)
-    for _ in range(max_hops):
-        on = at.withColumn("a", F.element_at("path", -1)).join(e, ["graph_id", "a"]).where("NOT array_contains(path, b)")
-        at = materialise(on.select("graph_id", F.array_append("path", F.col("b")).alias("path"), F.array_append("calls", F.col("call")).alias("calls")))
-        if at.isEmpty():
-            break
-        best = best.unionByName(at)
-    order = Window.partitionBy("graph_id", F.col("path")[0]).orderBy(F.desc(F.size("path")), F.array_join("path", ">"))
-    best = best.where(F.size("path") > min_hops).withColumn("rn", F.row_number().over(order)).where("rn = 1")
-    ids = F.concat(F.col("calls.src"), F.array(F.element_at("calls", -1)["tgt"]))
-    return best.select("graph_id", F.lit("SERVICE_CALL_CHAIN").alias("type"), F.lit("MEDIUM").alias("severity"), ids.alias("node_ids"), F.col("calls.edge_identifier").alias("edge_ids"), F.concat(F.lit("Service chain: "), F.array_join("path", " -> ")).alias("message"))
+    e = e.groupBy("graph_id", F.col("src_service").alias("a"), F.col("tgt_service").alias("b")).agg(hop).select("graph_id", "a", "b", "call.edge_identifier", "call.src", "call.tgt")
+    found = e.groupBy("graph_id").applyInPandas(_chains(min_hops), "graph_id long, node_ids array<string>, edge_ids array<string>, path array<string>")
+    message = F.concat(F.lit("Service chain: "), F.array_join("path", " -> ")).alias("message")
+    return found.select("graph_id", F.lit("SERVICE_CALL_CHAIN").alias("type"), F.lit("MEDIUM").alias("severity"), "node_ids", "edge_ids", message)
 
 
 GRAPH_RULES = {

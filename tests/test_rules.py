@@ -49,7 +49,7 @@ def test_service_chain_needs_two_hops(spark):
     n, e = graph(spark, paths, [("SERVICE_CALL", "F0", "F1"), ("SERVICE_CALL", "F1", "F2")])
     (w,) = rules.service_call_chain(n, e).collect()
     assert (w["node_ids"], w["edge_ids"], w["message"]) == (["F0", "F1", "F2"], ["SERVICE_CALL:F0>F1", "SERVICE_CALL:F1>F2"], "Service chain: a -> b -> c")
-    assert rules.service_call_chain(n, e, max_hops=1).isEmpty()
+    assert rules.service_call_chain(n, e, min_hops=9).isEmpty()
 
 
 def test_delete_is_covered_by_transactional_caller(spark):
@@ -134,6 +134,23 @@ def test_detect_runs_the_rules_with_inputs_of_their_own(spark):
     assert {w["type"] for w in rules.detect(n, e, None, tables, (modules, forbidden, projects)).collect()} == {"MISSING_CONVERTER_MIGRATION", "INTENT_DRIFT"}
 
 
+def test_longest_paths_against_a_full_search():
+    import random
+
+    def full(out, node, passed):
+        steps = [full(out, v, passed | {v}) for v in out[node] if v not in passed]
+        longest = min(steps, key=lambda p: (-len(p), ">".join(p).encode()), default=[])
+        return [node, *longest]
+
+    for seed in range(300):
+        r = random.Random(seed)
+        names = r.sample(["a", "a-b", "b", "bé", "c", "c>", "d", "e", "f"], r.randint(1, 8))
+        out = {n: sorted({r.choice(names) for _ in range(r.randint(0, 3))} - {n}) for n in names}
+        assert rules.longest_paths(out) == {n: full(out, n, {n}) for n in names}, seed
+    line = {f"s{k:04}": [f"s{k + 1:04}"] if k < 2999 else [] for k in range(3000)}
+    assert len(rules.longest_paths(line)["s0000"]) == 3000
+
+
 def test_fingerprints_and_gate_are_stable(spark):
     w = spark.createDataFrame([(1, "X", "HIGH", ["a"], "m"), (1, "Y", "LOW", ["b"], None)], "graph_id long, type string, severity string, node_ids array<string>, message string")
     assert findings.fingerprint(w).collect() == findings.fingerprint(w).collect()
