@@ -153,3 +153,38 @@ def node_counts(nodes: DataFrame) -> DataFrame:
     """graph_id and its numbers of files, functions, tables and endpoints."""
     kinds = {"files": "FILE", "functions": "FUNCTION", "db_tables": "DB_TABLE", "endpoints": "API_ENDPOINT"}
     return nodes.groupBy("graph_id").agg(*(F.count_if(F.col("type") == t).alias(c) for c, t in kinds.items()))
+
+
+SECTION = "layer-section-"
+
+
+def edge_visibility(edges: DataFrame, shown: set[str]) -> DataFrame:
+    """Adds ``visible``: whether an edge's switch is on in ``shown`` (imports, broken, calls, instances, database, api); edges of other types always are.
+
+    ``broken`` (a column of edges, null: false) tells imports in a cycle, which have a switch of their own.
+    """
+    t, on = F.col("type"), lambda switch: F.lit(switch in shown)
+    broken = F.coalesce(F.col("broken"), F.lit(False))
+    visible = F.when((t == "IMPORT") & broken, on("broken")).when(t == "IMPORT", on("imports")).when(t == "FUNCTION_CALL", on("calls")).when(t == "INSTANTIATION", on("instances"))
+    visible = visible.when(t.isin("DB_READ", "DB_WRITE", "DB_CREATE", "DB_UPDATE", "DB_DELETE"), on("database")).when(t == "API_CALL", on("api"))
+    return edges.withColumn("visible", visible.otherwise(F.lit(True)))
+
+
+def layer_visibility(layout: DataFrame, opaque: DataFrame) -> DataFrame:
+    """layout (graph_id, id, parent_id, hidden) with ``hidden`` set anew by layer, and ``opaque`` of sections.
+
+    Nodes named ``SECTION`` and a layer are sections; groups lie in sections, files in groups, functions in files. Everything up to three levels
+    below a section is hidden if its (graph_id, layer) is in ``opaque`` and shown if it isn't, whatever it was before; sections are never
+    hidden; nodes below no section, or deeper, stay as they are. The nearest section decides.
+    """
+    is_section = lambda c: F.coalesce(F.startswith(c, F.lit(SECTION)), F.lit(False))
+    up = layout.where(~is_section(F.col("id")))
+    parent = lambda i: up.select("graph_id", F.col("id").alias(f"p{i}"), F.col("parent_id").alias(f"p{i + 1}"))
+    chain = layout.withColumn("p1", F.col("parent_id")).join(parent(1), ["graph_id", "p1"], "left").join(parent(2), ["graph_id", "p2"], "left")
+    of = F.coalesce(*[F.when(is_section(F.col(p)), F.col(p)) for p in ("p1", "p2", "p3")])
+    chain = chain.withColumn("section", F.when(is_section(F.col("id")), F.col("id")).otherwise(of))
+    known = layout.where(is_section(F.col("id"))).select("graph_id", F.col("id").alias("section"), F.substring("id", len(SECTION) + 1, 1 << 30).alias("layer")).distinct()
+    state = known.join(opaque.select("graph_id", "layer").distinct().withColumn("on", F.lit(True)), ["graph_id", "layer"], "left").select("graph_id", "section", F.coalesce("on", F.lit(False)).alias("on"))
+    chain = chain.join(state, ["graph_id", "section"], "left")
+    own = is_section(F.col("id"))
+    return chain.select(*layout.drop("hidden").columns, F.when(own, False).otherwise(F.coalesce("on", "hidden")).alias("hidden"), F.when(own, F.col("on")).alias("opaque"))

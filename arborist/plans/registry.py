@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import module_queries, report_queries, rule_queries, source_queries, walk_queries
+from . import gate_queries, module_queries, report_queries, rule_queries, source_queries, walk_queries
 
-MODULES = (rule_queries, report_queries, walk_queries, source_queries, module_queries)
+MODULES = (rule_queries, report_queries, walk_queries, source_queries, module_queries, gate_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
