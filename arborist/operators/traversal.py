@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from arborist.storage import materialise
 
-#: Hops that a walk up or down takes, and that a footprint takes.
-MAX_HOPS, FOOTPRINT_HOPS = 12, 10
+#: Hops that a walk up or down takes, and that a footprint takes, and nodes that it meets.
+MAX_HOPS, FOOTPRINT_HOPS, FOOTPRINT_NODES = 12, 10, 500
 
 
 def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
@@ -35,6 +35,44 @@ def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def budgeted_reach(starts: DataFrame, edges: DataFrame, hops: int = FOOTPRINT_HOPS, budget: int = FOOTPRINT_NODES) -> DataFrame:
+    """graph_id, root, node, depth, pos: what each root (graph_id, root) visits breadth first until ``budget`` nodes have been met.
+
+    edges: graph_id, src, tgt, ord. A node's edges are met in the order of ``ord``, nulls first, then of the target; a node is met once, by the first
+    edge to it. The nodes are visited in the order in which they were met (``pos``, from 0), and none is as soon as ``budget`` nodes or more have been
+    met, so the last one visited may still meet any number. At ``hops`` a node is visited, but meets none.
+
+    A hop is one join and one grouping, as in ``reach``; the order within it is a window over what a root has met anew. Roots that have used up their budget
+    leave the frontier, so it holds less than ``budget`` nodes a root.
+    """
+    step = materialise(edges.where("src IS NOT NULL AND tgt IS NOT NULL").groupBy("graph_id", F.col("src").alias("node"), F.col("tgt").alias("next")).agg(F.min(F.struct("ord")).alias("o")))
+    walk = ["graph_id", "root"]
+    # known: how many nodes the root had met when the hop began
+    frontier = materialise(starts.where("root IS NOT NULL").select(*walk, F.col("root").alias("node"), F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("known")).distinct().where(F.col("known") < budget))
+    met, visited = frontier.select(*walk, "node"), None
+    for depth in range(hops + 1):
+        if depth == hops:
+            polled = frontier
+        else:
+            found = frontier.join(step, ["graph_id", "node"]).groupBy(*walk, F.col("next").alias("node")).agg(F.min(F.struct("pos", "o")).alias("via"), F.max("known").alias("known"))
+            found = found.join(met, [*walk, "node"], "left_anti").withColumn("by", F.col("via.pos"))
+            key = Window.partitionBy(*walk)
+            # before: what nodes visited earlier in this hop have met
+            ranked = found.withColumn("before", F.rank().over(key.orderBy("by")) - 1).withColumn("at", F.row_number().over(key.orderBy("by", "via.o", "node")) - 1)
+            ranked = materialise(ranked.where(F.col("known") + F.col("before") < budget).select(*walk, "node", "by", (F.col("known") + F.col("at")).alias("pos"), "known"))
+            of_parent = ranked.groupBy(*walk, F.col("by").alias("pos")).agg(F.count(F.lit(1)).alias("n"))
+            earlier = F.coalesce(F.sum("n").over(key.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            polled = frontier.join(of_parent, [*walk, "pos"], "left").withColumn("earlier", earlier).where(F.col("known") + F.col("earlier") < budget)
+        polled = polled.select(*walk, "node", F.lit(depth).alias("depth"), "pos")
+        visited = polled if visited is None else visited.unionByName(polled)
+        if depth == hops or ranked.isEmpty():
+            break
+        met = met.unionByName(ranked.select(*walk, "node"))
+        total = ranked.groupBy(*walk).agg((F.max("known") + F.count(F.lit(1))).alias("total")).where(F.col("total") < budget)
+        frontier = materialise(ranked.join(total, walk).select(*walk, "node", "pos", F.col("total").alias("known")))
+    return visited
+
+
 def upstream_root(starts: DataFrame, calls: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """graph_id, start, root, depth: one caller up a hop, the first by ``ord`` then id, until none or one met before."""
     first = F.row_number().over(Window.partitionBy("graph_id", "tgt").orderBy("ord", "src"))
@@ -77,10 +115,11 @@ def default_path(tree: DataFrame) -> DataFrame:
     return out
 
 
-def footprint_labels(endpoints: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = FOOTPRINT_HOPS) -> DataFrame:
-    """graph_id, endpoint, label: files, and ``DB:`` tables, that each endpoint (graph_id, root) reaches."""
+def footprint_labels(endpoints: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = FOOTPRINT_HOPS, budget: int | None = None) -> DataFrame:
+    """graph_id, endpoint, label: files, and ``DB:`` tables, that each endpoint (graph_id, root) reaches, or visits within a ``budget``."""
     label = F.when(F.col("type") == "DB_TABLE", F.concat(F.lit("DB:"), "name")).otherwise(F.col("file_path"))
-    found = reach(endpoints, edges, hops).join(nodes.select("graph_id", F.col("id").alias("node"), label.alias("label")), ["graph_id", "node"])
+    walked = reach(endpoints, edges, hops) if budget is None else budgeted_reach(endpoints, edges, hops, budget)
+    found = walked.join(nodes.select("graph_id", F.col("id").alias("node"), label.alias("label")), ["graph_id", "node"])
     return found.where("label IS NOT NULL").select("graph_id", F.col("root").alias("endpoint"), "label").distinct()
 
 

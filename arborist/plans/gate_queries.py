@@ -58,7 +58,7 @@ def w16_new_reports(spark, sf_dir):
 
 def w17_rule_changes(spark, sf_dir):
     (lines,) = _read(spark, sf_dir, "lineitem")
-    listed = lambda where: lines.where(where).selectExpr("l_suppkey % 7 AS project_id", "l_returnflag AS type", "CAST(l_partkey % 30 AS STRING) AS source", "CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS target").distinct()
+    listed = lambda where: lines.where(where).selectExpr("l_suppkey % 7 AS project_id", "l_returnflag AS type", "CAST(l_partkey AS STRING) AS source", "CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS target").distinct()
     return gates.rule_audit(listed("l_quantity < 30"), listed("l_quantity > 20"))
 
 
@@ -154,7 +154,7 @@ SELECT DISTINCT graph_id, 'layer-section-' || layer AS id, FALSE AS hidden, opaq
 UNION ALL SELECT n.graph_id, n.id, st.opaque, NULL FROM nodes n JOIN st ON st.graph_id = n.graph_id AND st.file_path = n.file_path WHERE n.type = 'FUNCTION' AND n.ord % 10 <> 0"""
 
 _REPORTS = "r AS (SELECT l_suppkey % 5 AS project_id, CAST(l_partkey % 50 AS VARCHAR) AS fingerprint, CASE WHEN l_suppkey % 20 <> 7 THEN l_suppkey % 20 END AS reporter_id, l_shipdate AS reported_at, l_orderkey, l_linenumber, l_quantity AS q FROM lineitem)"
-_LISTED = "SELECT DISTINCT l_suppkey % 7 AS project_id, l_returnflag AS type, CAST(l_partkey % 30 AS VARCHAR) AS source, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS target FROM lineitem WHERE l_quantity"
+_LISTED = "SELECT DISTINCT l_suppkey % 7 AS project_id, l_returnflag AS type, CAST(l_partkey AS VARCHAR) AS source, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS target FROM lineitem WHERE l_quantity"
 _TABLE_SQL = {
     "w16_new_reports": f"WITH {_REPORTS}, f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY project_id, fingerprint, reporter_id ORDER BY reported_at, l_orderkey, l_linenumber) AS rn FROM r WHERE q <= 48) SELECT project_id, fingerprint, reporter_id, reported_at, l_orderkey, l_linenumber FROM f WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM r WHERE r.q > 48 AND r.project_id = f.project_id AND r.fingerprint = f.fingerprint AND r.reporter_id IS NOT DISTINCT FROM f.reporter_id)",
     "w17_rule_changes": f"SELECT project_id, 'ADD' AS op, type, source, target FROM ({_LISTED} > 20 EXCEPT {_LISTED} < 30) UNION ALL SELECT project_id, 'REMOVE', type, source, target FROM ({_LISTED} < 30 EXCEPT {_LISTED} > 20)",

@@ -165,3 +165,32 @@ def test_modules_of_endpoints(spark):
     c = M.clusters(labels)
     assert {r.endpoint: r.cluster for r in c.collect()} == {"e0": "e0", "e1": "e0", "e2": "e2", "e3": "e3", "e4": "e3", "e5": "e5"}
     assert M.candidate_modules(c, labels, nodes).where("cluster = 'e3'").collect()[0]["name"] == "users"
+
+
+def test_budgeted_walks_are_those_of_a_queue(spark):
+    import random
+
+    draw = random.Random(3)
+    for nodes, budget, hops in ((6, 4, 2), (30, 12, 3), (30, 500, 10), (12, 1, 3)):
+        edges = [(g, f"n{draw.randrange(nodes)}", f"n{draw.randrange(nodes)}", draw.choice([None, 1, 2, 3])) for g in (1, 2) for _ in range(nodes * 3)] + [(1, None, "n1", 1), (1, "n1", None, 1)]
+        out = {}
+        for g, a, b, o in edges:
+            if a is not None and b is not None:
+                best = out.setdefault((g, a), {})
+                best[b] = min(best.get(b, 9), -1 if o is None else o)
+        want = set()
+        for g in (1, 2):
+            for root in ("n0", "n1", "n5", "absent"):
+                queue, depth, i = [root], {root: 0}, 0
+                while i < len(queue) < budget:
+                    node = queue[i]
+                    want.add((g, root, node, depth[node], i))
+                    for _, b in sorted((o, b) for b, o in out.get((g, node), {}).items()) if depth[node] < hops else ():
+                        if b not in depth:
+                            depth[b] = depth[node] + 1
+                            queue.append(b)
+                    i += 1
+        starts = spark.createDataFrame([(g, r) for g in (1, 2) for r in ("n0", "n1", "n5", "absent", "n0", None)], "graph_id long, root string")
+        found = T.budgeted_reach(starts, spark.createDataFrame(edges, "graph_id long, src string, tgt string, ord long"), hops, budget)
+        assert {tuple(r) for r in found.select("graph_id", "root", "node", "depth", "pos").collect()} == want
+    assert T.budgeted_reach(starts.limit(0), spark.createDataFrame(edges, "graph_id long, src string, tgt string, ord long")).isEmpty()
