@@ -7,6 +7,8 @@ walk, so a walk holds at most the nodes of its graph. Edges with a null end lead
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,23 +18,72 @@ from arborist.storage import materialise
 MAX_HOPS, FOOTPRINT_HOPS, FOOTPRINT_NODES = 12, 10, 500
 
 
-def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """graph_id, root, node, depth, parent: all that each root reaches within ``hops``, at its least depth.
+class Walks(NamedTuple):
+    """What many roots reach, 64 roots of a graph to a row: ``bits`` has one bit a root.
 
-    ``starts`` are (graph_id, root). The parent is the smallest node one hop nearer; the root has none.
+    blocks: graph_id, block, roots (at most 64, the first has the lowest bit). steps: graph_id, node, next. found: graph_id, block, node, depth, bits of the
+    roots that reach the node at that depth and no sooner. reached: graph_id, block, node, bits of all that reach it.
     """
+
+    blocks: DataFrame
+    steps: DataFrame
+    found: DataFrame
+    reached: DataFrame
+
+
+def walks(starts: DataFrame, edges: DataFrame, hops: int) -> Walks:
+    """All that each root (graph_id, root) reaches within ``hops``, in blocks of 64 roots."""
     # written once, since every hop reads them
     step = materialise(edges.select("graph_id", F.col("src").alias("node"), F.col("tgt").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct())
-    seen = materialise(starts.select("graph_id", "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).where("root IS NOT NULL").distinct())
-    frontier = seen
+    at = F.row_number().over(Window.partitionBy("graph_id").orderBy("root")) - 1
+    roots = materialise(starts.select("graph_id", "root").where("root IS NOT NULL").distinct().withColumn("at", at).select("graph_id", "root", F.expr("at DIV 64 AS block"), F.expr("CAST(at % 64 AS INT) AS bit")))
+    blocks = roots.groupBy("graph_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("bit", "root"))), lambda r: r["root"]).alias("roots"))
+    key = ["graph_id", "block", "node"]
+    # seen: the bits up to this hop; bits: those that it added
+    bit = F.expr("shiftleft(1L, bit)")
+    state = materialise(roots.select("graph_id", "block", F.col("root").alias("node"), bit.alias("seen"), bit.alias("bits")))
+    found = state.where("bits <> 0").select(*key, F.lit(0).alias("depth"), "bits")
+    frontier, none = found, F.lit(0).cast("long")
     for depth in range(1, hops + 1):
-        found = frontier.join(step, ["graph_id", "node"]).groupBy("graph_id", "root", F.col("next").alias("node")).agg(F.min("node").alias("parent"))
-        found = found.join(seen.select("graph_id", "root", "node"), ["graph_id", "root", "node"], "left_anti")
-        frontier = materialise(found.select("graph_id", "root", "node", F.lit(depth).alias("depth"), "parent"))
+        met = frontier.join(step, ["graph_id", "node"]).groupBy("graph_id", "block", F.col("next").alias("node")).agg(F.bit_or("bits").alias("bits"))
+        both = met.select(*key, none.alias("seen"), "bits").unionByName(state.select(*key, "seen", none.alias("bits")))
+        both = both.groupBy(*key).agg(F.bit_or("seen").alias("old"), F.bit_or("bits").alias("met"))
+        state = materialise(both.select(*key, F.expr("old | met AS seen"), F.expr("met & ~old AS bits")))
+        frontier = state.where("bits <> 0").select(*key, F.lit(depth).alias("depth"), "bits")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        found = found.unionByName(frontier)
+    return Walks(blocks, step, found, state.select(*key, F.col("seen").alias("bits")))
+
+
+def _first_with(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Each bit of a group's rows stays with the first row that has it."""
+    before = F.bit_or("bits").over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("before", F.coalesce(before, F.lit(0).cast("long"))).withColumn("bits", F.expr("bits & ~before")).where("bits <> 0").drop("before")
+
+
+def with_parents(w: Walks) -> DataFrame:
+    """graph_id, block, node, depth, parent, bits: the smallest node one hop nearer to each root; the root has none."""
+    nearer = w.found.join(w.steps, ["graph_id", "node"]).select("graph_id", "block", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"), F.col("bits").alias("there"))
+    key = ["graph_id", "block", "node", "depth"]
+    via = w.found.where("depth > 0").join(nearer, key).select(*key, "parent", F.expr("bits & there AS bits")).where("bits <> 0")
+    return w.found.where("depth = 0").select(*key, F.lit(None).cast("string").alias("parent"), "bits").unionByName(_first_with(via, key, "parent"))
+
+
+def by_root(rows: DataFrame, w: Walks) -> DataFrame:
+    """Rows of blocks as rows of roots: ``root`` in place of ``block`` and ``bits``."""
+    own = F.filter("roots", lambda r, i: F.call_function("getbit", F.col("bits"), i) == 1)
+    return rows.join(w.blocks, ["graph_id", "block"]).withColumn("root", F.explode(own)).drop("block", "bits", "roots")
+
+
+def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """graph_id, root, node, depth, parent: all that each root reaches within ``hops``, at its least depth.
+
+    ``starts`` are (graph_id, root). The parent is the smallest node one hop nearer; the root has none. Roots walk in blocks (``walks``); only the result has a
+    row for each root and node.
+    """
+    w = walks(starts, edges, hops)
+    return by_root(with_parents(w), w).select("graph_id", "root", "node", "depth", "parent")
 
 
 def budgeted_reach(starts: DataFrame, edges: DataFrame, hops: int = FOOTPRINT_HOPS, budget: int = FOOTPRINT_NODES) -> DataFrame:
@@ -115,12 +166,33 @@ def default_path(tree: DataFrame) -> DataFrame:
     return out
 
 
+def default_paths(starts: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
+    """The ``default_path`` of the ``reach`` from ``starts``, walked in blocks of roots without a row for each root and node."""
+    w = walks(starts, edges, hops)
+    tree = materialise(with_parents(w))
+    at = tree.where("depth = 0").select("graph_id", "block", "depth", "node", "bits")
+    out = at
+    for depth in range(1, hops + 1):
+        child = tree.where(F.col("depth") == depth).select("graph_id", "block", F.col("parent").alias("node"), F.col("node").alias("next"), F.col("bits").alias("there"))
+        on = at.join(child, ["graph_id", "block", "node"]).select("graph_id", "block", "node", "next", F.expr("bits & there AS bits")).where("bits <> 0")
+        on = _first_with(on, ["graph_id", "block", "node"], "next").groupBy("graph_id", "block", F.col("next").alias("node")).agg(F.bit_or("bits").alias("bits"))
+        at = materialise(on.select("graph_id", "block", F.lit(depth).alias("depth"), "node", "bits"))
+        if at.isEmpty():
+            break
+        out = out.unionByName(at)
+    return by_root(out, w).select("graph_id", "root", "depth", "node")
+
+
 def footprint_labels(endpoints: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = FOOTPRINT_HOPS, budget: int | None = None) -> DataFrame:
     """graph_id, endpoint, label: files, and ``DB:`` tables, that each endpoint (graph_id, root) reaches, or visits within a ``budget``."""
     label = F.when(F.col("type") == "DB_TABLE", F.concat(F.lit("DB:"), "name")).otherwise(F.col("file_path"))
-    walked = reach(endpoints, edges, hops) if budget is None else budgeted_reach(endpoints, edges, hops, budget)
-    found = walked.join(nodes.select("graph_id", F.col("id").alias("node"), label.alias("label")), ["graph_id", "node"])
-    return found.where("label IS NOT NULL").select("graph_id", F.col("root").alias("endpoint"), "label").distinct()
+    named = nodes.select("graph_id", F.col("id").alias("node"), label.alias("label")).where("label IS NOT NULL")
+    if budget is not None:
+        found = budgeted_reach(endpoints, edges, hops, budget).join(named, ["graph_id", "node"])
+        return found.select("graph_id", F.col("root").alias("endpoint"), "label").distinct()
+    w = walks(endpoints, edges, hops)
+    found = w.reached.join(named, ["graph_id", "node"]).groupBy("graph_id", "block", "label").agg(F.bit_or("bits").alias("bits"))
+    return by_root(found, w).select("graph_id", F.col("root").alias("endpoint"), "label")
 
 
 def shared_labels(labels: DataFrame, percent: int = 50, least: int = 3) -> DataFrame:

@@ -194,3 +194,31 @@ def test_budgeted_walks_are_those_of_a_queue(spark):
         found = T.budgeted_reach(starts, spark.createDataFrame(edges, "graph_id long, src string, tgt string, ord long"), hops, budget)
         assert {tuple(r) for r in found.select("graph_id", "root", "node", "depth", "pos").collect()} == want
     assert T.budgeted_reach(starts.limit(0), spark.createDataFrame(edges, "graph_id long, src string, tgt string, ord long")).isEmpty()
+
+
+def test_many_roots_walk_in_blocks(spark):
+    """150 roots that reach the same nodes are three rows a node, not 150; each keeps its own depths, parents and paths."""
+    edges = [(1, f"r{i:03d}", f"n{i % 3}") for i in range(150)] + [(1, "n0", "n1"), (1, "n1", "n2"), (1, "n2", "n0"), (1, "n2", "z"), (1, "n1", "y"), (1, "y", "z")]
+    e = spark.createDataFrame(edges, "graph_id long, src string, tgt string")
+    starts = spark.createDataFrame([(1, f"r{i:03d}") for i in range(150)], "graph_id long, root string")
+    steps, want = {}, set()
+    for _, s, t in edges:
+        steps.setdefault(s, set()).add(t)
+    for root in (f"r{i:03d}" for i in range(150)):
+        level, seen, depth = {root: None}, {}, 0
+        while level:
+            seen |= level
+            want |= {(root, n, depth, p) for n, p in level.items()}
+            found = {}
+            for n in sorted(level):
+                for t in steps.get(n, ()):
+                    if t not in seen:
+                        found.setdefault(t, n)
+            level, depth = found, depth + 1
+    tree = T.reach(starts, e, 12)
+    assert {(r.root, r.node, r.depth, r.parent) for r in tree.collect()} == want and tree.count() == len(want)
+    w = T.walks(starts, e, 12)
+    assert w.reached.where("node = 'z'").count() == 3 and w.found.where("node = 'z'").count() <= 9
+    rows = lambda df: sorted((r.root, r.depth, r.node) for r in df.collect())
+    assert rows(T.default_paths(starts, e)) == rows(T.default_path(tree))
+    assert T.default_paths(starts.limit(0), e).isEmpty()
