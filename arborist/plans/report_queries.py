@@ -249,7 +249,8 @@ _FUNCTIONS = {
 
 # SQL of queries that are functions alone.
 _SQL = {
-    "k1_request_rules": """WITH r AS (SELECT event_id, CAST(EXTRACT(EPOCH FROM ts) AS BIGINT) AS t, user_id % 4 AS a, CASE event_type WHEN 'click' THEN 'analysis' WHEN 'view' THEN 'cron-digest' WHEN 'purchase' THEN 'admin-digest-run' WHEN 'error' THEN 'cron-refresh' WHEN 'signup' THEN 'graph-read' END AS c FROM {events}),
+    # whole seconds count, as the query's documentation says: a cast would round them
+    "k1_request_rules": """WITH r AS (SELECT event_id, CAST(FLOOR(EXTRACT(EPOCH FROM ts)) AS BIGINT) AS t, user_id % 4 AS a, CASE event_type WHEN 'click' THEN 'analysis' WHEN 'view' THEN 'cron-digest' WHEN 'purchase' THEN 'admin-digest-run' WHEN 'error' THEN 'cron-refresh' WHEN 'signup' THEN 'graph-read' END AS c FROM {events}),
 q AS (SELECT *, a || ':' || c AS key, CASE c WHEN 'analysis' THEN 1 WHEN 'cron-refresh' THEN 2 WHEN 'graph-read' THEN 30 ELSE 5 END AS most, CASE c WHEN 'analysis' THEN 180 WHEN 'graph-read' THEN 60 ELSE 3600 END AS width FROM r WHERE c IS NOT NULL),
 g AS (SELECT *, CASE WHEN t - LAG(t) OVER (PARTITION BY key ORDER BY t, event_id) <= 600 THEN 0 ELSE 1 END AS fresh FROM q), b AS (SELECT *, SUM(fresh) OVER (PARTITION BY key ORDER BY t, event_id) AS run FROM g),
 w AS (SELECT *, (t - MIN(t) OVER (PARTITION BY key, run)) // width AS win FROM b) SELECT event_id, key, ROW_NUMBER() OVER (PARTITION BY key, run, win ORDER BY t, event_id) <= most AS allowed FROM w""",

@@ -38,3 +38,19 @@ def test_query(spark, duck, name):
         assert sorted(names) == sorted(found.columns)
         order = sorted(range(len(names)), key=names.__getitem__)
         assert sorted([plain(x) for x in r] for r in rows) == sorted([plain(r[i]) for i in order] for r in want.fetchall())
+
+
+def test_request_rules_count_whole_seconds(spark, tmp_path):
+    """A window of 180 s that ends between two seconds: 0.6 s and 180.4 s are whole seconds 0 and 180, so the second request is in a new window."""
+    name = "k1_request_rules"
+    duckdb.sql(
+        f"""COPY (SELECT CAST(i AS BIGINT) AS event_id, TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(ms) AS ts, CAST(1 AS BIGINT) AS user_id, 'click' AS event_type, 1.0 AS value, '' AS props
+        FROM (VALUES (1, 600), (2, 180400), (3, 180700), (4, 359900), (5, 360100)) t(i, ms)) TO '{tmp_path}/events.parquet' (FORMAT parquet)"""
+    )
+    want = [(1, True), (2, True), (3, False), (4, False), (5, True)]
+    assert sorted((r.event_id, r.allowed) for r in registry.queries()[name](spark, str(tmp_path)).collect()) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    found = con.execute(registry.oracle_sql()[name])
+    at = [d[0] for d in found.description]
+    assert sorted((r[at.index("event_id")], r[at.index("allowed")]) for r in found.fetchall()) == want
