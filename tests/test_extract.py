@@ -129,3 +129,17 @@ def test_hosts_beans_and_fields(tree):
 def test_a_cycle_of_files_is_found_from_their_text(tree):
     f = B.Facts(tree(**{"src/a.ts": "import { b } from './b';\nexport function fa(x) { b(1); }", "src/b.ts": "import { a } from './a';\nexport function b(x) { }", "src/c.ts": "import { a } from './a';"}))
     assert rules.cyclic_import(B.nodes(f), B.edges(f)).count() == 1
+
+
+def test_names_of_nodes_need_no_flags(spark):
+    """``node_names`` are the nodes' own ids and names, and the plan reads no text again; calls keep one edge a pair without a hash a call."""
+    files = [
+        (1, "a/User.java", "Java", '@Entity\n@Table(name = "users")\npublic class User {\n  private Long id;\n  public void go(int a) {\n    Other.run2(1);\n    Other.run2(2);\n    go2(1);\n  }\n  public void go2(int a) {\n  }\n}\n'),
+        (1, "a/Other.java", "Java", 'public class Other {\n  static String q = "SELECT * FROM plain_t WHERE id = 1";\n  @GetMapping("/x")\n  public void run2(int a) {\n  }\n}\n'),
+    ]
+    f = B.Facts(spark.createDataFrame(files, "graph_id long, file_path string, language string, content string"))
+    columns = ["graph_id", "id", "type", "file_path", "name"]
+    rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    assert rows(B.node_names(f)) == rows(B.nodes(f)) and {r[2] for r in rows(B.node_names(f))} == {"FILE", "FUNCTION", "DB_TABLE", "API_ENDPOINT"}
+    names = {r.id: r.name for r in B.node_names(f).collect()}
+    assert sorted((names[r.src], names[r.tgt], r.same_file) for r in B.call_edges(f).collect()) == [("go", "go2", True), ("go", "run2", False)]
