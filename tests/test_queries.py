@@ -54,3 +54,21 @@ def test_request_rules_count_whole_seconds(spark, tmp_path):
     found = con.execute(registry.oracle_sql()[name])
     at = [d[0] for d in found.description]
     assert sorted((r[at.index("event_id")], r[at.index("allowed")]) for r in found.fetchall()) == want
+
+
+def test_an_order_that_calls_two_services_from_one_file(spark, tmp_path):
+    """Both calls are found where one order gives two calls of a Kotlin file: their fields have names of their own."""
+    for t in TABLES:
+        duckdb.sql(f"COPY (SELECT * FROM '{SF}/{t}.parquet' LIMIT {0 if t == 'lineitem' else 1000000}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    # file 104 is Kotlin, in a graph of services; lines 1 of order 104 with a quantity of 25 call the files of their parts
+    duckdb.sql(
+        f"""COPY (SELECT CAST(104 AS BIGINT) AS l_orderkey, CAST(p AS BIGINT) AS l_partkey, CAST(0 AS BIGINT) AS l_suppkey, CAST(1 AS INT) AS l_linenumber, CAST(25 AS DOUBLE) AS l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
+        FROM (SELECT * FROM '{SF}/lineitem.parquet' LIMIT 1), (VALUES (101), (102)) v(p)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)"""
+    )
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    for name in ("x17_service_calls", "e18_service_call_edges"):
+        found = registry.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+        assert len(want) == 2 and sorted(tuple(r) for r in found.collect()) == sorted(want)
