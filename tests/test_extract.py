@@ -143,3 +143,16 @@ def test_names_of_nodes_need_no_flags(spark):
     assert rows(B.node_names(f)) == rows(B.nodes(f)) and {r[2] for r in rows(B.node_names(f))} == {"FILE", "FUNCTION", "DB_TABLE", "API_ENDPOINT"}
     names = {r.id: r.name for r in B.node_names(f).collect()}
     assert sorted((names[r.src], names[r.tgt], r.same_file) for r in B.call_edges(f).collect()) == [("go", "go2", True), ("go", "run2", False)]
+
+
+def test_facts_of_lines_stay_with_their_file(spark):
+    """Nodes of one type read that type's facts alone; fields and annotated methods need no shuffle of lines; overloads' calls are one row each."""
+    text = "@Entity\npublic class A {\n  @Column(name = \"a_b\")\n\n  @Convert(converter = X.class)\n  private String ab;\n  private Long cd;\n  @Transactional\n  // why\n  public void go(int a) {\n    run2(1);\n    Other.run2(1);\n  }\n  public void go(long a) {\n    run2(2);\n    run3(2);\n  }\n}\n"
+    files = spark.createDataFrame([(1, "a/A.java", "Java", text), (1, "a/B.java", "Java", None)], "graph_id long, file_path string, language string, content string")
+    f = B.Facts(files)
+    assert B.nodes(f, ("API_ENDPOINT",)).count() == 0 and B.nodes(f, ("FILE",)).count() == 2 and not {"definitions", "tables", "raw_sql"} & set(f.__dict__)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(X.entity_columns(files)) and "Window" not in plan(X.transactional_methods(files)) and "Window" not in plan(X.function_comments(files))
+    assert sorted(tuple(r)[2:] for r in X.entity_columns(files).collect()) == [(6, "ab", "a_b", "String", True), (7, "cd", "cd", "Long", False)]
+    assert [r.name for r in X.transactional_methods(files).collect()] == ["go"] and [(r.name, r.comment) for r in X.function_comments(files).collect()] == [("go", "why")]
+    assert sorted((r.caller, r.target_class or "", r.callee) for r in X.calls(files).collect()) == [("go", "", "run2"), ("go", "", "run3"), ("go", "Other", "run2")]
