@@ -19,9 +19,9 @@ FRONTEND = ["typescript", "javascript", "tsx", "jsx"]
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame, *extra: str) -> DataFrame:
-    """Edges with name, path, language (and ``extra`` columns) of both ends."""
+    """Edges with name, path, language (and ``extra`` columns) of both ends. Nodes aren't broadcast: by their packed files Spark takes them for fewer than they are."""
     cols = ["name", "file_path", "language", *extra]
-    end = lambda side: nodes.select("graph_id", F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols])
+    end = lambda side: nodes.select("graph_id", F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols]).hint("merge")
     return edges.join(end("src"), ["graph_id", "src"]).join(end("tgt"), ["graph_id", "tgt"])
 
 
