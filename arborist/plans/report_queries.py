@@ -146,6 +146,11 @@ def _graph(f):
     return lambda spark, sf_dir: f(G.nodes(spark, sf_dir), G.edges(spark, sf_dir))
 
 
+def _of_nodes(f):
+    """A query of the nodes alone, for which no edges are built."""
+    return lambda spark, sf_dir: f(G.nodes(spark, sf_dir))
+
+
 def _table(f, *names):
     return lambda spark, sf_dir: f(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names))
 
@@ -206,7 +211,7 @@ def _connected(events):
     return limits.connections_batch(events.select((F.col("user_id") % 3).alias("key"), "event_id", "ts", action.alias("action")), 30, "1 day").select("event_id", "open_n", "allowed")
 
 
-def _cache(n, _):
+def _cache(n):
     files = n.where("type = 'FILE'").select(F.col("graph_id").alias("project_id"), "file_path", F.md5("file_path").alias("content_hash"), "id", "ord")
     return store.cache_state(files, files.where("ord % 3 <> 0").withColumn("analyzer_version", F.lit(10)), 10).select("id", "state")
 
@@ -216,14 +221,14 @@ _FUNCTIONS = {
     "k1_request_rules": _table(_routed, "events"),
     "k4_connections": _table(_connected, "events"),
     "k6_daily_active": _table(lambda e: limits.daily_active(e), "events"),
-    "s9_incremental_parse": _graph(_cache),
-    "g1_node_diff": _graph(lambda n, e: S.node_diff(_old(n), _new(n), ["id", "type", "name", "file_path"]).select("id", "status")),
+    "s9_incremental_parse": _of_nodes(_cache),
+    "g1_node_diff": _of_nodes(lambda n: S.node_diff(_old(n), _new(n), ["id", "type", "name", "file_path"]).select("id", "status")),
     "g2_edge_diff": _graph(_edge_diff),
-    "g3_diff_summary": _graph(lambda n, e: S.diff_summary(S.node_diff(_old(n), _new(n), ["id"]))),
+    "g3_diff_summary": _of_nodes(lambda n: S.diff_summary(S.node_diff(_old(n), _new(n), ["id"]))),
     "g4_latest_graph": _table(lambda o: feeds.newest(o, ["o_custkey"], _latest()).select("o_custkey", "o_orderkey", "rn"), "orders"),
     "g5_retention": _table(_expired, "orders", "lineitem"),
     "g7_complexity_hubs": _graph(lambda n, e: S.top_hubs(e)),
-    "g8_node_search": _graph(lambda n, e: S.search(n, "user").select("id", "name")),
+    "g8_node_search": _of_nodes(lambda n: S.search(n, "user").select("id", "name")),
     "g10_node_budget": _graph(lambda n, e: S.node_budget(n, e).select("id", "visible")),
     "g24_undocumented_hot": _graph(lambda n, e: S.undocumented_hot(n, e)),
     "g25_context_subgraph": _graph(lambda n, e: S.summary_edges(n, e).select("edge_identifier")),
@@ -234,7 +239,7 @@ _FUNCTIONS = {
     "g35_callers_callees": _graph(lambda n, e: S.callers_callees(S.with_ends(n, e))),
     "g36_table_access": _graph(lambda n, e: S.table_access(e)),
     "g39_typed_edges": _graph(lambda n, e: S.typed_edges(n.where("ord % 9 <> 0"), e)),
-    "g40_node_counts": _graph(lambda n, e: S.node_counts(n)),
+    "g40_node_counts": _of_nodes(lambda n: S.node_counts(n)),
     "a6_failure_anomaly": _table(lambda e: feeds.failure_anomalies(e, "user_id", F.col("event_type") == "error"), "events"),
     "a7_day_over_day": _table(_changes, "events"),
     "a10_snapshot_upsert": _table(_snapshots, "events"),
