@@ -54,8 +54,16 @@ def _single(df: DataFrame, kind: str, severity: str, text: str | Column) -> Data
     return warning(df, kind, severity, ["id"], [], F.concat(F.lit(text) if isinstance(text, str) else text, F.col("file_path"), F.lit("#"), F.col("name")))
 
 
-def _imports(nodes: DataFrame, edges: DataFrame, *flags: str) -> DataFrame:
-    return with_ends(edges.where("type = 'IMPORT'"), classified(nodes), "test", *flags).where("NOT src_test")
+def import_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes that imports start or end at, written, so that no path of another node, as functions are, is classified."""
+    ids = edges.where("type = 'IMPORT'").select("graph_id", F.explode(F.array("src", "tgt")).alias("id")).distinct()
+    return materialise(nodes.join(ids.hint("merge"), ["graph_id", "id"], "left_semi"))
+
+
+def _imports(nodes: DataFrame, edges: DataFrame, *flags: str, ends: DataFrame | None = None) -> DataFrame:
+    """Imports with both ends' ``flags``, not from tests. ``ends``: ``import_ends``, where several rules read the same."""
+    ends = import_ends(nodes, edges) if ends is None else ends
+    return with_ends(edges.where("type = 'IMPORT'"), classified(ends), "test", *flags).where("NOT src_test")
 
 
 def _dfs(kind: str):
@@ -131,8 +139,12 @@ def broken_interface_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def async_self_call(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    e = with_ends(edges.where("type = 'FUNCTION_CALL'"), nodes.where("type = 'FUNCTION'"), "is_async")
-    e = e.where(F.col("tgt_is_async") & F.lower("tgt_language").isin("java", "kotlin") & (F.col("src_file_path") == F.col("tgt_file_path")) & (F.col("src_file_path") != ""))
+    f = nodes.where("type = 'FUNCTION'")
+    end = lambda rows, side: rows.select("graph_id", F.col("id").alias(side), F.col("name").alias(f"{side}_name"), F.col("file_path").alias(f"{side}_file_path")).hint("merge")
+    # calls meet what they call first: few of these are asynchronous, and only their calls go on to a caller
+    called = f.where(F.col("is_async") & F.lower("language").isin("java", "kotlin") & (F.col("file_path") != ""))
+    e = edges.where("type = 'FUNCTION_CALL'").select("graph_id", "src", "tgt", "edge_identifier").join(end(called, "tgt"), ["graph_id", "tgt"]).join(end(f, "src"), ["graph_id", "src"])
+    e = e.where(F.col("src_file_path") == F.col("tgt_file_path"))
     return _pair(e, "ASYNC_SELF_CALL", "HIGH", "Asynchronous method called in its own class")
 
 
@@ -185,17 +197,19 @@ def dead_code(nodes: DataFrame, edges: DataFrame, min_functions: int = 30, min_h
 def high_fan_out(nodes: DataFrame, edges: DataFrame, threshold: int = 7) -> DataFrame:
     calls = edges.where("type = 'FUNCTION_CALL' AND NOT same_file").groupBy("graph_id", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
     name, path = F.col("name"), F.col("file_path")
-    f = nodes.where("type = 'FUNCTION' AND NOT is_test AND name <> 'main' AND coalesce(merged_def_count, 1) < 2").where(~P.is_test_artifact(path, name) & ~P.is_orchestrator(path, name))
-    return _single(f.join(calls, ["graph_id", "id"]), "HIGH_FAN_OUT", "LOW", F.concat(F.lit("Calls "), F.col("n").cast("string"), F.lit(" functions: ")))
+    f = nodes.where("type = 'FUNCTION' AND NOT is_test AND name <> 'main' AND coalesce(merged_def_count, 1) < 2").select("graph_id", "id", "name", "file_path")
+    # few functions call so many, and only their paths are looked at
+    f = materialise(f.join(calls.hint("merge"), ["graph_id", "id"])).where(~P.is_test_artifact(path, name) & ~P.is_orchestrator(path, name))
+    return _single(f, "HIGH_FAN_OUT", "LOW", F.concat(F.lit("Calls "), F.col("n").cast("string"), F.lit(" functions: ")))
 
 
-def domain_imports_infra(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    e = _imports(nodes, edges, "domain", "infra", "in_shared").where("src_domain AND tgt_infra AND NOT tgt_in_shared")
+def domain_imports_infra(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    e = _imports(nodes, edges, "domain", "infra", "in_shared", ends=ends).where("src_domain AND tgt_infra AND NOT tgt_in_shared")
     return _pair(e, "DOMAIN_IMPORTS_INFRA", "HIGH", "Domain imports infrastructure")
 
 
-def interfaces_imports_infra(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    e = _imports(nodes, edges, "interface_dir", "infra", "in_shared", "root_file").where("src_interface_dir AND tgt_infra AND NOT tgt_in_shared AND NOT src_root_file")
+def interfaces_imports_infra(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    e = _imports(nodes, edges, "interface_dir", "infra", "in_shared", "root_file", ends=ends).where("src_interface_dir AND tgt_infra AND NOT tgt_in_shared AND NOT src_root_file")
     return _pair(e, "INTERFACES_IMPORTS_INFRA", "MEDIUM", "Interface layer imports infrastructure")
 
 
@@ -265,12 +279,14 @@ def cross_domain_call(nodes: DataFrame, edges: DataFrame, graphs: DataFrame | No
 def feature_gate(nodes: DataFrame) -> DataFrame:
     """Graphs with two or more features, a frontend language and no Redux-style layout."""
     path = F.col("file_path")
-    g = nodes.groupBy("graph_id").agg(F.countDistinct(P.feature_of(path)).alias("features"), F.max(F.lower("language").isin(FRONTEND)).alias("frontend"), F.max(path.rlike("(^|/)features/[^/]+/[^/]*[sS]lice\\.(ts|js|tsx|jsx)$")).alias("redux"))
+    # a path is looked at once, whatever the number of its nodes
+    paths = nodes.groupBy("graph_id", "file_path").agg(F.max(F.lower("language").isin(FRONTEND)).alias("frontend"))
+    g = paths.groupBy("graph_id").agg(F.countDistinct(P.feature_of(path)).alias("features"), F.max("frontend").alias("frontend"), F.max(path.rlike("(^|/)features/[^/]+/[^/]*[sS]lice\\.(ts|js|tsx|jsx)$")).alias("redux"))
     return g.where("features >= 2 AND frontend AND NOT redux").select("graph_id")
 
 
-def cross_feature_import(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    e = _imports(nodes, edges, "feature").join(feature_gate(nodes), "graph_id", "left_semi").where("src_feature <> tgt_feature")
+def cross_feature_import(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    e = _imports(nodes, edges, "feature", ends=ends).join(feature_gate(nodes), "graph_id", "left_semi").where("src_feature <> tgt_feature")
     return _pair(e, "CROSS_FEATURE_IMPORT", "HIGH", "Feature imports feature")
 
 

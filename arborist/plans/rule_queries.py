@@ -45,9 +45,9 @@ def _warnings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     n, e = G.nodes(spark, sf_dir), G.edges(spark, sf_dir)
 
     def build():
-        out = rules.high_fan_out(n, e)
-        for rule in (rules.domain_imports_infra, rules.interfaces_imports_infra, rules.async_self_call, rules.cross_feature_import):
-            out = out.unionByName(rule(n, e))
+        out, ends = rules.high_fan_out(n, e).unionByName(rules.async_self_call(n, e)), rules.import_ends(n, e)
+        for rule in (rules.domain_imports_infra, rules.interfaces_imports_infra, rules.cross_feature_import):
+            out = out.unionByName(rule(n, e, ends))
         return findings.fingerprint(out)
 
     return G.once(spark, sf_dir, "warnings", build), n
