@@ -70,6 +70,29 @@ def test_jaccard_odd_tables(spark):
     assert jaccard.jaccard_components(docs(spark, rows).limit(0)).isEmpty()
 
 
+def test_jaccard_pairs_of_a_crowded_group(spark, monkeypatch):
+    """Texts that lie just below the threshold: what may be linked is found in a few pairs a class, not in one for each task that a class meets."""
+    for name, value in (("PART", 20), ("CHUNK", 4), ("PIVOTS", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    made, real = [], jaccard._round
+
+    def counted(members, buckets, payload="text"):
+        found = jaccard.materialise(real(members, buckets, payload))
+        made.append((payload, found.count()))
+        return found
+
+    monkeypatch.setattr(jaccard, "_round", counted)
+    r, base, rows = random.Random(5), [f"w{k}" for k in range(200)], []
+    for i in range(240):
+        w = list(base)
+        for k in r.sample(range(200), 5):
+            w[k] = f"e{r.randint(0, 40)}"
+        rows.append((i, " ".join(w)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_components(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    assert got == brute_components(rows, 80)
+    assert sum(n for payload, n in made if payload == "list") <= 20 * len(rows)
+
+
 def test_walk_equals_comparing():
     r = np.random.default_rng(4)
     for cut in range(200):
