@@ -78,28 +78,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(found, pa.binary())], [*(batch.schema.names[i] for i in keep), "shingles"])
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sorted sets have 100 * intersection >= percent * union."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < percent * len(large):
-        return False
-    at = np.searchsorted(large, small)
-    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+class Pivots:
+    """Sets with, for each of their elements, the sets that hold it, so that a set is compared with all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.known, number = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.starts = np.searchsorted(number[order], np.arange(len(self.known) + 1))
+
+    def linked(self, s: np.ndarray, percent: int = PERCENT) -> list[int]:
+        """The sets with 100 * intersection >= percent * union with s; none is linked with an empty one."""
+        if not len(self.known):
+            return []
+        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
+        at = at[self.known[at] == s]
+        lengths = self.starts[at + 1] - self.starts[at]
+        before = np.append(0, np.cumsum(lengths))
+        both = np.bincount(self.owners[np.repeat(self.starts[at] - before[:-1], lengths) + np.arange(before[-1])], minlength=len(self.sizes))
+        return np.flatnonzero((both > 0) & (100 * both >= percent * (len(s) + self.sizes - both))).tolist()
 
 
 def _compare(key, members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     """Links of each member with pivots of its group; of pivots that are linked already, one is enough."""
     found, by_group = [], dict(tuple(members.groupby("grp", sort=False)))
     for group, own in pivots.groupby("grp", sort=False):
-        sets = [np.frombuffer(x, np.uint64) for x in own["shingles"]]
+        if group not in by_group:
+            continue
+        held = Pivots([np.frombuffer(x, np.uint64) for x in own["shingles"]])
         ids, comps = own["doc_id"].tolist(), own["comp"].tolist()
-        for doc, comp, blob in zip(*(by_group[group][c] for c in ("doc_id", "comp", "shingles"))) if group in by_group else ():
-            s, seen = np.frombuffer(blob, np.uint64), {comp}
-            for pivot, of, x in zip(ids, comps, sets):
-                if pivot != doc and of not in seen and linked(s, x):
-                    found.append((doc, pivot))
-                    seen.add(of)
+        for doc, comp, blob in zip(*(by_group[group][c] for c in ("doc_id", "comp", "shingles"))):
+            seen = {comp}
+            for i in held.linked(np.frombuffer(blob, np.uint64)):
+                if ids[i] != doc and comps[i] not in seen:
+                    found.append((doc, ids[i]))
+                    seen.add(comps[i])
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
@@ -122,12 +136,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     real = signed_.where("n > 0 AND doc_id IS NOT NULL")
     classes = real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = materialise(classes)
-    own = materialise(real.select("doc_id", "f1", "f2", "n").distinct().join(classes.drop("bands"), ["f1", "f2", "n"]).select("doc_id", "rep").distinct())
+    own = materialise(real.select("doc_id", "f1", "f2", "n").join(classes.drop("bands"), ["f1", "f2", "n"]).select("doc_id", "rep").distinct())
     # loose groups: classes that share a band
     keys = classes.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("key", "b")
     # the shared keys grow with the documents: merged at every size
-    loose = components(keys.join(shared.hint("merge"), "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    loose = components(materialise(keys.join(shared.hint("merge"), "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()))
     sizes = loose.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     loose = loose.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), F.ceil(F.col("size") / PART).cast("int").alias("parts"), "size")
     # pivots are chosen on ids alone, so that sets are shuffled only to be compared
@@ -146,7 +160,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # what the pivots left: all members outside a group's largest component
     so_far = components(links)
     state = loose.select("doc_id", "grp", "size").join(so_far.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    state = materialise(state)
     count = state.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = count.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"))
     largest = largest.where("comps > 1").select("grp", F.col("top.comp").alias("largest"), (F.col("all") - F.col("top.n")).alias("n_pivots"))
@@ -155,7 +168,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = materialise(_round(members.drop("pivot", "n_pivots").join(materialise(rest), "doc_id"), buckets))
     twice = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     same = own.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
-    final = components(links.unionByName(more).unionByName(same))
+    final = components(materialise(links.unionByName(more).unionByName(same).distinct()))
     placed = own.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     named = signed_.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     out = named.join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
