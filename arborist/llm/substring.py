@@ -20,7 +20,8 @@ is shuffled once a batch.
 A string with crowded grams alone lies inside a passage that very many texts share, so nearly all stretches of such an anchor
 are equal. They are dealt out to ``PARTS`` tasks by a hash of their bytes, equal ones together, and within a task they are
 searched ``MAX_SPANS`` distinct ones at a time. What repeats across parts is found by the rest of their strings, which are
-sorted by their 100 bytes and read in one pass.
+sorted by their 100 bytes and read in one pass, as far as their hashes occur again. Bitmaps of those hashes and of the texts that lose something,
+of fixed size as well, keep all other strings and texts out of the shuffles.
 
 Cases: null text is empty; texts below 100 bytes lose nothing; texts of any length are taken in overlapping parts
 of ``PART_BYTES``; of equal (doc_id, start) in repeated rows none is earlier, so repeated rows keep or lose the same
@@ -33,6 +34,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -469,6 +471,35 @@ def _bitmaps(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """Bits of the longs ``h``."""
+    low, bit = F.col("h").bitwiseAND((1 << BITMAP_LOG) - 1), "bit_or(shiftleft(1L, CAST(h & 63 AS INT)))"
+    words = values.groupBy(F.shiftright(low, 6).alias("word")).agg(F.expr(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP_LOG - 6), np.uint64)  # as many words at most, whatever the input
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return bitmap
+
+
+def _among(shared) -> Callable:
+    """Whether a long has its bit in the shared bitmap."""
+
+    @F.pandas_udf("boolean")
+    def among(h: pd.Series) -> pd.Series:
+        return pd.Series(_inside(shared.value, h.to_numpy().view(np.uint64)))
+
+    return among
+
+
+def _recurring(shared) -> Callable:
+    """The strings whose key has its bit in the shared bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_inside(shared.value, batch["key"].to_numpy().view(np.uint64))))
+
+    return run
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row of documents (doc_id, text)."""
     spark = docs.sparkSession
@@ -477,10 +508,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     dealt = spans.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "span", "doc_id", "start", "row")
     found = materialise(dealt.mapInArrow(_resolve, FOUND))
     runs = "doc_id long, row long, first long, last long"
-    strings = found.where("string IS NOT NULL").repartition("key").sortWithinPartitions("key", "string", "doc_id", "first", "row")
-    gone = found.where("string IS NULL").select("doc_id", "row", "first", "last").unionByName(strings.mapInArrow(_repeated, runs))
+    # a string whose hash no other has can't repeat: few are left to be shuffled
+    strings = found.where("string IS NOT NULL")
+    again = spark.sparkContext.broadcast(_bitmap(strings.groupBy(F.col("key").alias("h")).count().where("count > 1")))
+    strings = strings.mapInArrow(_recurring(again), FOUND)
+    sure = found.where("string IS NULL")
+    # texts that lose nothing needn't meet the runs: only those of the others, and of equal bits, are shuffled
+    place = F.xxhash64("doc_id", "row")
+    losing = _among(spark.sparkContext.broadcast(_bitmap(sure.select(place.alias("h")).unionByName(strings.select(place.alias("h"))))))
+    dealt = strings.repartition("key").sortWithinPartitions("key", "string", "doc_id", "first", "row")
+    gone = sure.select("doc_id", "row", "first", "last").unionByName(dealt.mapInArrow(_repeated, runs))
     per_row = gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # a row has fewer runs than bytes
-    laid = docs.join(per_row, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
+    docs = docs.withColumn("place", place)
+    laid = docs.where(losing("place")).join(per_row, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
+    laid = laid.unionByName(docs.where(~losing("place")).select("doc_id", "text"), allowMissingColumns=True)
     return laid.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

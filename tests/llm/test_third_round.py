@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from arborist.llm import neardup
+from arborist.llm import neardup, substring
 from arborist.llm.common import components
 
 
@@ -66,3 +66,17 @@ def test_empty_texts_of_repeated_ids_link_nothing(spark):
     rows += [(i, " ".join([*common[:20], *(f"v{i}x{k}" for k in range(24))])) for i in (4, 5, 6)] + [(i, " ") for i in (4, 5, 6)]
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
+
+
+def test_only_texts_that_lose_something_are_joined(spark, monkeypatch):
+    rng, own = random.Random(3), lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = own(150)
+    rows = [(k, own(6000)) for k in range(40)] + [(100, passage + own(50)), (101, own(60) + passage), (102, None), (102, "x"), (None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    kind, joined = type(docs), []
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, *a, **b: (joined.append(self.count()), join(self, *a, **b))[1])
+    out = substring.remove_repeats(docs).drop("kept").collect()
+    lost = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"]) for r in out}
+    assert len(out) == len(rows) and {k: x for k, x in lost.items() if x[0]} == {(100, 200): (150, 1), (101, 210): (150, 1)}
+    assert sum(joined) < 10, joined
