@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from arborist.llm import neardup, substring
+from arborist.llm import jaccard, neardup, substring
 from arborist.llm.common import components
 
 
@@ -80,3 +81,12 @@ def test_only_texts_that_lose_something_are_joined(spark, monkeypatch):
     lost = {(r["doc_id"], r["n_bytes"]): (r["n_removed"], r["n_spans"]) for r in out}
     assert len(out) == len(rows) and {k: x for k, x in lost.items() if x[0]} == {(100, 200): (150, 1), (101, 210): (150, 1)}
     assert sum(joined) < 10, joined
+
+
+
+def test_groups_of_long_texts_are_not_taken_together(spark):
+    """A hundred pairs of texts of 200 KB: 40 MB, far fewer than PART texts."""
+    texts = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("long text "), 20_000).alias("text"))
+    assert jaccard._buckets(texts) == 4
+    assert jaccard._buckets(texts.limit(0)) == 1
+    assert jaccard._buckets(spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("short").alias("text"))) == 5
