@@ -3,6 +3,7 @@
 All take edges (graph_id, src, tgt, ...) and keep ``graph_id`` in every key, so graphs never mix and a hop shuffles by graph
 and node. What a hop finds is written and read again, which ends the lineage; each node is reached once a
 walk, so a walk holds at most the nodes of its graph. Edges with a null end lead nowhere; an empty table of starts gives no rows.
+Graphs that fit a task are walked whole by one (``localgraphs``), with the same result; the joins are for larger ones.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 
 from arborist.storage import materialise
 
+from . import localgraphs as L
+
 #: Hops that a walk up or down takes, and that a footprint takes, and nodes that it meets.
 MAX_HOPS, FOOTPRINT_HOPS, FOOTPRINT_NODES = 12, 10, 500
+#: A label is shared that is in so many of a graph's footprints, in percent and in number.
+SHARED_PERCENT, LEAST_FOOTPRINTS = 50, 3
 
 
 class Walks(NamedTuple):
@@ -76,6 +81,19 @@ def by_root(rows: DataFrame, w: Walks) -> DataFrame:
     return rows.join(w.blocks, ["graph_id", "block"]).withColumn("root", F.explode(own)).drop("block", "bits", "roots")
 
 
+def _whole_or_joined(local, joined, starts: DataFrame, edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``local`` of the graphs that a task takes whole, ``joined`` (starts, edges, labels) of the others."""
+    texts = [(starts, "root"), (edges, "src"), (edges, "tgt"), *([] if labels is None else [(labels, "node"), (labels, "label")])]
+    if not L.by_names(*texts):
+        return joined(starts, edges, labels)
+    small, large = L.split(materialise(L.rows_of(edges, starts, labels)), L.ROWS)
+    out = local(small)
+    if large is None:
+        return out
+    of = lambda kind, a, b: large.where(F.col("kind") == kind).select("graph_id", F.col("a").alias(a), F.col("b").alias(b))
+    return out.unionByName(joined(of(L.ROOT, "root", "b").drop("b"), of(L.STEP, "src", "tgt"), None if labels is None else of(L.LABEL, "node", "label")))
+
+
 def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """graph_id, root, node, depth, parent: all that each root reaches within ``hops``, at its least depth.
 
@@ -168,6 +186,10 @@ def default_path(tree: DataFrame) -> DataFrame:
 
 def default_paths(starts: DataFrame, edges: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """The ``default_path`` of the ``reach`` from ``starts``, walked in blocks of roots without a row for each root and node."""
+    return _whole_or_joined(lambda rows: L.first_children(rows, hops), lambda starts, edges, _: _joined_paths(starts, edges, hops), starts, edges)
+
+
+def _joined_paths(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     w = walks(starts, edges, hops)
     tree = materialise(with_parents(w))
     at = tree.where("depth = 0").select("graph_id", "block", "depth", "node", "bits")
@@ -195,7 +217,7 @@ def footprint_labels(endpoints: DataFrame, nodes: DataFrame, edges: DataFrame, h
     return by_root(found, w).select("graph_id", F.col("root").alias("endpoint"), "label")
 
 
-def shared_labels(labels: DataFrame, percent: int = 50, least: int = 3) -> DataFrame:
+def shared_labels(labels: DataFrame, percent: int = SHARED_PERCENT, least: int = LEAST_FOOTPRINTS) -> DataFrame:
     """graph_id, label, n of labels in at least ``percent`` of the graph's footprints and in ``least``."""
     total = labels.groupBy("graph_id").agg(F.count_distinct("endpoint").alias("total"))
     n = labels.groupBy("graph_id", "label").agg(F.count_distinct("endpoint").alias("n"))
