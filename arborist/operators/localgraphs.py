@@ -151,6 +151,22 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def _tree(hops: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = Bucket(batches)
+
+        def made(roots, nodes, depth, parents):
+            return _batch(graph_id=b.graph_ids(b.graph[nodes]), root=b.names(b.roots[roots]), node=b.names(nodes), depth=pa.array(np.full(len(nodes), depth, np.int32)), parent=pa.nulls(len(nodes), pa.string()) if parents is None else b.names(parents))
+
+        for block in b.blocks():
+            yield made(block.own, block.start, 0, None)
+            for depth, s, t, bits in block.hops(hops):
+                for word, root in block.rows(bits, b.graph[t]):
+                    yield made(root, t[word], depth, s[word])
+
+    return run
+
+
 def _first_children(hops: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = Bucket(batches)
@@ -182,6 +198,11 @@ def _grouped(rows: DataFrame, run, columns: str) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, f"graph_id {rows.schema['graph_id'].dataType.simpleString()}, {columns}")
 
 
+def tree(rows: DataFrame, hops: int) -> DataFrame:
+    """``traversal.reach`` of bucketed rows."""
+    return _grouped(rows, _tree(hops), "root string, node string, depth int, parent string")
+
+
 def first_children(rows: DataFrame, hops: int) -> DataFrame:
     """``traversal.default_paths`` of bucketed rows."""
     return _grouped(rows, _first_children(hops), "root string, depth int, node string")

@@ -97,11 +97,15 @@ def _whole_or_joined(local, joined, starts: DataFrame, edges: DataFrame, labels:
 def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """graph_id, root, node, depth, parent: all that each root reaches within ``hops``, at its least depth.
 
-    ``starts`` are (graph_id, root). The parent is the smallest node one hop nearer; the root has none. Roots walk in blocks (``walks``); only the result has a
+    ``starts`` are (graph_id, root). The parent is the smallest node one hop nearer; the root has none. Roots walk in blocks; only the result has a
     row for each root and node.
     """
-    w = walks(starts, edges, hops)
-    return by_root(with_parents(w), w).select("graph_id", "root", "node", "depth", "parent")
+
+    def joined(starts, edges, _):
+        w = walks(starts, edges, hops)
+        return by_root(with_parents(w), w).select("graph_id", "root", "node", "depth", "parent")
+
+    return _whole_or_joined(lambda rows: L.tree(rows, hops), joined, starts, edges)
 
 
 def budgeted_reach(starts: DataFrame, edges: DataFrame, hops: int = FOOTPRINT_HOPS, budget: int = FOOTPRINT_NODES) -> DataFrame:

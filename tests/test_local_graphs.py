@@ -27,7 +27,7 @@ def rows(df):
 def test_whole_graphs_give_what_joins_give(spark, monkeypatch):
     edges, roots, labels = drawn(spark)
     nodes = labels.selectExpr("graph_id", "node AS id", "'FILE' AS type", "'x' AS name", "label AS file_path")
-    runs = {"paths": lambda: T.default_paths(roots, edges, 6)}
+    runs = {"reach": lambda: T.reach(roots, edges, 4), "paths": lambda: T.default_paths(roots, edges, 6)}
     for name, run in runs.items():
         monkeypatch.setattr(L, "ROWS", 200_000)
         whole = rows(run())
@@ -39,7 +39,7 @@ def test_whole_graphs_give_what_joins_give(spark, monkeypatch):
     assert rows(runs["paths"]()) == whole
 
 
-@pytest.mark.parametrize("name", ["default_paths"])
+@pytest.mark.parametrize("name", ["reach", "default_paths"])
 def test_a_walk_takes_few_jobs_whatever_its_length(spark, name):
     """A hop of joins is several jobs; a chain of twelve took more than forty."""
     edges = spark.createDataFrame([(1, f"n{i:02d}", f"n{i + 1:02d}") for i in range(14)], EDGES)
