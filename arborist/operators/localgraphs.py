@@ -1,7 +1,7 @@
-"""Walks over small graphs, many at once in one task, by numbers and bits.
+"""Walks and clusters of small graphs, many at once in one task, by numbers and bits.
 
 A graph of at most ``ROWS`` rows is taken whole by one task, together with others up to about ``BUCKET`` rows: one shuffle in all, where hop by hop
-each would be two. Larger graphs are left to the joins of ``traversal``, which give the same rows. A node is a number, in the order of graph
+each would be two. Larger graphs are left to the joins of ``traversal`` and ``modules``, which give the same rows. A node is a number, in the order of graph
 and then of the bytes of its name; the roots of a graph walk 64 at a time, one bit each.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql.types import StringType
 
 from arborist.storage import materialise
 
-#: Rows of a graph that one task takes whole, at most; rows of several graphs that a task takes together, about.
-ROWS, BUCKET = 200_000, 20_000
+#: Rows of a graph that one task takes whole, at most; rows of several graphs that a task takes together, about; rows of labels of a graph that are clustered in one task.
+ROWS, BUCKET, LABEL_ROWS = 200_000, 20_000, 4_000
 #: Words of 64 bits that become rows at once.
 WORDS = 8192
 #: Kinds of rows: a step from a to b, a root a, a node a with a label b.
@@ -194,6 +194,68 @@ def _first_children(hops: int):
     return run
 
 
+def _reached_labels(hops: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = Bucket(batches)
+        of = b.labels // b.n
+        for block in b.blocks() if len(b.labels) else ():
+            for _ in block.hops(hops, parents=False):
+                pass
+            bits = np.bitwise_or.reduceat(block.seen[b.labelled], b.label_at)
+            for word, root in block.rows(bits, of):
+                yield _batch(graph_id=b.graph_ids(of[word]), endpoint=b.names(b.roots[root]), label=b.names(word, b.labels))
+
+    return run
+
+
+def _clusters(percent: int, least_common: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        graph, endpoint, label = (pa.concat_arrays(t[c].chunks).dictionary_encode() for c in ("graph_id", "endpoint", "label"))
+        by_name = pc.sort_indices(endpoint.dictionary).to_numpy()
+        rank = np.empty(len(by_name), np.int64)
+        rank[by_name] = np.arange(len(by_name))
+        g, e, x = graph.indices.to_numpy(), rank[endpoint.indices.to_numpy()], pc.fill_null(label.indices, -1).to_numpy(zero_copy_only=False)
+        order = np.argsort(g, kind="stable")
+        ends = np.searchsorted(g[order], np.arange(len(graph.dictionary) + 1))
+        of_graph, of_endpoint, of_cluster, of_rare, n_rare = [], [], [], [], []
+        for k in range(len(graph.dictionary)):
+            rows = order[ends[k] : ends[k + 1]]
+            own, i = np.unique(e[rows], return_inverse=True)
+            some = x[rows] >= 0
+            names, j = np.unique(x[rows][some], return_inverse=True)
+            held = np.zeros((len(own), len(names)), np.float32)
+            held[i[some], j] = 1
+            n = held.sum(0)
+            few = np.flatnonzero(n < max(-(-len(own) * percent // 100), least_common))
+            held = held[:, few]
+            a, b = np.nonzero(held @ held.T >= least)
+            at = np.arange(len(own))
+            while True:
+                near = at.copy()
+                np.minimum.at(near, a, at[b])
+                near = near[near]
+                if (near == at).all():
+                    break
+                at = near
+            of_graph.append(np.full(len(own), k))
+            of_endpoint.append(own)
+            of_cluster.append(own[at])
+            # the labels that an endpoint is told by, with null where it has that
+            bare = np.zeros(len(own), bool)
+            bare[i[~some]] = True
+            with_null = np.column_stack([held > 0, bare])
+            of_rare.append(np.append(names[few], -1)[np.nonzero(with_null)[1]])
+            n_rare.append(with_null.sum(1))
+        rare = np.concatenate(of_rare)
+        rare = label.dictionary.take(pa.array(rare, pa.int64(), mask=rare < 0))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.concatenate(n_rare)]), pa.int32()), rare)
+        names = endpoint.dictionary.take(pa.array(by_name))
+        yield _batch(graph_id=graph.dictionary.take(pa.array(np.concatenate(of_graph))), endpoint=names.take(pa.array(np.concatenate(of_endpoint))), cluster=names.take(pa.array(np.concatenate(of_cluster))), rare=lists)
+
+    return run
+
+
 def _grouped(rows: DataFrame, run, columns: str) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, f"graph_id {rows.schema['graph_id'].dataType.simpleString()}, {columns}")
 
@@ -206,3 +268,13 @@ def tree(rows: DataFrame, hops: int) -> DataFrame:
 def first_children(rows: DataFrame, hops: int) -> DataFrame:
     """``traversal.default_paths`` of bucketed rows."""
     return _grouped(rows, _first_children(hops), "root string, depth int, node string")
+
+
+def reached_labels(rows: DataFrame, hops: int) -> DataFrame:
+    """``traversal.footprint_labels`` of bucketed rows."""
+    return _grouped(rows, _reached_labels(hops), "endpoint string, label string")
+
+
+def clusters(labels: DataFrame, percent: int, least_common: int, least: int) -> DataFrame:
+    """``modules.told_clusters`` of bucketed labels (graph_id, endpoint, label)."""
+    return _grouped(labels, _clusters(percent, least_common, least), "endpoint string, cluster string, rare array<string>")

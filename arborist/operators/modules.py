@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arborist.functions import paths as P
 from arborist.storage import materialise
 
-from . import rules, traversal
+from . import localgraphs, rules, traversal
 
 # Directories that name a group, and that are passed over.
 LAYERS = ["domain", "application", "infrastructure", "interfaces", "pages", "components", "hooks", "utils"]
@@ -127,8 +127,24 @@ def structure_gate(nodes: DataFrame) -> DataFrame:
 def clusters(labels: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """graph_id, endpoint, cluster: endpoints linked by ``least`` or more labels that few endpoints have; the smallest names the cluster.
 
-    Labels in half of a graph's footprints or more link nothing. What is left of a label joins few endpoints with each other.
+    Labels in half of a graph's footprints or more link nothing. Graphs of few labels are taken whole by a task; else what is left of a label joins few endpoints with each other.
     """
+    return told_clusters(labels, least).drop("rare")
+
+
+def told_clusters(labels: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
+    """``clusters`` with ``rare``, the labels of each endpoint that few endpoints have."""
+    labels = labels.select("graph_id", "endpoint", "label")
+    if not localgraphs.by_names((labels, "endpoint"), (labels, "label")):
+        return _joined_clusters(labels, least)
+    # what has no graph or endpoint is linked with nothing, and of no module
+    alone = labels.where("graph_id IS NULL OR endpoint IS NULL").select("graph_id", "endpoint").distinct().select("graph_id", "endpoint", F.col("endpoint").alias("cluster"), F.lit(None).cast("array<string>").alias("rare"))
+    small, large = localgraphs.split(materialise(labels.where("graph_id IS NOT NULL AND endpoint IS NOT NULL")), localgraphs.LABEL_ROWS)
+    out = localgraphs.clusters(small, traversal.SHARED_PERCENT, traversal.LEAST_FOOTPRINTS, least).unionByName(alone)
+    return materialise(out if large is None else out.unionByName(_joined_clusters(large, least)))
+
+
+def _joined_clusters(labels: DataFrame, least: int) -> DataFrame:
     rare = materialise(labels.distinct().join(traversal.shared_labels(labels).select("graph_id", "label"), ["graph_id", "label"], "left_anti"))
     other = rare.select("graph_id", "label", F.col("endpoint").alias("with"))
     links = rare.join(other, ["graph_id", "label"]).where("endpoint <> with").groupBy("graph_id", "endpoint", "with").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
@@ -140,20 +156,27 @@ def clusters(labels: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
         following = materialise(following)
         at = following.drop("moved")
         if following.where("moved").isEmpty():
-            return at
+            # a list holds null as well, which collecting alone leaves out
+            of = rare.groupBy("graph_id", "endpoint").agg(F.transform(F.collect_list(F.struct("label")), lambda s: s["label"]).alias("rare"))
+            return at.join(of, ["graph_id", "endpoint"], "left")
 
 
 def candidate_modules(clustered: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """graph_id, cluster, name, endpoints, files, sample: modules of graphs with two clusters or more.
 
-    The name is the most frequent part of the endpoints' paths; of equal ones the smallest. The sample is the first files by name.
+    The name is the most frequent part of the endpoints' paths; of equal ones the smallest. The sample is the first files by name. Where ``clustered`` has
+    the ``rare`` labels (``told_clusters``), they are not sought again among ``labels``, and clusters without any, which are no modules, are left at once.
     """
     many = clustered.groupBy("graph_id").agg(F.countDistinct("cluster").alias("n")).where("n >= 2").select("graph_id")
     c = materialise(clustered.join(many, "graph_id", "left_semi"))
+    if "rare" in c.columns:
+        own = c.select("graph_id", "cluster", F.explode("rare").alias("label")).distinct()
+        c = c.join(own.select("graph_id", "cluster").distinct(), ["graph_id", "cluster"], "left_semi").drop("rare")
+    else:
+        own = labels.join(traversal.shared_labels(labels).select("graph_id", "label"), ["graph_id", "label"], "left_anti").join(c, ["graph_id", "endpoint"]).select("graph_id", "cluster", "label").distinct()
     parts = c.join(nodes.select("graph_id", F.col("id").alias("endpoint"), "name"), ["graph_id", "endpoint"]).select("graph_id", "cluster", F.explode(F.split(F.regexp_replace("name", "^[^:]*:", ""), "/")).alias("part"))
     parts = parts.where("trim(part) <> '' AND NOT startswith(part, '{') AND lower(part) <> 'api' AND NOT part RLIKE '^v[0-9]+$'").groupBy("graph_id", "cluster", "part").agg(F.count(F.lit(1)).alias("n"))
     names = parts.groupBy("graph_id", "cluster").agg(F.min_by("part", F.struct(-F.col("n"), F.col("part"))).alias("name"))
-    own = labels.join(traversal.shared_labels(labels).select("graph_id", "label"), ["graph_id", "label"], "left_anti").join(c, ["graph_id", "endpoint"]).select("graph_id", "cluster", "label").distinct()
     ranked = own.withColumn("rn", F.row_number().over(Window.partitionBy("graph_id", "cluster").orderBy("label")))
     files = ranked.groupBy("graph_id", "cluster").agg(F.count(F.lit(1)).alias("files"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rn") <= MODULE_SAMPLE, F.col("label")))), "\n").alias("sample"))
     sizes = c.groupBy("graph_id", "cluster").agg(F.count(F.lit(1)).alias("endpoints"))

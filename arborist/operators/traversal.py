@@ -216,9 +216,13 @@ def footprint_labels(endpoints: DataFrame, nodes: DataFrame, edges: DataFrame, h
     if budget is not None:
         found = budgeted_reach(endpoints, edges, hops, budget).join(named, ["graph_id", "node"])
         return found.select("graph_id", F.col("root").alias("endpoint"), "label").distinct()
-    w = walks(endpoints, edges, hops)
-    found = w.reached.join(named, ["graph_id", "node"]).groupBy("graph_id", "block", "label").agg(F.bit_or("bits").alias("bits"))
-    return by_root(found, w).select("graph_id", F.col("root").alias("endpoint"), "label")
+
+    def joined(starts, edges, named):
+        w = walks(starts, edges, hops)
+        found = w.reached.join(named, ["graph_id", "node"]).groupBy("graph_id", "block", "label").agg(F.bit_or("bits").alias("bits"))
+        return by_root(found, w).select("graph_id", F.col("root").alias("endpoint"), "label")
+
+    return _whole_or_joined(lambda rows: L.reached_labels(rows, hops), joined, endpoints, edges, named)
 
 
 def shared_labels(labels: DataFrame, percent: int = SHARED_PERCENT, least: int = LEAST_FOOTPRINTS) -> DataFrame:

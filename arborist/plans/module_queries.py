@@ -28,7 +28,7 @@ def _clusters(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    return M.candidate_modules(_clusters(spark, sf_dir), _labels(spark, sf_dir), G.nodes(spark, sf_dir))
+    return M.candidate_modules(M.told_clusters(_labels(spark, sf_dir)), _labels(spark, sf_dir), G.nodes(spark, sf_dir))
 
 
 def _groups(spark, sf_dir):
